@@ -6,8 +6,23 @@ from tapeworks.llm.bpe import op10_byte_bpe
 from tapeworks.llm.chat import op2_chat_formatting
 from tapeworks.llm.decontaminate import op1_decontamination
 from tapeworks.llm.langid import op8_language_id
+from tapeworks.llm.linededup import OP4_SQL, op4_line_dedup
+from tapeworks.llm.minhash import op7_near_duplicates
 from tapeworks.llm.pfor import op9_token_files
+from tapeworks.llm.quality import OP5_SQL, op5_quality_rules
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op8_language_id, op9_token_files, op10_byte_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op2_chat_formatting,
+        op4_line_dedup,
+        op5_quality_rules,
+        op7_near_duplicates,
+        op8_language_id,
+        op9_token_files,
+        op10_byte_bpe,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_quality_rules": OP5_SQL}
