@@ -8,6 +8,7 @@ from tapeworks.llm.decontaminate import op1_decontamination
 from tapeworks.llm.langid import op8_language_id
 from tapeworks.llm.linededup import OP4_SQL, op4_line_dedup
 from tapeworks.llm.minhash import op7_near_duplicates
+from tapeworks.llm.passages import op3_repeated_passages
 from tapeworks.llm.pfor import op9_token_files
 from tapeworks.llm.quality import OP5_SQL, op5_quality_rules
 
@@ -16,6 +17,7 @@ QUERIES = {
     for f in (
         op1_decontamination,
         op2_chat_formatting,
+        op3_repeated_passages,
         op4_line_dedup,
         op5_quality_rules,
         op7_near_duplicates,

@@ -8,10 +8,10 @@ import numpy as np
 
 SHINGLE = 5
 _RNG = np.random.default_rng(0x7A9E)
-_BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-_POWERS = {b: np.ones(1, np.uint64) for b in (_BASE, _INVERSE)}
+BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
+BASE = 0x9E3779B97F4A7C15 | 1
+INVERSE = pow(BASE, -1, 2**64)
+_POWERS = {b: np.ones(1, np.uint64) for b in (BASE, INVERSE)}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,5 +52,5 @@ def shingle_hashes(normal: str, k: int = SHINGLE) -> np.ndarray:
     n = max(1, len(starts) - k + 1)
     a, b = starts[:n], ends[min(k, len(starts)) - 1 :][:n]
     with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * powers(_BASE, len(raw)))))
-        return mix((sums[b] - sums[a]) * powers(_INVERSE, len(raw))[a])
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE[raw] * powers(BASE, len(raw)))))
+        return mix((sums[b] - sums[a]) * powers(INVERSE, len(raw))[a])
