@@ -162,11 +162,11 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int, id_column:
 
 
 def with_starts(segments: DataFrame) -> DataFrame:
-    """Adds to each segment's start the ids of all parts before its own (a sum over one row a part)."""
+    """Adds to each segment's start the ids of all parts before its own (a sum over one row a part, broadcast: as many rows as the files have parts)."""
     parts = segments.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
     before = F.coalesce(F.sum("part_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = parts.select("part", before.alias("offset"))
-    return segments.join(offsets, "part").withColumn("start", F.col("start") + F.col("offset")).drop("offset")
+    return segments.join(F.broadcast(offsets), "part").withColumn("start", F.col("start") + F.col("offset")).drop("offset")
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
