@@ -39,10 +39,13 @@ BLOCK = 4096
 SEGMENT = 1 << 19
 PERCENTILE = 95
 HEAD = struct.Struct("<IHBBH")
-CACHE_PIECES = 700_000
+CACHE_PIECES = 600_000
 #: Anything but single spaces or line feeds between other characters, or a NUL, or an added token's start.
 _ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]|\x00|<\|")
 
+#: A comma or full stop after anything but a letter or digit.
+_ADJACENT = re.compile(r"[\W_][.,]")
+
 
 def pack_block(ids: np.ndarray) -> bytes:
     low = int(ids.min())
@@ -86,14 +89,18 @@ class PieceEncoder:
     The pre-tokeniser never joins characters across a single space or line feed that stands
     between two others: a word takes at most the space before it. So a text without other
     white space is cut there, its pieces are encoded by the library, and their ids follow
-    each other as in the whole text. Any other text goes to the library whole.
+    each other as in the whole text. It is also cut before commas and full stops, if none of
+    them follows another sign, with which it would be one. Any other text goes to the library
+    whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -103,17 +110,38 @@ class PieceEncoder:
             return b""
         if _ODD.search(text):
             return self._whole([text])[0]
-        parts = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        marked = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+        if not _ADJACENT.search(text):
+            marked = marked.replace(",", "\0,").replace(".", "\0.")
+        parts = marked.split("\0")
         known = self.known
         try:
             return b"".join([known[p] for p in parts])
         except KeyError:
-            missing = [p for p in dict.fromkeys(parts) if p not in known]
-        if len(known) + len(missing) > CACHE_PIECES:
-            known.clear()
-            missing = list(dict.fromkeys(parts))
-        known.update(zip(missing, self._whole(missing), strict=True))
-        return b"".join([known[p] for p in parts])
+            self._learn(parts)
+            return b"".join([self.known[p] for p in parts])
+
+    def _learn(self, parts: list[str]) -> None:
+        """Makes all of parts known; when the table is full, those not asked for since it was last full go."""
+        if len(self.known) > CACHE_PIECES:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        asked = [p for p in dict.fromkeys(parts) if p not in known]
+        missing = [p for p in asked if p not in older]
+        known.update((p, older[p]) for p in asked if p in older)
+        if missing:
+            known.update(zip(missing, self._lines(missing), strict=True))
+
+    def _lines(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part, from one call: a line feed between two parts is a token of its own."""
+        parts_of_text = [p for p in parts if p and "\n" not in p]
+        ids = np.array(self.tokenizer.encode("\n".join(parts_of_text), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(ids == self.line_feed)
+        if len(cuts) != max(0, len(parts_of_text) - 1):
+            return self._whole(parts)
+        starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
+        found = {p: ids[a:b].tobytes() for p, a, b in zip(parts_of_text, starts, ends, strict=True)} if parts_of_text else {}
+        return [b"" if not p else found[p] if p in found else self._whole([p])[0] for p in parts]
 
 
 @lru_cache(maxsize=2)
