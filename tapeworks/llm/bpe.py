@@ -79,15 +79,15 @@ def decode(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return df.mapInArrow(batches, f"id {df.schema['id'].dataType.simpleString()}, n_tokens long, ids binary, decoded binary")
 
 
-def digests(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256, from the encoded and again decoded text."""
+def digests(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256, from the encoded and again decoded text; ids too, if asked for."""
     if ranks_path is None or pattern is None:
         import public_tokenizers
 
         ranks_path = ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
         pattern = pattern or public_tokenizers.PATTERN
     out = decode(encode(docs, ranks_path, pattern), ranks_path, pattern)
-    return out.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select(F.col("id").alias("doc_id"), "n_tokens", *(["ids"] if keep_ids else []), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tapeworks.llm.bpe import op10_byte_bpe
 from tapeworks.llm.chat import op2_chat_formatting
+from tapeworks.llm.classlm import op6_class_lm
 from tapeworks.llm.decontaminate import op1_decontamination
 from tapeworks.llm.langid import op8_language_id
 from tapeworks.llm.linededup import OP4_SQL, op4_line_dedup
@@ -20,6 +21,7 @@ QUERIES = {
         op3_repeated_passages,
         op4_line_dedup,
         op5_quality_rules,
+        op6_class_lm,
         op7_near_duplicates,
         op8_language_id,
         op9_token_files,
