@@ -246,15 +246,18 @@ def _without(text, spans):
     def cut(texts: pd.Series, ranges: pd.Series) -> pd.Series:
         out = []
         for t, found in zip(texts, ranges, strict=True):
+            if t is None or found is None or not len(found):
+                out.append(t)
+                continue
             places = [m.span() for m in re.finditer(rb"[^ ]+", t.encode("utf-8", "replace").translate(WORD_BYTES))]
             raw, kept, at = t.encode("utf-8", "replace"), [], 0
             for r in found:
                 kept.append(raw[at : places[r["a"]][0]])
                 at = places[r["b"] - 1][1]
             out.append(b"".join([*kept, raw[at:]]).decode("utf-8", "replace"))
-        return pd.Series(out)
+        return pd.Series(out, dtype=object)
 
-    return F.when(F.size(spans) > 0, cut(text, spans)).otherwise(text)
+    return cut(text, spans)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
