@@ -13,11 +13,13 @@ probability 1 - 7e-6. Candidates are verified exactly: the Jaccard similarity of
 shingles must reach `THRESHOLD`. Equal texts (same words in the same order) form a class first,
 so that copies are sketched into one row, and only its representative, the smallest id, goes on.
 
-No pairs are made within a bucket at first: each text is compared with the smallest id of its
-bucket (the hub), then components are found. Only texts of a bucket that are still in different
-components are then compared with each other, so no link between candidates is lost while a
-group of n near copies costs about n comparisons a band, not n squared. Every count aggregates before it
-shuffles, and joins on hot keys are equi-joins, which Spark splits when skewed.
+No pairs are made within a bucket: each text is compared with the smallest id of its bucket (the
+hub), then components are found. Any two texts of a bucket are then both partners of its hub, so
+only a hub's partners that are in different components are left to compare; blocks of them meet
+in a task as matrices, and a task emits links that join components, not pairs. No link between
+candidates is lost, and a group of n near copies that links to its hub costs n comparisons.
+Counts aggregate before they shuffle; joins on hot keys are equi-joins of two
+shuffled sides, which Spark splits when skewed.
 
 A text without a word is in no group: its class is its own id. Texts of fewer than five words
 are one shingle. A null id is a document like others (class null). Repeated rows are copies.
@@ -32,46 +34,56 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import NULL_ID, from_key, id_key, scratch, table
+from tapeworks.llm.common import from_key, id_key, runs_of_chars, scratch, table
 from tapeworks.llm.shingles import digest, mix, normalise, shingle_hashes
 
 BANDS, ROWS = 30, 5
 REGISTERS = BANDS * ROWS
 THRESHOLD = 0.8
-_SLACK = 5.0
+SLACK = 5.0
+#: Distinct shingles that are sketched together, about.
+TOGETHER = 200_000
+#: Texts of a block when texts of a group are compared with each other.
+BLOCK = 256
 
 
-def registers(hashes: np.ndarray, weights: np.ndarray, m: int = REGISTERS) -> np.ndarray:
-    """For each register the hash of the shingle whose arrival comes first."""
-    with np.errstate(over="ignore", divide="ignore"):
-        limit = m * (np.log(m) + _SLACK) / weights.sum()
-        while True:
-            best, winner = np.full(m, np.inf), np.zeros(m, np.uint64)
-            state, rate, now = hashes, weights.astype(np.float64), np.zeros(len(hashes))
-            h = hashes
+def registers(hashes: np.ndarray, weights: np.ndarray, sizes: np.ndarray, m: int = REGISTERS) -> np.ndarray:
+    """For each text and register the hash of the shingle whose arrival comes first.
+
+    hashes and weights have the distinct shingles of all texts, one text after another; sizes
+    says how many each has, one at least.
+    """
+    n = len(sizes)
+    text = np.repeat(np.arange(n), sizes)
+    total = np.add.reduceat(weights, np.cumsum(sizes) - sizes)
+    limit = m * (np.log(m) + SLACK) / total
+    best, winner = np.full(n * m, np.inf), np.zeros(n * m, np.uint64)
+    open_ = np.ones(n, bool)
+    with np.errstate(over="ignore"):
+        while open_.any():
+            mine = open_[text]
+            h, rate, t = hashes[mine], weights[mine].astype(np.float64), text[mine]
+            state, now = h, np.zeros(len(h))
             while len(h):
                 state = mix(state + np.uint64(0x9E3779B97F4A7C15))
                 now = now - np.log(((state >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate
-                alive = now <= limit
-                if not alive.all():
-                    state, rate, now, h = state[alive], rate[alive], now[alive], h[alive]
-                at = (mix(state ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(m)).astype(np.int64)
-                order = np.argsort(-now, kind="stable")  # the earliest is written last
-                first = np.full(m, -1, np.int64)
-                first[at[order]] = order
-                seen = np.flatnonzero(first >= 0)
-                seen = seen[now[first[seen]] < best[seen]]
-                best[seen], winner[seen] = now[first[seen]], h[first[seen]]
-            if np.isfinite(best).all():
-                return winner
-            limit *= 2
+                alive = now <= limit[t]
+                state, rate, now, h, t = state[alive], rate[alive], now[alive], h[alive], t[alive]
+                at = t * m + (mix(state ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(m)).astype(np.int64)
+                np.minimum.at(best, at, now)
+                first = now == best[at]
+                winner[at[first]] = h[first]
+            open_ = ~np.isfinite(best.reshape(n, m)).all(axis=1)
+            limit = limit * 2  # the few texts with an empty register once more, from the start
+    return winner.reshape(n, m)
 
 
 def band_keys(winner: np.ndarray) -> np.ndarray:
+    """BANDS 64-bit keys for each row of winners."""
     with np.errstate(over="ignore"):
-        out = np.arange(1, BANDS + 1, dtype=np.uint64)
-        for column in winner.reshape(BANDS, ROWS).T:
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) ^ column)
+        out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(winner), BANDS))
+        for k in range(ROWS):
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) ^ winner.reshape(-1, BANDS, ROWS)[:, :, k])
         return out.view(np.int64)
 
 
@@ -80,16 +92,16 @@ def sketches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            digests, bands = [], []
-            for text in pdf["text"]:
-                normal = normalise(text)
-                digests.append(digest(normal) if normal else None)
-                if normal:
-                    hashes, counts = np.unique(shingle_hashes(normal), return_counts=True)
-                    bands.append(band_keys(registers(hashes, counts)))
-                else:
-                    bands.append(np.zeros(0, np.int64))
-            yield pd.DataFrame({"id": pdf["id"], "digest": digests, "bands": bands})
+            normals = [normalise(t) for t in pdf["text"]]
+            bands = [np.zeros(0, np.int64)] * len(normals)
+            for a, b in runs_of_chars([len(t) // 6 for t in normals], TOGETHER):
+                rows = [i for i in range(a, b) if normals[i]]
+                if rows:
+                    found = [np.unique(shingle_hashes(normals[i]), return_counts=True) for i in rows]
+                    keys = band_keys(registers(np.concatenate([x for x, _ in found]), np.concatenate([c for _, c in found]), np.array([len(x) for x, _ in found])))
+                    for i, k in zip(rows, keys, strict=True):
+                        bands[i] = k
+            yield pd.DataFrame({"id": pdf["id"], "digest": [digest(t) if t else None for t in normals], "bands": bands})
 
     rows = docs.select(id_key(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     return rows.mapInPandas(batches, "id long, digest binary, bands array<long>")
@@ -141,40 +153,99 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "label")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, class_id, n_links) for every row of docs.
+def compared(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Links (a, b) between texts of a group that are not yet in one component.
 
-    class_id is the smallest id of the group, the row's own id if it is alone. n_links is the
-    number of other texts to which the row's text was linked by a comparison.
+    rows: hub (the group), id, label, set, blocks (how many blocks its group is dealt into). A
+    task holds two blocks of at most about BLOCK texts, computes the overlaps of all their texts as a
+    product of incidence matrices, and emits only links that join labels: no row is made for a
+    pair as such.
     """
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = rows.select("hub", "id", "label", "set", mine.alias("block"), F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("k"))
+    dealt = dealt.select("hub", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "id", "label", "set")
+
+    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
+        for pdf in it:
+            out = []
+            for row in pdf.itertuples(index=False):
+                if (row.hub, row.i, row.j) != now:
+                    out += _links(held, threshold)
+                    now, held = (row.hub, row.i, row.j), []
+                held.append(row)
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        yield pd.DataFrame(_links(held, threshold), columns=["a", "b"], dtype=np.int64)
+
+    return dealt.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "id").mapInPandas(batches, "a long, b long")
+
+
+def _links(held: list, threshold: float) -> list[tuple[int, int]]:
+    """Links between texts of one pair of blocks, as few as join all labels that links join."""
+    left = [r for r in held if r.block == r.i]
+    right = left if held and held[0].i == held[0].j else [r for r in held if r.block == r.j]
+    if not left or not right or len({r.label for r in held}) < 2:
+        return []
+    sets = [np.frombuffer(r.set, np.uint64) for r in held]
+    place = {id(r): n for n, r in enumerate(held)}
+    owner = np.repeat(np.arange(len(held)), [len(x) for x in sets])
+    values, shingle, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = counts[shingle] > 1
+    shared = np.flatnonzero(counts > 1)
+    column = np.full(len(values), -1)
+    column[shared] = np.arange(len(shared))
+    owner, shingle = owner[keep], column[shingle[keep]]
+    order = np.argsort(shingle, kind="stable")
+    owner, shingle = owner[order], shingle[order]
+    rows_l, rows_r = np.array([place[id(r)] for r in left]), np.array([place[id(r)] for r in right])
+    both = np.zeros((len(left), len(right)), np.float32)
+    for a in range(0, len(shared), 4096):
+        lo, hi = np.searchsorted(shingle, [a, a + 4096])
+        m = np.zeros((len(held), min(4096, len(shared) - a)), np.float32)
+        m[owner[lo:hi], shingle[lo:hi] - a] = 1
+        both += m[rows_l] @ m[rows_r].T
+    size = np.array([len(x) for x in sets], np.float64)
+    union = size[rows_l][:, None] + size[rows_r][None, :] - both
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for p, q in zip(*np.nonzero(both >= threshold * union), strict=True):
+        x, y = left[p], right[q]
+        a, b = find(x.label), find(y.label)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((min(x.id, y.id), max(x.id, y.id)))
+    return out
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(id, class_id) for every row of docs: the smallest id of its group, the row's own id if it is alone."""
     sketched = scratch(sketches(docs, id_column, text_column), "sketches")
     with_words = sketched.where("digest is not null")
-    classes = with_words.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    # the smallest id of a class always has a sketch equal to the class's
-    reps = scratch(with_words.join(classes.select(F.col("digest").alias("d"), "rep"), (F.col("digest") == F.col("d")) & (F.col("id") == F.col("rep")), "left_semi").dropDuplicates(["id"]).select("id", F.explode("bands").alias("bucket")), "buckets")
-    hubs = reps.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
-    buckets = scratch(reps.join(hubs, "bucket"), "shared")
-    first = scratch(buckets.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    wanted = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).distinct()
+    classes = scratch(with_words.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
+    # rows that repeat an id may have other words: the representative is the id with this digest
+    mine = with_words.join(classes.select(F.col("digest").alias("d"), "rep"), (F.col("digest") == F.col("d")) & (F.col("id") == F.col("rep")), "left_semi")
+    reps = scratch(mine.dropDuplicates(["id"]).select("id", F.explode("bands").alias("bucket")), "buckets")
+    hubs = scratch(reps.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub"), "hubs")
+    pairs = scratch(reps.join(hubs, "bucket").where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = scratch(shingle_sets(docs, wanted, id_column, text_column), "sets")
-    links = scratch(verified(first, sets, threshold), "verified")
+    links = scratch(verified(pairs, sets, threshold), "links")
     labels = components(links)
-    # buckets whose texts are not yet in one component: compare across components
-    labelled = buckets.join(labels, "id", "left").select("bucket", "hub", "id", F.coalesce("label", "id").alias("label"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    open_ = scratch(labelled.join(mixed, "bucket"), "open")
-    left = open_.where("id != hub").select("bucket", F.col("id").alias("a"), F.col("label").alias("la"))
-    right = open_.where("id != hub").select("bucket", F.col("id").alias("b"), F.col("label").alias("lb"))
-    second = left.join(right, "bucket").where("a < b and la != lb").select("a", "b").distinct()
-    more = scratch(verified(second, sets, threshold), "verified")
+    # two texts of a bucket were both compared with its hub: what is left is inside the hubs' groups
+    members = scratch(pairs.select(F.col("a").alias("hub"), F.col("b").alias("id")).join(labels, "id", "left").select("hub", "id", F.coalesce("label", "id").alias("label")), "members")
+    groups = members.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("low < high").select("hub", "blocks")
+    more = scratch(compared(members.join(scratch(groups, "groups"), "hub").join(sets, "id"), threshold).distinct(), "more")
     if not more.isEmpty():
-        links = links.unionByName(more)
-        labels = components(links)
-    degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    groups = labels.join(degree, "id").withColumnRenamed("id", "rep")
-    by_text = classes.join(groups, "rep", "left").select(F.col("digest").alias("d"), F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = sketched.select("id", "digest").join(by_text, F.col("digest") == F.col("d"), "left")
-    return out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        labels = components(links.unionByName(more))
+    by_text = classes.join(labels, classes["rep"] == labels["id"], "left").select(F.col("digest").alias("d"), F.coalesce("label", "rep").alias("class_id"))
+    out = sketched.select("id", "digest").join(scratch(by_text, "by_text"), F.col("digest") == F.col("d"), "left")
+    return out.select("id", F.coalesce("class_id", "id").alias("class_id"))
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -186,4 +257,4 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select(from_key("id").alias("doc_id"), F.when(F.col("class_id") != NULL_ID, F.col("class_id")).alias("class_id"), "n_links")
+    return near_duplicates(table(spark, sf_dir, "documents")).select(from_key("id").alias("doc_id"), from_key("class_id").alias("class_id"))
