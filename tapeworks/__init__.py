@@ -21,5 +21,7 @@ def distribute(spark: SparkSession) -> SparkSession:
             for f in sorted(here.rglob("*.py")):
                 z.write(f, f"tapeworks/{f.relative_to(here)}")
         spark.sparkContext.addPyFile(str(to.resolve()))
+        env = spark.sparkContext.environment  # for the Python processes that the driver starts itself
+        env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH"), str(to.resolve())]))
         _SHIPPED.add(app)
     return spark

@@ -1,4 +1,542 @@
 """All registered queries over the driver's tables, and their DuckDB forms."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tapeworks.functions import columns as col
+from tapeworks.operators import audit, bars, execution, history, report, signal, skill, vectors
+from tapeworks.plans import testtape as tt
+from tapeworks.plans.testtape import END, INITIAL, START, View, oracle
+from tapeworks.sources import cleaning, tape
+from tapeworks.streaming import streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _spec(text: str) -> dict[str, str]:
+    return dict(x.rpartition(":")[::2] for x in text.split())
+
+
+def add(name: str, build: Callable[[View], DataFrame], sql: str | None = None, r: str = "", more: tuple[str, ...] = ()) -> None:
+    """Registers a query. r: `column:digits` rounds a column in both engines, `column:i` makes it a 64-bit integer."""
+    spec = _spec(r)
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = build(View(spark, sf_dir))
+        return df.withColumns({c: F.col(f"`{c}`").cast("long") if d == "i" else F.round(F.col(f"`{c}`").cast("double"), int(d)) for c, d in spec.items()})
+
+    query.__name__ = name
+    QUERIES[name] = query
+    if sql is not None:
+        if spec:
+            casts = ", ".join(f'CAST("{c}" AS BIGINT) AS "{c}"' if d == "i" else f'round(CAST("{c}" AS DOUBLE), {d}) + 0 AS "{c}"' for c, d in spec.items())
+            sql = f"SELECT * REPLACE ({casts}) FROM ({sql})"
+        ORACLE_SQL[name] = oracle(sql, *more)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, or, where none is set (tests), a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tapeworks-")
+    return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+# Sources and cleaning
+
+
+def _read_tape(v: View) -> DataFrame:
+    path = f"{v.sf_dir}/lineitem.parquet"
+    df = tape.read_tape(v.spark, path, "l_orderkey long, l_suppkey long, l_quantity double, l_shipdate timestamp_ntz")
+    return df.groupBy("l_suppkey").agg(F.count("*").alias("rows"), F.sum("l_quantity").alias("quantity"), F.max("l_orderkey").alias("last_order"))
+
+
+def _write_outputs(v: View) -> DataFrame:
+    to = tape.write_case_outputs(v.entries.select("case", "market_id", "seq", "direction", "bucket"), shared_dir(v.spark), "entries")
+    return v.spark.read.parquet(to).select("case", "market_id", "seq", "direction", "bucket")
+
+
+add("O01_read_tape", _read_tape, "SELECT l_suppkey, count(*) AS rows, sum(l_quantity) AS quantity, max(l_orderkey) AS last_order FROM lineitem GROUP BY l_suppkey")
+add("O02_write_case_outputs", _write_outputs, 'SELECT "case", market_id, seq, direction, bucket FROM entries')
+add(
+    "O03_normalize_markets",
+    lambda v: v.clean_markets.select("market_id", "question", F.unix_seconds("created_at").alias("created_at"), F.unix_seconds("close_time").alias("close_time"), F.unix_millis("resolved_at").alias("resolved_at"), "resolution", "volume", "active", F.get("outcome_labels", F.lit(0)).alias("label0"), F.get("clob_token_ids", F.lit(1)).alias("token1")),
+    "SELECT market_id, question, CAST(epoch(created_at) AS BIGINT) AS created_at, CAST(epoch(close_time) AS BIGINT) AS close_time, epoch_ms(resolved_at) AS resolved_at, resolution, volume, active, 'Up' AS label0, token1 FROM clean_markets",
+)
+add(
+    "O04_normalize_trades",
+    lambda v: cleaning.normalize_trades(v.raw_trades, v.clean_markets),
+    """SELECT r.conditionId AS market_id, proxyWallet AS wallet, "timestamp" AS ts, CAST(i + CASE WHEN side = 'SELL' THEN 2 ELSE 0 END AS INT) AS side, size,
+      CASE i WHEN 0 THEN greatest(0, least(1, price)) WHEN 1 THEN round(1 - greatest(0, least(1, price)), 9) END AS yes_price, transactionHash AS transaction_hash
+    FROM (SELECT *, coalesce(CASE WHEN outcomeIndex IN (0, 1) THEN outcomeIndex END, CASE WHEN asset = 'x' THEN NULL ELSE CAST(substr(asset, 2) AS BIGINT) % 2 END, CASE outcome WHEN 'Up' THEN 0 WHEN 'Down' THEN 1 END) AS i FROM raw_trades) r""",
+)
+add("O05_corrected_trades", lambda v: cleaning.corrected_trades(v.raw_trades, v.clean_markets), "SELECT * FROM corrected")
+_REASON = "CASE WHEN NOT token_price BETWEEN 0 AND 1 THEN 'bad_price' WHEN size <= 0 THEN 'bad_size' WHEN NOT regexp_matches(wallet, '^0x[0-9a-fA-F]{40}$') THEN 'bad_wallet' END"
+add("O06_quarantine", lambda v: cleaning.quarantine(cleaning.corrected_trades(v.raw_trades, v.clean_markets))[1].groupBy("market_id", "reason").agg(F.count("*").alias("rows")), f"SELECT market_id, reason, count(*) AS rows FROM (SELECT *, {_REASON} AS reason FROM corrected) WHERE reason IS NOT NULL GROUP BY ALL")
+
+
+def _pages(v: View) -> DataFrame:
+    day = (F.col("ts") - START) / (86400 * 10)
+    rows = v.tape.select("market_id", "seq", "ts", F.explode(F.array(F.floor(day), F.floor(day) + 1)).alias("page_id"))
+    manifest = v.spark.range(11).select(F.col("id").alias("page_id"), (START + F.col("id") * 864000).alias("min_time"), (START + F.col("id") * 864000 + 863999).alias("max_time"))
+    per = v.tape.groupBy(F.floor(day).alias("page_id")).agg((F.count("*") + F.when(F.floor(day) % 4 == 3, 1).otherwise(0)).alias("expected"))
+    kept, checks = cleaning.select_page_rows(rows, manifest.join(per, "page_id"))
+    return kept.groupBy("page_id").agg(F.countDistinct("market_id", "seq").alias("kept")).join(checks, "page_id")
+
+
+add("O07_select_page_rows", _pages, f"SELECT page_id, kept, kept AS rows, kept + CASE WHEN page_id % 4 = 3 THEN 1 ELSE 0 END AS expected, page_id % 4 <> 3 AS ok FROM (SELECT (ts - {START}) // 864000 AS page_id, count(*) AS kept FROM tape GROUP BY ALL)", "kept:i rows:i expected:i")
+add("O08_dedup_trades", lambda v: cleaning.dedup_trades(v.tape.withColumn("hour", F.floor(F.col("ts") / 3600)), ["market_id", "wallet", "hour"], "seq").select("market_id", "wallet", "hour", "seq", "side", "size"), "SELECT market_id, wallet, ts // 3600 AS hour, max(seq) AS seq, arg_max(side, seq) AS side, arg_max(size, seq) AS size FROM tape GROUP BY market_id, wallet, ts // 3600")
+
+
+def _merge(v: View) -> DataFrame:
+    t = v.tape.select("market_id", "wallet", "ts", "side", "size", "seq")
+    old = t.where((F.col("ts") < START + 60 * 86400) & (F.col("seq") % 7 != 0)).withColumn("src", F.lit("old"))
+    new = t.where((F.col("ts") >= START + 40 * 86400) & (F.col("seq") % 5 != 0)).withColumn("src", F.lit("new"))
+    return cleaning.merge_sources(old, new, ["market_id", "seq"])
+
+
+add(
+    "O09_merge_sources",
+    _merge,
+    f"""SELECT market_id, wallet, ts, side, size, seq, 'new' AS src FROM tape WHERE ts >= {START + 40 * 86400} AND seq % 5 <> 0
+    UNION ALL SELECT market_id, wallet, ts, side, size, seq, 'old' FROM tape WHERE ts < {START + 60 * 86400} AND seq % 7 <> 0
+      AND NOT (ts >= (SELECT min(ts) FROM tape WHERE ts >= {START + 40 * 86400} AND seq % 5 <> 0) AND seq % 5 <> 0)""",
+)
+add("O10_top_markets", lambda v: cleaning.top_markets(v.clean_markets, 20).select("market_id", "volume", "rank"), "SELECT * FROM (SELECT market_id, volume, CAST(row_number() OVER (ORDER BY volume DESC, market_id) AS INT) AS rank FROM clean_markets WHERE created_at IS NOT NULL) WHERE rank <= 20")
+add(
+    "O11_last_trade_adjust",
+    lambda v: cleaning.last_trade_adjust(v.markets.select("market_id", F.col("event_at").alias("resolved_at")), v.tape),
+    "SELECT m.market_id, CASE WHEN event_at <= t.l THEN t.l + 1 ELSE event_at END AS resolved_at, coalesce(event_at <= t.l, FALSE) AS adjusted FROM markets m LEFT JOIN (SELECT market_id, max(ts) AS l FROM tape GROUP BY ALL) t ON m.market_id = t.market_id",
+)
+add(
+    "O12_eligible_trades",
+    lambda v: cleaning.eligible_trades(v.tape, v.markets, 28, START + 864000, END - 864000).groupBy("market_id").agg(F.count("*").alias("rows"), F.sum("size").alias("size"), F.min("seq").alias("first")),
+    f"SELECT t.market_id, count(*) AS rows, sum(size) AS size, min(seq) AS first FROM tape t JOIN markets m ON t.market_id = m.market_id WHERE ts BETWEEN {START + 864000} AND {END - 864000} AND close_at > ts AND close_at - ts < 28 * 86400 GROUP BY ALL",
+)
+add(
+    "O13_truncation_filter",
+    lambda v: cleaning.truncation_filter(v.tape, 600)[0].groupBy("market_id").agg(F.count("*").alias("rows")).unionByName(cleaning.truncation_filter(v.tape, 600)[1].select((-F.col("market_id")).alias("market_id"), "rows")),
+    "SELECT CASE WHEN rows >= 600 THEN -market_id ELSE market_id END AS market_id, rows FROM (SELECT market_id, count(*) AS rows FROM tape GROUP BY ALL)",
+)
+_OBSERVED = 800400000
+_EVIDENCE = f"""evidence AS (
+  SELECT market_id, CASE WHEN len(issues) = 0 THEN end_payout END AS payout_yes, event_at, CASE WHEN len(issues) = 0 THEN event_at + 1 END AS label_available_at, CASE WHEN len(issues) = 0 THEN 'metadata_proxy' ELSE 'unusable' END AS tier, issues FROM (
+    SELECT conditionId AS market_id, end_payout, event_at, list_filter([CASE WHEN umaEndDate = 'soon' THEN 'invalid_resolution_date:umaEndDate' END, CASE WHEN NOT closed THEN 'not_closed' END, CASE WHEN umaResolutionStatus <> 'resolved' THEN 'uma_not_resolved' END,
+      CASE WHEN event_at IS NULL THEN 'no_explicit_resolution_date' END, CASE WHEN event_at > {_OBSERVED} THEN 'claimed_event_after_metadata_observation' END, CASE WHEN end_payout IS NULL THEN 'no_unambiguous_terminal_price_proxy' END], lambda x: x IS NOT NULL) AS issues
+    FROM (SELECT *, greatest(CAST(ceil(epoch(try_cast(replace(umaEndDate, 'Z', '') AS TIMESTAMP))) AS BIGINT), CAST(ceil(epoch(try_cast(replace(closedTime, 'Z', '') AS TIMESTAMP))) AS BIGINT), CAST(epoch(try_cast(replace(resolvedAt, 'Z', '') AS TIMESTAMP)) AS BIGINT)) AS event_at FROM raw_markets)))"""
+
+
+def _evidence(v: View) -> DataFrame:
+    return cleaning.resolution_evidence(v.raw_markets, _OBSERVED)
+
+
+add("O14_resolution_evidence", lambda v: _evidence(v).withColumn("issues", F.array_join("issues", ",")), "SELECT * REPLACE (array_to_string(issues, ',') AS issues) FROM evidence", more=(_EVIDENCE,))
+
+
+def _chain(v: View) -> DataFrame:
+    k = F.col("o_orderkey")
+    receipts = v.table("orders").select(
+        k.alias("market_id"),
+        F.array((k % 3), F.when(k % 10 == 0, F.lit(-1)).otherwise(k % 4)).cast("array<long>").alias("numerators"),
+        (k % 2).cast("int").alias("first_slot"),
+        (F.lit(START) + k).alias("event_at"),
+        (F.lit(START) + k + k % 5 - F.when(k % 13 == 0, 9).otherwise(0)).alias("finality_at"),
+        F.when(k % 4 == 0, F.lit(START) + k + 100).when(k % 31 == 0, F.lit(START)).alias("observed_at"),
+        F.concat(F.when(k % 17 == 0, "0y").otherwise("0x"), F.lpad(k.cast("string"), 64, "0")).alias("transaction_hash"),
+        (k % 19 != 0).alias("verified"),
+    )
+    return cleaning.chain_evidence(receipts)
+
+
+add(
+    "O15_chain_evidence",
+    _chain,
+    f"""SELECT k AS market_id, CASE WHEN reason IS NULL THEN CASE WHEN k % 2 = 0 THEN a ELSE b END / (a + b) END AS payout_yes, e AS event_at, CASE WHEN reason IS NULL THEN greatest(f, o) + 1 END AS label_available_at,
+      CASE WHEN reason IS NOT NULL THEN 'unusable' WHEN o IS NULL THEN 'chain_event_reconstructed' ELSE 'chain_event_observed' END AS tier, reason
+    FROM (SELECT *, CASE WHEN k % 19 = 0 THEN 'unverified' WHEN k % 17 = 0 THEN 'bad_hash' WHEN b < 0 OR a + b <= 0 THEN 'bad_payout' WHEN f < e THEN 'finality_before_event' WHEN o < e THEN 'observed_before_event' END AS reason
+      FROM (SELECT o_orderkey AS k, o_orderkey % 3 AS a, CASE WHEN o_orderkey % 10 = 0 THEN -1 ELSE o_orderkey % 4 END AS b, {START} + o_orderkey AS e, {START} + o_orderkey + o_orderkey % 5 - CASE WHEN o_orderkey % 13 = 0 THEN 9 ELSE 0 END AS f,
+        CASE WHEN o_orderkey % 4 = 0 THEN {START} + o_orderkey + 100 WHEN o_orderkey % 31 = 0 THEN {START} END AS o FROM orders))""",
+    "payout_yes:9",
+)
+add("O16_label_boundary", lambda v: cleaning.label_boundary(_evidence(v), START + 105 * 86400, allow_proxy=True), f"SELECT market_id, payout_yes, event_at, label_available_at, tier FROM evidence WHERE tier <> 'unusable' AND label_available_at <= {START + 105 * 86400}", more=(_EVIDENCE,))
+
+
+def _quality(v: View) -> DataFrame:
+    bad = v.tape.withColumns({"ts": F.when(F.col("seq") % 50 == 0, F.col("ts") - 400000).otherwise(F.col("ts")), "size": F.when(F.col("seq") % 70 == 0, 0.0).otherwise(F.col("size")), "yes_price": F.when(F.col("seq") % 90 == 0, F.col("yes_price") + 2).otherwise(F.col("yes_price"))})
+    return cleaning.tape_quality(bad, v.tape.groupBy("market_id").agg((F.count("*") + F.when(F.col("market_id") % 2 == 0, 1).otherwise(0)).alias("rows")))
+
+
+add(
+    "O17_tape_quality",
+    _quality,
+    """SELECT * FROM (
+      SELECT market_id, unnest(['order', 'price_range', 'size', 'price_mapping', 'count']) AS "check", unnest([o, p, s, p, CASE WHEN market_id % 2 = 0 THEN 1 ELSE 0 END]) AS violations FROM (
+        SELECT market_id, count(*) FILTER (ts < b) AS o, count(*) FILTER (seq % 90 = 0) AS p, count(*) FILTER (seq % 70 = 0) AS s FROM (
+          SELECT *, lag(ts) OVER (PARTITION BY market_id ORDER BY seq) AS b FROM (SELECT market_id, seq, CASE WHEN seq % 50 = 0 THEN ts - 400000 ELSE ts END AS ts FROM tape)) GROUP BY market_id)) WHERE violations > 0""",
+    "violations:i",
+)
+add(
+    "O18_coverage_stats",
+    lambda v: cleaning.coverage_stats(v.tape, v.markets.select("market_id", "category", "close_at", F.col("event_at").alias("created_at"), F.row_number().over(tt.Window.orderBy(F.desc("volume"), "market_id")).alias("rank")), v.settlements, [3, 5, 50], START + 3000000, END - 3000000),
+    f"""SELECT CAST(cohort AS INT) AS cohort, count(*) AS markets, count(*) FILTER (p > 0) AS with_prints, sum(coalesce(p, 0)) AS prints, sum(coalesce(w, 0)) AS in_window, sum(coalesce(s, 0)) AS settlements, count(DISTINCT category) AS categories, count(*) FILTER (event_at < {START + 3000000}) AS created_before
+    FROM (SELECT *, row_number() OVER (ORDER BY volume DESC, market_id) AS rank FROM markets) m JOIN (SELECT unnest([3, 5, 50]) AS cohort) c ON rank <= cohort
+      LEFT JOIN (SELECT market_id, count(*) AS p, count(*) FILTER (ts BETWEEN {START + 3000000} AND {END - 3000000}) AS w FROM tape GROUP BY ALL) t ON m.market_id = t.market_id
+      LEFT JOIN (SELECT market_id, count(*) AS s FROM settlements GROUP BY ALL) k ON m.market_id = k.market_id GROUP BY cohort""",
+    "prints:i in_window:i settlements:i",
+)
+add(
+    "O78_market_payouts",
+    lambda v: cleaning.market_payouts(v.clean_markets, v.raw_markets, v.tape.select(F.concat(F.lit("m"), "market_id").alias("market_id"), "ts")),
+    """SELECT m.market_id, p AS payout_yes, CASE WHEN t.l >= e THEN t.l + 1 ELSE e END AS settled_at FROM (
+      SELECT c.market_id, CAST(floor(epoch(resolved_at)) AS BIGINT) AS e, coalesce(CASE resolution WHEN 'YES' THEN CAST(1 AS DOUBLE) WHEN 'NO' THEN 0 END, CASE WHEN closed AND umaResolutionStatus = 'resolved' AND end_payout = 0.5 THEN 0.5 END) AS p FROM clean_markets c JOIN raw_markets r ON c.market_id = r.conditionId) m
+    LEFT JOIN (SELECT 'm' || market_id AS market_id, max(ts) AS l FROM tape GROUP BY ALL) t ON m.market_id = t.market_id WHERE e IS NOT NULL AND p IS NOT NULL""",
+)
+
+
+def _coalesced(v: View) -> DataFrame:
+    m = v.clean_markets.withColumn("s", F.substring("market_id", 2, 9).cast("int")).withColumn("created_at", F.unix_seconds("created_at")).withColumn("resolved_at", F.unix_seconds("resolved_at")).select("market_id", "question", "created_at", "resolved_at", "resolution", "active", "s")
+    new = m.where("s % 3 != 0").withColumns({"created_at": F.when(F.col("s") % 4 != 0, F.col("created_at")), "resolution": F.when(F.col("s") % 5 != 2, F.col("resolution")), "question": F.concat("question", F.lit("!"))})
+    return cleaning.coalesce_metadata(new.drop("s"), m.where("s % 7 != 0").drop("s"))
+
+
+add(
+    "O79_coalesce_metadata",
+    _coalesced,
+    """SELECT market_id, CASE WHEN n THEN question || '!' ELSE question END AS question, CASE WHEN n AND s % 4 = 0 THEN CASE WHEN o THEN c END ELSE c END AS created_at,
+      CASE WHEN n THEN coalesce(e, CASE WHEN o AND NOT active THEN e END) ELSE e END AS resolved_at, CASE WHEN n AND s % 5 = 2 THEN CASE WHEN o AND NOT active THEN resolution END ELSE resolution END AS resolution, active
+    FROM (SELECT *, s % 3 <> 0 AS n, s % 7 <> 0 AS o FROM (SELECT *, CAST(substr(market_id, 2) AS INT) AS s, CAST(epoch(created_at) AS BIGINT) AS c, CAST(floor(epoch(resolved_at)) AS BIGINT) AS e FROM clean_markets)) WHERE n OR o""",
+)
+_TIMELINE = """SELECT ts, kind, market_id, seq, CAST(row_number() OVER (PARTITION BY ts ORDER BY k, market_id, seq) AS INT) AS position FROM (
+      SELECT ts, 'trade' AS kind, market_id, seq, 1 AS k FROM tape UNION ALL SELECT label_available_at, 'resolution', market_id, 0, 0 FROM markets)"""
+add("O80_timeline", lambda v: cleaning.timeline(v.tape, v.labels), _TIMELINE)
+
+# Scalar functions
+
+add(
+    "O19_trade_columns",
+    lambda v: v.tape.select("market_id", "seq", col.signed_shares(F.col("side"), F.col("size")).alias("shares"), col.cashflow(F.col("side"), F.col("size"), F.col("yes_price")).alias("cash"), col.token_price(F.col("side"), F.col("yes_price")).alias("token_price"), col.trade_direction(F.col("side")).alias("direction")),
+    f"SELECT market_id, seq, CASE WHEN side IN (0, 3) THEN size ELSE -size END AS shares, CASE WHEN side IN (0, 3) THEN -size ELSE size END * yes_price AS cash, token_price, {tt.DIRECTION} AS direction FROM tape",
+    "cash:4",
+)
+add(
+    "O20_risk_class",
+    lambda v: v.markets.select("market_id", col.risk_class(F.col("question")).alias("risk_class")),
+    r"SELECT market_id, CASE WHEN (regexp_matches(question, '\bvs\.?\b', 'i') AND NOT suffix(question, '?')) OR (regexp_matches(question, '\bwin\b') AND regexp_matches(question, '\bcup\b')) THEN 'competitive_event' ELSE 'standard' END AS risk_class FROM markets",
+)
+add(
+    "O21_period_label",
+    lambda v: v.tape.select("market_id", "seq", *[col.period_label(F.col("ts") + F.col("seq") * 86400, g).alias(g) for g in ("year", "quarter", "month")]),
+    "SELECT market_id, seq, CAST(year(t) AS VARCHAR) AS year, year(t) || 'Q' || quarter(t) AS quarter, strftime(t, '%Y-%m') AS month FROM (SELECT *, make_timestamp((ts + seq * 86400) * 1000000) AS t FROM tape)",
+)
+add(
+    "O22_price_bucket",
+    lambda v: v.tape.select("market_id", "seq", col.price_bucket(F.col("token_price"), 0.6, 0.01, 0.2).alias("bucket"), col.max_entry_price(F.col("token_price"), 0.6, 0.9, 0.55, 0.85, 0.88).alias("cap")),
+    "SELECT market_id, seq, CASE WHEN token_price > 0.6 THEN 'stable' WHEN token_price BETWEEN 0.01 AND 0.2 THEN 'lottery' END AS bucket, least(0.88, 0.6 + (greatest(0.55, least(0.85, token_price)) - 0.55) / (0.85 - 0.55) * (0.9 - 0.6)) AS cap FROM tape",
+    "cap:6",
+)
+add(
+    "O23_similarity_kernel",
+    lambda v: v.tape.select("market_id", "seq", *[col.similarity_kernel(F.col("token_price"), t, p, n).alias(name) for name, t, p, n in (("identity", 0.0, 1.0, True), ("half", 0.5, 2.0, True), ("raw", 0.5, 1.0, False))]),
+    "SELECT market_id, seq, token_price AS identity, pow(greatest(token_price - 0.5, 0) / 0.5, 2) AS half, greatest(token_price - 0.5, 0) AS raw FROM tape",
+    "identity:6 half:7 raw:6",
+)
+
+# Bars, gates, history
+
+add("O24_hourly_bars", lambda v: v.bars, "SELECT * FROM bars", "price_quantity:4 dollars:4")
+add("O25_dense_hours", lambda v: v.dense, "SELECT * FROM dense", "price_quantity:4 dollars:4 prints:i")
+add("O26_rolling_bars", lambda v: v.rolled.drop("recent_yes_vwap"), "SELECT * EXCLUDE recent_yes_vwap FROM rolled", "price_quantity:4 dollars:4 recent_pq:4 recent_notional:4 cumulative_notional:4 prints:i recent_prints:i")
+add("O27_settlements", lambda v: v.settlements, "SELECT * FROM settlements", "score:6 notional:4")
+add("O34_volume_admission", lambda v: v.admissions, "SELECT market_id, admitted_at, CAST(cumulative AS DOUBLE) AS cumulative FROM admissions", "cumulative:4")
+add("O35_activation", lambda v: v.activations, "SELECT * FROM activations", "cumulative_notional:4 recent_notional:4 recent_yes_vwap:6 recent_prints:i observed_hours:i")
+add("O36_gate_tape", lambda v: bars.gate_tape(v.tape, v.activations, v.labels).select("rule", "market_id", "seq", "ts", "size"), "SELECT rule, t.market_id, seq, ts, size FROM tape t JOIN activations a ON t.market_id = a.market_id JOIN markets m ON t.market_id = m.market_id WHERE ts >= a.time AND ts < label_available_at")
+_VARIANTS = """variants AS (
+  SELECT v AS variant, t.* FROM (SELECT t.*, event_at, row_number() OVER (PARTITION BY t.market_id ORDER BY ts DESC, seq DESC) AS back FROM tape t JOIN admissions a ON t.market_id = a.market_id JOIN markets m ON t.market_id = m.market_id WHERE ts >= admitted_at AND ts < event_at) t,
+    (VALUES ('all', 1000000000, 1000000), ('last_500', 500, 1000000), ('last_1000', 1000, 1000000), ('last_2000', 2000, 1000000), ('days_7', 1000000000, 7), ('days_28', 1000000000, 28)) AS x(v, n, d)
+  WHERE back <= n AND ts >= event_at - CAST(d AS BIGINT) * 86400)"""
+add(
+    "O37_history_variants",
+    lambda v: history.settlements(history.history_variants(v.tape, v.admissions, v.labels), v.labels, by=("variant",)),
+    """SELECT variant, wallet, market_id, greatest(-1, least(1, (shares * payout_yes - paid) / notional)) AS score, notional, settled_at FROM (
+      SELECT variant, wallet, t.market_id, sum(CASE WHEN side IN (0, 3) THEN size ELSE -size END) AS shares, sum(CASE WHEN side IN (0, 3) THEN size ELSE -size END * yes_price) AS paid, sum(size * token_price) AS notional, any_value(payout_yes) AS payout_yes, any_value(label_available_at) AS settled_at
+      FROM variants t JOIN markets m ON t.market_id = m.market_id GROUP BY variant, wallet, t.market_id)""",
+    "score:6 notional:4",
+    (_VARIANTS,),
+)
+add(
+    "O38_thin_tape",
+    lambda v: bars.thin_tape(v.tape, v.gate).select("market_id", "seq", "ts", "active"),
+    "SELECT t.market_id, t.seq, t.ts, coalesce(t.ts >= g.time, FALSE) AS active FROM (SELECT *, row_number() OVER (PARTITION BY ts // 86400 ORDER BY ts DESC, market_id DESC, seq DESC) AS k FROM tape) t LEFT JOIN gate g ON t.market_id = g.market_id WHERE coalesce(t.ts >= g.time, FALSE) OR k = 1",
+)
+
+# Similarity, skill, signal
+
+_STATS = "weighted_score:6 weighted_history_notional:4 effective_history_markets:6 mean_similarity:6 positive_history_weight_fraction:6 weighted_score_std:6 supporting_markets:i"
+add("O45_embed_text", lambda v: vectors.hashing_vectors(v.markets).select("market_id", F.size("vector").alias("features"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm")), "SELECT market_id, 4096 AS features, 1.0::DOUBLE AS norm FROM markets")
+add("O46_market_pairs", lambda v: v.pairs, "SELECT * FROM pairs", "cosine:6 weight:6")
+add("O48_wallet_skill_uniform", lambda v: v.skills, "SELECT * FROM skills", _STATS)
+add(
+    "O48_wallet_skill_category",
+    lambda v: skill.skill(v.gated, v.settlements, "category", categories=v.markets),
+    "SELECT * FROM by_category",
+    _STATS,
+    (tt.skill_sql("by_category", joins="JOIN markets ma ON ma.market_id = t.market_id JOIN markets mb ON mb.market_id = s.market_id", only="ma.category = mb.category"),),
+)
+add(
+    "O48_wallet_skill_kernel",
+    lambda v: skill.skill(v.gated, v.settlements, "kernel", pairs=v.pairs),
+    "SELECT * FROM by_kernel",
+    _STATS,
+    (tt.skill_sql("by_kernel", weight="s.notional * coalesce(p.weight, 0)", joins="LEFT JOIN pairs p ON p.target = t.market_id AND p.other = s.market_id"),),
+)
+add("O49_shuffle_vectors", lambda v: vectors.shuffle_vectors(v.vectors, 7).select("market_id", F.size("vector").alias("width")), "SELECT vec_id AS market_id, CAST(len(embedding) AS INT) AS width FROM embeddings WHERE vec_id IN (SELECT market_id FROM markets)")
+_DECISION = "confidence:6 total_weight:3 wallet_share:6 effective_wallets:6 directional_share:6 mean_history_markets:6 mean_similarity_seen:6 mean_positive_fraction:6 mean_score_std:6"
+add("O50_consensus", lambda v: v.signals, "SELECT * FROM signals", _DECISION + " yes_price:4")
+add(
+    "O51_rolling_consensus",
+    lambda v: signal.rolling_consensus(v.observations, tt.CONSENSUS, tt.LOOKBACK),
+    "SELECT * FROM rolling",
+    _DECISION + " yes_price:4",
+    (tt.decision_sql("rolling", tt.flow_sums(*tt.AT, f"observations r LEFT JOIN flow o ON o.market_id = r.market_id AND o.seq <= r.seq AND o.ts >= r.ts - {tt.LOOKBACK}"), tt.AT[1]),),
+)
+add("O52_batch_consensus", lambda v: signal.batch_consensus(v.observations, tt.CONSENSUS), "SELECT * FROM batch", _DECISION, (tt.decision_sql("batch", tt.flow_sums("o.market_id", "market_id", "flow o"), "market_id"),))
+add("O53_favorite_signal", lambda v: signal.favorite_signal(v.gated), "SELECT market_id, seq, ts, yes_price, TRUE AS should_trade, CASE WHEN yes_price >= 0.5 THEN 'YES' ELSE 'NO' END AS direction, CASE WHEN yes_price >= 0.5 THEN yes_price ELSE round(1 - yes_price, 4) END AS confidence FROM gated", "confidence:4 yes_price:4")
+_CANDIDATE = "confidence:6 allowed_price:6 wait_days:6 price:4"
+add("O54_entry_candidates", lambda v: v.candidates, "SELECT * FROM candidates", _CANDIDATE)
+add("O55_first_entries", lambda v: v.entries, "SELECT * FROM entries", _CANDIDATE)
+
+# Execution
+
+_FILL = "fill_price:6 notional:5 quantity:5 fee:6 signal_price:4"
+_FIT = 'SELECT "case", market_id, direction, CAST({child} AS INT) AS child, seq, o_ts AS signal_time, ts AS filled_at, fill_price, {n} AS notional, {n} / fill_price AS quantity, {n} * fee_bps / 10000 AS fee, o_price AS signal_price, size AS source_size, side AS source_side FROM fit WHERE {where}'
+add("O39_order_stakes", lambda v: v.orders, "SELECT * FROM orders_", _CANDIDATE + " stake:5")
+add("O40_delayed_fills", lambda v: execution.delayed_fills(v.orders, v.tape, v.cases), _FIT.format(child="1", n="stake", where="nth = confirmations"), _FILL)
+add("O41_participation_fills", lambda v: v.fills, "SELECT * FROM fills", _FILL)
+add("O42_sliced_fills", lambda v: execution.sliced_fills(v.orders, v.tape, v.cases), _FIT.format(child="nth // confirmations", n="(stake / slices)", where="nth % confirmations = 0 AND nth <= confirmations * slices"), _FILL)
+_POSITION = "quantity:5 avg_price:6 notional:5 fee:6 payout:5 pnl:5"
+add("O43_settle_positions", lambda v: v.positions, "SELECT * FROM positions", _POSITION)
+add("O44_daily_marks", lambda v: v.equity, "SELECT * FROM equity", "cash:5 open_notional:5 open_value:5 unrealized:5 equity:5")
+add("O47_drawdown", lambda v: report.drawdown(v.equity, INITIAL), f'SELECT "case", day, equity, peak, equity / peak - 1 AS drawdown FROM (SELECT *, greatest({INITIAL}, max(equity) OVER (PARTITION BY "case" ORDER BY day ROWS UNBOUNDED PRECEDING)) AS peak FROM equity)', "equity:5 peak:5 drawdown:6")
+_GRID = [(0.0, 0.0), (30.0, 20.0), (50.0, 50.0)]
+add(
+    "O56_cost_stress",
+    lambda v: execution.cost_stress(v.fills, v.positions, v.spark.createDataFrame(_GRID, "slippage_bps double, fee_bps double")),
+    """SELECT "case", slip AS slippage_bps, bps AS fee_bps, count(*) AS positions, sum(n) AS notional, sum(f) AS fees, sum(payout - n - f) AS pnl FROM (
+      SELECT f."case", f.market_id, slip, bps, sum(quantity * least(1, fill_price * (1 + slip / 10000))) AS n, sum(quantity * least(1, fill_price * (1 + slip / 10000)) * bps / 10000) AS f FROM fills f, cells GROUP BY ALL) c
+    JOIN (SELECT "case" AS k, market_id AS m, payout FROM positions WHERE payout IS NOT NULL) p ON c."case" = k AND c.market_id = m GROUP BY ALL""",
+    "notional:5 fees:4 pnl:5",
+    (tt.values("cells", {"slip": "double", "bps": "double"}, _GRID),),
+)
+
+
+def _grid(v: View) -> DataFrame:
+    cases = execution.case_grid(v.cases.where(F.col("case") == "base"), min_edge=[0.02, 0.1], max_days=[20.0, 60.0])
+    return signal.first_entries(signal.entry_candidates(v.signals, v.markets, cases)).groupBy("case").agg(F.count("*").alias("orders"), F.sum("seq").alias("seqs"))
+
+
+add(
+    "O57_case_grid",
+    _grid,
+    """SELECT "case", count(*) AS orders, CAST(sum(seq) AS BIGINT) AS seqs FROM (
+      SELECT 'base/min_edge=' || e || '/max_days=' || d AS "case", market_id, arg_min(seq, ts * 1000000 + seq) AS seq FROM candidates, (VALUES ('0.02', 0.02), ('0.1', 0.1)) AS x(e, ev), (VALUES ('20.0', 20), ('60.0', 60)) AS y(d, dv)
+      WHERE "case" = 'base' AND round(confidence - price, 9) >= ev AND wait_days < dv GROUP BY ALL) GROUP BY ALL""",
+)
+add(
+    "O58_semantic_cluster_exposure",
+    lambda v: execution.semantic_cluster_exposure(v.orders, v.positions, v.pairs, 0.22),
+    """SELECT o."case", o.market_id, coalesce(sum(p.notional), 0) AS exposure FROM orders_ o LEFT JOIN (SELECT p.*, k.target FROM positions p JOIN pairs k ON k.other = p.market_id AND k.cosine >= 0.22) p
+      ON p."case" = o."case" AND p.target = o.market_id AND p.opened_at <= o.ts AND (p.resolved_at IS NULL OR o.ts < p.resolved_at) GROUP BY ALL""",
+    "exposure:5",
+)
+
+# Reports
+
+add("O28_position_metrics", lambda v: report.position_metrics(v.positions), 'SELECT "case", count(*) AS trades, sum(pnl) AS pnl, count(*) FILTER (pnl > 0) / count(*) AS win_rate, sum(pnl) / sum(notional) AS roi, coalesce(stddev_samp(pnl), 0) AS pnl_std FROM positions WHERE pnl IS NOT NULL GROUP BY ALL', "pnl:5 win_rate:6 roi:6 pnl_std:4")
+_DD = '(SELECT "case", min(equity / peak - 1) AS max_drawdown, arg_max(equity, day) AS final_equity FROM (SELECT *, max(equity) OVER (PARTITION BY "case" ORDER BY day ROWS UNBOUNDED PRECEDING) AS peak FROM equity) GROUP BY ALL)'
+_SUMMARY = f"""summary AS (
+  SELECT f."case", fills, fees, closed_positions, win_rate, losses, gross_pnl, gross_profit, gross_loss, mean_return, median_return, worst_pnl, worst_return, expected_shortfall, largest_notional, final_equity, max_drawdown,
+    CASE WHEN gross_loss > 0 THEN gross_profit / gross_loss END AS profit_factor, gross_pnl - fees AS net_pnl, final_equity / {INITIAL} - 1 AS total_return
+  FROM (SELECT "case", count(*) AS fills, sum(fee) AS fees FROM fills GROUP BY ALL) f LEFT JOIN (
+    SELECT "case", count(*) AS closed_positions, count(*) FILTER (pnl > 0) / count(*) AS win_rate, count(*) FILTER (pnl < 0) AS losses, sum(pnl) AS gross_pnl, coalesce(sum(pnl) FILTER (pnl > 0), 0) AS gross_profit, coalesce(-sum(pnl) FILTER (pnl < 0), 0) AS gross_loss,
+      avg(pnl / notional) AS mean_return, median(pnl / notional) AS median_return, min(pnl) AS worst_pnl, min(pnl / notional) AS worst_return, avg(pnl) FILTER (k <= ceil(0.05 * n)) AS expected_shortfall, max(notional) AS largest_notional
+    FROM (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY pnl, market_id) AS k, count(*) OVER (PARTITION BY "case") AS n FROM positions WHERE pnl IS NOT NULL) GROUP BY ALL) p ON f."case" = p."case" LEFT JOIN {_DD} d ON f."case" = d."case")"""
+_SUMMARY_R = "fees:4 win_rate:6 gross_pnl:5 gross_profit:5 gross_loss:5 mean_return:6 median_return:6 worst_pnl:5 worst_return:6 expected_shortfall:5 largest_notional:5 final_equity:5 max_drawdown:6 profit_factor:5 net_pnl:5 total_return:6"
+
+
+def _summary(v: View) -> DataFrame:
+    return report.case_summary(v.fills, v.positions, v.equity, INITIAL)
+
+
+add("O29_case_summary", _summary, "SELECT * FROM summary", _SUMMARY_R, (_SUMMARY,))
+add("O30_bootstrap_ci", lambda v: report.bootstrap_ci(v.positions))
+_PERIODS = " UNION ALL ".join(
+    f"""SELECT e."case", '{g}' AS grain, e.period, coalesce(lag(end_equity) OVER (PARTITION BY e."case" ORDER BY e.period), {INITIAL}) AS start_equity, end_equity, coalesce(closed, 0) AS closed, coalesce(wins, 0) AS wins, coalesce(pnl, 0) AS pnl, coalesce(fees, 0) AS fees, coalesce(worst, 0) AS worst
+    FROM (SELECT "case", {p.format("day * 86400")} AS period, arg_max(equity, day) AS end_equity FROM equity GROUP BY ALL) e
+    LEFT JOIN (SELECT "case", {p.format("resolved_at")} AS period, count(*) AS closed, count(*) FILTER (pnl > 0) AS wins, sum(pnl) AS pnl, min(pnl) AS worst FROM positions WHERE pnl IS NOT NULL GROUP BY ALL) c ON e."case" = c."case" AND e.period = c.period
+    LEFT JOIN (SELECT "case", {p.format("filled_at")} AS period, sum(fee) AS fees FROM fills GROUP BY ALL) f ON e."case" = f."case" AND e.period = f.period"""
+    for g, p in (("year", "strftime(make_timestamp(({}) * 1000000), '%Y')"), ("quarter", "strftime(make_timestamp(({0}) * 1000000), '%Y') || 'Q' || quarter(make_timestamp(({0}) * 1000000))"), ("month", "strftime(make_timestamp(({}) * 1000000), '%Y-%m')"))
+)
+add("O31_period_results", lambda v: report.period_results(v.fills, v.positions, v.equity, INITIAL), f'SELECT "case", grain, period, start_equity, end_equity, end_equity / start_equity - 1 AS period_return, closed, wins, CASE WHEN closed > 0 THEN wins / closed END AS win_rate, pnl, fees, pnl - fees AS net_pnl, worst FROM ({_PERIODS})', "start_equity:5 end_equity:5 period_return:6 win_rate:6 pnl:5 fees:4 net_pnl:5 worst:5")
+_DIAGNOSTICS = """diagnostics AS (
+  SELECT o."case", orders, with_fill, "full", partial, unfilled, requested, filled, median_children, median_seconds, p90_seconds, median_participation, p90_participation, median_drift_bps, p90_drift_bps, filled / requested AS fill_ratio FROM (
+    SELECT o."case", count(*) AS orders, count(*) FILTER (f > 1e-8) AS with_fill, count(*) FILTER (f >= stake - 1e-8) AS "full", count(*) FILTER (f > 1e-8 AND f < stake - 1e-8) AS partial, count(*) FILTER (f <= 1e-8) AS unfilled, sum(stake) AS requested, sum(f) AS filled,
+      quantile_cont(CAST(c AS DOUBLE), 0.5) AS median_children, quantile_cont(CAST(s AS DOUBLE), 0.5) AS median_seconds, quantile_cont(CAST(s AS DOUBLE), 0.9) AS p90_seconds
+    FROM (SELECT o.*, coalesce(f, 0) AS f, c, s FROM orders_ o LEFT JOIN (SELECT "case" AS k, market_id AS m, sum(notional) AS f, count(*) AS c, max(filled_at) - min(signal_time) AS s FROM fills GROUP BY ALL) x ON o."case" = k AND o.market_id = m) o GROUP BY ALL) o
+  LEFT JOIN (SELECT "case", quantile_cont(quantity / source_size, 0.5) AS median_participation, quantile_cont(quantity / source_size, 0.9) AS p90_participation, quantile_cont(10000 * (fill_price / signal_price - 1), 0.5) AS median_drift_bps, quantile_cont(10000 * (fill_price / signal_price - 1), 0.9) AS p90_drift_bps FROM fills GROUP BY ALL) q ON o."case" = q."case")"""
+add("O32_execution_diagnostics", lambda v: report.execution_diagnostics(v.orders, v.fills), "SELECT * FROM diagnostics", "requested:5 filled:5 median_children:4 median_seconds:3 p90_seconds:3 median_participation:6 p90_participation:6 median_drift_bps:4 p90_drift_bps:4 fill_ratio:6", (_DIAGNOSTICS,))
+add("O33_bucket_win_rates", lambda v: report.bucket_win_rates(v.positions, v.orders), 'SELECT p."case", bucket, count(*) AS closed, count(*) FILTER (pnl > 0) AS wins, count(*) FILTER (pnl > 0) / count(*) AS win_rate FROM positions p JOIN orders_ o ON p."case" = o."case" AND p.market_id = o.market_id WHERE pnl IS NOT NULL GROUP BY ALL', "win_rate:6")
+add("O71_pnl_tail", lambda v: report.pnl_tail(v.positions, 5), 'SELECT "case", CAST(rank AS INT) AS rank, market_id, pnl, winners, losers FROM (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY pnl, market_id) AS rank, count(*) FILTER (pnl > 0) OVER (PARTITION BY "case") AS winners, count(*) FILTER (pnl < 0) OVER (PARTITION BY "case") AS losers FROM positions WHERE pnl IS NOT NULL) WHERE rank <= 5', "pnl:5")
+add(
+    "O72_support_stats",
+    lambda v: report.support_stats(v.fills, v.signals, v.markets.select("market_id", F.row_number().over(tt.Window.orderBy(F.desc("volume"), "market_id")).alias("rank")), 50),
+    """SELECT f."case", count(*) AS fills, count(DISTINCT f.market_id) AS markets, avg(mean_history_markets) AS mean_history, avg(directional_wallets) AS mean_wallets, count(DISTINCT f.market_id) FILTER (rank <= 50) AS in_top
+    FROM fills f LEFT JOIN (SELECT market_id, ts, any_value(mean_history_markets) AS mean_history_markets, any_value(directional_wallets) AS directional_wallets FROM signals GROUP BY ALL) s ON f.market_id = s.market_id AND f.signal_time = s.ts
+      LEFT JOIN (SELECT market_id, row_number() OVER (ORDER BY volume DESC, market_id) AS rank FROM markets) r ON f.market_id = r.market_id GROUP BY ALL""",
+    "mean_history:5 mean_wallets:6",
+)
+
+
+def _curve(v: View) -> DataFrame:
+    return v.tape.where("market_id <= 50").select(F.concat(F.lit("c"), F.col("market_id") % 3).alias("case"), "ts", (F.col("market_id") * 1000000 + F.col("seq")).alias("seq"), F.col("yes_price").alias("equity"))
+
+
+add("O74_equity_daily", lambda v: report.equity_daily(_curve(v)), "SELECT 'c' || (market_id % 3) AS \"case\", ts // 86400 AS day, arg_max(yes_price, (ts - 788000000) * 1000000000 + market_id * 1000000 + seq) AS equity FROM tape WHERE market_id <= 50 GROUP BY ALL", "equity:4")
+_SENS = [("base", "filter", 0.0, True), ("token", "filter", 1.0, False), ("direction", "filter", 2.0, False)]
+add("O75_sensitivity_table", lambda v: report.sensitivity_table(_summary(v), v.spark.createDataFrame(_SENS, "case string, parameter string, value double, is_primary boolean")), 'SELECT parameter, value, is_primary, 100 * total_return AS return_pct, 100 * max_drawdown AS drawdown_pct, profit_factor FROM summary s JOIN sens g ON s."case" = g."case"', "return_pct:4 drawdown_pct:4 profit_factor:5", (_SUMMARY, tt.values("sens", {"case": "string", "parameter": "string", "value": "double", "is_primary": "boolean"}, _SENS)))
+add("O76_activation_counts", lambda v: report.activation_counts(v.activations, v.labels), "SELECT rule, count(*) AS markets, count(*) FILTER (payout_yes > 0 AND payout_yes < 1) AS fractional FROM activations a JOIN markets m ON a.market_id = m.market_id GROUP BY ALL")
+add("O77_admission_counts", lambda v: report.admission_counts(v.tape, v.activations, v.labels), "SELECT rule, count(*) AS prints, count(*) FILTER (ts >= a.time AND ts < label_available_at) AS admitted, count(*) FILTER (ts >= label_available_at) AS after_label FROM tape t JOIN activations a ON t.market_id = a.market_id JOIN markets m ON t.market_id = m.market_id GROUP BY ALL")
+
+# Comparisons and audits
+
+
+def _case(df: DataFrame, name: str) -> DataFrame:
+    return df.where(F.col("case") == name)
+
+
+add(
+    "O59_compare_positions",
+    lambda v: audit.compare_positions(_case(v.positions, "base"), _case(v.positions, "direction")),
+    """SELECT count(*) FILTER (a AND b) AS shared, count(*) FILTER (ad = bd) AS same_direction, count(*) FILTER (ad <> bd) AS opposite_direction, count(*) FILTER (NOT b) AS only_left, count(*) FILTER (NOT a) AS only_right, count(*) FILTER (a AND b) / count(*) AS market_jaccard, count(*) FILTER (ad = bd) / count(*) AS direction_jaccard,
+      count(*) FILTER (ao = bo) AS same_time, count(*) FILTER (abs(ap - bp) < 1e-9) AS same_price, count(*) FILTER (al < 0 AND bl < 0) AS losses_repeated, count(*) FILTER (al < 0 AND NOT b) AS losses_avoided, coalesce(sum(al) FILTER (NOT b), 0) AS only_left_pnl, coalesce(sum(bl) FILTER (NOT a), 0) AS only_right_pnl, coalesce(sum(an) FILTER (NOT b), 0) AS only_left_notional, coalesce(sum(bn) FILTER (NOT a), 0) AS only_right_notional
+    FROM (SELECT x.market_id IS NOT NULL AS a, y.market_id IS NOT NULL AS b, x.direction AS ad, y.direction AS bd, x.opened_at AS ao, y.opened_at AS bo, x.avg_price AS ap, y.avg_price AS bp, x.pnl AS al, y.pnl AS bl, x.notional AS an, y.notional AS bn
+      FROM (SELECT * FROM positions WHERE "case" = 'base') x FULL JOIN (SELECT * FROM positions WHERE "case" = 'direction') y ON x.market_id = y.market_id)""",
+    "market_jaccard:6 direction_jaccard:6 only_left_pnl:5 only_right_pnl:5 only_left_notional:5 only_right_notional:5",
+)
+
+
+def _runs(v: View) -> DataFrame:
+    d = report.execution_diagnostics(v.orders, v.fills).select("case", "orders", "requested", "filled", "fill_ratio")
+    return audit.consolidate_runs([d, d.where(F.col("case") != "base").drop("fill_ratio").withColumn("filled", F.col("filled") / 2)])
+
+
+add("O60_consolidate_runs", _runs, "SELECT \"case\", orders, requested, CASE WHEN \"case\" = 'base' THEN filled ELSE filled / 2 END AS filled, CASE WHEN \"case\" = 'base' THEN fill_ratio ELSE filled / 2 / requested END AS fill_ratio, CASE WHEN \"case\" = 'base' THEN 0 ELSE 1 END AS run FROM diagnostics", "requested:5 filled:5 fill_ratio:6", (_DIAGNOSTICS,))
+
+
+def _checks(v: View) -> DataFrame:
+    s = report.position_metrics(v.positions)
+    return audit.metric_checks(s, s.withColumn("pnl", F.when(F.col("case") == "token", F.col("pnl") + 1).otherwise(F.col("pnl"))), ["trades", "pnl", "win_rate"])
+
+
+add(
+    "O61_metric_checks",
+    _checks,
+    """SELECT "case", metric, actual, CASE WHEN metric = 'pnl' AND "case" = 'token' THEN actual + 1 ELSE actual END AS expected, NOT (metric = 'pnl' AND "case" = 'token') AS ok FROM (
+      SELECT "case", unnest(['trades', 'pnl', 'win_rate']) AS metric, unnest([count(*)::DOUBLE, sum(pnl), count(*) FILTER (pnl > 0) / count(*)]) AS actual FROM positions WHERE pnl IS NOT NULL GROUP BY "case")""",
+    "actual:5 expected:5",
+)
+add(
+    "O62_audit_cash",
+    lambda v: audit.audit_cash(v.fills, v.positions, INITIAL),
+    f"""SELECT "case", arg_max(cash, k) AS final_cash, least({INITIAL}, min(cash)) AS min_cash, min(cash) < -1e-9 AS negative FROM (
+      SELECT "case", {INITIAL} + sum(c) OVER w AS cash, row_number() OVER w AS k FROM (
+        SELECT "case", resolved_at AS ts, 0 AS kind, market_id, 0 AS i, payout AS c FROM positions WHERE payout IS NOT NULL UNION ALL SELECT "case", filled_at, 1, market_id, child, -notional - fee FROM fills)
+      WINDOW w AS (PARTITION BY "case" ORDER BY ts, kind, market_id, i ROWS UNBOUNDED PRECEDING)) GROUP BY ALL""",
+    "final_cash:5 min_cash:5",
+)
+add(
+    "O63_audit_fills",
+    lambda v: audit.audit_fills(v.fills, v.tape, v.gate, v.orders, v.cases),
+    """SELECT f."case", f.market_id, f.child, coalesce(g.time <= signal_time AND signal_time <= filled_at, FALSE) AS in_gate, filled_at >= signal_time + delay AS delayed, expiry IS NULL OR filled_at <= signal_time + delay + expiry AS in_time, fill_price <= allowed_price + 1e-9 AS under_cap,
+      quantity / source_size <= participation + 1e-9 AS in_participation, CASE WHEN f.direction = 'YES' THEN source_side IN (0, 2) ELSE source_side IN (1, 3) END AS target_token, quantity / source_size AS print_ratio,
+      (SELECT count(*) FROM tape t WHERE t.market_id = f.market_id AND t.ts = f.filled_at AND t.size = f.source_size AND t.side = f.source_side AND abs(round(least(1, greatest(0, CASE WHEN f.direction = 'YES' THEN t.yes_price ELSE round(1 - t.yes_price, 4) END * (1 + c.slippage_bps / 10000))), 9) - f.fill_price) <= 1e-12) AS sources
+    FROM fills f JOIN cases c ON f."case" = c."case" JOIN orders_ o ON f."case" = o."case" AND f.market_id = o.market_id LEFT JOIN gate g ON f.market_id = g.market_id""",
+    "print_ratio:6 sources:i",
+)
+
+
+def _audited(v: View) -> DataFrame:
+    p = v.positions.withColumns({"pnl": F.when(F.col("market_id") % 5 == 0, F.col("pnl") + 1).otherwise(F.col("pnl")), "quantity": F.when(F.col("market_id") % 7 == 0, F.col("quantity") + 1).otherwise(F.col("quantity"))})
+    return audit.audit_positions(v.fills, p, v.labels, v.orders)
+
+
+add(
+    "O64_audit_positions",
+    _audited,
+    """SELECT p."case", p.market_id, p.market_id % 7 <> 0 AND abs(p.quantity - q) <= 2e-6 AS quantity_ok, abs(p.notional - n) <= 2e-6 AS cost_ok, p.opened_at = f.o AS opened_ok, p.market_id % 7 <> 0 OR (CASE WHEN direction = 'YES' THEN payout_yes ELSE 1 - payout_yes END) = 0 AS payout_ok, p.market_id % 5 <> 0 AS pnl_ok, n <= stake + 2e-6 AS budget_ok, TRUE AS sequence_ok
+    FROM positions p JOIN (SELECT "case", market_id, sum(quantity) AS q, sum(notional) AS n, min(filled_at) AS o FROM fills GROUP BY ALL) f ON p."case" = f."case" AND p.market_id = f.market_id JOIN markets m ON p.market_id = m.market_id
+      JOIN (SELECT "case", market_id, stake FROM orders_) o ON p."case" = o."case" AND p.market_id = o.market_id""",
+)
+add(
+    "O65_gate_monotonicity",
+    lambda v: audit.gate_monotonicity(v.activations, v.rules),
+    """SELECT 'threshold' AS "check", market_id, rule, time >= b AS ok FROM (SELECT a.market_id, a.rule, time, max(time) OVER (PARTITION BY a.market_id, family, rolling ORDER BY min_notional ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM activations a JOIN rules r ON a.rule = r.rule) WHERE b IS NOT NULL
+    UNION ALL SELECT 'mode', a.market_id, a.rule, coalesce(c.time <= a.time, FALSE) FROM (SELECT a.*, family, min_notional, rolling FROM activations a JOIN rules r ON a.rule = r.rule WHERE rolling) a
+      LEFT JOIN (SELECT a.market_id, time, family, min_notional FROM activations a JOIN rules r ON a.rule = r.rule WHERE NOT rolling) c ON a.market_id = c.market_id AND a.family = c.family AND a.min_notional = c.min_notional""",
+)
+
+
+def _two_tapes(v: View) -> DataFrame:
+    b = v.settlements.where("(wallet + market_id) % 9 != 0").withColumn("score", F.when(F.col("market_id") % 4 == 0, F.col("score") / 2).otherwise(F.col("score")))
+    return audit.compare_tapes(v.settlements.where("(wallet + market_id) % 11 != 0"), b, ["wallet", "market_id"], "score")
+
+
+add(
+    "O66_compare_tapes",
+    _two_tapes,
+    """SELECT count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (b AND NOT a) AS only_b, count(*) FILTER (a AND b AND market_id % 4 = 0 AND score <> 0) AS changed, coalesce(max(abs(score / 2)) FILTER (a AND b AND market_id % 4 = 0), 0) AS max_difference
+    FROM (SELECT *, (wallet + market_id) % 11 <> 0 AS a, (wallet + market_id) % 9 <> 0 AS b FROM settlements)""",
+    "max_difference:6",
+)
+_AS_OF = START + 50 * 86400
+add(
+    "O73_open_exposure",
+    lambda v: audit.open_exposure(v.fills, v.positions.where(F.col("resolved_at") < _AS_OF), v.markets, _AS_OF),
+    f"""SELECT f."case", f.market_id, question, sum(f.notional) AS notional, sum(f.quantity) AS quantity, close_at, close_at <= {_AS_OF} AS already_closed FROM fills f JOIN markets m ON f.market_id = m.market_id
+    WHERE NOT EXISTS (SELECT 1 FROM positions p WHERE p."case" = f."case" AND p.market_id = f.market_id AND p.payout IS NOT NULL AND p.resolved_at < {_AS_OF}) GROUP BY ALL""",
+    "notional:5 quantity:5",
+)
+
+# Streaming, drained once
+
+
+def _drained(v: View, source: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The result of a stream over a table that Spark wrote, run until nothing is left."""
+    at = shared_dir(v.spark)
+    source.write.parquet(f"{at}/in")
+    v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = build(v.spark.readStream.schema(source.schema).parquet(f"{at}/in"))
+    run = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return v.spark.read.schema(out.schema).parquet(f"{at}/out")
+
+
+def _prints(v: View) -> DataFrame:
+    return v.tape.join(v.markets.select("market_id", "close_at"), "market_id").withColumn("event_time", F.timestamp_seconds("ts"))
+
+
+_COMPLETE = "(SELECT max(ts) // 3600 FROM tape)"
+_RULE = {"width": tt.WIDTH, "min_notional": 300.0, "rolling": False, "min_prints": 20, "warmup_hours": 24, "min_conviction": 0.55, "max_days": None}
+add("O67_stream_hourly_bars", lambda v: _drained(v, _prints(v), streams.stream_hourly_bars), f"SELECT * FROM bars WHERE hour < {_COMPLETE}", "price_quantity:4 dollars:4")
+add(
+    "O68_stream_rolling_bars",
+    lambda v: _drained(v, _prints(v), streams.stream_rolling_bars),
+    f"SELECT market_id, h AS hour, sum(quantity) AS quantity, sum(price_quantity) AS price_quantity, sum(dollars) AS dollars, CAST(sum(prints) AS BIGINT) AS prints FROM (SELECT *, unnest(range(hour, hour + 24)) AS h FROM bars) WHERE h < {_COMPLETE} GROUP BY ALL",
+    "price_quantity:4 dollars:4",
+)
+add("O69_stream_activation", lambda v: _drained(v, _prints(v), lambda s: streams.stream_activation(s, _RULE)), f"SELECT market_id, time, cumulative_notional, recent_notional, recent_prints, recent_yes_vwap, observed_hours FROM gate WHERE time // 3600 <= {_COMPLETE}", "cumulative_notional:4 recent_notional:4 recent_yes_vwap:6 recent_prints:i observed_hours:i")
+add("O70_stream_consensus", lambda v: _drained(v, v.observations, lambda s: streams.stream_consensus(s, tt.CONSENSUS)), "SELECT * FROM signals", _DECISION + " yes_price:4")
