@@ -22,7 +22,6 @@ text) and sorted inside each partition, so ids are in ascending doc_id order; a
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,21 +29,24 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import from_key, id_key, scratch, table
+from tapeworks.llm.common import from_key, id_key, runs_of_chars, scratch, table
 
 BLOCK = 4096
 SEGMENT = 1 << 19
 PERCENTILE = 95
 HEAD = struct.Struct("<IHBBH")
 CACHE_PIECES = 600_000
-#: Anything but single spaces or line feeds between other characters, or a NUL, or an added token's start.
-_ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]|\x00|<\|")
-
+BATCH_BYTES = 16 << 20
+#: Texts that are not cut: white space other than single spaces or line feeds between other characters, the mark of a cut, or an added token's start. (RE2; its \s is ASCII.)
+_ODD = r"[\x00-\x09\x0b-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$|<\|"
 #: A comma or full stop after anything but a letter or digit.
-_ADJACENT = re.compile(r"[\W_][.,]")
+_ADJACENT = r"[^\pL\pN][.,]"
+_CUT = "\x01"
 
 
 def pack_block(ids: np.ndarray) -> bytes:
@@ -84,7 +86,7 @@ def unpack(index: bytes, payload: bytes) -> np.ndarray:
 
 
 class PieceEncoder:
-    """Encodes texts by a byte-level BPE of the tokenizers library, each distinct piece once.
+    """Encodes texts by a byte-level BPE of the tokenizers library, each distinct piece of a batch once.
 
     The pre-tokeniser never joins characters across a single space or line feed that stands
     between two others: a word takes at most the space before it. So a text without other
@@ -105,32 +107,41 @@ class PieceEncoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _ODD.search(text):
-            return self._whole([text])[0]
-        marked = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
-        if not _ADJACENT.search(text):
-            marked = marked.replace(",", "\0,").replace(".", "\0.")
-        parts = marked.split("\0")
-        known = self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            self._learn(parts)
-            return b"".join([self.known[p] for p in parts])
-
-    def _learn(self, parts: list[str]) -> None:
-        """Makes all of parts known; when the table is full, those not asked for since it was last full go."""
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, u32, none null. Texts are cut and their distinct pieces found in Arrow; a piece is looked up once for all texts."""
+        odd = pc.match_substring_regex(texts, _ODD)
+        cut = pc.replace_substring(pc.replace_substring(pc.if_else(odd, "", texts), " ", _CUT + " "), "\n", f"{_CUT}\n{_CUT}")
+        more = pc.replace_substring(pc.replace_substring(cut, ",", _CUT + ","), ".", _CUT + ".")
+        pieces = pc.split_pattern(pc.if_else(pc.match_substring_regex(texts, _ADJACENT), cut, more), _CUT)
+        coded = pc.dictionary_encode(pieces.flatten())
+        found = self._ids(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        place = coded.indices.to_numpy()
+        n = sizes[place]
+        ends = np.cumsum(n)
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n - (np.cumsum(sizes) - sizes)[place], n)]
+        bounds = np.concatenate(([0], ends))[pieces.offsets.to_numpy()]
+        out = [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+            out[i] = self._whole([texts[int(i)].as_py()])[0]
+        return out
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """The ids of distinct pieces; when the table is full, those not asked for since it was last full go."""
         if len(self.known) > CACHE_PIECES:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        asked = [p for p in dict.fromkeys(parts) if p not in known]
-        missing = [p for p in asked if p not in older]
-        known.update((p, older[p]) for p in asked if p in older)
+        missing = []
+        for p in parts:
+            if p not in known:
+                if p in older:
+                    known[p] = older[p]
+                else:
+                    missing.append(p)
         if missing:
             known.update(zip(missing, self._lines(missing), strict=True))
+        return [known[p] for p in parts]
 
     def _lines(self, parts: list[str]) -> list[bytes]:
         """The ids of each part, from one call: a line feed between two parts is a token of its own."""
@@ -154,38 +165,41 @@ def encoder(path: str) -> PieceEncoder:
 
 def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int, id_column: str = "doc_id", text_column: str = "text", partitions: int | None = None) -> DataFrame:
     """The segments of docs in ascending id order, written under the shared folder; start is within the part."""
-    rows = docs.select(id_key(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    rows = docs.select(id_key(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text").withColumn("part", F.spark_partition_id())
     end = np.array([end_id], "<u4").tobytes()
+    schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("index", pa.binary()), ("payload", pa.binary())])
 
-    def segments(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def segments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, segment, start = encoder(tokenizer_path), 0, 0
         held: list[bytes] = []
         names: list[int] = []
         part, size = 0, 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal held, names, segment, start, size
             ids = np.frombuffer(b"".join(held), "<u4")
             index, payload = pack(ids)
             row = {"part": part, "segment": segment, "start": start, "n_ids": len(ids), "doc_ids": names, "lengths": [len(x) // 4 for x in held], "index": index, "payload": payload}
             segment, start, held, names, size = segment + 1, start + len(ids), [], [], 0
-            return pd.DataFrame([row])
-
-        for pdf in it:
-            for i, text, p in zip(pdf["id"], pdf["text"], pdf["part"], strict=True):
-                ids = enc.encode(text or "") + end
-                if held and size + len(ids) // 4 > SEGMENT:
-                    yield flush()
-                part = int(p)
-                held.append(ids)
-                names.append(int(i))
-                size += len(ids) // 4
+            return pa.RecordBatch.from_pylist([row], schema)
+
+        for batch in it:
+            texts = batch.column(1)
+            for a, b in runs_of_chars(pc.binary_length(texts).to_pylist(), BATCH_BYTES):
+                for key, p, got in zip(batch.column(0)[a:b].to_pylist(), batch.column(2)[a:b].to_pylist(), enc.encode(texts[a:b]), strict=True):
+                    ids = got + end
+                    if held and size + len(ids) // 4 > SEGMENT:
+                        yield flush()
+                    part = p
+                    held.append(ids)
+                    names.append(key)
+                    size += len(ids) // 4
         if held:
             yield flush()
 
-    kept = ordered.mapInPandas(segments, "part int, segment int, start long, n_ids long, doc_ids array<long>, lengths array<long>, index binary, payload binary")
+    kept = ordered.mapInArrow(segments, "part int, segment int, start long, n_ids long, doc_ids array<long>, lengths array<long>, index binary, payload binary")
     return scratch(kept, "segments")
 
 
