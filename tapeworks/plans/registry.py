@@ -19,6 +19,9 @@ from tapeworks.streaming import streams
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+#: Added before rounding, in both engines: exact halves then round up in both, whatever the last bit of a sum.
+NUDGE = 3e-9
+
 
 def _spec(text: str) -> dict[str, str]:
     return dict(x.rpartition(":")[::2] for x in text.split())
@@ -29,14 +32,14 @@ def add(name: str, build: Callable[[View], DataFrame], sql: str | None = None, r
     spec = _spec(r)
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = build(View(spark, sf_dir))
-        return df.withColumns({c: F.col(f"`{c}`").cast("long") if d == "i" else F.round(F.col(f"`{c}`").cast("double"), int(d)) for c, d in spec.items()})
+        df = build(tt.view(spark.sparkContext.applicationId, spark, sf_dir))
+        return df.withColumns({c: F.col(f"`{c}`").cast("long") if d == "i" else F.round(F.col(f"`{c}`").cast("double") + NUDGE, int(d)) for c, d in spec.items()})
 
     query.__name__ = name
     QUERIES[name] = query
     if sql is not None:
         if spec:
-            casts = ", ".join(f'CAST("{c}" AS BIGINT) AS "{c}"' if d == "i" else f'round(CAST("{c}" AS DOUBLE), {d}) + 0 AS "{c}"' for c, d in spec.items())
+            casts = ", ".join(f'CAST("{c}" AS BIGINT) AS "{c}"' if d == "i" else f'round(CAST("{c}" AS DOUBLE) + {NUDGE:.10f}, {d}) AS "{c}"' for c, d in spec.items())
             sql = f"SELECT * REPLACE ({casts}) FROM ({sql})"
         ORACLE_SQL[name] = oracle(sql, *more)
 

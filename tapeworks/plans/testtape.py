@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,8 +64,14 @@ CASE_COLUMNS = {c: CASE_TYPES.get(c, "double") for c in CASE}
 ACCOUNT = [(c["case"], INITIAL, CASH) for c in CASES]
 
 
+@lru_cache(maxsize=4)
+def view(application: str, spark: SparkSession, sf_dir: str) -> View:
+    """The view of a folder, shared by the queries of an application, so that they share what it keeps."""
+    return View(spark, sf_dir)
+
+
 class View:
-    """Tables of the chain, each built when it is first asked for."""
+    """Tables of the chain, each built when it is first asked for; those that several results use are persisted."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -109,8 +115,7 @@ class View:
     def tape(self) -> DataFrame:
         order = Window.partitionBy("market_id").orderBy("ts", "l_orderkey", "l_linenumber", "l_partkey", "size", "l_extendedprice")
         token = F.when(F.col("side").isin(0, 2), F.col("yes_price")).otherwise(F.round(1 - F.col("yes_price"), 4))
-        return self.prints.select("market_id", "wallet", "ts", "side", "size", "yes_price", token.alias("token_price"), F.row_number().over(order).cast("long").alias("seq"))
-
+        return self.prints.select("market_id", "wallet", "ts", "side", "size", "yes_price", token.alias("token_price"), F.row_number().over(order).cast("long").alias("seq")).persist()
     @cached_property
     def labels(self) -> DataFrame:
         return self.markets.select("market_id", "payout_yes", "event_at", "label_available_at")
@@ -137,12 +142,10 @@ class View:
 
     @cached_property
     def rolled(self) -> DataFrame:
-        return bars.rolling_bars(self.dense, WIDTH)
-
+        return bars.rolling_bars(self.dense, WIDTH).persist()
     @cached_property
     def activations(self) -> DataFrame:
-        return bars.activation(self.rolled, self.markets, self.rules)
-
+        return bars.activation(self.rolled, self.markets, self.rules).persist()
     @cached_property
     def gate(self) -> DataFrame:
         return self.activations.where(F.col("rule") == CHAIN_RULE)
@@ -158,8 +161,7 @@ class View:
     @cached_property
     def settlements(self) -> DataFrame:
         before = self.tape.join(self.labels.select("market_id", "event_at"), "market_id").where("ts < event_at").select(*self.tape.columns)
-        return history.settlements(before, self.labels)
-
+        return history.settlements(before, self.labels).persist()
     @cached_property
     def vectors(self) -> DataFrame:
         return self.table("embeddings").join(self.markets.select(F.col("market_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("market_id"), F.col("embedding").alias("vector"))
@@ -174,8 +176,7 @@ class View:
 
     @cached_property
     def observations(self) -> DataFrame:
-        return signal.observations(self.gated, self.skills)
-
+        return signal.observations(self.gated, self.skills).persist()
     @cached_property
     def signals(self) -> DataFrame:
         return signal.consensus(self.observations, CONSENSUS).persist()
@@ -198,12 +199,10 @@ class View:
 
     @cached_property
     def positions(self) -> DataFrame:
-        return execution.settle_positions(self.fills, self.labels)
-
+        return execution.settle_positions(self.fills, self.labels).persist()
     @cached_property
     def equity(self) -> DataFrame:
-        return execution.daily_marks(self.fills, self.positions, self.tape, INITIAL)
-
+        return execution.daily_marks(self.fills, self.positions, self.tape, INITIAL).persist()
     @cached_property
     def raw_markets(self) -> DataFrame:
         s = F.col("s_suppkey")

@@ -47,19 +47,25 @@ class _Gate(StatefulProcessor):
         self.hours = handle.getMapState("hours", "hour long", "q double, pq double, d double, n long")
         self.market = handle.getValueState("market", "first long, done boolean, judged long, close long")
 
-    def _met(self, first: int, close: int | None, hour: int) -> tuple | None:
+    def _first_met(self, first: int, close: int | None, after: int, until: int) -> tuple | None:
+        """The first hour in (after, until] that meets the rule, by sums that slide from hour to hour."""
         r = self.rule
         rows = {k[0]: v for k, v in self.hours.iterator()}
-        recent = [v for k, v in rows.items() if hour - r["width"] < k <= hour]
-        q, pq, d, n = (sum(v[i] for v in recent) for i in range(4))
-        total = sum(v[2] for k, v in rows.items() if k <= hour)
-        vwap = pq / q if q > 0 else 0.5
-        time = (hour + 1) * HOUR
-        dollars = d if r["rolling"] else total
-        wait = None if close is None else close - time
-        horizon = r["max_days"] is None or (wait is not None and 0 < wait < r["max_days"] * 86400)
-        if hour + 1 - first >= r["warmup_hours"] and round(dollars, 4) >= r["min_notional"] and n >= r["min_prints"] and round(max(vwap, 1 - vwap), 9) >= r["min_conviction"] and horizon:
-            return time, total, d, int(n), vwap, hour + 1 - first
+        zero = (0.0, 0.0, 0.0, 0)
+        window = [sum(v[i] for k, v in rows.items() if after - r["width"] < k <= after) for i in range(4)]
+        total = sum(v[2] for k, v in rows.items() if k <= after)
+        for hour in range(after + 1, until + 1):
+            new, old = rows.get(hour, zero), rows.get(hour - r["width"], zero)
+            window = [w + x - y for w, x, y in zip(window, new, old, strict=True)]
+            total += new[2]
+            q, pq, d, n = window
+            vwap = pq / q if n and q > 1e-9 else 0.5
+            time = (hour + 1) * HOUR
+            wait = None if close is None else close - time
+            horizon = r["max_days"] is None or (wait is not None and 0 < wait < r["max_days"] * 86400)
+            dollars = d if r["rolling"] else total
+            if horizon and hour + 1 - first >= r["warmup_hours"] and round(dollars, 4) >= r["min_notional"] and n >= r["min_prints"] and round(max(vwap, 1 - vwap), 9) >= r["min_conviction"]:
+                return time, total, d, int(n), vwap, hour + 1 - first
         return None
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
@@ -84,19 +90,15 @@ class _Gate(StatefulProcessor):
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         first, done, judged, close = self.market.get()
-        until = timerValues.getCurrentWatermarkInMs() // 1000 // HOUR - 1
-        hour, out = judged, []
-        while not done and hour < until:
-            hour += 1
-            found = self._met(first, close, hour)
-            if found:
-                out.append((key[0], *found))
-                done = True
-        self.market.update((first, done, hour, close))
+        until = max(judged, timerValues.getCurrentWatermarkInMs() // 1000 // HOUR - 1)
+        found = None if done else self._first_met(first, close, judged, until)
+        done = done or found is not None
+        self.market.update((first, done, until, close))
         if done:
             self.hours.clear()
         else:
-            self.handle.registerTimer((hour + 2) * HOUR * 1000)
+            self.handle.registerTimer((until + 2) * HOUR * 1000)
+        out = [(key[0], *found)] if found else []
         yield pd.DataFrame(out, columns=self.columns)
 
     def close(self) -> None:
