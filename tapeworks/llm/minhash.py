@@ -9,7 +9,7 @@ registers are filled are never made (early termination): a text makes about m ln
 however long it is.
 
 `BANDS` bands of `ROWS` registers give candidates; texts of similarity 0.8 share a band with
-probability 1 - 7e-6. Candidates are verified exactly: the Jaccard similarity of their sets of
+probability 1 - 2e-5. Candidates are verified exactly: the Jaccard similarity of their sets of
 shingles must reach `THRESHOLD`. Equal texts (same words in the same order) form a class first,
 so that copies are sketched into one row, and only its representative, the smallest id, goes on.
 
@@ -31,13 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeworks.llm.common import from_key, id_key, runs_of_chars, scratch, table
 from tapeworks.llm.shingles import digest, mix, normalise, shingle_hashes
 
-BANDS, ROWS = 30, 5
+BANDS, ROWS = 36, 6
 REGISTERS = BANDS * ROWS
 THRESHOLD = 0.8
 SLACK = 5.0
@@ -88,23 +88,23 @@ def band_keys(winner: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, digest, bands) of each row: digest of the normalised text (null without a word), and its band keys."""
+    """(id, digest, n, bands) of each row: digest of the normalised text (null without a word), number of distinct shingles, and band keys."""
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             normals = [normalise(t) for t in pdf["text"]]
-            bands = [np.zeros(0, np.int64)] * len(normals)
+            bands, n = [np.zeros(0, np.int64)] * len(normals), np.zeros(len(normals), np.int32)
             for a, b in runs_of_chars([len(t) // 6 for t in normals], TOGETHER):
                 rows = [i for i in range(a, b) if normals[i]]
                 if rows:
                     found = [np.unique(shingle_hashes(normals[i]), return_counts=True) for i in rows]
                     keys = band_keys(registers(np.concatenate([x for x, _ in found]), np.concatenate([c for _, c in found]), np.array([len(x) for x, _ in found])))
-                    for i, k in zip(rows, keys, strict=True):
-                        bands[i] = k
-            yield pd.DataFrame({"id": pdf["id"], "digest": [digest(t) if t else None for t in normals], "bands": bands})
+                    for i, k, (x, _) in zip(rows, keys, found, strict=True):
+                        bands[i], n[i] = k, len(x)
+            yield pd.DataFrame({"id": pdf["id"], "digest": [digest(t) if t else None for t in normals], "n": n, "bands": bands})
 
     rows = docs.select(id_key(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInPandas(batches, "id long, digest binary, bands array<long>")
+    return rows.mapInPandas(batches, "id long, digest binary, n int, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -230,15 +230,21 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     classes = scratch(with_words.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     # rows that repeat an id may have other words: the representative is the id with this digest
     mine = with_words.join(classes.select(F.col("digest").alias("d"), "rep"), (F.col("digest") == F.col("d")) & (F.col("id") == F.col("rep")), "left_semi")
-    reps = scratch(mine.dropDuplicates(["id"]).select("id", F.explode("bands").alias("bucket")), "buckets")
-    hubs = scratch(reps.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub"), "hubs")
-    pairs = scratch(reps.join(hubs, "bucket").where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    reps = scratch(mine.dropDuplicates(["id"]).select("id", "n", F.explode("bands").alias("bucket")), "buckets")
+    hub = F.min(F.struct("id", "n")).alias("hub")
+    hubs = scratch(reps.groupBy("bucket").agg(hub, F.count("*").alias("texts")).where("texts > 1").select("bucket", F.col("hub.id").alias("a"), F.col("hub.n").alias("na")), "hubs")
+    pairs = scratch(reps.join(hubs, "bucket").where("id != a").select("a", "na", F.col("id").alias("b"), F.col("n").alias("nb")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = scratch(shingle_sets(docs, wanted, id_column, text_column), "sets")
-    links = scratch(verified(pairs, sets, threshold), "links")
+    # sets whose sizes differ too much cannot be similar enough
+    links = scratch(verified(pairs.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b"), sets, threshold), "links")
     labels = components(links)
     # two texts of a bucket were both compared with its hub: what is left is inside the hubs' groups
-    members = scratch(pairs.select(F.col("a").alias("hub"), F.col("b").alias("id")).join(labels, "id", "left").select("hub", "id", F.coalesce("label", "id").alias("label")), "members")
+    # and, of those, the texts that have another of a similar enough size there
+    members = pairs.select(F.col("a").alias("hub"), F.col("b").alias("id"), F.col("nb").alias("n")).join(labels, "id", "left").select("hub", "id", "n", F.coalesce("label", "id").alias("label"))
+    by_size = Window.partitionBy("hub").orderBy("n", "id")
+    fits = (F.lag("n").over(by_size) >= threshold * F.col("n")) | (F.col("n") >= threshold * F.lead("n").over(by_size))
+    members = scratch(members.withColumn("fits", fits).where("fits").select("hub", "id", "label"), "members")
     groups = members.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("low < high").select("hub", "blocks")
     more = scratch(compared(members.join(scratch(groups, "groups"), "hub").join(sets, "id"), threshold).distinct(), "more")
     if not more.isEmpty():
