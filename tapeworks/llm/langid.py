@@ -82,7 +82,7 @@ def count_grams(train: DataFrame, text_column: str = "text", lang_column: str =
 
 def log_probabilities(counts: DataFrame, alpha: float = 0.1) -> tuple[list[str], np.ndarray]:
     """Languages in order, and a float32 matrix of smoothed log probabilities with a last column of zeros."""
-    got = counts.toPandas()  # at most BUCKETS x MAX_LANGS rows
+    got = counts.toArrow().to_pandas()  # at most BUCKETS x MAX_LANGS rows
     langs = sorted(got["lang"].unique())
     if len(langs) > MAX_LANGS:
         raise ValueError(f"{len(langs)} languages; MAX_LANGS is {MAX_LANGS}")
