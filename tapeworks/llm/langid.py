@@ -14,7 +14,6 @@ Very long texts are read whole, in parts of `CHARS` code points that overlap by
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,6 @@ BUCKETS = 1 << 15
 ORDERS = 3
 MAX_LANGS = 256
 CHARS = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
@@ -110,7 +108,7 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, id_column: st
                 for k in range(len(names)):
                     sums = sum(logp[k][g] for g in per_order)
                     total[k, [rows[i] for i in keep]] += np.add.reduceat(sums, starts, dtype=np.float64)
-            known = np.array([bool(names) and _LETTER.search(t) is not None for t in texts], bool)
+            known = np.array([bool(names) and any(map(str.isalpha, t)) for t in texts], bool)
             pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             if known.any():
                 best = total.argmax(axis=0)
