@@ -45,6 +45,8 @@ SLACK = 5.0
 TOGETHER = 200_000
 #: Texts of a block when texts of a group are compared with each other.
 BLOCK = 256
+#: Bits of the filter that keeps most other texts out of the shuffle of candidates: 8 MB, whatever the input.
+FILTER_BITS = 1 << 26
 
 
 def registers(hashes: np.ndarray, weights: np.ndarray, sizes: np.ndarray, m: int = REGISTERS) -> np.ndarray:
@@ -107,6 +109,20 @@ def sketches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     return rows.mapInPandas(batches, "id long, digest binary, n int, bands array<long>")
 
 
+def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is in ids, and a few others: those whose hashed id has a bit in a bitmap of the hashed ids.
+
+    The bitmap is broadcast; it never has more than `FILTER_BITS` bits, in rows of 4 KB. The more
+    ids there are, the more other rows stay, so an exact join follows.
+    """
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1
+    bitmaps = ids.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return rows.join(F.broadcast(bitmaps), (F.bitmap_bucket_number(bit) == F.col("part")) & is_set, "left_semi")
+
+
 def shingle_sets(docs: DataFrame, ids: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, set): sorted distinct shingle hashes, as bytes, of the documents that ids names; one row an id."""
 
@@ -115,7 +131,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, id_column: str, text_column: s
         return pd.Series([np.unique(shingle_hashes(normalise(t))).tobytes() for t in texts], dtype=object)
 
     rows = docs.select(id_key(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    return rows.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", hashed("text").alias("set"))
+    return likely(rows, ids).join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", hashed("text").alias("set"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
