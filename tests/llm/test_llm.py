@@ -224,6 +224,17 @@ def test_probability_jaccard():
     assert abs((w[0] == w[1]).mean() - exact) < 0.03
 
 
+def test_filter_loses_no_candidate(spark, monkeypatch):
+    rows = spark.range(-500, 500).union(spark.range(5))
+    ids = spark.range(-500, 500).where("id % 8 = 0")
+    assert minhash.likely(rows, ids.where("false")).count() == 0
+    for bits in (64, 1 << 26):  # full, so that it keeps nearly all, and nearly empty
+        monkeypatch.setattr(minhash, "FILTER_BITS", bits)
+        kept = minhash.likely(rows, ids)
+        assert kept.join(ids, "id", "left_semi").count() == 126
+        assert 126 <= kept.count() <= 1005
+
+
 def test_blocks_of_a_group_lose_no_link(spark, monkeypatch):
     tapeworks.distribute(spark)
     base = [f"w{i}" for i in range(200)]
