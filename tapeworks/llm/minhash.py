@@ -11,9 +11,10 @@ however long it is.
 `BANDS` bands of `ROWS` registers give candidates; texts of similarity 0.8 share a band with
 probability 1 - 2e-5. Candidates are verified exactly: the Jaccard similarity of their sets of
 shingles must reach `THRESHOLD`. Equal texts (same words in the same order) form a class first,
-so that copies are sketched into one row, and only its representative, the smallest id, goes on.
+so that copies become one row; classes have numbers of their own, as an id may be null or repeat
+with other texts. The class's representative is its row of the smallest id.
 
-No pairs are made within a bucket: each text is compared with the smallest id of its bucket (the
+No pairs are made within a bucket: each text is compared with the smallest number of its bucket (the
 hub), then components are found. Any two texts of a bucket are then both partners of its hub, so
 only a hub's partners that are in different components are left to compare; blocks of them meet
 in a task as matrices, and a task emits links that join components, not pairs. No link between
@@ -22,7 +23,9 @@ Counts aggregate before they shuffle; joins on hot keys are equi-joins of two
 shuffled sides, which Spark splits when skewed.
 
 A text without a word is in no group: its class is its own id. Texts of fewer than five words
-are one shingle. A null id is a document like others (class null). Repeated rows are copies.
+are one shingle. A null id is a document like others, and the smallest id. Repeated rows are
+copies; different texts that share an id are grouped each for itself, so that two groups may have
+one smallest id (and class id).
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeworks.llm.common import from_key, id_key, runs_of_chars, scratch, table
@@ -89,8 +92,14 @@ def band_keys(winner: np.ndarray) -> np.ndarray:
         return out.view(np.int64)
 
 
+def row_key(id_column: str, text_column: str) -> dict[str, Column]:
+    """What tells a row from rows of other ids or other texts, by 64-bit hash and length of the text."""
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    return {"id": id_key(id_column), "hash": F.xxhash64(text), "length": F.length(text)}
+
+
 def sketches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, digest, n, bands) of each row: digest of the normalised text (null without a word), number of distinct shingles, and band keys."""
+    """(id, hash, length, digest, n, bands) of each row: its row_key, digest of the normalised text (null without a word), number of distinct shingles, and band keys."""
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -103,10 +112,10 @@ def sketches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
                     keys = band_keys(registers(np.concatenate([x for x, _ in found]), np.concatenate([c for _, c in found]), np.array([len(x) for x, _ in found])))
                     for i, k, (x, _) in zip(rows, keys, found, strict=True):
                         bands[i], n[i] = k, len(x)
-            yield pd.DataFrame({"id": pdf["id"], "digest": [digest(t) if t else None for t in normals], "n": n, "bands": bands})
+            yield pd.DataFrame({"id": pdf["id"], "hash": pdf["hash"], "length": pdf["length"], "digest": [digest(t) if t else None for t in normals], "n": n, "bands": bands})
 
-    rows = docs.select(id_key(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInPandas(batches, "id long, digest binary, n int, bands array<long>")
+    rows = docs.select(*[c.alias(k) for k, c in row_key(id_column, text_column).items()], F.col(text_column).cast("string").alias("text"))
+    return rows.mapInPandas(batches, "id long, hash long, length int, digest binary, n int, bands array<long>")
 
 
 def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -124,14 +133,14 @@ def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, set): sorted distinct shingle hashes, as bytes, of the documents that ids names; one row an id."""
+    """(id, set): sorted distinct shingle hashes, as bytes, of the texts that ids (id: a row_key, k: the id to return) names; one row an id."""
 
     @F.pandas_udf("binary")
     def hashed(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(shingle_hashes(normalise(t))).tobytes() for t in texts], dtype=object)
 
-    rows = docs.select(id_key(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    return likely(rows, ids).join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", hashed("text").alias("set"))
+    rows = docs.select(F.struct(*[c.alias(k) for k, c in row_key(id_column, text_column).items()]).alias("id"), F.col(text_column).cast("string").alias("text"))
+    return likely(rows, ids).join(ids, "id").dropDuplicates(["id"]).select(F.col("k").alias("id"), hashed("text").alias("set"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -239,18 +248,18 @@ def _links(held: list, threshold: float) -> list[tuple[int, int]]:
     return out
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, class_id) for every row of docs: the smallest id of its group, the row's own id if it is alone."""
+def grouped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(the sketches of docs; d, rep, low of each digest d: the row_key of the text's smallest id, and that of the smallest id of its group)."""
     sketched = scratch(sketches(docs, id_column, text_column), "sketches")
-    with_words = sketched.where("digest is not null")
-    classes = scratch(with_words.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    # rows that repeat an id may have other words: the representative is the id with this digest
-    mine = with_words.join(classes.select(F.col("digest").alias("d"), "rep"), (F.col("digest") == F.col("d")) & (F.col("id") == F.col("rep")), "left_semi")
-    reps = scratch(mine.dropDuplicates(["id"]).select("id", "n", F.explode("bands").alias("bucket")), "buckets")
+    # rows of one digest have the same shingles, whatever their id
+    of_text = sketched.where("digest is not null").groupBy("digest").agg(F.min(F.struct("id", "hash", "length")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = scratch(of_text.withColumn("k", F.monotonically_increasing_id()), "classes")
+    reps = classes.select(F.col("k").alias("id"), "n", F.explode("bands").alias("bucket"))
     hub = F.min(F.struct("id", "n")).alias("hub")
     hubs = scratch(reps.groupBy("bucket").agg(hub, F.count("*").alias("texts")).where("texts > 1").select("bucket", F.col("hub.id").alias("a"), F.col("hub.n").alias("na")), "hubs")
     pairs = scratch(reps.join(hubs, "bucket").where("id != a").select("a", "na", F.col("id").alias("b"), F.col("n").alias("nb")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
+    wanted = scratch(classes.join(wanted, "k", "left_semi").select(F.col("rep").alias("id"), "k"), "wanted")
     sets = scratch(shingle_sets(docs, wanted, id_column, text_column), "sets")
     # sets whose sizes differ too much cannot be similar enough
     links = scratch(verified(pairs.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b"), sets, threshold), "links")
@@ -265,17 +274,29 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     more = scratch(compared(members.join(scratch(groups, "groups"), "hub").join(sets, "id"), threshold).distinct(), "more")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    by_text = classes.join(labels, classes["rep"] == labels["id"], "left").select(F.col("digest").alias("d"), F.coalesce("label", "rep").alias("class_id"))
-    out = sketched.select("id", "digest").join(scratch(by_text, "by_text"), F.col("digest") == F.col("d"), "left")
+    linked = labels.join(classes.select("k", "rep"), F.col("id") == F.col("k")).select("k", "rep", "label")
+    lows = linked.select("k", "label").join(linked.groupBy("label").agg(F.min("rep").alias("low")), "label").select("k", "low")
+    by_text = classes.join(lows, "k", "left").select(F.col("digest").alias("d"), "rep", F.coalesce("low", "rep").alias("low"))
+    return sketched, scratch(by_text, "by_text")
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(id, class_id) for every row of docs: the smallest id of its group, the row's own id if it is alone."""
+    sketched, by_text = grouped(docs, id_column, text_column, threshold)
+    out = sketched.select("id", "digest").join(by_text.select("d", F.col("low.id").alias("class_id")), F.col("digest") == F.col("d"), "left")
     return out.select("id", F.coalesce("class_id", "id").alias("class_id"))
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that represent their group: the smallest id; of rows that repeat that id, one. Columns as in docs; rows without a word all stay."""
-    marks = near_duplicates(docs, id_column, text_column, threshold).where("id != class_id").select(F.col("id").alias("__id")).distinct()
-    rest = docs.withColumn("__id", id_key(id_column)).join(marks, "__id", "left_anti")
-    worded = F.length(F.trim(F.regexp_replace(F.coalesce(F.col(text_column).cast("string"), F.lit("")), r"\s+", " "))) > 0
-    return rest.where(~worded).unionByName(rest.where(worded).dropDuplicates(["__id"])).drop("__id").select(*docs.columns)
+    """One row of docs for each group: that of the smallest id (of several texts with this id, one). Columns as in docs; rows without a word all stay."""
+    sketched, by_text = grouped(docs, id_column, text_column, threshold)
+    names = {k: f"__{k}" for k in row_key(id_column, text_column)}
+    one = by_text.where(F.col("rep") == F.col("low")).select("rep.*").withColumn("__one", F.lit(True))
+    all_ = sketched.where("digest is null").select(*names).distinct().withColumn("__one", F.lit(False))
+    rows = docs.withColumns({names[k]: c for k, c in row_key(id_column, text_column).items()})
+    kept = rows.join(one.unionByName(all_).withColumnsRenamed(names), list(names.values()))
+    kept = kept.withColumn("__row", F.when(~F.col("__one"), F.monotonically_increasing_id()))
+    return kept.dropDuplicates([*names.values(), "__row"]).select(*docs.columns)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,6 +213,22 @@ def test_near_duplicates(docs, empty):
     assert minhash.near_duplicates(empty).isEmpty()
 
 
+def test_texts_that_share_an_id_are_all_deduplicated(spark):
+    tapeworks.distribute(spark)
+
+    def text(k, last=""):
+        return " ".join(f"w{k}x{i}" for i in range(60)) + last
+
+    rows = [(None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (8, text(4, " more")), (9, text(2)), (9, text(5)), (None, text(5)), (None, text(5, " more")), (3, text(3, " more")), (None, None), (None, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in minhash.dedup(df).collect()]
+    group = {t: t and " ".join(t.split()[:60]) for _, t in rows}
+    assert collections.Counter(group[t] for _, t in kept) == collections.Counter([text(k) for k in range(1, 6)] + [None, ""])
+    assert {group[t]: d for d, t in kept if group[t]} == {text(1): None, text(2): None, text(3): 3, text(4): 7, text(5): None}
+    got = collections.Counter((r.a, r.b) for r in minhash.near_duplicates(df).select(minhash.from_key("id").alias("a"), minhash.from_key("class_id").alias("b")).collect())
+    assert got == collections.Counter([(None, None)] * 6 + [(7, 3), (7, 7), (8, 7), (9, None), (9, None), (3, 3)])
+
+
 def test_probability_jaccard():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2**63, 300).astype(np.uint64)
