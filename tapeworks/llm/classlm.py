@@ -11,12 +11,16 @@ words by count.
 2. Counts: over all training tokens, by word hash (64 bits); the number of rows grows with the corpus.
 3. Units: the `HEAD` most frequent words are units of their own; every other word belongs to one
    of `TAIL` units by its hash; the end is one. So the table of unit bigrams, counted over all
-   training tokens, has at most (HEAD + TAIL + 1)^2 = 2048^2 cells, whatever the corpus, and is
-   the only thing gathered by the driver (with as many sums).
+   training tokens, has at most (HEAD + TAIL + 1)^2 = 2048^2 cells, whatever the corpus. It only
+   gives the classes to start from.
 4. Exchange: starting from units dealt by frequency, each unit moves to the class in which the
    bigram likelihood of the training text is highest, until no unit moves or `SWEEPS` are done.
    The end keeps a class of its own.
-5. Scores: each block meets the counts of its dictionary and is scored in numpy.
+5. Sweeps over all words: each block sums up how often each of its words has which class before
+   and after it; summed by word, these counts choose the word's best class under the matrix of
+   class bigrams, which is all that is broadcast. All words move at once (as in Uszkoreit and
+   Brants, 2008). A sweep that does not raise the likelihood is taken back and ends it.
+6. Scores: each block has the counts and classes of its dictionary and is scored in numpy.
 
 Null and empty texts are one end token. Ids may repeat or be null: every row is scored. With no
 training row, every probability is that of the unigram estimate, 1.
@@ -40,6 +44,8 @@ HEAD, TAIL = 2000, 47
 UNITS = HEAD + TAIL + 1
 CLASSES = 64
 SWEEPS = 12
+#: Sweeps over all words.
+WHOLE_SWEEPS = 1
 LAMBDA = 0.9
 _LOWER = str.maketrans(UPPER, LOWER)
 #: The white space of words, as str.split(" ") needs it.
@@ -186,16 +192,121 @@ def exchange(n: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.
     return cls
 
 
+def likelihood(m: np.ndarray) -> float:
+    """The part of the log-likelihood of the training text that depends on the classes, given the counts of class bigrams."""
+    return _phi(m).sum() - _phi(m.sum(axis=1)).sum() - _phi(m.sum(axis=0)).sum()
+
+
+#: How often a word has a class after it (k: the class) or before it (k: CLASSES + the class).
+NEIGHBOUR = np.dtype([("k", "u1"), ("n", "<u4")])
+
+
+def neighbours(rows: DataFrame, start: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(h, data): NEIGHBOUR records of each word of a block over its training documents; start: head and classes of units, for blocks without classes."""
+    shared = rows.sparkSession.sparkContext.broadcast(start)
+
+    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for hashes, held, lengths, data, c in pdf.itertuples(index=False):
+                h = np.asarray(hashes, np.int64)
+                mine = shared.value[1][unit_of(h, shared.value[0])] if c is None else np.frombuffer(c, "u1")[1:]
+                cls = np.concatenate(([CLASSES - 1], mine)).astype(np.int64)
+                seq = np.frombuffer(data, "<u4").astype(np.int64)
+                before = np.concatenate(([0], seq[:-1]))
+                keep = np.repeat(~np.asarray(held, bool), np.asarray(lengths))
+                seq, before = seq[keep], before[keep]
+                found = np.concatenate((before * (2 * CLASSES) + cls[seq], seq * (2 * CLASSES) + CLASSES + cls[before]))
+                pairs, n = np.unique(found[found >= 2 * CLASSES], return_counts=True)
+                records = np.empty(len(pairs), NEIGHBOUR)
+                records["k"], records["n"] = pairs % (2 * CLASSES), n
+                words, at = np.unique(pairs // (2 * CLASSES), return_index=True)
+                cuts, raw = np.append(at, len(pairs)) * NEIGHBOUR.itemsize, records.tobytes()
+                for a in range(0, len(words), 50_000):
+                    b = min(a + 50_000, len(words))
+                    yield pd.DataFrame({"h": h[words[a:b] - 1], "data": [raw[cuts[i] : cuts[i + 1]] for i in range(a, b)]})
+
+    c = F.lit(None).cast("binary").alias("c") if start is not None else F.col("c")
+    hashes = F.transform("words", lambda w: F.xxhash64(w)).alias("hashes") if start is not None else F.col("hashes")
+    return rows.select(hashes, "held", "lengths", "tokens", c).mapInPandas(batches, "h long, data binary")
+
+
+def best_classes(found: DataFrame, m: np.ndarray) -> DataFrame:
+    """(h, c): the class of each word under which the classes around it are most likely, given the counts m of class bigrams."""
+    free = CLASSES - 1
+    after = np.log(m + 0.1) - np.log(m.sum(axis=1, keepdims=True) + 0.1 * CLASSES)
+    before = np.log(m + 0.1) - np.log(m.sum(axis=0, keepdims=True) + 0.1 * CLASSES)
+    shared = found.sparkSession.sparkContext.broadcast(np.concatenate((after.T, before))[:, :free])
+
+    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, None
+
+        def chosen(h: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"h": h, "c": np.argmax(counts @ shared.value, axis=1).astype(np.int32)})
+
+        for pdf in it:
+            if not len(pdf):
+                continue
+            h, records = pdf["h"].to_numpy(np.int64), np.frombuffer(b"".join(pdf["data"]), NEIGHBOUR)
+            new = np.append(True, h[1:] != h[:-1])
+            owner = np.repeat(np.cumsum(new) - 1, [len(x) // NEIGHBOUR.itemsize for x in pdf["data"]])
+            words = h[new]
+            counts = np.bincount(owner * (2 * CLASSES) + records["k"], records["n"], len(words) * 2 * CLASSES).reshape(-1, 2 * CLASSES)
+            if last is not None and last == words[0]:
+                counts[0] += held
+            elif last is not None:
+                yield chosen(np.array([last]), held[None])
+            yield chosen(words[:-1], counts[:-1])
+            last, held = words[-1], counts[-1].copy()
+        if last is not None:
+            yield chosen(np.array([last]), held[None])
+
+    return found.repartition("h").sortWithinPartitions("h").mapInPandas(batches, "h long, c int")
+
+
+def known_blocks(coded: DataFrame, counts: DataFrame) -> DataFrame:
+    """(hashes, ids, held, lengths, tokens, n, c): the blocks with the training counts (<i8) and classes (u1) of their tokens, 0 for words that counts does not have."""
+
+    def joined(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in left.itertuples(index=False):
+            n, c = np.zeros(len(row.hashes) + 1, "<i8"), np.zeros(len(row.hashes) + 1, "u1")
+            n[right["token"]], c[right["token"]] = right["n"], right["c"]
+            c[0] = CLASSES - 1
+            out.append({"hashes": row.hashes, "ids": row.ids, "held": row.held, "lengths": row.lengths, "tokens": row.tokens, "n": n.tobytes(), "c": c.tobytes()})
+        return pd.DataFrame(out, columns=["hashes", "ids", "held", "lengths", "tokens", "n", "c"])
+
+    lookups = dictionary(coded).select("block", "token", "h").join(counts.select("h", "n", "c"), "h").select(F.col("block").alias("of_block"), "token", "n", "c")
+    whole = coded.select(F.col("block").alias("in_block"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), "ids", "held", "lengths", "tokens")
+    out = whole.groupBy("in_block").cogroup(lookups.groupBy("of_block")).applyInPandas(joined, "hashes array<long>, ids array<long>, held array<boolean>, lengths array<int>, tokens binary, n binary, c binary")
+    return scratch(out, "known")
+
+
+def class_bigrams(rows: DataFrame) -> np.ndarray:
+    """How often a class follows another in the training documents of blocks that have classes."""
+
+    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for pdf in it:
+            for held, lengths, data, c in pdf.itertuples(index=False):
+                seq = np.frombuffer(c, "u1")[np.frombuffer(data, "<u4")].astype(np.int64)
+                keep = np.repeat(~np.asarray(held, bool), np.asarray(lengths))
+                pairs = np.concatenate(([CLASSES - 1], seq[:-1])) * CLASSES + seq
+                total += np.bincount(pairs[keep], minlength=len(total))
+        yield pd.DataFrame({"pair": np.flatnonzero(total).astype(np.int32), "n": total[total > 0]})
+
+    sums = rows.select("held", "lengths", "tokens", "c").mapInPandas(batches, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    m = np.zeros(CLASSES * CLASSES)
+    m[sums["pair"].to_numpy()] = sums["n"].to_numpy()
+    return m.reshape(CLASSES, CLASSES)
+
+
 def train(coded: DataFrame) -> tuple[DataFrame, dict]:
-    """(word counts (h, n), what a block needs to be scored)."""
+    """(blocks with the counts and classes of their words, what else is needed to score them)."""
     counts = scratch(dictionary(coded).where("n > 0").groupBy("h").agg(F.sum("n").alias("n"), F.first("word").alias("word")), "counts")
     ends = coded.agg(F.sum(F.get("train", F.lit(0))).alias("n")).first()["n"] or 0
     top = counts.orderBy(F.desc("n"), "word").select("h").limit(HEAD).toPandas()["h"]
     head = np.sort(top.to_numpy(np.int64))
     spark = coded.sparkSession
-    heads = F.broadcast(spark.createDataFrame(pd.DataFrame({"h": head, "u": np.arange(len(head))}), "h long, u int"))
-    unit = F.coalesce("u", (F.lit(HEAD) + F.pmod("h", F.lit(TAIL))).cast("int")).alias("unit")
-    sums = counts.join(heads, "h", "left").groupBy(unit).agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).toPandas()
     pairs = unit_bigrams(coded, head).toArrow()  # at most UNITS * UNITS rows of twelve bytes
     bigrams = np.zeros(UNITS * UNITS)
     bigrams[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
@@ -204,30 +315,41 @@ def train(coded: DataFrame) -> tuple[DataFrame, dict]:
     cls = exchange(bigrams)
     one = np.eye(CLASSES)[cls]
     m = one.T @ bigrams @ one
+    heads = F.broadcast(spark.createDataFrame(pd.DataFrame({"h": head, "c": cls[: len(head)]}), "h long, c int"))
+    tail = F.get(F.array(*[F.lit(int(c)) for c in cls[HEAD : UNITS - 1]]), F.pmod("h", F.lit(TAIL)).cast("int"))
+    classed = counts.select("h", "n").join(heads, "h", "left").select("h", "n", F.coalesce("c", tail).alias("c"))
+    rows, found = None, neighbours(coded, (head, cls))
+    for _ in range(WHOLE_SWEEPS):
+        moved = scratch(counts.select("h", "n").join(best_classes(found, m), "h"), "classes")
+        new = known_blocks(coded, moved)
+        m_new = class_bigrams(new)
+        if likelihood(m_new) <= likelihood(m):
+            break
+        rows, classed, m, found = new, moved, m_new, neighbours(new)
+    if rows is None:
+        rows = known_blocks(coded, classed)
+    sums = classed.groupBy("c").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).toPandas()
     n_class, once = np.zeros(CLASSES), np.zeros(CLASSES)
-    np.add.at(n_class, cls[sums["unit"]], sums["n"])
-    np.add.at(once, cls[sums["unit"]], sums["once"])
+    n_class[sums["c"]], once[sums["c"]] = sums["n"], sums["once"]
     n_class[CLASSES - 1] += ends
     unseen = (once + 0.5) / (n_class + 1)
     unseen[CLASSES - 1] = 0.0  # the end is known
     n, v = int(sums["n"].sum()) + int(ends), int(sums["v"].sum()) + (ends > 0)
     step = (m + 0.1) / (m.sum(axis=1, keepdims=True) + 0.1 * CLASSES)
-    return counts.select("h", "n"), {"head": head, "cls": cls, "step": step, "n_class": n_class, "unseen": unseen, "n": n, "v": v, "ends": int(ends)}
+    return rows, {"head": head, "cls": cls, "step": step, "n_class": n_class, "unseen": unseen, "n": n, "v": v, "ends": int(ends)}
 
 
-def scores(coded: DataFrame, counts: DataFrame, model: dict) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document."""
+def scores(coded: DataFrame, known: DataFrame, model: dict) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document of known, which train made of coded."""
     shared = coded.sparkSession.sparkContext.broadcast(model)
-    columns = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def scored(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        out = []
-        for row in left.itertuples(index=False):
-            count = np.zeros(len(row.hashes) + 1)
-            count[right["token"]] = right["n"]
+        for row in (row for pdf in it for row in pdf.itertuples(index=False)):
+            count = np.frombuffer(row.n, "<i8").astype(np.float64)
             count[0] = m["ends"]
-            cls = np.concatenate(([CLASSES - 1], m["cls"][unit_of(np.asarray(row.hashes, np.int64), m["head"])]))
+            # a word that training does not have is in the class of its unit
+            cls = np.where(count > 0, np.frombuffer(row.c, "u1"), np.concatenate(([CLASSES - 1], m["cls"][unit_of(np.asarray(row.hashes, np.int64), m["head"])])))
             p1 = (count + 1) / (m["n"] + m["v"] + 1)
             emit = np.where(count > 0, (1 - m["unseen"][cls]) * count / np.maximum(m["n_class"][cls], 1), m["unseen"][cls])
             seq = np.frombuffer(row.tokens, "<u4")
@@ -245,16 +367,13 @@ def scores(coded: DataFrame, counts: DataFrame, model: dict) -> DataFrame:
                     score[a : a + len(s)] = log1[s]
             starts = np.cumsum(lengths) - lengths
             known = np.add.reduceat((count > 0)[seq].astype(np.int64), starts)
-            out.append(pd.DataFrame({"id": row.ids, "held_out": row.held, "n_tokens": lengths, "n_known": known, "train_tokens": m["n"], "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(score, starts)}))
-        return pd.concat(out) if out else pd.DataFrame(columns=columns)
+            yield pd.DataFrame({"id": row.ids, "held_out": row.held, "n_tokens": lengths, "n_known": known, "train_tokens": m["n"], "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(score, starts)})
 
-    lookups = dictionary(coded).select("block", "token", "h").join(counts, "h").select(F.col("block").alias("of_block"), "token", "n")
-    whole = coded.select(F.col("block").alias("in_block"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), "ids", "held", "lengths", "tokens")
-    return whole.groupBy("in_block").cogroup(lookups.groupBy("of_block")).applyInPandas(scored, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return known.mapInPandas(scored, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = scratch(blocks(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2), "blocks")
-    counts, model = train(coded)
-    out = scores(coded, counts, model)
+    known, model = train(coded)
+    out = scores(coded, known, model)
     return out.select(from_key("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

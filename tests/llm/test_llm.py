@@ -191,6 +191,22 @@ def test_class_model_is_a_distribution_and_learns():
     assert len({*cls[:10]}) == 1 and len({*cls[10:20]}) == 1 and cls[0] != cls[10]
 
 
+def test_words_outside_the_head_get_classes_of_their_own(spark):
+    tapeworks.distribute(spark)
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"the n{rng.integers(3000)} does v{rng.integers(3000)}" for _ in range(60))) for i in range(200)]
+    coded = classlm.blocks(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False)).persist()
+    known, model = classlm.train(coded)
+    kinds = collections.defaultdict(collections.Counter)
+    for words, k in zip((r.words for r in coded.orderBy("tokens").collect()), known.orderBy("tokens").collect(), strict=True):
+        head = np.isin(k.hashes, model["head"])
+        for w, c, h in zip(words, k.c[1:], head, strict=True):
+            if not h:
+                kinds[c][w[0]] += 1
+    n = sum(x.total() for x in kinds.values())
+    assert n > 3000 and sum(max(x.values()) for x in kinds.values()) > 0.98 * n  # nouns and verbs apart
+
+
 def test_near_duplicates(docs, empty):
     rows = source(docs)
     sets = {d: set(shingles.shingle_hashes(shingles.normalise(t)).tolist()) for d, t in rows}
