@@ -1,9 +1,14 @@
 """Byte-level BPE encoding and decoding (operator 10) by the tiktoken library and a local rank file.
 
 Texts longer than `SPLIT_CHARS` are cut, before they are encoded, at places that no match of
-the pattern can cross: before a space that stands between two non-space characters. (Letters,
-digits and other signs never match white space, and a match that begins with a space begins
-there anyway.) The pieces are then encoded one by one and give the ids of the whole.
+the pattern can cross: where white space follows another character. (Letters, digits and other
+signs match white space at the start only, and white space in front of a match begins one.) The
+parts are then encoded one by one and give the ids of the whole.
+
+A run of `SPLIT_CHARS` or more white space would overflow the stack of the library's matcher. The
+pattern makes of it one match, without the last character if another character follows; so that
+match is given to an encoding whose pattern takes all it gets. Long runs of letters, digits or
+signs are one match too, which the library's matcher takes in one step.
 
 Null and empty texts have no ids and decode to no bytes. Rows are independent: repeated rows
 give repeated results, other columns are not read.
@@ -23,7 +28,11 @@ from pyspark.sql import functions as F
 from tapeworks.llm.common import table
 
 SPLIT_CHARS = 1 << 16
-_SAFE = re.compile(r"(?<=\S)(?= \S)")
+#: What the pattern's \s stands for (Unicode's White_Space).
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SAFE = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])")
+#: The pattern of an encoding for texts that are one match already.
+ALL = "(?s:.+)"
 
 
 @lru_cache(maxsize=4)
@@ -36,8 +45,20 @@ def encoding(ranks_path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def pieces(text: str, limit: int = SPLIT_CHARS) -> Iterator[str]:
-    """text in parts of about limit characters, cut at safe places only."""
+def pieces(text: str, limit: int = SPLIT_CHARS) -> Iterator[tuple[str, bool]]:
+    """text in parts of about limit characters, cut at safe places only; True for parts that are one match, which may be longer."""
+    start = 0
+    runs = re.finditer(f"[{_WHITE}]{{{limit},}}", text) if len(text) > limit else ()
+    for run in runs:
+        if run.end() - run.start() > 1:
+            stop = run.end() if run.end() == len(text) else run.end() - 1
+            yield from ((p, False) for p in _cut(text[start : run.start()], limit))
+            yield text[run.start() : stop], True
+            start = stop
+    yield from ((p, False) for p in _cut(text[start:] if start else text, limit))
+
+
+def _cut(text: str, limit: int) -> Iterator[str]:
     at = 0
     while len(text) - at > limit:
         cut = _SAFE.search(text, at + limit)
@@ -45,7 +66,8 @@ def pieces(text: str, limit: int = SPLIT_CHARS) -> Iterator[str]:
             break
         yield text[at : cut.start()]
         at = cut.start()
-    yield text[at:] if at else text
+    if at < len(text):
+        yield text[at:] if at else text
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -53,13 +75,12 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_i
     import numpy as np
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(ranks_path, pattern)
+        by_match, one_match = encoding(ranks_path, pattern), encoding(ranks_path, ALL)
         for batch in it:
             out = []
             for text in batch.column(1):
-                text = text.as_py() or ""
-                parts = [np.asarray(enc.encode_to_numpy(p, disallowed_special=()), dtype="<u4").tobytes() for p in pieces(text)] if text else []
-                out.append(b"".join(parts))
+                parts = ((one_match if one else by_match).encode_to_numpy(p, disallowed_special=()) for p, one in pieces(text.as_py() or ""))
+                out.append(b"".join(np.asarray(x, dtype="<u4").tobytes() for x in parts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["id", "n_tokens", "ids"])
 
     rows = df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))

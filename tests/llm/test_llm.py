@@ -323,12 +323,34 @@ def test_byte_bpe(docs, empty):
     assert bpe.digests(empty, path, pattern).isEmpty()
 
 
+def by_match(enc, text):
+    """The ids of each match of the pattern, found by another engine and encoded as a text that is one match."""
+    import regex
+
+    one = bpe.encoding(P.path("byte_bpe_multi_50k.tiktoken"), bpe.ALL)
+    return [i for m in regex.finditer(P.PATTERN, text) for i in one.encode_ordinary(m[0])]
+
+
 def test_pieces_of_long_texts_are_safe():
     enc = bpe.encoding(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
-    text = "".join(TEXTS[5:6]) + " don't  stop\n\n 12 34, x" * 50 + "é" * 200 + " " * 90 + "y"
-    for limit in (1, 7, 50):
+    one = bpe.encoding(P.path("byte_bpe_multi_50k.tiktoken"), bpe.ALL)
+    text = "".join(TEXTS[5:6]) + " don't  stop\n\n 12 34, x\x1c !\x1c\u3000\u3000a\x85\xa0" * 50 + "é" * 200 + " " * 90 + "y\n\n\n"
+    for limit in (1, 2, 7, 50):
         parts = list(bpe.pieces(text, limit))
-        assert "".join(parts) == text and [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+        assert "".join(p for p, _ in parts) == text
+        assert [i for p, whole in parts for i in (one if whole else enc).encode_ordinary(p)] == enc.encode_ordinary(text) == by_match(enc, text)
+
+
+def test_very_long_runs_of_one_kind(spark):
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    enc = bpe.encoding(path, P.PATTERN)
+    n = 2_000_000
+    texts = [" " * n + "x", "a b" + " " * n, "\n" * n + "  z", "\u3000" * (n // 3) + "y", "q" * n, "!" * n, "7" * n, (" " * 70_000 + "w") * 20]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    got = {r.doc_id: r for r in bpe.digests(df, path, P.PATTERN).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array(by_match(enc, t), "<u4").tobytes()
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(t.encode()).hexdigest()), i
 
 
 def test_pipeline(spark, docs, tmp_path):
