@@ -23,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where neither the setting nor a checkpoint folder is given (tests on one machine), a
-    temporary folder of this process is set and used.
+    Where neither the setting nor a checkpoint folder is given, a session on one machine (tests)
+    gets a temporary folder, and one on a cluster an error: its executors would not see that folder.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="tapeworks-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -37,8 +39,8 @@ def scratch(df: DataFrame, what: str) -> DataFrame:
     """df written as Parquet under the shared folder and read again.
 
     Cuts the lineage and keeps what several later steps read. Executors may be lost at any
-    time after it, as the files are not theirs. The files stay until the folder is cleared:
-    the returned frame, which is lazy, still reads them.
+    time after it, as the files are not theirs. The files stay until `discard`, or until the
+    folder is cleared: the returned frame, which is lazy, still reads them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}/{what}"
@@ -46,15 +48,35 @@ def scratch(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of frames that `scratch` returned and that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/scratch-" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """docs as one column, `row`, so that no name of an operator can clash with one of docs; select("row.*") opens it."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+
+
+def inside(column: str) -> Column:
+    """A column of a boxed row."""
+    return F.col("row").getField(column)
+
+
 def fold(id_column: str | Column, parts: int) -> Column:
     """crc32 of the id's decimal text, modulo parts; 0 for a null id."""
     text = (F.col(id_column) if isinstance(id_column, str) else id_column).cast("string")
     return F.coalesce(F.crc32(text.cast("binary")) % parts, F.lit(0))
 
 
-def id_key(id_column: str) -> Column:
+def id_key(id_column: str | Column) -> Column:
     """The id with null replaced, for joins in which a null id must find itself."""
-    return F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID))
+    return F.coalesce((F.col(id_column) if isinstance(id_column, str) else id_column).cast("long"), F.lit(NULL_ID))
 
 
 def from_key(key: str) -> Column:

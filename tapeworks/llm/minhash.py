@@ -8,24 +8,31 @@ the probability Jaccard of their weighted shingles. Arrivals later than the time
 registers are filled are never made (early termination): a text makes about m ln m arrivals,
 however long it is.
 
-`BANDS` bands of `ROWS` registers give candidates; texts of similarity 0.8 share a band with
-probability 1 - 2e-5. Candidates are verified exactly: the Jaccard similarity of their sets of
-shingles must reach `THRESHOLD`. Equal texts (same words in the same order) form a class first,
-so that copies become one row; classes have numbers of their own, as an id may be null or repeat
-with other texts. The class's representative is its row of the smallest id.
+Weights are used in two forms, and each form is sketched and verified as the same measure: the
+counts, and ones (with which the probability Jaccard is the Jaccard similarity of the sets). A
+text without repeated shingles has both forms in one sketch; another text has two sketches.
+`BANDS` bands of `ROWS` registers of each sketch give candidates; texts of similarity 0.8 in
+either form share a band with probability 1 - 2e-5. Candidates are verified exactly: one of the
+two similarities must reach `THRESHOLD`. Equal texts (same words in the same order) form a class
+first, so that copies become one row; classes have numbers of their own, as an id may be null or
+repeat with other texts. The class's representative is its row of the smallest id.
 
 No pairs are made within a bucket: each text is compared with the smallest number of its bucket (the
 hub), then components are found. Any two texts of a bucket are then both partners of its hub, so
-only a hub's partners that are in different components are left to compare; blocks of them meet
-in a task as matrices, and a task emits links that join components, not pairs. No link between
-candidates is lost, and a group of n near copies that links to its hub costs n comparisons.
+only a hub's partners that are in different components are left to compare. Of those, a text can
+have a link only if its shingles that texts of other components hold too weigh 0.8 or more of it
+(the shared weight bounds both similarities from above); this is counted by shingle, and texts
+that fall short go. What is left meets in a task in blocks, as matrices, and a task emits links that join
+components, not pairs. No link between candidates is lost, and a group of n near copies that link
+to their hub, or of n texts of a template with words of their own, costs n comparisons.
 Counts aggregate before they shuffle; joins on hot keys are equi-joins of two
 shuffled sides, which Spark splits when skewed.
 
 A text without a word is in no group: its class is its own id. Texts of fewer than five words
 are one shingle. A null id is a document like others, and the smallest id. Repeated rows are
 copies; different texts that share an id are grouped each for itself, so that two groups may have
-one smallest id (and class id).
+one smallest id (and class id). An empty table gives no rows. Columns of any name and type are
+carried along by `dedup`, and not read.
 """
 
 from __future__ import annotations
@@ -34,10 +41,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import from_key, id_key, runs_of_chars, scratch, table
+from tapeworks.llm.common import boxed, discard, from_key, id_key, inside, runs_of_chars, scratch, table
 from tapeworks.llm.shingles import digest, mix, normalise, shingle_hashes
 
 BANDS, ROWS = 36, 6
@@ -92,30 +99,42 @@ def band_keys(winner: np.ndarray) -> np.ndarray:
         return out.view(np.int64)
 
 
-def row_key(id_column: str, text_column: str) -> dict[str, Column]:
+def row_key(id_: Column, text: Column) -> dict[str, Column]:
     """What tells a row from rows of other ids or other texts, by 64-bit hash and length of the text."""
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    return {"id": id_key(id_column), "hash": F.xxhash64(text), "length": F.length(text)}
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return {"id": id_key(id_), "hash": F.xxhash64(text), "length": F.length(text)}
+
+
+def sketched_texts(normals: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of each text: the band keys of its sketches, its number of distinct shingles, and whether one repeats."""
+    bands, n, repeats = [np.zeros(0, np.int64)] * len(normals), np.zeros(len(normals), np.int32), np.zeros(len(normals), bool)
+    for a, b in runs_of_chars([len(t) // 6 for t in normals], TOGETHER):
+        owner, found = [], []
+        for i in range(a, b):
+            if normals[i]:
+                hashes, counts = np.unique(shingle_hashes(normals[i]), return_counts=True)
+                n[i], repeats[i] = len(hashes), counts.max() > 1
+                for weights in (np.ones_like(counts), counts)[: 1 + int(repeats[i])]:
+                    owner.append(i)
+                    found.append((hashes, weights))
+        if found:
+            keys = band_keys(registers(np.concatenate([x for x, _ in found]), np.concatenate([w for _, w in found]), np.array([len(x) for x, _ in found])))
+            for i, k in zip(owner, keys, strict=True):
+                bands[i] = np.union1d(bands[i], k) if len(bands[i]) else k
+    return bands, n, repeats
 
 
 def sketches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, hash, length, digest, n, bands) of each row: its row_key, digest of the normalised text (null without a word), number of distinct shingles, and band keys."""
+    """(id, hash, length, digest, n, repeats, bands) of each row: its row_key, digest of the normalised text (null without a word), and what `sketched_texts` finds."""
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             normals = [normalise(t) for t in pdf["text"]]
-            bands, n = [np.zeros(0, np.int64)] * len(normals), np.zeros(len(normals), np.int32)
-            for a, b in runs_of_chars([len(t) // 6 for t in normals], TOGETHER):
-                rows = [i for i in range(a, b) if normals[i]]
-                if rows:
-                    found = [np.unique(shingle_hashes(normals[i]), return_counts=True) for i in rows]
-                    keys = band_keys(registers(np.concatenate([x for x, _ in found]), np.concatenate([c for _, c in found]), np.array([len(x) for x, _ in found])))
-                    for i, k, (x, _) in zip(rows, keys, found, strict=True):
-                        bands[i], n[i] = k, len(x)
-            yield pd.DataFrame({"id": pdf["id"], "hash": pdf["hash"], "length": pdf["length"], "digest": [digest(t) if t else None for t in normals], "n": n, "bands": bands})
+            bands, n, repeats = sketched_texts(normals)
+            yield pd.DataFrame({"id": pdf["id"], "hash": pdf["hash"], "length": pdf["length"], "digest": [digest(t) if t else None for t in normals], "n": n, "repeats": repeats, "bands": bands})
 
-    rows = docs.select(*[c.alias(k) for k, c in row_key(id_column, text_column).items()], F.col(text_column).cast("string").alias("text"))
-    return rows.mapInPandas(batches, "id long, hash long, length int, digest binary, n int, bands array<long>")
+    rows = docs.select(*[c.alias(k) for k, c in row_key(F.col(id_column), F.col(text_column)).items()], F.col(text_column).cast("string").alias("text"))
+    return rows.mapInPandas(batches, "id long, hash long, length int, digest binary, n int, repeats boolean, bands array<long>")
 
 
 def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -133,30 +152,63 @@ def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, set): sorted distinct shingle hashes, as bytes, of the texts that ids (id: a row_key, k: the id to return) names; one row an id."""
+    """(id, set, counts) of the texts that ids (id: a row_key, k: the id to return) names, one row an id: the sorted distinct shingle hashes, as bytes, and how often each stands (u4; null if all stand once)."""
 
-    @F.pandas_udf("binary")
-    def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(normalise(t))).tobytes() for t in texts], dtype=object)
-
-    rows = docs.select(F.struct(*[c.alias(k) for k, c in row_key(id_column, text_column).items()]).alias("id"), F.col(text_column).cast("string").alias("text"))
-    return likely(rows, ids).join(ids, "id").dropDuplicates(["id"]).select(F.col("k").alias("id"), hashed("text").alias("set"))
+    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            found = [np.unique(shingle_hashes(normalise(t)), return_counts=True) for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "set": [x.tobytes() for x, _ in found], "counts": [c.astype("<u4").tobytes() if (c > 1).any() else None for _, c in found]})
+
+    rows = docs.select(F.struct(*[c.alias(k) for k, c in row_key(F.col(id_column), F.col(text_column)).items()]).alias("id"), F.col(text_column).cast("string").alias("text"))
+    rows = likely(rows, ids).join(ids, "id").dropDuplicates(["id"]).select(F.col("k").alias("id"), "text")
+    return rows.mapInPandas(batches, "id long, set binary, counts binary")
+
+
+def weighted(set_: bytes, counts: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes and their shares of the text's weight, by count."""
+    x = np.frombuffer(set_, np.uint64)
+    w = np.ones(len(x)) if counts is None else np.frombuffer(counts, "<u4").astype(np.float64)
+    return x, w / w.sum()
+
+
+def probability_jaccard(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray) -> float:
+    """Sum over common elements k of 1 / sum over all y of max(p_y / p_k, q_y / q_k); x and y are sorted."""
+    both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if not len(both):
+        return 0.0
+    # an element counts with p where its ratio q / p is at most that of k, else with q
+    ratio = q[j] / p[i]
+    order = np.argsort(ratio, kind="stable")
+    ratio, pk, qk = ratio[order], p[i][order], q[j][order]
+    last = np.searchsorted(ratio, ratio, side="right")
+    below = (1 - pk.sum()) + np.concatenate(([0.0], np.cumsum(pk)))[last]
+    above = 1 - np.concatenate(([0.0], np.cumsum(qk)))[last]
+    return float((1 / (below / pk + above / qk)).sum())
+
+
+def similar(x: bytes, cx: bytes | None, y: bytes, cy: bytes | None, threshold: float) -> bool:
+    """Whether the Jaccard similarity of two sets, or the probability Jaccard by their counts, is threshold or more."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if min(len(a), len(b)) >= threshold * max(len(a), len(b)):
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        if both > 0 and both >= threshold * (len(a) + len(b) - both):
+            return True
+    if cx is None and cy is None:
+        return False
+    return probability_jaccard(*weighted(x, cx), *weighted(y, cy)) >= threshold - 1e-12
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of threshold or more."""
+    """The pairs (a, b) that are similar by their exact weights."""
 
     @F.pandas_udf("boolean")
-    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right, strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) >= threshold * max(len(p), len(q)) else 0
-            out.append(both > 0 and both >= threshold * (len(p) + len(q) - both))
-        return pd.Series(out)
+    def alike(x: pd.Series, cx: pd.Series, y: pd.Series, cy: pd.Series) -> pd.Series:
+        return pd.Series([similar(*row, threshold) for row in zip(x, cx, y, cy, strict=True)], dtype=bool)
 
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return joined.where(similar("set_a", "set_b")).select("a", "b")
+    joined = pairs
+    for end in ("a", "b"):
+        joined = joined.join(sets.select(F.col("id").alias(end), F.col("set").alias(f"set_{end}"), F.col("counts").alias(f"counts_{end}")), end)
+    return joined.where(alike("set_a", "counts_a", "set_b", "counts_b")).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -173,22 +225,51 @@ def components(links: DataFrame) -> DataFrame:
         jump = lower.select(F.col("id").alias("label"), F.col("label").alias("next"))
         new = lower.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("next", "label")).alias("label"))
         new = scratch(new, "labels")
-        if new.where(F.col("label") < F.col("old")).isEmpty():
-            return new.select("id", "label")
+        ended = new.where(F.col("label") < F.col("old")).isEmpty()
+        discard(labels)
         labels = new.select("id", "label")
+        if ended:
+            discard(both)
+            return labels
+
+
+def linkable(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The members (hub, id, label) that may be similar to a text of another label.
+
+    Of two texts the shared shingles bound their similarity: it is at most what the shared ones
+    weigh in either text, by ones and by counts. So a text goes whose shingles that are also in
+    texts of other labels weigh less than threshold. Counted by shingle, not by pair.
+    """
+
+    def shares(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for row in pdf.itertuples(index=False):
+                x, p = weighted(row.set, row.counts)
+                yield pd.DataFrame({"id": row.id, "label": row.label, "shingle": x.view(np.int64), "one": 1 / len(x), "share": p})
+
+    texts = members.select("id", "label").distinct().join(sets, "id").select("id", "label", "set", "counts")
+    rows = texts.mapInPandas(shares, "id long, label long, shingle long, one double, share double")
+    common = rows.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
+    held = rows.join(common, "shingle", "left_semi").groupBy("id").agg(F.greatest(F.sum("one"), F.sum("share")).alias("held"))
+    return members.join(held.where(F.col("held") >= threshold - 1e-9).select("id"), "id", "left_semi")
+
+
+def mixed(members: DataFrame) -> DataFrame:
+    """(hub, blocks): the groups that have texts of several labels, and into how many blocks they are dealt."""
+    return members.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("low < high").select("hub", "blocks")
 
 
 def compared(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Links (a, b) between texts of a group that are not yet in one component.
 
-    rows: hub (the group), id, label, set, blocks (how many blocks its group is dealt into). A
+    rows: hub (the group), id, label, set, counts, blocks (how many blocks its group is dealt into). A
     task holds two blocks of at most about BLOCK texts, computes the overlaps of all their texts as a
     product of incidence matrices, and emits only links that join labels: no row is made for a
     pair as such.
     """
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = rows.select("hub", "id", "label", "set", mine.alias("block"), F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("k"))
-    dealt = dealt.select("hub", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "id", "label", "set")
+    dealt = rows.select("hub", "id", "label", "set", "counts", mine.alias("block"), F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("k"))
+    dealt = dealt.select("hub", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "id", "label", "set", "counts")
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held = None, []
@@ -207,30 +288,37 @@ def compared(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def _links(held: list, threshold: float) -> list[tuple[int, int]]:
     """Links between texts of one pair of blocks, as few as join all labels that links join."""
-    left = [r for r in held if r.block == r.i]
-    right = left if held and held[0].i == held[0].j else [r for r in held if r.block == r.j]
+    left = [n for n, r in enumerate(held) if r.block == r.i]
+    right = left if held and held[0].i == held[0].j else [n for n, r in enumerate(held) if r.block == r.j]
     if not left or not right or len({r.label for r in held}) < 2:
         return []
-    sets = [np.frombuffer(r.set, np.uint64) for r in held]
-    place = {id(r): n for n, r in enumerate(held)}
-    owner = np.repeat(np.arange(len(held)), [len(x) for x in sets])
-    values, shingle, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    texts = [weighted(r.set, r.counts) for r in held]
+    size = np.array([len(x) for x, _ in texts], np.float64)
+    owner = np.repeat(np.arange(len(held)), size.astype(np.int64))
+    values, shingle, counts = np.unique(np.concatenate([x for x, _ in texts]), return_inverse=True, return_counts=True)
     keep = counts[shingle] > 1
     shared = np.flatnonzero(counts > 1)
     column = np.full(len(values), -1)
     column[shared] = np.arange(len(shared))
-    owner, shingle = owner[keep], column[shingle[keep]]
+    owner, shingle, share = owner[keep], column[shingle[keep]], np.concatenate([p for _, p in texts])[keep]
     order = np.argsort(shingle, kind="stable")
-    owner, shingle = owner[order], shingle[order]
-    rows_l, rows_r = np.array([place[id(r)] for r in left]), np.array([place[id(r)] for r in right])
-    both = np.zeros((len(left), len(right)), np.float32)
+    owner, shingle, share = owner[order], shingle[order], share[order]
+    # shingles in common, and what they weigh by count in the left and in the right text
+    both, of_left, of_right = (np.zeros((len(left), len(right)), np.float32) for _ in range(3))
+    counted = any(r.counts is not None for r in held)
     for a in range(0, len(shared), 4096):
         lo, hi = np.searchsorted(shingle, [a, a + 4096])
         m = np.zeros((len(held), min(4096, len(shared) - a)), np.float32)
         m[owner[lo:hi], shingle[lo:hi] - a] = 1
-        both += m[rows_l] @ m[rows_r].T
-    size = np.array([len(x) for x in sets], np.float64)
-    union = size[rows_l][:, None] + size[rows_r][None, :] - both
+        both += m[left] @ m[right].T
+        if counted:
+            w = np.zeros_like(m)
+            w[owner[lo:hi], shingle[lo:hi] - a] = share[lo:hi]
+            of_left += w[left] @ m[right].T
+            of_right += m[left] @ w[right].T
+    fits = both >= threshold * (size[left][:, None] + size[right][None, :] - both)
+    if counted:
+        fits |= np.minimum(of_left, of_right) >= threshold - 1e-4
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -239,10 +327,10 @@ def _links(held: list, threshold: float) -> list[tuple[int, int]]:
         return x
 
     out = []
-    for p, q in zip(*np.nonzero(both >= threshold * union), strict=True):
-        x, y = left[p], right[q]
+    for p, q in zip(*np.nonzero(fits), strict=True):
+        x, y = held[left[p]], held[right[q]]
         a, b = find(x.label), find(y.label)
-        if a != b:
+        if a != b and similar(x.set, x.counts, y.set, y.counts, threshold):
             root[max(a, b)] = min(a, b)
             out.append((min(x.id, y.id), max(x.id, y.id)))
     return out
@@ -252,32 +340,33 @@ def grouped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     """(the sketches of docs; d, rep, low of each digest d: the row_key of the text's smallest id, and that of the smallest id of its group)."""
     sketched = scratch(sketches(docs, id_column, text_column), "sketches")
     # rows of one digest have the same shingles, whatever their id
-    of_text = sketched.where("digest is not null").groupBy("digest").agg(F.min(F.struct("id", "hash", "length")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    of_text = sketched.where("digest is not null").groupBy("digest").agg(F.min(F.struct("id", "hash", "length")).alias("rep"), F.first("n").alias("n"), F.first("repeats").alias("repeats"), F.first("bands").alias("bands"))
     classes = scratch(of_text.withColumn("k", F.monotonically_increasing_id()), "classes")
-    reps = classes.select(F.col("k").alias("id"), "n", F.explode("bands").alias("bucket"))
+    # texts without repeated shingles have both weights in one, so their sizes bound the similarity; 0 stands for no such bound
+    reps = classes.select(F.col("k").alias("id"), F.when(F.col("repeats"), 0).otherwise(F.col("n")).alias("n"), F.explode("bands").alias("bucket"))
     hub = F.min(F.struct("id", "n")).alias("hub")
     hubs = scratch(reps.groupBy("bucket").agg(hub, F.count("*").alias("texts")).where("texts > 1").select("bucket", F.col("hub.id").alias("a"), F.col("hub.n").alias("na")), "hubs")
     pairs = scratch(reps.join(hubs, "bucket").where("id != a").select("a", "na", F.col("id").alias("b"), F.col("n").alias("nb")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
     wanted = scratch(classes.join(wanted, "k", "left_semi").select(F.col("rep").alias("id"), "k"), "wanted")
     sets = scratch(shingle_sets(docs, wanted, id_column, text_column), "sets")
-    # sets whose sizes differ too much cannot be similar enough
-    links = scratch(verified(pairs.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b"), sets, threshold), "links")
+    near = (F.least("na", "nb") == 0) | (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+    links = scratch(verified(pairs.where(near).select("a", "b"), sets, threshold), "links")
     labels = components(links)
     # two texts of a bucket were both compared with its hub: what is left is inside the hubs' groups
-    # and, of those, the texts that have another of a similar enough size there
-    members = pairs.select(F.col("a").alias("hub"), F.col("b").alias("id"), F.col("nb").alias("n")).join(labels, "id", "left").select("hub", "id", "n", F.coalesce("label", "id").alias("label"))
-    by_size = Window.partitionBy("hub").orderBy("n", "id")
-    fits = (F.lag("n").over(by_size) >= threshold * F.col("n")) | (F.col("n") >= threshold * F.lead("n").over(by_size))
-    members = scratch(members.withColumn("fits", fits).where("fits").select("hub", "id", "label"), "members")
-    groups = members.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("low < high").select("hub", "blocks")
-    more = scratch(compared(members.join(scratch(groups, "groups"), "hub").join(sets, "id"), threshold).distinct(), "more")
+    members = pairs.select(F.col("a").alias("hub"), F.col("b").alias("id")).join(labels, "id", "left").select("hub", "id", F.coalesce("label", "id").alias("label"))
+    members = scratch(members.join(mixed(members).select("hub"), "hub", "left_semi"), "members")
+    members = scratch(linkable(members, sets, threshold), "linkable")
+    more = scratch(compared(members.join(scratch(mixed(members), "groups"), "hub").join(sets, "id"), threshold).distinct(), "more")
     if not more.isEmpty():
+        discard(labels)
         labels = components(links.unionByName(more))
     linked = labels.join(classes.select("k", "rep"), F.col("id") == F.col("k")).select("k", "rep", "label")
     lows = linked.select("k", "label").join(linked.groupBy("label").agg(F.min("rep").alias("low")), "label").select("k", "low")
     by_text = classes.join(lows, "k", "left").select(F.col("digest").alias("d"), "rep", F.coalesce("low", "rep").alias("low"))
-    return sketched, scratch(by_text, "by_text")
+    by_text = scratch(by_text, "by_text")
+    discard(classes, hubs, pairs, wanted, sets, links, labels, members, more)
+    return sketched, by_text
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -290,13 +379,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row of docs for each group: that of the smallest id (of several texts with this id, one). Columns as in docs; rows without a word all stay."""
     sketched, by_text = grouped(docs, id_column, text_column, threshold)
-    names = {k: f"__{k}" for k in row_key(id_column, text_column)}
-    one = by_text.where(F.col("rep") == F.col("low")).select("rep.*").withColumn("__one", F.lit(True))
-    all_ = sketched.where("digest is null").select(*names).distinct().withColumn("__one", F.lit(False))
-    rows = docs.withColumns({names[k]: c for k, c in row_key(id_column, text_column).items()})
-    kept = rows.join(one.unionByName(all_).withColumnsRenamed(names), list(names.values()))
-    kept = kept.withColumn("__row", F.when(~F.col("__one"), F.monotonically_increasing_id()))
-    return kept.dropDuplicates([*names.values(), "__row"]).select(*docs.columns)
+    one = by_text.where(F.col("rep") == F.col("low")).select("rep.*").withColumn("one", F.lit(True))
+    all_ = sketched.where("digest is null").select("id", "hash", "length").distinct().withColumn("one", F.lit(False))
+    keys = row_key(inside(id_column), inside(text_column))
+    kept = boxed(docs).withColumns(keys).join(one.unionByName(all_), list(keys))
+    kept = kept.withColumn("copy", F.when(~F.col("one"), F.monotonically_increasing_id()))
+    return kept.dropDuplicates([*keys, "copy"]).select("row.*")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,9 +207,23 @@ def test_words_outside_the_head_get_classes_of_their_own(spark):
     assert n > 3000 and sum(max(x.values()) for x in kinds.values()) > 0.98 * n  # nouns and verbs apart
 
 
+def naive_similarity(a, b):
+    """The greater of the Jaccard similarity of two lists of shingles as sets and of their probability Jaccard, by the definition."""
+    if not a or not b:
+        return 0.0
+    p, q = ({k: n / len(x) for k, n in collections.Counter(x).items()} for x in (a, b))
+    jp = sum(1 / sum(max(p.get(y, 0) / p[k], q.get(y, 0) / q[k]) for y in p.keys() | q.keys()) for k in p.keys() & q.keys())
+    return max(jp, len(p.keys() & q.keys()) / len(p.keys() | q.keys()))
+
+
+def shingle_list(text):
+    w = (text or "").lower().split()
+    return [" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+
+
 def test_near_duplicates(docs, empty):
     rows = source(docs)
-    sets = {d: set(shingles.shingle_hashes(shingles.normalise(t)).tolist()) for d, t in rows}
+    sets = {d: shingle_list(t) for d, t in rows}
     root = {d: d for d in sets}
 
     def find(x):
@@ -218,7 +232,7 @@ def test_near_duplicates(docs, empty):
         return x
 
     for a, b in itertools.combinations(sets, 2):
-        if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+        if naive_similarity(sets[a], sets[b]) >= 0.8:
             x, y = sorted((find(a), find(b)), key=lambda v: (v is not None, v or 0))
             root[y] = x
     got = minhash.near_duplicates(docs).select(minhash.from_key("id").alias("id"), minhash.from_key("class_id").alias("c"))
@@ -256,6 +270,65 @@ def test_probability_jaccard():
     assert abs((w[0] == w[1]).mean() - exact) < 0.03
 
 
+def test_similarity_of_weighted_shingles():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        x, y = ([f"w{v}" for v in rng.choice(40, rng.integers(1, 60))] for _ in range(2))
+        y = x[: rng.integers(0, len(x) + 1)] + y[: rng.integers(0, 9)] or y
+        codes = {w: i for i, w in enumerate(sorted({*x, *y}))}
+        (a, m), (b, n) = (np.unique(np.array([codes[w] for w in v], np.uint64), return_counts=True) for v in (x, y))
+        p, q = m / m.sum(), n / n.sum()
+        want = sum(1 / sum(max(dict(zip(a, p, strict=True)).get(k, 0) / p[i], dict(zip(b, q, strict=True)).get(k, 0) / q[j]) for k in {*a, *b}) for i, u in enumerate(a) for j, v in enumerate(b) if u == v)
+        assert abs(minhash.probability_jaccard(a, p, b, q) - want) < 1e-9
+        blobs = [z for v, c in ((a, m), (b, n)) for z in (v.tobytes(), c.astype("<u4").tobytes() if (c > 1).any() else None)]
+        assert minhash.similar(*blobs, 0.8) == (naive_similarity(x, y) >= 0.8 - 1e-12)
+
+
+def test_recall_with_skewed_weights(spark):
+    """All links of brute force: near sets whose counts differ much, near counts whose sets differ, and edits."""
+    tapeworks.distribute(spark)
+    rng = np.random.default_rng(7)
+    texts = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(300)]
+        texts += [" ".join(base[:10] * r + base) for r in (0, 1, 5, 20, 60, 200)]
+        texts += [" ".join([*base[:200], *(base[200:210] * 80), *(f"t{g}x{k}y{i}" for i in range(60))]) for k in range(2)]
+        for k in (1, 4, 9, 14):
+            edited = list(base)
+            for i in rng.choice(300, k, replace=False):
+                edited[i] = f"e{rng.integers(10**6)}"
+            texts.append(" ".join(edited))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = dict(pairs(minhash.near_duplicates(df), "id", "class_id"))
+    size, links = len(texts) // 12, 0
+    for g in range(12):
+        own = {i: shingle_list(texts[i]) for i in range(g * size, (g + 1) * size)}
+        for a, b in itertools.combinations(own, 2):
+            if naive_similarity(own[a], own[b]) >= 0.8:
+                links += 1
+                assert got[a] == got[b], (a, b)
+    assert links > 200 and {got[i] // size for i in got} == set(range(12)) and all(got[i] // size == i // size for i in got)
+
+
+def test_texts_of_a_template_are_not_compared_in_pairs(spark):
+    """Texts that share less than the threshold with all others leave before blocks are dealt; those that do not stay."""
+    tapeworks.distribute(spark)
+    common = [f"c{i}" for i in range(70)]
+    own = [" ".join([*common, *(f"o{k}x{i}" for i in range(40))]) for k in range(50)]
+    docs = spark.createDataFrame(list(enumerate([*own, own[0] + " more", own[1] + " tail"])), "k long, text string")
+    ids = docs.select(F.struct(*[c.alias(n) for n, c in minhash.row_key(F.col("k"), F.col("text")).items()]).alias("id"), "k")
+    sets = minhash.shingle_sets(docs, ids, "k", "text")
+    members = docs.select(F.lit(0).cast("long").alias("hub"), F.col("k").alias("id"), F.col("k").alias("label"))
+    assert {r.id for r in minhash.linkable(members, sets).collect()} == {0, 1, 50, 51}
+
+
+def test_dedup_carries_columns_of_any_name(spark):
+    tapeworks.distribute(spark)
+    df = spark.createDataFrame([(1, LONG, 5, "a", 7, {"k": 1}), (2, LONG + " end", 6, "b", 8, None)], "doc_id long, text string, __id long, hash string, `a.b` int, row map<string,int>")
+    kept = minhash.dedup(df)
+    assert kept.columns == df.columns and kept.collect() == df.where("doc_id = 1").collect()
+
+
 def test_filter_loses_no_candidate(spark, monkeypatch):
     rows = spark.range(-500, 500).union(spark.range(5))
     ids = spark.range(-500, 500).where("id % 8 = 0")
