@@ -222,11 +222,12 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         lower = labels.join(near, labels["id"] == near["a"]).select("id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        lower = scratch(lower, "lower")  # a table, so that the join on the label of a large component can be split
         jump = lower.select(F.col("id").alias("label"), F.col("label").alias("next"))
         new = lower.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("next", "label")).alias("label"))
         new = scratch(new, "labels")
         ended = new.where(F.col("label") < F.col("old")).isEmpty()
-        discard(labels)
+        discard(labels, lower)
         labels = new.select("id", "label")
         if ended:
             discard(both)
