@@ -2,14 +2,18 @@
 
 Base rules count words, symbols, repeated lines and words of repeated 8-word windows inside
 each text, in its row. The method's rule hashes every normalised line, counts the distinct
-documents of a host (`source`) in which it stands, and holds lines in more than `line_share` of
-the host's distinct documents, and in more than `min_docs` of them, to be boilerplate. A document
+documents of a host (`source`) in which it stands, and holds lines in more than `min_docs` of them
+to be boilerplate, if they are also in more than `line_percent` per cent of the host's distinct
+documents or in more than `max_docs`. (Texts of one host seldom share a line by chance, so one in a
+hundred is many; and on a host of any size a line of a thousand documents is not one document's
+own.) A document
 that loses more than half of its words with them, or keeps fewer than `min_words`, is depleted
 and rejected. Copies of one text count as one document of their host, so that a group of exact
 copies does not make its own lines boilerplate.
 
 A null or empty text has no words and fails the base rules. A null host is a host of its own.
-Repeated rows get equal results. Windows and lines are compared by 64-bit hashes.
+Repeated rows get equal results; an empty table gives no rows; columns of any name are carried
+along. Windows and lines are compared by 64-bit hashes.
 Distinct texts of a host are told apart by xxhash64 and length. Counting aggregates before it
 shuffles, so a very common line or a hot host arrives as one row a task.
 """
@@ -19,14 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import scratch, table
+from tapeworks.llm.common import boxed, inside, scratch, table
 from tapeworks.llm.native import SPACES, let, line_table, lines, text_of, without_lines, words
 
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-LINE_SHARE = 0.1
+LINE_PERCENT = 1
 MIN_DOCS = 10
+MAX_DOCS = 1000
 SYMBOLS = "#*$%&|<>"
 
 
@@ -60,55 +65,58 @@ def base(text: Column) -> dict[str, Column]:
     }
 
 
-def measured(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """docs with the base counts and base_failed; one pass, no shuffle."""
-    out = docs.withColumns(base(text_of(text_column))).withColumns({"n_words": F.col("__words.n"), "n_repeat_words": F.col("__words.r")}).drop("__words")
+def measured(rows: DataFrame, text: Column) -> DataFrame:
+    """rows with the base counts and base_failed of a text; one pass, no shuffle."""
+    out = rows.withColumns(base(text_of(text))).withColumns({"n_words": F.col("__words.n"), "n_repeat_words": F.col("__words.r")}).drop("__words")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
 
-def text_key(text_column: str, host_column: str) -> dict[str, Column]:
-    text = text_of(text_column)
-    return {"__host": F.coalesce(F.col(host_column).cast("string"), F.lit("\0null")), "__hash": F.xxhash64(text), "__length": F.length(text)}
+def text_key(text: Column, host: Column) -> dict[str, Column]:
+    return {"host": F.coalesce(host.cast("string"), F.lit("\0null")), "hash": F.xxhash64(text_of(text)), "length": F.length(text_of(text))}
 
 
-KEY = ["__host", "__hash", "__length"]
+KEY = ["host", "hash", "length"]
 
 
-def boilerplate(docs: DataFrame, text_column: str = "text", host_column: str = "source", line_share: float = LINE_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(__host, __hash, __length, __bad, __removed): each distinct text of a host that has boilerplate lines, their hashes and the words they hold in it."""
-    texts = docs.select(*[c.alias(k) for k, c in text_key(text_column, host_column).items()], line_table(text_of(text_column)).alias("lines")).dropDuplicates(KEY)
+def boilerplate(docs: DataFrame, text_column: str = "text", host_column: str = "source", min_docs: int = MIN_DOCS, line_percent: float = LINE_PERCENT, max_docs: int = MAX_DOCS) -> DataFrame:
+    """(host, hash, length, gone, removed): each distinct text of a host that has boilerplate lines, the numbers of those lines and the words they hold in it."""
+    text, host = F.col(text_column), F.col(host_column)
+    texts = docs.select(*[c.alias(k) for k, c in text_key(text, host).items()], line_table(text_of(text)).alias("lines")).dropDuplicates(KEY)
     texts = scratch(texts, "lines")
-    hosts = texts.groupBy("__host").agg(F.count("*").alias("host_docs"))
-    counts = texts.select("__host", F.explode("lines.h").alias("h")).groupBy("__host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
-    bad = counts.join(hosts, "__host").where(F.col("n_docs") > line_share * F.col("host_docs")).select("__host", "h")
-    held = texts.select(*KEY, F.explode("lines").alias("line")).select(*KEY, F.col("line.h").alias("h"), F.col("line.w").alias("w"))
-    return held.join(bad, ["__host", "h"]).groupBy(*KEY).agg(F.collect_list("h").alias("__bad"), F.sum("w").alias("__removed"))
+    hosts = texts.groupBy("host").agg(F.count("*").alias("host_docs"))
+    counts = texts.select("host", F.explode("lines.h").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
+    many = (F.col("n_docs") > max_docs) | (100 * F.col("n_docs") > line_percent * F.col("host_docs"))
+    bad = counts.join(hosts, "host").where(many).select("host", "h")
+    held = texts.select(*KEY, F.explode("lines").alias("line")).select(*KEY, F.col("line.h").alias("h"), F.col("line.at").alias("at"), (F.col("line.w") * F.size("line.at")).alias("w"))
+    found = held.join(bad, ["host", "h"]).groupBy(*KEY).agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("gone"), F.sum("w").alias("removed"))
+    return scratch(found, "found")  # a table, so that a hot text's join can be split
 
 
 def judged(docs: DataFrame, text_column: str = "text", host_column: str = "source", carry: list[str] | None = None, **limits: float) -> DataFrame:
-    """The columns `carry` of docs (all, if None) with the base counts, base_failed, kept, and __bad (hashes of its boilerplate lines, or null)."""
-    rows = measured(docs, text_column).withColumns(text_key(text_column, host_column))
+    """Each row of docs as one column, `row` (of the columns `carry`; of all, if None), with the base counts, base_failed, kept, and gone (the numbers of its boilerplate lines, or null)."""
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    rows = rows.select(*(docs.columns if carry is None else carry), *counts, *KEY)
-    found = boilerplate(docs, text_column, host_column, **limits)
-    out = rows.join(found, KEY, "left")
-    left = F.col("n_words") - F.coalesce("__removed", F.lit(0))
-    depleted = F.col("__removed").isNotNull() & ((left < MIN_WORDS) | (2 * left < F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("__removed", *KEY)
+    text, host = inside(text_column), inside(host_column)
+    rows = measured(boxed(docs), text).withColumns(text_key(text, host))
+    row = F.col("row") if carry is None else F.struct(*[inside(c).alias(c) for c in carry]).alias("row")
+    rows = rows.select(row, *counts, *KEY)
+    out = rows.join(boilerplate(docs, text_column, host_column, **limits), KEY, "left")
+    left = F.col("n_words") - F.coalesce("removed", F.lit(0))
+    depleted = F.col("removed").isNotNull() & ((left < MIN_WORDS) | (2 * left < F.col("n_words")))
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("removed", *KEY)
 
 
 def clean(docs: DataFrame, text_column: str = "text", host_column: str = "source", **limits: float) -> DataFrame:
     """The documents that are kept, with the columns of docs, without their boilerplate lines; text that has none stays as it is."""
-    out = judged(docs.select(*[F.col(c).alias(f"d_{c}") for c in docs.columns]), f"d_{text_column}", f"d_{host_column}", **limits).where("kept")
-    text = F.col(f"d_{text_column}")
-    cut = F.when(F.col("__bad").isNotNull(), without_lines(text, F.col("__bad"))).otherwise(text)
-    return out.select(*[(cut if c == text_column else F.col(f"d_{c}")).alias(c) for c in docs.columns])
+    out = judged(docs, text_column, host_column, **limits).where("kept")
+    text = inside(text_column)
+    cut = F.when(F.col("gone").isNotNull(), without_lines(text_of(text), F.col("gone"))).otherwise(text)
+    return out.select(*[(cut if c == text_column else inside(c)).alias(c) for c in docs.columns])
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return judged(docs, carry=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged(docs, carry=["doc_id"]).select(inside("doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 OP5_SQL = r"""
@@ -121,7 +129,7 @@ l AS (SELECT r, host, t, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKL
       FROM (SELECT r, host, t, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l GROUP BY r),
 hosts AS (SELECT host, count(DISTINCT t) AS n FROM d GROUP BY host),
-bad AS (SELECT c.host, c.nl FROM (SELECT host, nl, count(DISTINCT t) AS n FROM l GROUP BY host, nl) c JOIN hosts h ON c.host = h.host WHERE c.n > 10 AND c.n > 0.1 * h.n),
+bad AS (SELECT c.host, c.nl FROM (SELECT host, nl, count(DISTINCT t) AS n FROM l GROUP BY host, nl) c JOIN hosts h ON c.host = h.host WHERE c.n > 10 AND (c.n > 1000 OR 100 * c.n > h.n)),
 gone AS (SELECT l.r, sum(len(string_split(l.nl, ' '))) AS n FROM l JOIN bad ON l.host = bad.host AND l.nl = bad.nl GROUP BY l.r),
 m AS (SELECT d.r, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
       CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
