@@ -2,28 +2,32 @@
 
 p(word | previous) = L * p(class | previous class) * p(word | class) + (1 - L) * p1(word), where
 p1 is the add-one unigram estimate. A class keeps back the share of its words that were seen
-once (Good and Turing's estimate) for one unknown type of its own; the rest goes to its known
-words by count.
+once (Good and Turing's estimate) for unknown words; the rest goes to its known words by count. All
+words that training does not have are one type, which every class emits with what it keeps back and
+whose own class is not known: what follows it has the distribution of all classes. So the
+probabilities of all known words and of the unknown one add up to 1 after any word.
 
 1. Blocks: the documents' words, dictionary-coded in blocks of about `BLOCK_TOKENS` tokens. A
-   block's dictionary has a word once, so that what is looked up or counted moves between tasks
+   block's dictionary has a word once, as a 64-bit hash, so that what is looked up or counted moves between tasks
    once for each block and word, not for each token. All later steps read the blocks.
-2. Counts: over all training tokens, by word hash (64 bits); the number of rows grows with the corpus.
-3. Units: the `HEAD` most frequent words are units of their own; every other word belongs to one
+2. Counts: over all training tokens, by word hash; the number of rows grows with the corpus.
+3. A start: the `HEAD` most frequent words are units of their own; every other word belongs to one
    of `TAIL` units by its hash; the end is one. So the table of unit bigrams, counted over all
-   training tokens, has at most (HEAD + TAIL + 1)^2 = 2048^2 cells, whatever the corpus. It only
-   gives the classes to start from.
-4. Exchange: starting from units dealt by frequency, each unit moves to the class in which the
-   bigram likelihood of the training text is highest, until no unit moves or `SWEEPS` are done.
-   The end keeps a class of its own.
-5. Sweeps over all words: each block sums up how often each of its words has which class before
-   and after it; summed by word, these counts choose the word's best class under the matrix of
-   class bigrams, which is all that is broadcast. All words move at once (as in Uszkoreit and
-   Brants, 2008). A sweep that does not raise the likelihood is taken back and ends it.
-6. Scores: each block has the counts and classes of its dictionary and is scored in numpy.
-
-Null and empty texts are one end token. Ids may repeat or be null: every row is scored. With no
-training row, every probability is that of the unigram estimate, 1.
+   training tokens, has at most (HEAD + TAIL + 1)^2 = 2048^2 cells, whatever the corpus. From units
+   dealt by frequency, each unit moves to the class in which the bigram likelihood of the training
+   text is highest, until no unit moves. The end keeps a class of its own.
+4. Exchange over the whole vocabulary: each block sums up how often each of its words has which
+   class before and after it; summed by word, these counts give the gain of the word in each class
+   (to the first order) under the matrix of class bigrams, which is all that is broadcast. Every
+   word of the training text, of the head or not, takes its best class, all at once (as in
+   Uszkoreit and Brants, 2008). Sweeps go on while one raises the likelihood by `MIN_GAIN` of its
+   value or more, `sweeps` at most; one that lowers it is taken back. The model has the likelihood before the
+   first and after each (`likelihoods`), which shows how far the exchange has converged.
+5. Scores: each block has the counts and classes of its dictionary and is scored in numpy.
+
+Null and empty texts are one end token. Ids may repeat or be null: every row is scored, repeated
+rows alike. With no training row, every probability is that of the unigram estimate, 1. An empty
+table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,75 +36,93 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import fold, from_key, id_key, scratch, table
-from tapeworks.llm.native import LOWER, UPPER
+from tapeworks.llm.common import discard, fold, from_key, id_key, scratch, table
 
 BLOCK_TOKENS = 2_000_000
 HEAD, TAIL = 2000, 47
 UNITS = HEAD + TAIL + 1
 CLASSES = 64
-SWEEPS = 12
-#: Sweeps over all words.
-WHOLE_SWEEPS = 1
+#: Sweeps over the whole vocabulary, at most, and the share of the likelihood that one must gain to be followed by another.
+SWEEPS = 1
+MIN_GAIN = 0.001
 LAMBDA = 0.9
-_LOWER = str.maketrans(UPPER, LOWER)
-#: The white space of words, as str.split(" ") needs it.
-_SPACE = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
 
 
-def tokens(text: str | None) -> list[str]:
-    return [w for w in text.translate(_SPACE).translate(_LOWER).split(" ") if w] if text else []
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in order (A-Z lower-cased, cut at ASCII white space), and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, ends = split.flatten(), split.offsets.to_numpy()
+    ends = ends - ends[0]
+    real = pc.not_equal(flat, "")
+    before = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))
+    return flat.filter(real), np.diff(before[ends])
 
 
 def blocks(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(block, words, train, ids, held, lengths, tokens): the documents in dictionary-coded blocks.
+    """(block, hashes, train, ids, held, lengths, tokens): the documents in dictionary-coded blocks.
 
-    tokens: little-endian u32, 0 for the end, k for words[k - 1]; train[k]: how often token k
-    stands in training documents.
+    hashes: the block's distinct words; tokens: little-endian u32, 0 for the end, k for
+    hashes[k - 1]; train[k]: how often token k stands in training documents.
     """
+    schema = pa.schema([("block", pa.int64()), ("words", pa.list_(pa.string())), ("train", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary())])
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        code: dict[str, int] = {}
-        ids, held, coded = [], [], []
+        flat, ids, held, lengths = [], [], [], []
         size = 0
 
-        def flush() -> pd.DataFrame:
-            nonlocal code, ids, held, coded, number, size
-            train = np.zeros(len(code) + 1, np.int64)
-            for h, c in zip(held, coded, strict=True):
-                if not h:
-                    train += np.bincount(c, minlength=len(train)) if len(c) * 8 > len(train) else 0
-                    if len(c) * 8 <= len(train):
-                        np.add.at(train, c, 1)
-            row = {"block": number, "words": list(code), "train": train, "ids": ids, "held": held, "lengths": [len(c) for c in coded], "tokens": np.concatenate(coded).tobytes()}
-            number, code, ids, held, coded, size = number + 1, {}, [], [], [], 0
-            return pd.DataFrame([row])
-
-        for pdf in it:
-            for key, out, text in pdf.itertuples(index=False):
-                words = tokens(text)
-                if coded and size + len(words) > BLOCK_TOKENS:
-                    yield flush()
-                coded.append(np.array([*[code.setdefault(w, len(code) + 1) for w in words], 0], "<u4"))
-                ids.append(key)
-                held.append(bool(out))
-                size += len(words) + 1
-        if coded:
+        def flush() -> pa.RecordBatch:
+            nonlocal flat, ids, held, lengths, size, number
+            coded = pa.concat_arrays(flat).dictionary_encode()
+            n, out = np.concatenate(lengths) + 1, np.concatenate(held)
+            tokens = np.zeros(n.sum(), "<u4")
+            word = np.ones(len(tokens), bool)
+            word[np.cumsum(n) - 1] = False
+            tokens[word] = coded.indices.to_numpy() + 1
+            train = np.bincount(tokens[np.repeat(~out, n)], minlength=len(coded.dictionary) + 1)
+            lists = [coded.dictionary, pa.array(train, pa.int64()), pa.array(np.concatenate(ids), pa.int64()), pa.array(out), pa.array(n, pa.int32())]
+            row = [pa.array([number], pa.int64()), *(pa.ListArray.from_arrays([0, len(x)], x) for x in lists), pa.array([tokens.tobytes()], pa.binary())]
+            number, flat, ids, held, lengths, size = number + 1, [], [], [], [], 0
+            return pa.RecordBatch.from_arrays(row, schema=schema)
+
+        for batch in it:
+            words, n = words_of(batch.column(2))
+            ends = np.cumsum(n)
+            a = 0
+            while a < len(n):
+                # as many whole documents as fit in what is left of the block, or one in an empty block
+                room = BLOCK_TOKENS - size + (ends[a - 1] if a else 0)
+                b = max(int(np.searchsorted(ends, room, side="right")), a)
+                if b == a:
+                    if size or ids:
+                        yield flush()
+                        continue
+                    b = a + 1
+                first, last = ends[a] - n[a], ends[b - 1]
+                flat.append(words.slice(first, last - first))
+                ids.append(batch.column(0)[a:b].to_numpy(zero_copy_only=False))
+                held.append(batch.column(1)[a:b].to_numpy(zero_copy_only=False))
+                lengths.append(n[a:b])
+                size += int(last - first)
+                a = b
+        if ids:
             yield flush()
 
     rows = docs.select(id_key(id_column).alias("id"), held_out.alias("held"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInPandas(batches, "block long, words array<string>, train array<long>, ids array<long>, held array<boolean>, lengths array<int>, tokens binary")
+    coded = rows.mapInArrow(batches, "block long, words array<string>, train array<long>, ids array<long>, held array<boolean>, lengths array<int>, tokens binary")
+    return coded.select("block", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), "train", "ids", "held", "lengths", "tokens")
 
 
 def dictionary(coded: DataFrame) -> DataFrame:
-    """(block, token, word, h, n): the dictionary of each block, h the word's hash, n its count in training documents."""
-    words = coded.select("block", "train", F.posexplode("words").alias("i", "word"))
-    return words.select("block", (F.col("i") + 1).alias("token"), "word", F.xxhash64("word").alias("h"), F.get("train", F.col("i") + 1).alias("n"))
+    """(block, token, h, n): the dictionary of each block, h the word's hash, n its count in training documents."""
+    words = coded.select("block", "train", F.posexplode("hashes").alias("i", "h"))
+    return words.select("block", (F.col("i") + 1).alias("token"), "h", F.get("train", F.col("i") + 1).alias("n"))
 
 
 def unit_of(hashes: np.ndarray, head: np.ndarray) -> np.ndarray:
@@ -129,7 +151,7 @@ def unit_bigrams(coded: DataFrame, head: np.ndarray) -> DataFrame:
         used = np.flatnonzero(total)
         yield pd.DataFrame({"pair": used.astype(np.int32), "n": total[used]})
 
-    rows = coded.select(F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), "held", "lengths", "tokens")
+    rows = coded.select("hashes", "held", "lengths", "tokens")
     return rows.mapInPandas(batches, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
@@ -137,10 +159,10 @@ def _phi(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(n: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+def exchange(n: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """The class of each unit, given how often one unit follows another; the last unit has the last class to itself.
 
-    A move changes the likelihood of the class bigrams only; its gain is computed exactly, from
+    Sweeps go on until no unit moves; as each move raises the likelihood, they end. A move changes the likelihood of the class bigrams only; its gain is computed exactly, from
     the counts of the unit with each class, for all classes at once.
     """
     units, free = len(n), classes - 1
@@ -154,7 +176,8 @@ def exchange(n: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.
     rows, cols = m.sum(axis=1), m.sum(axis=0)
     mass, self_ = n.sum(axis=1), n.diagonal()
     came = n.sum(axis=0)
-    for _ in range(sweeps):
+    moved = 1
+    while moved:
         moved = 0
         for u in order[came[order] > 0]:
             a = cls[u]
@@ -187,8 +210,6 @@ def exchange(n: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.
                 by[:, a] -= n[u]
                 by[:, b] += n[u]
                 moved += 1
-        if not moved:
-            break
     return cls
 
 
@@ -226,8 +247,7 @@ def neighbours(rows: DataFrame, start: tuple[np.ndarray, np.ndarray] | None = No
                     yield pd.DataFrame({"h": h[words[a:b] - 1], "data": [raw[cuts[i] : cuts[i + 1]] for i in range(a, b)]})
 
     c = F.lit(None).cast("binary").alias("c") if start is not None else F.col("c")
-    hashes = F.transform("words", lambda w: F.xxhash64(w)).alias("hashes") if start is not None else F.col("hashes")
-    return rows.select(hashes, "held", "lengths", "tokens", c).mapInPandas(batches, "h long, data binary")
+    return rows.select("hashes", "held", "lengths", "tokens", c).mapInPandas(batches, "h long, data binary")
 
 
 def best_classes(found: DataFrame, m: np.ndarray) -> DataFrame:
@@ -276,7 +296,7 @@ def known_blocks(coded: DataFrame, counts: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["hashes", "ids", "held", "lengths", "tokens", "n", "c"])
 
     lookups = dictionary(coded).select("block", "token", "h").join(counts.select("h", "n", "c"), "h").select(F.col("block").alias("of_block"), "token", "n", "c")
-    whole = coded.select(F.col("block").alias("in_block"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), "ids", "held", "lengths", "tokens")
+    whole = coded.select(F.col("block").alias("in_block"), "hashes", "ids", "held", "lengths", "tokens")
     out = whole.groupBy("in_block").cogroup(lookups.groupBy("of_block")).applyInPandas(joined, "hashes array<long>, ids array<long>, held array<boolean>, lengths array<int>, tokens binary, n binary, c binary")
     return scratch(out, "known")
 
@@ -300,13 +320,12 @@ def class_bigrams(rows: DataFrame) -> np.ndarray:
     return m.reshape(CLASSES, CLASSES)
 
 
-def train(coded: DataFrame) -> tuple[DataFrame, dict]:
+def train(coded: DataFrame, sweeps: int = SWEEPS) -> tuple[DataFrame, dict]:
     """(blocks with the counts and classes of their words, what else is needed to score them)."""
-    counts = scratch(dictionary(coded).where("n > 0").groupBy("h").agg(F.sum("n").alias("n"), F.first("word").alias("word")), "counts")
+    counts = scratch(dictionary(coded).where("n > 0").groupBy("h").agg(F.sum("n").alias("n")), "counts")
     ends = coded.agg(F.sum(F.get("train", F.lit(0))).alias("n")).first()["n"] or 0
-    top = counts.orderBy(F.desc("n"), "word").select("h").limit(HEAD).toPandas()["h"]
+    top = counts.orderBy(F.desc("n"), "h").select("h").limit(HEAD).toPandas()["h"]
     head = np.sort(top.to_numpy(np.int64))
-    spark = coded.sparkSession
     pairs = unit_bigrams(coded, head).toArrow()  # at most UNITS * UNITS rows of twelve bytes
     bigrams = np.zeros(UNITS * UNITS)
     bigrams[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
@@ -315,28 +334,51 @@ def train(coded: DataFrame) -> tuple[DataFrame, dict]:
     cls = exchange(bigrams)
     one = np.eye(CLASSES)[cls]
     m = one.T @ bigrams @ one
-    heads = F.broadcast(spark.createDataFrame(pd.DataFrame({"h": head, "c": cls[: len(head)]}), "h long, c int"))
+    heads = F.broadcast(coded.sparkSession.createDataFrame(pd.DataFrame({"h": head, "c": cls[: len(head)]}), "h long, c int"))
     tail = F.get(F.array(*[F.lit(int(c)) for c in cls[HEAD : UNITS - 1]]), F.pmod("h", F.lit(TAIL)).cast("int"))
     classed = counts.select("h", "n").join(heads, "h", "left").select("h", "n", F.coalesce("c", tail).alias("c"))
-    rows, found = None, neighbours(coded, (head, cls))
-    for _ in range(WHOLE_SWEEPS):
-        moved = scratch(counts.select("h", "n").join(best_classes(found, m), "h"), "classes")
+    rows, found, reached = None, neighbours(coded, (head, cls)), [likelihood(m)]
+    for _ in range(sweeps):
+        moved = scratch(counts.join(best_classes(found, m), "h"), "classes")
         new = known_blocks(coded, moved)
         m_new = class_bigrams(new)
-        if likelihood(m_new) <= likelihood(m):
+        reached.append(likelihood(m_new))
+        if reached[-1] <= reached[-2]:
+            discard(new)
             break
+        if rows is not None:
+            discard(rows)
         rows, classed, m, found = new, moved, m_new, neighbours(new)
+        if reached[-1] - reached[-2] < MIN_GAIN * abs(reached[-2]):
+            break
     if rows is None:
         rows = known_blocks(coded, classed)
     sums = classed.groupBy("c").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).toPandas()
     n_class, once = np.zeros(CLASSES), np.zeros(CLASSES)
     n_class[sums["c"]], once[sums["c"]] = sums["n"], sums["once"]
     n_class[CLASSES - 1] += ends
-    unseen = (once + 0.5) / (n_class + 1)
-    unseen[CLASSES - 1] = 0.0  # the end is known
     n, v = int(sums["n"].sum()) + int(ends), int(sums["v"].sum()) + (ends > 0)
-    step = (m + 0.1) / (m.sum(axis=1, keepdims=True) + 0.1 * CLASSES)
-    return rows, {"head": head, "cls": cls, "step": step, "n_class": n_class, "unseen": unseen, "n": n, "v": v, "ends": int(ends)}
+    return rows, parameters(m, n_class, once) | {"n": n, "v": v, "ends": int(ends), "likelihoods": reached}
+
+
+def parameters(m: np.ndarray, n_class: np.ndarray, once: np.ndarray) -> dict:
+    """step: p(class | class before), with a last row for what follows an unknown word; unseen: what each class keeps back; n_class: tokens of each class."""
+    unseen = np.where(n_class > 0, (once + 0.5) / (n_class + 1), 1.0)
+    if n_class[-1] > 0:
+        unseen[-1] = 0.0  # the end is known
+    whole = np.vstack([m, m.sum(axis=0)]) + 0.1
+    return {"step": whole / whole.sum(axis=1, keepdims=True), "unseen": unseen, "n_class": n_class}
+
+
+def probabilities(model: dict, count: np.ndarray, cls: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(p1, p) of tokens with a training count and a class, after a token of class before; CLASSES is the class of unknown tokens (count 0)."""
+    p1 = (count + 1) / (model["n"] + model["v"] + 1)
+    if not model["n"]:
+        return p1, p1
+    known, c = count > 0, np.minimum(cls, len(model["unseen"]) - 1)
+    emitted = model["step"][before, c] * (1 - model["unseen"][c]) * count / np.maximum(model["n_class"][c], 1)
+    by_class = np.where(known, emitted, (model["step"] @ model["unseen"])[before])
+    return p1, LAMBDA * by_class + (1 - LAMBDA) * p1
 
 
 def scores(coded: DataFrame, known: DataFrame, model: dict) -> DataFrame:
@@ -348,23 +390,16 @@ def scores(coded: DataFrame, known: DataFrame, model: dict) -> DataFrame:
         for row in (row for pdf in it for row in pdf.itertuples(index=False)):
             count = np.frombuffer(row.n, "<i8").astype(np.float64)
             count[0] = m["ends"]
-            # a word that training does not have is in the class of its unit
-            cls = np.where(count > 0, np.frombuffer(row.c, "u1"), np.concatenate(([CLASSES - 1], m["cls"][unit_of(np.asarray(row.hashes, np.int64), m["head"])])))
-            p1 = (count + 1) / (m["n"] + m["v"] + 1)
-            emit = np.where(count > 0, (1 - m["unseen"][cls]) * count / np.maximum(m["n_class"][cls], 1), m["unseen"][cls])
+            cls = np.where(count > 0, np.frombuffer(row.c, "u1"), CLASSES)
             seq = np.frombuffer(row.tokens, "<u4")
             lengths = np.asarray(row.lengths, np.int64)
             base, score = np.empty(len(seq)), np.empty(len(seq))
-            log1 = np.log10(p1)
             for a in range(0, len(seq), 1 << 18):
                 s = seq[a : a + (1 << 18)]
-                c = cls[s]
-                before = np.concatenate(([cls[seq[a - 1]] if a else CLASSES - 1], c[:-1]))
-                base[a : a + len(s)] = log1[s]
-                if m["n"]:
-                    score[a : a + len(s)] = np.log10(LAMBDA * m["step"][before, c] * emit[s] + (1 - LAMBDA) * p1[s])
-                else:
-                    score[a : a + len(s)] = log1[s]
+                # every document ends with the end, which is what its first word follows
+                before = np.concatenate(([cls[seq[a - 1]] if a else cls[0]], cls[s[:-1]]))
+                p1, p = probabilities(m, count[s], cls[s], before)
+                base[a : a + len(s)], score[a : a + len(s)] = np.log10(p1), np.log10(p)
             starts = np.cumsum(lengths) - lengths
             known = np.add.reduceat((count > 0)[seq].astype(np.int64), starts)
             yield pd.DataFrame({"id": row.ids, "held_out": row.held, "n_tokens": lengths, "n_known": known, "train_tokens": m["n"], "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(score, starts)})
