@@ -6,31 +6,39 @@ of the longest suffix of the words so far which stands in an item. Where it reac
 words, the last `window` words are an occurrence of a window of those items which contain them;
 an item of fewer words, but at least one, is one window itself.
 
-The automaton is broadcast. Its size is bounded: the items come in blocks of at most
-`BLOCK_CHARS` characters, and the documents are read once for each block (every document against
-every item, in blocks); hits of several blocks meet in an aggregation by document.
-
-A null or empty text has no words, no hits and is not contaminated. Items that are null, empty
-or without a word have no window. Repeated items each count; repeated documents are each judged.
+The automata are built in tasks, one for each block of about `BLOCK_CHARS` characters of items (an
+item longer than `PART_WORDS` words comes in parts that overlap by a window less a word, so that a
+block has that bound). They are written to a table, from which one at a time is broadcast; the
+documents are read once for each block (every document against every item, in blocks), and the hits
+of several blocks meet in an aggregation by document.
+
+A null or empty text has no words, no hits and is not contaminated. Items whose text is null, empty
+or without a word have no window. An item without an id hits like others, and its name is the
+empty string (so all such items count as one in n_items). Rows of one item_id are one
+item; repeated documents are each judged. Empty tables give no rows, or no hits. Columns of any name
+and type are carried along by `decontaminate`, and not read.
 A document is contaminated if it has a hit and `share` times its hit words reach its words.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import from_key, id_key, scratch, table
+from tapeworks.llm.common import boxed, discard, from_key, id_key, inside, scratch, table
 
 WINDOW = 13
 SHARE = 20
 BLOCK_CHARS = 1_000_000
+PART_WORDS = 20_000
 #: Bytes as they count in words: digits, lower-case letters (A-Z become those) and all of non-ASCII; the rest separates words.
 WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
@@ -163,18 +171,36 @@ class SuffixAutomaton:
         return ranges, items
 
 
-def blocks(items: DataFrame, id_column: str, text_column: str, limit: int = BLOCK_CHARS) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items in lists of at most limit characters (or one item), read part by part."""
-    held, size = [], 0
-    rows = items.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).cast("string").alias("text")).where("id is not null and text is not null")
-    for row in rows.toLocalIterator():
-        if held and size + len(row.text) > limit:
-            yield held
-            held, size = [], 0
-        held.append((row.id, words(row.text)))
-        size += len(row.text)
-    if held:
-        yield held
+def item_parts(items: DataFrame, window: int = WINDOW, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
+    """(name, part, chars): each distinct item's words, joined by spaces, in parts that have all its windows."""
+
+    def parts(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(PART_WORDS - window + 1, 1)
+        for pdf in it:
+            out = []
+            for name, text in pdf.itertuples(index=False):
+                w = words(text)
+                for i in range(0, max(len(w) - window + 1, 1) if w else 0, step):
+                    out.append((name, b" ".join(w[i : i + step + window - 1])))
+            yield pd.DataFrame({"name": [n for n, _ in out], "part": [x for _, x in out], "chars": [len(x) for _, x in out]})
+
+    rows = items.select(F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("name"), F.col(text_column).cast("string").alias("text")).distinct()
+    return rows.mapInPandas(parts, "name string, part binary, chars long")
+
+
+def automata(items: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
+    """(block, automaton): the pickled automata of all items, in blocks of about block_chars characters, as a written table."""
+
+    def built(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        made = SuffixAutomaton([(n, p.split()) for n, p in zip(pdf["name"], pdf["part"], strict=True)], window)
+        return pd.DataFrame({"block": [key[0]], "automaton": [pickle.dumps(made, protocol=5)]})
+
+    parts = scratch(item_parts(items, window, id_column, text_column), "items")
+    n = -(-int(parts.agg(F.sum("chars")).first()[0] or 0) // block_chars)
+    blocks = parts.withColumn("block", F.pmod(F.xxhash64("name", "part"), F.lit(max(n, 1))))
+    out = scratch(blocks.groupBy("block").applyInPandas(built, "block long, automaton binary"), "automata")
+    discard(parts)
+    return out
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -183,28 +209,33 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_column:
     id has `NULL_ID` for null; with text_hash it names the row, or several equal rows.
     """
     rows = docs.select(id_key(id_column).alias("id"), F.xxhash64(F.col(text_column).cast("string")).alias("text_hash"), F.col(text_column).cast("string").alias("text"))
-    found = [_matched(rows, SuffixAutomaton(block, window)) for block in blocks(items, item_id, item_text, block_chars)]
-    if len(found) < 2:
-        return found[0] if found else _matched(rows, SuffixAutomaton([], window))
-    each = reduce(DataFrame.unionByName, [scratch(f, "matches") for f in found])
+    built = automata(items, window, block_chars, item_id, item_text)
+    blocks = [r["block"] for r in built.select("block").collect()]
+    if len(blocks) < 2:
+        return _matched(rows, built.first()["automaton"] if blocks else pickle.dumps(SuffixAutomaton([], window)))[0]
+    each = []
+    for block in blocks:
+        found, shared = _matched(rows, built.where(F.col("block") == block).first()["automaton"])
+        # equal rows have equal results: one of them, and how many there are
+        each.append(scratch(found.groupBy("id", "text_hash").agg(F.count("*").cast("int").alias("copies"), F.first("n_words").alias("n_words"), F.first("ranges").alias("ranges"), F.first("items").alias("items")), "matches"))
+        shared.destroy()
+    discard(built)
     start = F.array().cast("array<struct<a:int,b:int>>")
     merged = F.aggregate(
         F.array_sort(F.flatten(F.collect_list("ranges"))),
         start,
         lambda out, r: F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["b"] >= r["a"]), F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(out, F.lit(-1))["a"].alias("a"), F.greatest(F.try_element_at(out, F.lit(-1))["b"], r["b"]).alias("b"))))).otherwise(F.concat(out, F.array(r))),
     )
-    one = each.groupBy("id", "text_hash").agg(
-        (F.count("*") / len(found)).cast("int").alias("copies"), F.first("n_words").alias("n_words"), merged.alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-    )
+    one = reduce(DataFrame.unionByName, each).groupBy("id", "text_hash").agg(F.first("copies").alias("copies"), F.first("n_words").alias("n_words"), merged.alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return one.select("id", "text_hash", "n_words", "ranges", "items", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
 
 
-def _matched(rows: DataFrame, automaton: SuffixAutomaton) -> DataFrame:
+def _matched(rows: DataFrame, automaton: bytes) -> tuple[DataFrame, Broadcast]:
     shared = rows.sparkSession.sparkContext.broadcast(automaton)
     range_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = shared.value
+        a = pickle.loads(shared.value)
         for batch in it:
             n, ranges, items = [], [], []
             for text in batch.column(2):
@@ -215,7 +246,7 @@ def _matched(rows: DataFrame, automaton: SuffixAutomaton) -> DataFrame:
                 items.append(sorted(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ranges, range_type), pa.array(items, pa.list_(pa.string()))], ["id", "text_hash", "n_words", "ranges", "items"])
 
-    return rows.mapInArrow(batches, "id long, text_hash long, n_words long, ranges array<struct<a:int,b:int>>, items array<string>")
+    return rows.mapInArrow(batches, "id long, text_hash long, n_words long, ranges array<struct<a:int,b:int>>, items array<string>"), shared
 
 
 def judged(found: DataFrame, share: int = SHARE) -> DataFrame:
@@ -233,12 +264,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     are read: no row moves between tasks, but for several blocks of items.
     """
     found = judged(matches(docs, items, window, id_column, text_column, **names), share).where("n_hit > 0")
-    hit = found.groupBy("id", "text_hash").agg(F.first("ranges").alias("__ranges"), F.first("contaminated").alias("__contaminated"))
-    hit = hit.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "__ranges", "__contaminated")
-    on = (id_key(id_column) == F.col("__id")) & (F.xxhash64(F.col(text_column).cast("string")) == F.col("__hash"))
-    spans = F.filter("__ranges", lambda r: r["b"] - r["a"] >= max_span)
-    kept = docs.join(hit, on, "left").where(~F.coalesce("__contaminated", F.lit(False)))
-    return kept.select(*[_without(F.col(c), spans).alias(c) if c == text_column else F.col(c) for c in docs.columns])
+    hit = found.groupBy("id", "text_hash").agg(F.first("ranges").alias("ranges"), F.first("contaminated").alias("contaminated"))
+    keys = {"id": id_key(inside(id_column)), "text_hash": F.xxhash64(inside(text_column).cast("string"))}
+    spans = F.filter("ranges", lambda r: r["b"] - r["a"] >= max_span)
+    kept = boxed(docs).withColumns(keys).join(hit, list(keys), "left").where(~F.coalesce("contaminated", F.lit(False)))
+    return kept.select(*[(_without(inside(c), spans) if c == text_column else inside(c)).alias(c) for c in docs.columns])
 
 
 def _without(text, spans):
