@@ -9,9 +9,14 @@ Template (fixed strings): `<s>` begins a conversation. A turn is `[INST] text [/
 other role, the name percent-encoded. In an escaped text each control string and each backslash
 has a backslash before it; the parser drops a backslash and takes the next character as it is.
 
-The rows of a conversation are streamed in sorted order: the task holds one turn and running
-digests, not the conversation. Null texts and roles are empty; a null conv_id is a conversation
-of its own kind; repeated rows are repeated turns. An empty table gives no rows.
+A conversation's rendered turns are joined to its formatted text, which is read back as a whole:
+in pieces of `PIECE` characters, cut wherever they end, by a parser that carries what it could not yet read
+to the next piece. The task holds a piece, a turn and running digests, not the conversation. A
+conversation is read by one task, since the digest of its turns runs from the first to the last.
+
+Null texts and roles are empty; a null conv_id is a conversation
+of its own kind; repeated rows are repeated turns. An empty table gives no rows. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ BEGIN = "<s>"
 TURNS = {"user": ("[INST] ", " [/INST]"), "system": ("<<SYS>>", "<</SYS>>"), "assistant": (" ", "</s>")}
 OTHER = ("[ROLE ", "[/ROLE]")
 LOSS_ROLE = "assistant"
+PIECE = 1 << 16
 _CONTROL = re.compile(r"\\|</?s>|<</?SYS>>|\[/?INST\]|\[/?ROLE")
 _TOKEN = re.compile(r"\\(.)|(</s>|<</SYS>>| \[/INST\]|\[/ROLE\])", re.S)
 _OPEN = re.compile(r"<<SYS>>|\[INST\] |\[ROLE ([^\]]*)\]| ")
@@ -88,42 +94,87 @@ def format_turns(turns: DataFrame, id_column: str = "conv_id", turn_column: str
     return rows.withColumn("rendered", rendered("role", "text"))
 
 
-def conversations(formatted: DataFrame) -> DataFrame:
-    """(id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the rendered text.
-
-    Rows are grouped by id and sorted; a task streams them and keeps digests only, so that a
-    conversation of any length fits.
-    """
+class Reader:
+    """Reads one formatted conversation from pieces that end anywhere."""
+
+    def __init__(self) -> None:
+        self.parts: list[str] = []
+        self.size = self.wanted = 0
+        self.begun = False
+
+    def feed(self, piece: str) -> Iterator[tuple[str, str]]:
+        """The turns (role, text) that end in what has been fed and has not been given yet."""
+        self.parts.append(piece)
+        self.size += len(piece)
+        if self.size >= self.wanted:  # a turn of many pieces is tried again at double the length
+            yield from self._read()
+            self.wanted = 2 * self.size
+
+    def end(self) -> Iterator[tuple[str, str]]:
+        yield from self._read()
+        if self.size or not self.begun:
+            raise ValueError("the formatted text does not end where a turn does")
+
+    def _read(self) -> Iterator[tuple[str, str]]:
+        held, at = "".join(self.parts), 0
+        if not self.begun and held.startswith(BEGIN):
+            self.begun, at = True, len(BEGIN)
+        while self.begun and at < len(held):
+            turn = parse_turn(held, at)
+            if turn is None:
+                break
+            yield turn[0], turn[1]
+            at = turn[2]
+        self.parts, self.size = [held[at:]], len(held) - at
+
+
+class Digests:
+    """What is told of a conversation, from its formatted text as it is written."""
+
+    def __init__(self) -> None:
+        self.reader, self.held = Reader(), BEGIN
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.n = self.loss_chars = self.chars = 0
+
+    def write(self, rendered: str) -> None:
+        text = self.held + rendered
+        whole = len(text) - len(text) % PIECE
+        for i in range(0, whole, PIECE):
+            self._count(self.reader.feed(text[i : i + PIECE]))
+        self.chars += whole
+        self.held = text[whole:]
+
+    def _count(self, turns: Iterator[tuple[str, str]]) -> None:
+        for role, text in turns:
+            self.n += 1
+            self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+            if role == LOSS_ROLE:
+                self.loss_chars += len(text)
+                self.loss.update(text.encode("utf-8", "surrogatepass"))
+
+    def ended(self) -> tuple[int, str, int, str, int]:
+        self._count(self.reader.feed(self.held))
+        self._count(self.reader.end())
+        return self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars + len(self.held)
 
-    def read_back(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, out = None, []
-        turns = loss = None
-        n = loss_chars = chars = 0
 
-        def ended() -> tuple:
-            return now, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars
+def conversations(formatted: DataFrame) -> DataFrame:
+    """(id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the formatted text of each conversation."""
 
+    def read_back(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, digests, out = None, None, []
         for pdf in it:
             for key, rendered in zip(pdf["id"], pdf["rendered"], strict=True):
-                if key != now:
-                    if turns is not None:
-                        out.append(ended())
-                    now, turns, loss = key, hashlib.sha256(), hashlib.sha256()
-                    n, loss_chars, chars = 0, 0, len(BEGIN)
-                chars += len(rendered)
-                at = 0
-                while at < len(rendered):
-                    role, text, at = parse_turn(rendered, at)
-                    n += 1
-                    turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                    if role == LOSS_ROLE:
-                        loss_chars += len(text)
-                        loss.update(text.encode("utf-8", "surrogatepass"))
+                if digests is None or key != now:
+                    if digests is not None:
+                        out.append((now, *digests.ended()))
+                    now, digests = key, Digests()
+                digests.write(rendered)
             if out:
                 yield pd.DataFrame(out, columns=columns)
                 out = []
-        if turns is not None:
-            yield pd.DataFrame([*out, ended()], columns=columns)
+        if digests is not None:
+            yield pd.DataFrame([(now, *digests.ended())], columns=columns)
 
     columns = ["id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     ordered = formatted.repartition("id").sortWithinPartitions("id", "turn", "role", "text").select("id", "rendered")

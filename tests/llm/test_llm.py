@@ -50,9 +50,10 @@ def op_words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
 
-@pytest.mark.parametrize("block_chars", [10**6, 300])
-def test_decontamination(spark, docs, empty, block_chars):
-    items = [("1", LONG[100:400]), ("10", "one"), ("2", "Wörds and, MORE"), ("3", ""), ("4", None), ("5", LONG[100:400]), ("6", "alpha beta")]
+@pytest.mark.parametrize(("block_chars", "part_words"), [(10**6, 20_000), (300, 20_000), (300, 30)])
+def test_decontamination(spark, docs, empty, block_chars, part_words, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PART_WORDS", part_words)
+    items = [("1", LONG[100:400]), ("10", "one"), ("2", "Wörds and, MORE"), ("3", ""), ("4", None), ("5", LONG[100:400]), ("6", "alpha beta"), (None, LONG[900:1300]), (None, "tabs and"), ("2", LONG[1500:1700]), ("7", LONG)]
     bench = spark.createDataFrame(items, "item_id string, text string")
     got = decontaminate.judged(decontaminate.matches(docs, bench, block_chars=block_chars))
     want = []
@@ -65,8 +66,8 @@ def test_decontamination(spark, docs, empty, block_chars):
                 for p in range(len(w) - size + 1):
                     if w[p : p + size] == x[a : a + size]:
                         hit |= set(range(p, p + size))
-                        found.add(name)
-        want.append((decontaminate.from_key and d, len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w)))
+                        found.add(name or "")
+        want.append((d, len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w)))
     rows = got.withColumn("id", decontaminate.from_key("id"))
     assert pairs(rows, "id", "n_words", "n_hit", "items", "contaminated") == sorted(want, key=repr)
     kept = decontaminate.decontaminate(docs, bench, block_chars=block_chars)
@@ -76,6 +77,15 @@ def test_decontamination(spark, docs, empty, block_chars):
     assert decontaminate.judged(decontaminate.matches(docs, bench.limit(0))).where("contaminated").isEmpty()
 
 
+def test_decontamination_carries_columns_of_any_name(spark, docs):
+    df = docs.withColumnsRenamed({"h": "ranges", "n": "contaminated", "id": "__id", "lines": "text_hash"})
+    bench = spark.createDataFrame([("1", LONG[100:400])], "item_id string, text string")
+    kept = decontaminate.decontaminate(df, bench)
+    assert kept.columns == df.columns and {r["__id"] for r in kept.collect()} <= {"clash", None}
+    long = spark.createDataFrame([(1, "w " * 300_000 + LONG)], "doc_id long, text string")
+    assert decontaminate.judged(decontaminate.matches(long, bench)).first().n_hit > 0
+
+
 def test_spans_are_cut(spark):
     d = spark.createDataFrame([(1, "w " * 500 + "a1 b2 c3 d4 e5 f6 g7 h8 i9 j10 k11 l12, M13. tail")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a1 b2 c3 d4 e5 f6 g7 h8 i9 j10 k11 l12 m13")], "item_id long, text string")
@@ -97,6 +107,31 @@ def test_chat_round_trip(spark):
     assert chat.conversations(chat.format_turns(df.limit(0))).isEmpty()
 
 
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 50, 1 << 16])
+def test_chat_is_read_from_pieces_cut_anywhere(piece, monkeypatch):
+    monkeypatch.setattr(chat, "PIECE", piece)
+    turns = [("user", "</s>[INST] ok [/INST]"), ("assistant", "\\ [/INST]"), ("system", ""), ("assistant", ""), ("tool ]", "x" * 300 + "[/ROLE]"), ("user", "a\\"), ("assistant", "<s>")]
+    formatted = chat.BEGIN + "".join(chat.format_turn(*t) for t in turns)
+    reader = chat.Reader()
+    got = [t for i in range(0, len(formatted), piece) for t in reader.feed(formatted[i : i + piece])] + list(reader.end())
+    assert got == turns
+    digests = chat.Digests()
+    for t in turns:
+        digests.write(chat.format_turn(*t))
+    body = "".join(f"{r}\n{x}\n" for r, x in turns)
+    assert digests.ended()[:2] == (len(turns), hashlib.sha256(body.encode()).hexdigest())
+    for wrong in (formatted[:-1], formatted + "x", formatted[1:]):
+        reader = chat.Reader()
+        with pytest.raises(ValueError):
+            [*reader.feed(wrong), *reader.end()]
+
+
+def test_a_very_long_turn(spark):
+    text = "[INST] " * 100_000
+    row = chat.conversations(chat.format_turns(spark.createDataFrame([(1, 0, "assistant", text), (1, 1, "user", "u")], "conv_id long, turn long, role string, text string"))).first()
+    assert (row.n_turns, row.loss_chars, row.loss_sha256) == (2, len(text), hashlib.sha256(text.encode()).hexdigest())
+
+
 def test_passages(docs, empty):
     rows = source(docs)
     counts = collections.Counter(b[i : i + 400] for _, t in rows for b in [(t or "").encode()] for i in range(len(b) - 399))
@@ -127,20 +162,42 @@ def test_passages_in_parts(monkeypatch):
 
 def test_line_dedup(spark, docs, empty):
     rows = [(i, f"{'Common LINE' if i % 2 else 'common  line '}\nown words of document {i} are here\n\nmore {i}", f"s{i % 12}") for i in range(40)]
-    rows += [(100 + i, "copied text\nstands everywhere", f"s{i}") for i in range(12)] + [(200, None, "s1"), (201, "", None), (202, "common line", "s1")]
+    rows += [(100 + i, "copied text\nstands everywhere", f"s{i}") for i in range(12)] + [(200, None, "s1"), (201, "", None), (202, "common line", "s1"), (203, "common line\n\t COMMON line\nx", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r.doc_id: r for r in linededup.dedup(df, counts=True).collect()}
-    assert all(got[i].text == f"own words of document {i} are here\n\nmore {i}" and got[i].n_removed == 1 for i in range(40))
-    assert all(got[100 + i].text == "copied text\nstands everywhere" for i in range(12))  # a copy, left whole
-    assert (got[200].text, got[201].text, got[202].text) == (None, "", "common line")
+    got = {r.doc_id: r for r in linededup.marked(df).select("row.doc_id", "cut", "n_lines", "n_removed").collect()}
+    assert all(got[i].cut == f"own words of document {i} are here\n\nmore {i}" and got[i].n_removed == 1 and got[i].n_lines == 3 for i in range(40))
+    assert all(got[100 + i].cut == "copied text\nstands everywhere" for i in range(12))  # one text, however many sites have it
+    assert (got[200].cut, got[201].cut, got[202].cut, got[203].cut) == (None, "", "", "x")
     assert linededup.dedup(docs).columns == docs.columns and linededup.dedup(docs).count() == docs.count()
     assert linededup.dedup(empty).isEmpty()
 
 
+def test_line_operators_carry_columns_of_any_name(spark):
+    names = {"doc_id": "hash", "h": "gone", "n": "length", "lines": "cut", "lang": "row", "id": "n_words"}
+    rows = [(i, f"menu\n{' '.join(f'w{i}x{k}' for k in range(30))}", "en", f"s{i}", "v", 5, 6, "w") for i in range(12)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumnsRenamed(names)
+    for out, cut in ((linededup.dedup(df), True), (quality.clean(df), False)):
+        assert out.columns == df.columns
+        assert sorted(map(tuple, out.drop("text").collect())) == sorted(map(tuple, df.drop("text").collect()))
+        assert all(r.text.startswith("menu") != cut for r in out.collect())
+
+
+def test_texts_of_very_many_lines(spark):
+    """The work for a text grows with its lines, not with their square; numbers of lines are right at every place."""
+    lines = [f"line {i % 70_000}" if i % 3 else "" for i in range(200_000)]
+    rows = [(i, "\n".join([*lines, f"own {i}"]), f"s{i}") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    out = linededup.marked(df).select("row.doc_id", "cut", "n_removed").collect()
+    assert all(r.cut == "\n" * sum(not x for x in lines) + f"own {r.doc_id}" and r.n_removed == sum(map(bool, lines)) for r in out)
+    q = quality.judged(df.withColumn("source", F.lit("h")), carry=["doc_id"], min_docs=5).select("row.doc_id", "n_dup_lines", "kept").collect()
+    assert all(r.n_dup_lines == sum(map(bool, lines)) - len({x for x in lines if x}) and not r.kept for r in q)
+
+
 def test_hyperloglog_sketches_merge(spark):
-    df = spark.createDataFrame([(i, "same line", f"s{i}") for i in range(30)], "doc_id long, text string, source string")
+    df = spark.createDataFrame([(i, f"same line\nown {i}", f"s{i}") for i in range(30)], "doc_id long, text string, source string")
     halves = [linededup.spread(linededup.line_rows(df.where(F.col("doc_id") % 2 == k))) for k in (0, 1)]
-    assert linededup.merge(halves[0].unionByName(halves[1])).select(F.hll_sketch_estimate("sites")).first()[0] == 30
+    merged = linededup.merge(halves[0].unionByName(halves[1])).where(F.col("h") == F.xxhash64(F.lit("same line")))
+    assert merged.select(F.hll_sketch_estimate("sites")).first()[0] == 30
 
 
 def test_quality_base(docs, empty):
@@ -151,7 +208,7 @@ def test_quality_base(docs, empty):
         rep = {i + k for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for k in range(8)}
         ls = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         want.append((d, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(ls) - len(set(ls)), len(rep), len(w) < 20 or 100 * len(rep) > 30 * len(w)))
-    got = quality.judged(docs, carry=["doc_id"])
+    got = quality.judged(docs, carry=["doc_id"]).select("row.doc_id", "*")
     assert pairs(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == sorted(want, key=repr)
     assert quality.judged(empty).isEmpty() and quality.clean(empty).columns == empty.columns
 
@@ -164,10 +221,23 @@ def test_boilerplate_of_a_host(spark):
     assert kept == {i: own[i] for i in range(30)} | {51: own[0]}
 
 
+def test_limits_do_not_grow_with_the_host(spark):
+    """On a host of thousands of texts, a line in three of a hundred is boilerplate; one in a thousand documents is it on any host."""
+    own = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(24)), lambda k: F.concat(F.lit("w"), F.col("id").cast("string"), F.lit("x"), k.cast("string"))), " ")
+    rare = F.when(F.col("id") % 33 == 0, "a line in three of a hundred\n").when(F.col("id") % 1000 == 1, "seldom\n").otherwise("")
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(rare, own).alias("text"), F.lit("h").alias("source"))
+    kept = {r.doc_id: r.text for r in quality.clean(df).collect()}
+    assert len(kept) == 4000 and not any(t.startswith("a line") for t in kept.values()) and sum(t.startswith("seldom") for t in kept.values()) == 4
+    often = {r.doc_id: r.text for r in quality.clean(df, line_percent=50, max_docs=100).collect()}
+    assert not any(t.startswith("a line") for t in often.values())
+
+
 def test_class_model(docs, empty):
+    """Counts and both scores against a computation from the texts, given the words' classes."""
     coded = classlm.blocks(docs, classlm.fold("doc_id", 7) == 2).persist()
-    counts, model = classlm.train(coded)
-    got = classlm.scores(coded, counts, model).withColumn("id", classlm.from_key("id")).collect()
+    known, model = classlm.train(coded)
+    got = classlm.scores(coded, known, model).withColumn("id", classlm.from_key("id")).collect()
+    spark = docs.sparkSession
     token = {}
     c = collections.Counter()
     for d, t in source(docs):
@@ -175,14 +245,56 @@ def test_class_model(docs, empty):
         if d is None or zlib.crc32(str(d).encode()) % 7 != 2:
             c.update(token[(d, t)])
     n, v = sum(c.values()), len(c)
-    want = sorted((repr(d), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 6)) for d, t in source(docs) for w in [token[(d, t)]])
-    assert sorted((repr(r.id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 for r in got)
+    hashes = {r.h: r.w for r in spark.createDataFrame([(w,) for x in token.values() for w in x if w], "w string").distinct().select("w", F.xxhash64("w").alias("h")).collect()}
+    cls = {hashes[h]: k for row in known.collect() for h, k, m in zip(row.hashes, row.c[1:], np.frombuffer(row.n, "<i8")[1:], strict=True) if m} | {None: classlm.CLASSES - 1}
+    assert set(cls) == set(c)
+    # the model from its definition
+    bigrams, n_class, once = np.zeros((classlm.CLASSES,) * 2), np.zeros(classlm.CLASSES), np.zeros(classlm.CLASSES)
+    for w, k in c.items():
+        n_class[cls[w]] += k
+        once[cls[w]] += k == 1 and w is not None
+    for d, t in source(docs):
+        if d is None or zlib.crc32(str(d).encode()) % 7 != 2:
+            for a, b in itertools.pairwise([None, *token[(d, t)]]):
+                bigrams[cls[a], cls[b]] += 1
+    unseen = np.where(n_class > 0, (once + 0.5) / (n_class + 1), 1.0)
+    unseen[-1] = 0
+
+    def p(word, before):
+        row = (bigrams[cls[before]] if before in c else bigrams.sum(axis=0)) + 0.1
+        row = row / row.sum()
+        by_class = row[cls[word]] * (1 - unseen[cls[word]]) * c[word] / n_class[cls[word]] if word in c else row @ unseen
+        return 0.9 * by_class + 0.1 * (c[word] + 1) / (n + v + 1)
+
+    for before in (None, "alpha0", "never seen"):
+        assert abs(sum(p(w, before) for w in [*c, "never seen"]) - 1) < 1e-9
+    want = [(repr(d), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 6), round(sum(math.log10(p(b, a)) for a, b in itertools.pairwise([None, *w])), 6)) for d, t in source(docs) for w in [token[(d, t)]]]
+    assert sorted((repr(r.id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == sorted(want)
     none = classlm.blocks(empty, F.lit(False))
     assert classlm.scores(none, *classlm.train(none)).isEmpty()
+    untrained = classlm.blocks(docs, F.lit(True)).persist()
+    assert {r.score for r in classlm.scores(untrained, *classlm.train(untrained)).collect()} == {0.0}
 
 
-def test_class_model_is_a_distribution_and_learns():
+@pytest.mark.parametrize("tokens", [1, 7, 2_000_000])
+def test_blocks_hold_whole_documents(spark, docs, tokens, monkeypatch):
+    monkeypatch.setattr(classlm, "BLOCK_TOKENS", tokens)
+    text = {}
+    for d, t in source(docs):
+        text.setdefault(d, []).append(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))
+    word = {r.h: r.w for r in spark.createDataFrame([(w,) for x in text.values() for y in x for w in y], "w string").distinct().select("w", F.xxhash64("w").alias("h")).collect()}
+    got = {}
+    for r in classlm.blocks(docs.coalesce(1), F.lit(False)).collect():
+        seq = np.frombuffer(r.tokens, "<u4")
+        assert r.train == np.bincount(seq, minlength=len(r.hashes) + 1).tolist()
+        for d, n in zip(r.ids, r.lengths, strict=True):
+            assert seq[n - 1] == 0
+            got.setdefault(None if d == classlm.id_key and 0 else (d if d > -(2**62) else None), []).append([word[r.hashes[k - 1]] for k in seq[: n - 1]])
+            seq = seq[n:]
+    assert {k: sorted(x) for k, x in got.items()} == {k: sorted(x) for k, x in text.items()}
+
+
+def test_exchange_separates_and_never_loses():
     rng = np.random.default_rng(0)
     n = np.zeros((40, 40))
     for a, b in zip(s := rng.integers(0, 20, 4000), s[1:], strict=False):
@@ -190,21 +302,33 @@ def test_class_model_is_a_distribution_and_learns():
     cls = classlm.exchange(n, classes=3)
     assert len({*cls[:10]}) == 1 and len({*cls[10:20]}) == 1 and cls[0] != cls[10]
 
+    def reached(c):
+        one = np.eye(3)[c]
+        return classlm.likelihood(one.T @ n @ one)
+
+    # no single move of a unit gains: the gains that the exchange computes are those of the likelihood
+    for u in range(39):
+        for k in range(2):
+            other = cls.copy()
+            other[u] = k
+            assert reached(other) <= reached(cls) + 1e-6
 
-def test_words_outside_the_head_get_classes_of_their_own(spark):
+
+def test_all_words_get_the_class_of_their_contexts(spark):
     tapeworks.distribute(spark)
     rng = np.random.default_rng(1)
     rows = [(i, " ".join(f"the n{rng.integers(3000)} does v{rng.integers(3000)}" for _ in range(60))) for i in range(200)]
-    coded = classlm.blocks(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False)).persist()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    coded = classlm.blocks(df, F.lit(False)).persist()
     known, model = classlm.train(coded)
+    assert len(model["likelihoods"]) == 2 and model["likelihoods"][1] > model["likelihoods"][0]
+    word = {r.h: r.w for r in df.select(F.explode(F.split("text", " ")).alias("w")).distinct().select("w", F.xxhash64("w").alias("h")).collect()}
     kinds = collections.defaultdict(collections.Counter)
-    for words, k in zip((r.words for r in coded.orderBy("tokens").collect()), known.orderBy("tokens").collect(), strict=True):
-        head = np.isin(k.hashes, model["head"])
-        for w, c, h in zip(words, k.c[1:], head, strict=True):
-            if not h:
-                kinds[c][w[0]] += 1
+    for k in known.collect():
+        for h, c in zip(k.hashes, k.c[1:], strict=True):
+            kinds[c][word[h][0]] += 1
     n = sum(x.total() for x in kinds.values())
-    assert n > 3000 and sum(max(x.values()) for x in kinds.values()) > 0.98 * n  # nouns and verbs apart
+    assert n > 5000 and sum(max(x.values()) for x in kinds.values()) > 0.98 * n  # nouns and verbs apart
 
 
 def naive_similarity(a, b):
@@ -352,15 +476,51 @@ def test_blocks_of_a_group_lose_no_link(spark, monkeypatch):
             assert whole[a] == whole[b]
 
 
-def test_language_id(spark, docs, empty):
-    train = spark.createDataFrame([("the cat and the dog are here", "en"), ("der hund und die katze sind hier", "de"), (None, "fr"), ("x", None)], "text string, lang string")
-    langs, matrix = langid.log_probabilities(langid.count_grams(train))
-    assert langs == ["de", "en"]
-    test = spark.createDataFrame([(1, "the dog"), (2, "die katze und"), (3, None), (4, "123 !?"), (5, ""), (None, "und der hund " * 60000)], "doc_id long, text string")
-    assert pairs(langid.predict(test, langs, matrix), "id", "lang_pred") == sorted([(1, "en"), (2, "de"), (3, "und"), (4, "und"), (5, "und"), (None, "de")], key=repr)
-    assert langid.predict(empty, langs, matrix).isEmpty()
-    nothing = langid.log_probabilities(langid.count_grams(train.limit(0)))
-    assert {r.lang_pred for r in langid.predict(test, *nothing).collect()} == {"und"}
+def naive_bayes(train, text):
+    """(language, posterior) by the definition, over the same buckets."""
+
+    def counts(t):
+        h = [g[g < langid.BUCKETS] for g in langid.grams([t.lower()])[0]]
+        return np.bincount(np.concatenate(h), minlength=langid.BUCKETS)
+
+    logs = {}
+    for lang in {x for _, x in train}:
+        n = sum(counts(t) for t, x in train if x == lang) + 0.1
+        logs[lang] = math.log(sum(x == lang for _, x in train) / len(train)) + counts(text) @ np.log(n / n.sum())
+    best = max(sorted(logs), key=logs.get)
+    return best, 1 / sum(math.exp(x - logs[best]) for x in logs.values())
+
+
+@pytest.mark.parametrize(("chars", "languages"), [(1 << 18, 64), (5, 64), (10, 1), (10, 2)])
+def test_language_id(spark, docs, empty, chars, languages, monkeypatch):
+    monkeypatch.setattr(langid, "CHARS", chars)
+    monkeypatch.setattr(langid, "LANG_BLOCK", languages)
+    monkeypatch.setattr(langid, "HELD", languages)
+    train = [("the cat and the dog are here", "en"), ("a dog", "en"), ("der hund und die katze sind hier", "de"), ("le chien et le chat sont ici", "fr"), ("el perro y el gato", "es"), ("zz", "xx")]
+    df = spark.createDataFrame([*train, (None, "fr"), ("x", None)], "text string, lang string")
+    model = langid.model_blocks(langid.count_grams(df))
+    assert [x for b in model for x in b()[0]] == ["de", "en", "es", "fr", "xx"]
+    texts = ["the dog", "die katze und", None, "123 !?", "", "Z", "ch", "et le dog", "und der hund " * 9, "the", "El ici hier a here"]
+    test = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: (r.lang_pred, r.score) for r in langid.predict(test, model).collect()}
+    for i, t in enumerate(texts):
+        want = naive_bayes(train, t) if t and any(map(str.isalpha, t)) else ("und", 0.0)
+        assert got[i][0] == want[0] and abs(got[i][1] - want[1]) < 1e-3, (t, got[i], want)
+    assert langid.predict(empty, model).isEmpty()
+    nothing = langid.model_blocks(langid.count_grams(df.limit(0)))
+    assert {(r.lang_pred, r.score) for r in langid.predict(test, nothing).collect()} == {("und", 0.0)}
+
+
+def test_parts_of_long_texts_have_each_gram_once(monkeypatch):
+    text = "".join(map(chr, np.random.default_rng(4).integers(97, 110, 103)))
+    whole = [np.sort(g[g < langid.BUCKETS]) for g in langid.grams([text])[0]]
+    for chars in (1, 2, 3, 10, 101, 102, 103):
+        monkeypatch.setattr(langid, "CHARS", chars)
+        orders = [[], [], []]
+        for _, parts, stop in langid._parts([text]):
+            for k, g in enumerate(langid.grams(parts)[0]):
+                orders[k].append(g[:stop])
+        assert all(np.array_equal(np.sort(g[g < langid.BUCKETS]), w) for g, w in zip(map(np.concatenate, orders), whole, strict=True))
 
 
 def test_token_files(docs, empty):
