@@ -100,7 +100,8 @@ def judged(docs: DataFrame, text_column: str = "text", host_column: str = "sourc
     rows = measured(boxed(docs), text).withColumns(text_key(text, host))
     row = F.col("row") if carry is None else F.struct(*[inside(c).alias(c) for c in carry]).alias("row")
     rows = rows.select(row, *counts, *KEY)
-    out = rows.join(boilerplate(docs, text_column, host_column, **limits), KEY, "left")
+    # what boilerplate finds grows with the documents, so it is never broadcast, however small it is here
+    out = rows.join(boilerplate(docs, text_column, host_column, **limits).hint("merge"), KEY, "left")
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
     depleted = F.col("removed").isNotNull() & ((left < MIN_WORDS) | (2 * left < F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("removed", *KEY)
