@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.llm.common import discard, fold, from_key, id_key, scratch, table
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 3_000_000
 HEAD, TAIL = 2000, 47
 UNITS = HEAD + TAIL + 1
 CLASSES = 64
@@ -231,13 +231,15 @@ def neighbours(rows: DataFrame, start: tuple[np.ndarray, np.ndarray] | None = No
             for hashes, held, lengths, data, c in pdf.itertuples(index=False):
                 h = np.asarray(hashes, np.int64)
                 mine = shared.value[1][unit_of(h, shared.value[0])] if c is None else np.frombuffer(c, "u1")[1:]
-                cls = np.concatenate(([CLASSES - 1], mine)).astype(np.int64)
-                seq = np.frombuffer(data, "<u4").astype(np.int64)
-                before = np.concatenate(([0], seq[:-1]))
+                # a place of 2 * CLASSES cells for each token of the dictionary, which has far fewer than 2^25
+                cls = np.concatenate(([CLASSES - 1], mine)).astype(np.uint32)
+                seq = np.frombuffer(data, "<u4")
+                before = np.concatenate((np.zeros(1, np.uint32), seq[:-1]))
                 keep = np.repeat(~np.asarray(held, bool), np.asarray(lengths))
                 seq, before = seq[keep], before[keep]
-                found = np.concatenate((before * (2 * CLASSES) + cls[seq], seq * (2 * CLASSES) + CLASSES + cls[before]))
+                found = np.concatenate((before * np.uint32(2 * CLASSES) + cls[seq], seq * np.uint32(2 * CLASSES) + np.uint32(CLASSES) + cls[before]))
                 pairs, n = np.unique(found[found >= 2 * CLASSES], return_counts=True)
+                pairs = pairs.astype(np.int64)
                 records = np.empty(len(pairs), NEIGHBOUR)
                 records["k"], records["n"] = pairs % (2 * CLASSES), n
                 words, at = np.unique(pairs // (2 * CLASSES), return_index=True)
@@ -283,20 +285,20 @@ def best_classes(found: DataFrame, m: np.ndarray) -> DataFrame:
     return found.repartition("h").sortWithinPartitions("h").mapInPandas(batches, "h long, c int")
 
 
-def known_blocks(coded: DataFrame, counts: DataFrame) -> DataFrame:
-    """(hashes, ids, held, lengths, tokens, n, c): the blocks with the training counts (<i8) and classes (u1) of their tokens, 0 for words that counts does not have."""
+def known_blocks(coded: DataFrame, counts: DataFrame, hashes: bool) -> DataFrame:
+    """(hashes, ids, held, lengths, tokens, n, c): the blocks with the training counts (<i8) and classes (u1) of their tokens, 0 for words that counts does not have; hashes are null unless asked for."""
 
     def joined(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in left.itertuples(index=False):
-            n, c = np.zeros(len(row.hashes) + 1, "<i8"), np.zeros(len(row.hashes) + 1, "u1")
+            n, c = np.zeros(row.size + 1, "<i8"), np.zeros(row.size + 1, "u1")
             n[right["token"]], c[right["token"]] = right["n"], right["c"]
             c[0] = CLASSES - 1
             out.append({"hashes": row.hashes, "ids": row.ids, "held": row.held, "lengths": row.lengths, "tokens": row.tokens, "n": n.tobytes(), "c": c.tobytes()})
         return pd.DataFrame(out, columns=["hashes", "ids", "held", "lengths", "tokens", "n", "c"])
 
     lookups = dictionary(coded).select("block", "token", "h").join(counts.select("h", "n", "c"), "h").select(F.col("block").alias("of_block"), "token", "n", "c")
-    whole = coded.select(F.col("block").alias("in_block"), "hashes", "ids", "held", "lengths", "tokens")
+    whole = coded.select(F.col("block").alias("in_block"), (F.col("hashes") if hashes else F.lit(None).cast("array<long>")).alias("hashes"), F.size("hashes").alias("size"), "ids", "held", "lengths", "tokens")
     out = whole.groupBy("in_block").cogroup(lookups.groupBy("of_block")).applyInPandas(joined, "hashes array<long>, ids array<long>, held array<boolean>, lengths array<int>, tokens binary, n binary, c binary")
     return scratch(out, "known")
 
@@ -338,9 +340,9 @@ def train(coded: DataFrame, sweeps: int = SWEEPS) -> tuple[DataFrame, dict]:
     tail = F.get(F.array(*[F.lit(int(c)) for c in cls[HEAD : UNITS - 1]]), F.pmod("h", F.lit(TAIL)).cast("int"))
     classed = counts.select("h", "n").join(heads, "h", "left").select("h", "n", F.coalesce("c", tail).alias("c"))
     rows, found, reached = None, neighbours(coded, (head, cls)), [likelihood(m)]
-    for _ in range(sweeps):
+    for k in range(sweeps):
         moved = scratch(counts.join(best_classes(found, m), "h"), "classes")
-        new = known_blocks(coded, moved)
+        new = known_blocks(coded, moved, hashes=k + 1 < sweeps)
         m_new = class_bigrams(new)
         reached.append(likelihood(m_new))
         if reached[-1] <= reached[-2]:
@@ -348,11 +350,13 @@ def train(coded: DataFrame, sweeps: int = SWEEPS) -> tuple[DataFrame, dict]:
             break
         if rows is not None:
             discard(rows)
-        rows, classed, m, found = new, moved, m_new, neighbours(new)
+        rows, classed, m = new, moved, m_new
+        if k + 1 < sweeps:
+            found = neighbours(new)
         if reached[-1] - reached[-2] < MIN_GAIN * abs(reached[-2]):
             break
     if rows is None:
-        rows = known_blocks(coded, classed)
+        rows = known_blocks(coded, classed, hashes=False)
     sums = classed.groupBy("c").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).toPandas()
     n_class, once = np.zeros(CLASSES), np.zeros(CLASSES)
     n_class[sums["c"]], once[sums["c"]] = sums["n"], sums["once"]
