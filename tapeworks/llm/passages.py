@@ -19,7 +19,8 @@ orders through KEY = 100 bytes, then 337, 393 and 400. In the last, core, span a
 the same. Hot groups (a passage that a third of the texts share) cost
 partial counts: a group is never gathered, only counted, and joined back by key.
 
-Matches never cross documents. A null or empty text has no bytes, and a text shorter than depth
+Spans are equal if 128 bits of BLAKE2b of their bytes are, within cores that are equal too. Matches
+never cross documents. A null or empty text has no bytes, and a text shorter than depth
 none to remove. Equal rows count as two documents, so all of a repeated row's windows are
 repeated. Kept bytes may not be valid UTF-8 by themselves; they are bytes.
 """
@@ -86,9 +87,9 @@ def parts(raw: bytes) -> Iterator[tuple[int, bytes]]:
         yield a, raw[a : a + PART + DEPTH - 1]
 
 
-def digest(head: int, data: bytes) -> bytes:
-    """64 bits of data and of a number: what is compared has equal cores, so that equal digests of different spans would have to meet in 128 bits."""
-    return hashlib.blake2b(data, digest_size=8, salt=head.to_bytes(4, "little")).digest()
+def digest(head: int, data: bytes, size: int = 16) -> bytes:
+    """BLAKE2b of data and of a number. Spans are held to be equal by 128 bits of it, within cores equal by 64 bits more."""
+    return hashlib.blake2b(data, digest_size=size, salt=head.to_bytes(4, "little")).digest()
 
 
 def packed(first: np.ndarray | int, n: np.ndarray | int, offset: np.ndarray | int) -> np.ndarray | int:
@@ -100,7 +101,8 @@ def unpacked(at: int) -> tuple[int, int, int]:
     return at >> 18, (at >> 9) & 511, at & 511
 
 
-ROW = "id long, text_hash long, at long, core long, span long, settled boolean"
+ROW = "id long, text_hash long, at long, core long, span long, span2 long, settled boolean"
+SPAN = ["core", "span", "span2"]
 
 
 def bundles(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -114,10 +116,10 @@ def bundles(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
                     first, last, anchor, core = anchors(raw)
                     if len(first):
                         spans = b"".join([digest(m - a, raw[a : b + DEPTH]) for a, b, m in zip(first.tolist(), last.tolist(), anchor.tolist(), strict=True)])
-                        out.append((key, text_hash, packed(first + start, last - first + 1, anchor - first), core, np.frombuffer(spans, "<i8")))
+                        out.append((key, text_hash, packed(first + start, last - first + 1, anchor - first), core, np.frombuffer(spans, "<i8").reshape(-1, 2)))
             if out:
                 sizes = [len(x[2]) for x in out]
-                yield pd.DataFrame({"id": np.repeat([x[0] for x in out], sizes), "text_hash": np.repeat([x[1] for x in out], sizes), "at": np.concatenate([x[2] for x in out]), "core": np.concatenate([x[3] for x in out]), "span": np.concatenate([x[4] for x in out]), "settled": False})
+                yield pd.DataFrame({"id": np.repeat([x[0] for x in out], sizes), "text_hash": np.repeat([x[1] for x in out], sizes), "at": np.concatenate([x[2] for x in out]), "core": np.concatenate([x[3] for x in out]), "span": np.concatenate([x[4][:, 0] for x in out]), "span2": np.concatenate([x[4][:, 1] for x in out]), "settled": False})
 
     text = F.col(text_column).cast("string")
     rows = docs.select(id_key(id_column).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).where(F.octet_length("text") >= DEPTH)
@@ -138,10 +140,10 @@ def narrower(texts: DataFrame, reps: DataFrame, width: int) -> DataFrame:
                     for block in range(low // width, high // width + 1):
                         d0, d1 = block * width, block * width + width - 1
                         a, b = m - min(d1, high), m - max(d0, low)
-                        core = digest(block, raw[m - d0 : m - d1 + DEPTH])
-                        out.append((key, text_hash, packed(a, b - a + 1, m - a), int.from_bytes(core, "little", signed=True), int.from_bytes(digest(m - a, raw[a : b + DEPTH]), "little", signed=True), one["settled"]))
+                        core, span = digest(block, raw[m - d0 : m - d1 + DEPTH], 8), digest(m - a, raw[a : b + DEPTH])
+                        out.append((key, text_hash, packed(a, b - a + 1, m - a), *(int.from_bytes(x, "little", signed=True) for x in (core, span[:8], span[8:])), one["settled"]))
             if out:
-                yield pd.DataFrame(out, columns=["id", "text_hash", "at", "core", "span", "settled"])
+                yield pd.DataFrame(out, columns=["id", "text_hash", "at", *SPAN, "settled"])
 
     by_text = reps.groupBy("id", "text_hash").agg(F.collect_set(F.struct("at", "settled")).alias("held"))
     rows = texts.join(by_text, ["id", "text_hash"]).select("id", "text_hash", "bytes", "held")
@@ -155,11 +157,12 @@ def sort_pass(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     not found again. Of each distinct span one row goes on, if its group has an unsettled one.
     """
     again = rows.groupBy("core").agg(F.count("*").alias("n"), F.count_if(~F.col("settled")).alias("unsettled")).where("n > 1 and unsettled > 0").select("core")
+    again = scratch(again, "again")  # a table, so that the join on a hot core can be split
     alive = scratch(rows.join(again, "core", "left_semi"), "alive")
-    spans = alive.groupBy("core", "span").agg(F.count("*").alias("n"), F.min(F.struct("id", "text_hash", "at", "settled")).alias("rep"))
-    spans = scratch(spans.select("core", "span", "n", F.col("rep.*")).withColumn("settled", F.col("settled") | (F.col("n") > 1)), "spans")
-    found = alive.where("not settled").join(spans.where("n > 1").select("core", "span"), ["core", "span"], "left_semi").select("id", "text_hash", "at")
-    groups = spans.groupBy("core").agg(F.count_if(~F.col("settled")).alias("unsettled")).where("unsettled > 0").select("core")
+    spans = alive.groupBy(*SPAN).agg(F.count("*").alias("n"), F.min(F.struct("id", "text_hash", "at", "settled")).alias("rep"))
+    spans = scratch(spans.select(*SPAN, "n", F.col("rep.*")).withColumn("settled", F.col("settled") | (F.col("n") > 1)), "spans")
+    found = alive.where("not settled").join(spans.where("n > 1").select(*SPAN), SPAN, "left_semi").select("id", "text_hash", "at")
+    groups = scratch(spans.groupBy("core").agg(F.count_if(~F.col("settled")).alias("unsettled")).where("unsettled > 0").select("core"), "groups")
     several = spans.join(groups, "core", "left_semi").select("id", "text_hash", "at", "settled")
     return found, several
 
