@@ -16,16 +16,19 @@ The width is that of the value at `PERCENTILE` per cent of a block's sorted diff
 differences are exceptions.
 
 Documents are range-partitioned by doc_id (null first, repeated ids next to each other, ties by
-text) and sorted inside each partition, so ids are in ascending doc_id order; a segment holds
-`SEGMENT` ids or one document. Null and empty texts have the end id alone.
+hash of the text, so that an id of very many texts is dealt too) and sorted inside each partition,
+so ids are in ascending doc_id order; a segment holds `SEGMENT` ids or one document. Null and empty
+texts have the end id alone. An empty table gives no segments. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -85,6 +88,13 @@ def unpack(index: bytes, payload: bytes) -> np.ndarray:
     return np.concatenate([unpack_block(payload, int(i)) for i in starts]) if len(starts) else np.zeros(0, np.uint32)
 
 
+def cuttable(file: dict) -> bool:
+    """Whether a tokenizer file has what `PieceEncoder` needs to cut texts: byte-level words by the usual pattern, no normaliser, and added tokens that begin with <| only."""
+    pre = file.get("pre_tokenizer") or {}
+    words = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    return bool(words and not file.get("normalizer") and all(t["content"].startswith("<|") and not (t.get("lstrip") or t.get("rstrip")) for t in file.get("added_tokens") or []))
+
+
 class PieceEncoder:
     """Encodes texts by a byte-level BPE of the tokenizers library, each distinct piece of a batch once.
 
@@ -93,14 +103,16 @@ class PieceEncoder:
     white space is cut there, its pieces are encoded by the library, and their ids follow
     each other as in the whole text. It is also cut before commas and full stops, if none of
     them follows another sign, with which it would be one. Any other text goes to the library
-    whole.
+    whole; so does every text if the file is for another pre-tokeniser, has a normaliser, or has added
+    tokens that cutting could break.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.cuts = cuttable(json.loads(Path(path).read_text(encoding="utf-8")))
+        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0] if self.cuts else None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -108,7 +120,9 @@ class PieceEncoder:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
-        """The ids of each text, u32, none null. Texts are cut and their distinct pieces found in Arrow; a piece is looked up once for all texts."""
+        """The ids of each text, u32, none null. Unless the file forbids it, texts are cut and their distinct pieces found in Arrow; a piece is looked up once for all texts."""
+        if not self.cuts:
+            return self._whole(texts.to_pylist())
         odd = pc.match_substring_regex(texts, _ODD)
         cut = pc.replace_substring(pc.replace_substring(pc.if_else(odd, "", texts), " ", _CUT + " "), "\n", f"{_CUT}\n{_CUT}")
         more = pc.replace_substring(pc.replace_substring(cut, ",", _CUT + ","), ".", _CUT + ".")
@@ -167,7 +181,8 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int, id_column:
     """The segments of docs in ascending id order, written under the shared folder; start is within the part."""
     rows = docs.select(id_key(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text").withColumn("part", F.spark_partition_id())
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(n, "id", "hash").sortWithinPartitions("id", "hash", "text").select("id", "text", F.spark_partition_id().alias("part"))
     end = np.array([end_id], "<u4").tobytes()
     schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("index", pa.binary()), ("payload", pa.binary())])
 

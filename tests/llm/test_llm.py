@@ -149,6 +149,23 @@ def test_passages(docs, empty):
     assert passages.repeated(empty).isEmpty()
 
 
+def test_spans_of_equal_cores_are_told_apart(spark):
+    """Texts that share the anchor of many windows, and most bytes around it, but differ at either end."""
+    rng = np.random.default_rng(9)
+    base = "".join(map(chr, rng.integers(97, 123, 900)))
+    texts = [base[:a] + "#" + base[a + 1 :] for a in (0, 100, 250, 399, 400, 500, 650, 899)] + [base[k : k + 420] for k in range(0, 480, 37)] + ["~" + base[1:399] + "~", base]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    counts = collections.Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    want = {}
+    for d, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for i in range(len(t) - 399):
+            if counts[t[i : i + 400]] > 1:
+                gone[i : i + 400] = b"\1" * 400
+        want[d] = (sum(gone), len(re.findall(b"\1+", bytes(gone))))
+    assert {r.id: (r.n_removed, r.n_spans) for r in passages.repeated(df).collect()} == want
+
+
 def test_passages_in_parts(monkeypatch):
     raw = np.random.default_rng(1).integers(97, 100, 5000, dtype=np.uint8).tobytes()
     whole = [x.tolist() for x in passages.anchors(raw)]
@@ -237,6 +254,7 @@ def test_class_model(docs, empty):
     coded = classlm.blocks(docs, classlm.fold("doc_id", 7) == 2).persist()
     known, model = classlm.train(coded)
     got = classlm.scores(coded, known, model).withColumn("id", classlm.from_key("id")).collect()
+    by_tokens = {(bytes(r.tokens), tuple(r.ids)): r.hashes for r in coded.collect()}
     spark = docs.sparkSession
     token = {}
     c = collections.Counter()
@@ -246,7 +264,7 @@ def test_class_model(docs, empty):
             c.update(token[(d, t)])
     n, v = sum(c.values()), len(c)
     hashes = {r.h: r.w for r in spark.createDataFrame([(w,) for x in token.values() for w in x if w], "w string").distinct().select("w", F.xxhash64("w").alias("h")).collect()}
-    cls = {hashes[h]: k for row in known.collect() for h, k, m in zip(row.hashes, row.c[1:], np.frombuffer(row.n, "<i8")[1:], strict=True) if m} | {None: classlm.CLASSES - 1}
+    cls = {hashes[h]: k for row in known.collect() for h, k, m in zip(by_tokens[bytes(row.tokens), tuple(row.ids)], row.c[1:], np.frombuffer(row.n, "<i8")[1:], strict=True) if m} | {None: classlm.CLASSES - 1}
     assert set(cls) == set(c)
     # the model from its definition
     bigrams, n_class, once = np.zeros((classlm.CLASSES,) * 2), np.zeros(classlm.CLASSES), np.zeros(classlm.CLASSES)
@@ -314,18 +332,20 @@ def test_exchange_separates_and_never_loses():
             assert reached(other) <= reached(cls) + 1e-6
 
 
-def test_all_words_get_the_class_of_their_contexts(spark):
+@pytest.mark.parametrize("sweeps", [1, 3])
+def test_all_words_get_the_class_of_their_contexts(spark, sweeps):
     tapeworks.distribute(spark)
     rng = np.random.default_rng(1)
     rows = [(i, " ".join(f"the n{rng.integers(3000)} does v{rng.integers(3000)}" for _ in range(60))) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     coded = classlm.blocks(df, F.lit(False)).persist()
-    known, model = classlm.train(coded)
-    assert len(model["likelihoods"]) == 2 and model["likelihoods"][1] > model["likelihoods"][0]
+    known, model = classlm.train(coded, sweeps=sweeps)
+    assert 2 <= len(model["likelihoods"]) <= 1 + sweeps and model["likelihoods"][1] > model["likelihoods"][0]
+    hashes = {(bytes(r.tokens), tuple(r.ids)): r.hashes for r in coded.collect()}
     word = {r.h: r.w for r in df.select(F.explode(F.split("text", " ")).alias("w")).distinct().select("w", F.xxhash64("w").alias("h")).collect()}
     kinds = collections.defaultdict(collections.Counter)
     for k in known.collect():
-        for h, c in zip(k.hashes, k.c[1:], strict=True):
+        for h, c in zip(hashes[bytes(k.tokens), tuple(k.ids)], k.c[1:], strict=True):
             kinds[c][word[h][0]] += 1
     n = sum(x.total() for x in kinds.values())
     assert n > 5000 and sum(max(x.values()) for x in kinds.values()) > 0.98 * n  # nouns and verbs apart
@@ -530,7 +550,7 @@ def test_token_files(docs, empty):
     t = Tokenizer.from_file(path)
     got = pfor.read_documents(pfor.with_starts(pfor.write_segments(docs, path, 2))).collect()
     start, want = 0, []
-    for d, x in sorted(source(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for d, x in sorted(source(docs), key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")
         want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
@@ -538,6 +558,45 @@ def test_token_files(docs, empty):
     assert pfor.read_documents(pfor.with_starts(pfor.write_segments(empty, path, 2))).isEmpty()
 
 
+def test_an_id_of_many_texts_is_dealt(spark):
+    path = P.path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(None if i % 2 else 5, f"text {i} " * 20) for i in range(400)], "doc_id long, text string").repartition(4)
+    segments = pfor.write_segments(df, path, 2, partitions=4)
+    assert all(r.n < 200 for r in segments.select(F.size("doc_ids").alias("n")).collect())
+    got = pfor.read_documents(pfor.with_starts(segments)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 200 + [5] * 200
+    assert all(a.start + a.n_tokens == b.start for a, b in itertools.pairwise(got))
+
+
+def test_texts_over_segments_and_batches(spark, monkeypatch):
+    monkeypatch.setattr(pfor, "SEGMENT", 50)
+    monkeypatch.setattr(pfor, "BATCH_BYTES", 100)
+    path = P.path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(i, f"some words {i}, and more. " * (i % 7)) for i in range(60)], "doc_id long, text string").coalesce(1)
+    enc, start = pfor.PieceEncoder(path).tokenizer, 0
+    for r, t in zip(pfor.read_documents(pfor.with_starts(pfor.write_segments(df, path, 2, partitions=2))).orderBy("doc_id").collect(), df.orderBy("doc_id").collect(), strict=True):
+        ids = np.array([*enc.encode(t.text, add_special_tokens=False).ids, 2], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_only_files_that_allow_it_are_cut(tmp_path):
+    import json
+
+    import pyarrow as pa
+
+    file = json.loads(open(P.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    assert pfor.cuttable(file)
+    texts = ["Some words, And more.\n two  spaces", " lead", ""]
+    changes = {"prefix": {"pre_tokenizer": file["pre_tokenizer"] | {"add_prefix_space": True}}, "lower": {"normalizer": {"type": "Lowercase"}}, "none": {"pre_tokenizer": None}}
+    for name, change in changes.items():
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(file | change), encoding="utf-8")
+        encoder = pfor.PieceEncoder(str(path))
+        assert not encoder.cuts
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(pa.array(texts))] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("ids", [[0], [7] * 10, [2**32 - 1, 0, 5], list(range(5000)), [1] * 99 + [10**6]])
 def test_blocks_round_trip(ids):
     x = np.array(ids, np.uint32)
