@@ -2,6 +2,9 @@
 
 Every stage reads all that its predecessor kept, as a table. The first four return the columns of
 documents (n_chars follows the text that they leave); the last returns the token ids.
+
+Columns of any name are carried through the first four stages. An empty table gives an empty one.
+Repeated rows and null ids are documents like others; what a null text becomes is said of each stage.
 """
 
 from __future__ import annotations
@@ -24,29 +27,29 @@ def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without their host's boilerplate lines."""
+    """Documents that pass the quality rules, without their host's boilerplate lines. Null and empty texts have no words and go; repeated rows are judged alike."""
     return _columns(quality.clean(docs), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand on many sites."""
+    """All documents, without lines that stand on many sites; one may be left without a word. Null texts stay null."""
     return _columns(linededup.dedup(docs), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, that of the smallest id (null first); repeated rows are copies. Texts without a word are in no group and all stay."""
     tapeworks.distribute(spark)
     return minhash.dedup(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark, without the benchmark's passages."""
+    """Documents that are not contaminated by the benchmark, without the benchmark's passages. Null and empty texts stay, and all do if the benchmark is empty."""
     tapeworks.distribute(spark)
     return _columns(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian u32), ids_sha256, decoded_sha256."""
+    """doc_id, n_tokens, ids (little-endian u32), ids_sha256, decoded_sha256 of every document; null and empty texts have no ids."""
     tapeworks.distribute(spark)
     return bpe.digests(docs, keep_ids=True)
 
