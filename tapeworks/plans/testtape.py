@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +66,16 @@ CASE_COLUMNS = {c: CASE_TYPES.get(c, "double") for c in CASE}
 ACCOUNT = [(c["case"], INITIAL, CASH) for c in CASES]
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; where none is set, a temporary one in a session on one machine, and an error on a cluster."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="tapeworks-")
+    return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 @lru_cache(maxsize=4)
 def view(application: str, spark: SparkSession, sf_dir: str) -> View:
     """The view of a folder, shared by the queries of an application, so that they share what it keeps."""
@@ -71,11 +83,24 @@ def view(application: str, spark: SparkSession, sf_dir: str) -> View:
 
 
 class View:
-    """Tables of the chain, each built when it is first asked for; those that several results use are persisted."""
+    """Tables of the chain, each built when it is first asked for.
+
+    Those that several results use are written once, to a folder that all executors see, and read
+    from there: the plan of a later one starts at the files of the one before, whatever it took
+    to make them, and a lost executor costs no chain.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @cached_property
+    def folder(self) -> str:
+        return shared_dir(self.spark)
+
+    def kept(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -115,7 +140,8 @@ class View:
     def tape(self) -> DataFrame:
         order = Window.partitionBy("market_id").orderBy("ts", "l_orderkey", "l_linenumber", "l_partkey", "size", "l_extendedprice")
         token = F.when(F.col("side").isin(0, 2), F.col("yes_price")).otherwise(F.round(1 - F.col("yes_price"), 4))
-        return self.prints.select("market_id", "wallet", "ts", "side", "size", "yes_price", token.alias("token_price"), F.row_number().over(order).cast("long").alias("seq")).persist()
+        return self.kept("tape", self.prints.select("market_id", "wallet", "ts", "side", "size", "yes_price", token.alias("token_price"), F.row_number().over(order).cast("long").alias("seq")))
+
     @cached_property
     def labels(self) -> DataFrame:
         return self.markets.select("market_id", "payout_yes", "event_at", "label_available_at")
@@ -142,10 +168,12 @@ class View:
 
     @cached_property
     def rolled(self) -> DataFrame:
-        return bars.rolling_bars(self.dense, WIDTH).persist()
+        return self.kept("rolled", bars.rolling_bars(self.dense, WIDTH))
+
     @cached_property
     def activations(self) -> DataFrame:
-        return bars.activation(self.rolled, self.markets, self.rules).persist()
+        return self.kept("activations", bars.activation(self.rolled, self.markets, self.rules))
+
     @cached_property
     def gate(self) -> DataFrame:
         return self.activations.where(F.col("rule") == CHAIN_RULE)
@@ -161,7 +189,8 @@ class View:
     @cached_property
     def settlements(self) -> DataFrame:
         before = self.tape.join(self.labels.select("market_id", "event_at"), "market_id").where("ts < event_at").select(*self.tape.columns)
-        return history.settlements(before, self.labels).persist()
+        return self.kept("settlements", history.settlements(before, self.labels))
+
     @cached_property
     def vectors(self) -> DataFrame:
         return self.table("embeddings").join(self.markets.select(F.col("market_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("market_id"), F.col("embedding").alias("vector"))
@@ -176,10 +205,11 @@ class View:
 
     @cached_property
     def observations(self) -> DataFrame:
-        return signal.observations(self.gated, self.skills).persist()
+        return self.kept("observations", signal.observations(self.gated, self.skills))
+
     @cached_property
     def signals(self) -> DataFrame:
-        return signal.consensus(self.observations, CONSENSUS).persist()
+        return self.kept("signals", signal.consensus(self.observations, CONSENSUS))
 
     @cached_property
     def candidates(self) -> DataFrame:
@@ -191,18 +221,20 @@ class View:
 
     @cached_property
     def orders(self) -> DataFrame:
-        return execution.order_stakes(self.entries, self.account, execution.observed_notional(self.tape), self.cases).where("stake > 0").persist()
+        return self.kept("orders", execution.order_stakes(self.entries, self.account, execution.observed_notional(self.tape), self.cases).where("stake > 0"))
 
     @cached_property
     def fills(self) -> DataFrame:
-        return execution.participation_fills(self.orders, self.tape, self.cases).persist()
+        return self.kept("fills", execution.participation_fills(self.orders, self.tape, self.cases))
 
     @cached_property
     def positions(self) -> DataFrame:
-        return execution.settle_positions(self.fills, self.labels).persist()
+        return self.kept("positions", execution.settle_positions(self.fills, self.labels))
+
     @cached_property
     def equity(self) -> DataFrame:
-        return execution.daily_marks(self.fills, self.positions, self.tape, INITIAL).persist()
+        return self.kept("equity", execution.daily_marks(self.fills, self.positions, self.tape, INITIAL))
+
     @cached_property
     def raw_markets(self) -> DataFrame:
         s = F.col("s_suppkey")
@@ -251,7 +283,6 @@ class View:
         return cleaning.normalize_markets(self.raw_markets)
 
 
-
 SQL = [
     """markets AS (
   SELECT s_suppkey AS market_id,
