@@ -75,7 +75,7 @@ def audit_fills(fills: DataFrame, tape: DataFrame, activations: DataFrame, order
     and, with slippage, its price.
     """
     key = ["case", "market_id", "child"]
-    rows = fills.join(F.broadcast(cases), "case").join(orders.select("case", "market_id", "allowed_price", "stake"), ["case", "market_id"], "left").join(activations.select("market_id", "time"), "market_id", "left")
+    rows = fills.join(cases, "case").join(orders.select("case", "market_id", "allowed_price", "stake"), ["case", "market_id"], "left").join(activations.select("market_id", "time"), "market_id", "left")
     prints = tape.select("market_id", F.col("ts").alias("filled_at"), F.col("size").alias("source_size"), F.col("side").alias("source_side"), "yes_price")
     adjusted = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(F.col("direction") == "YES", F.col("yes_price")).otherwise(F.round(1 - F.col("yes_price"), 4)) * (1 + F.col("slippage_bps") / 10000))), 9)
     found = rows.join(prints, ["market_id", "filled_at", "source_size", "source_side"]).where(F.abs(adjusted - F.col("fill_price")) <= tolerance).groupBy(*key).agg(F.count("*").alias("sources"))

@@ -28,7 +28,7 @@ def order_stakes(candidates: DataFrame, account: DataFrame, observed: DataFrame,
     """
     from tapeworks.functions.columns import risk_class
 
-    rows = candidates.join(F.broadcast(account), "case").join(F.broadcast(cases), "case").join(observed, ["market_id", "seq"], "left")
+    rows = candidates.join(F.broadcast(account), "case").join(cases, "case").join(observed, ["market_id", "seq"], "left")
     target = F.greatest(F.lit(0.0), F.col("equity") * F.col("target_fraction"))
     available = F.greatest(F.lit(0.0), F.col("cash") - F.col("equity") * F.col("buffer_fraction"))
     edge = F.greatest(F.lit(0.0), F.col("confidence") - F.col("price")) * 365 / F.greatest(F.col("wait_days"), F.lit(1e-9))
@@ -63,7 +63,7 @@ def observed_notional(tape: DataFrame) -> DataFrame:
 
 def _later(orders: DataFrame, tape: DataFrame, cases: DataFrame) -> DataFrame:
     """Orders with each later print that is due, not expired and of the wanted kind; o_ columns are the order's."""
-    o = orders.select(*[F.col(c).alias(f"o_{c}") for c in orders.columns]).join(F.broadcast(cases), F.col("o_case") == F.col("case"))
+    o = orders.select(*[F.col(c).alias(f"o_{c}") for c in orders.columns]).join(cases, F.col("o_case") == F.col("case"))
     rows = o.join(tape, F.col("o_market_id") == F.col("market_id"))
     due = F.col("o_ts") + F.col("delay")
     rows = rows.where((F.col("seq") > F.col("o_seq")) & (F.col("ts") >= due) & (F.col("expiry").isNull() | (F.col("ts") <= due + F.col("expiry"))))
@@ -154,26 +154,26 @@ def daily_marks(fills: DataFrame, positions: DataFrame, tape: DataFrame, initial
     """(case, day, cash, open_notional, open_value, unrealized, equity) at the end of each UTC day with an event of the case.
 
     Open positions are valued at the market's last price up to the day. Each price is the last
-    of its day, so what is joined is days, not prints.
+    of its day, so what is joined is days, not prints; a position has a row only for days on which
+    it is open, and cash is carried on by case and day.
     """
     day = F.floor(F.col("ts") / 86400).alias("day")
     opened = fills.select("case", "market_id", "direction", F.floor(F.col("filled_at") / 86400).alias("day"), "quantity", "notional", (-F.col("notional") - F.col("fee")).alias("cash"))
     closed = positions.where("payout is not null").select("case", "market_id", "direction", F.floor(F.col("resolved_at") / 86400).alias("day"), (-F.col("quantity")).alias("quantity"), (-F.col("notional")).alias("notional"), F.col("payout").alias("cash"))
     moves = opened.unionByName(closed).groupBy("case", "market_id", "direction", "day").agg(F.sum("quantity").alias("quantity"), F.sum("notional").alias("notional"), F.sum("cash").alias("cash"))
-    days = moves.select("case", "day").distinct()
-    spans = moves.groupBy("case", "market_id", "direction").agg(F.min("day").alias("first"))
-    grid = days.join(spans, "case").where("day >= first").select("case", "market_id", "direction", "day")
-    so_far = Window.partitionBy("case", "market_id", "direction").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    held = grid.join(moves, ["case", "market_id", "direction", "day"], "left").fillna(0.0, ["quantity", "notional", "cash"])
-    held = held.select("case", "market_id", "direction", "day", F.sum("quantity").over(so_far).alias("quantity"), F.sum("notional").over(so_far).alias("notional"), F.sum("cash").over(so_far).alias("cash"))
+    so_far = Window.partitionBy("case").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    days = moves.groupBy("case", "day").agg(F.sum("cash").alias("cash")).select("case", "day", (F.sum("cash").over(so_far) + initial).alias("cash"))
+    # a holding lasts from one of its moves to the next, and is open if something is left
+    of_position = Window.partitionBy("case", "market_id", "direction").orderBy("day")
+    sums = of_position.rowsBetween(Window.unboundedPreceding, 0)
+    held = moves.select("case", "market_id", "direction", F.col("day").alias("from"), F.lead("day").over(of_position).alias("to"), F.sum("quantity").over(sums).alias("quantity"), F.sum("notional").over(sums).alias("notional")).where("quantity > 1e-9")
+    held = held.join(days.select("case", "day"), "case").where("day >= `from` and (`to` is null or day < `to`)")
     prices = tape.select("market_id", day, "ts", "seq", "yes_price").groupBy("market_id", "day").agg(F.max_by("yes_price", F.struct("ts", "seq")).alias("yes_price"))
     needed = held.select("market_id", "day").distinct().withColumn("need", F.lit(True)).join(prices, ["market_id", "day"], "full_outer")
     filled = needed.withColumn("last_price", F.last("yes_price", True).over(Window.partitionBy("market_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0))).where("need").select("market_id", "day", "last_price")
-    rows = held.join(filled, ["market_id", "day"], "left")
-    open_ = F.col("quantity") > 1e-9
-    value = F.when(open_, F.col("quantity") * price_for(F.col("direction"), F.col("last_price"))).otherwise(0.0)
-    cost = F.when(open_, F.col("notional")).otherwise(0.0)
-    out = rows.groupBy("case", "day").agg((F.sum("cash") + initial).alias("cash"), F.sum(cost).alias("open_notional"), F.sum(value).alias("open_value"))
+    value = F.col("quantity") * price_for(F.col("direction"), F.col("last_price"))
+    open_ = held.join(filled, ["market_id", "day"], "left").groupBy("case", "day").agg(F.sum("notional").alias("open_notional"), F.sum(value).alias("open_value"))
+    out = days.join(open_, ["case", "day"], "left").fillna(0.0, ["open_notional", "open_value"])
     return out.withColumns({"unrealized": F.col("open_value") - F.col("open_notional"), "equity": F.col("cash") + F.col("open_value")})
 
 

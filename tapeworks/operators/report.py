@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,21 +55,30 @@ def drawdown(equity: DataFrame, initial: float | None = None) -> DataFrame:
     return equity.select("case", "day", "equity", peak.alias("peak"), (F.col("equity") / peak - 1).alias("drawdown"))
 
 
+def poisson_steps(n: int = 7) -> list[float]:
+    """The probabilities that a Poisson(1) number is at most 0, 1, ... n - 1."""
+    out, total, term = [], 0.0, math.exp(-1)
+    for k in range(1, n + 1):
+        total += term
+        out.append(total)
+        term /= k
+    return out
+
+
 def bootstrap_ci(positions: DataFrame, draws: int = 200, seed: int = 7) -> DataFrame:
     """(case, n, low, high): 95 % interval of the mean return, null for fewer than two positions.
 
     Each draw weights every position by a Poisson(1) number that depends on seed, draw, case and
-    market only, so positions are never gathered; draws are rows of one aggregation.
+    market only (by MD5, so that any engine can repeat it), so positions are never gathered; draws
+    are rows of one aggregation.
     """
     rets = positions.where("pnl is not null and notional > 0").select("case", "market_id", (F.col("pnl") / F.col("notional")).alias("ret"))
     rows = rets.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "draw", "case", "market_id"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    total, term, weight = 0.0, 0.36787944117144233, F.lit(0)
-    for k in range(1, 8):
-        total += term
-        weight = weight + (F.col("u") > total).cast("int")
-        term /= k
-    means = rows.withColumn("u", u).withColumn("w", weight).groupBy("case", "draw").agg((F.sum(F.col("w") * F.col("ret")) / F.sum("w")).alias("mean"))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), "case", F.col("market_id").cast("string")))
+    u = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") + 0.5) / float(1 << 32)
+    weight = reduce(lambda a, x: a + (F.col("u") > x).cast("int"), poisson_steps(), F.lit(0))
+    drawn = rows.withColumn("u", u).withColumn("w", weight).groupBy("case", "draw").agg(F.sum(F.col("w") * F.col("ret")).alias("s"), F.sum("w").alias("w"))
+    means = drawn.where("w > 0").select("case", (F.col("s") / F.col("w")).alias("mean"))
     interval = means.groupBy("case").agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
     out = rets.groupBy("case").agg(F.count("*").alias("n")).join(interval, "case", "left")
     return out.select("case", "n", *[F.when(F.col("n") >= 2, F.col(c)).alias(c) for c in ("low", "high")])

@@ -8,7 +8,8 @@ c^2 - (c - w)^2 for each row. With a lookback rows also leave; that goes market
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Hashable, Iterator
 from dataclasses import asdict, dataclass
 
 import pandas as pd
@@ -143,11 +144,41 @@ def batch_consensus(obs: DataFrame, cfg: ConsensusConfig) -> DataFrame:
     return decision(wallets.groupBy("market_id").agg(*parts), cfg, ["market_id"])
 
 
+class Largest:
+    """The largest of values that change one by one: a heap in which outdated entries stay until they come up."""
+
+    def __init__(self) -> None:
+        self.now: dict = {}
+        self.heap: list = []
+
+    def set(self, key: Hashable, value: float | None) -> None:
+        if value is None:
+            self.now.pop(key, None)
+        else:
+            self.now[key] = value
+            heapq.heappush(self.heap, (-value, key))
+        if len(self.heap) > 2 * len(self.now) + 64:
+            self.heap = [(-v, k) for k, v in self.now.items()]
+            heapq.heapify(self.heap)
+
+    def value(self) -> float:
+        while self.heap and self.now.get(self.heap[0][1]) != -self.heap[0][0]:
+            heapq.heappop(self.heap)
+        return -self.heap[0][0] if self.heap else 0.0
+
+
 class Flow:
-    """Running flow of one market: small state of sums by wallet and direction."""
+    """Running flow of one market: sums by wallet and direction, and what a decision needs of them, kept as prints come and go.
+
+    A print costs the logarithm of the number of wallets.
+    """
 
     def __init__(self, cfg: dict):
-        self.cfg, self.by, self.count, self.sums = cfg, {}, {}, {"YES": [0.0] * 5, "NO": [0.0] * 5}
+        self.cfg, self.by, self.count = cfg, {}, {}
+        self.sums = {"YES": [0.0] * 5, "NO": [0.0] * 5}
+        self.squares = {"YES": 0.0, "NO": 0.0}
+        self.wallets = {d: Largest() for d in ("YES", "NO", "both")}
+        self.touched: set = set()
 
     def weigh(self, row: dict) -> float | None:
         c = self.cfg
@@ -156,27 +187,37 @@ class Flow:
             return None
         return {"skill_volume": row["skill"] * row["volume"], "volume": row["volume"], "skill": row["skill"], "equal": 1.0}[c["weighting"]]
 
+    def put(self, wallet: Hashable, direction: str, weight: float, count: int) -> None:
+        """Sets what a wallet has in a direction; count 0: nothing."""
+        key, side = (wallet, direction), self.wallets[direction]
+        self.squares[direction] -= self.by.get(key, 0.0) ** 2
+        if count:
+            self.by[key], self.count[key] = weight, count
+            self.squares[direction] += weight**2
+        else:
+            self.by.pop(key, None)
+            self.count.pop(key, None)
+        side.set(wallet, self.by.get(key))
+        if not side.now:
+            self.squares[direction] = 0.0
+        own = [self.by[wallet, d] for d in ("YES", "NO") if (wallet, d) in self.by]
+        self.wallets["both"].set(wallet, sum(own) if own else None)
+
     def apply(self, row: dict, sign: int) -> None:
         w = self.weigh(row)
         if w is None:
             return
         key = (row["wallet"], row["direction"])
-        self.count[key] = self.count.get(key, 0) + sign
-        self.by[key] = self.by.get(key, 0.0) + sign * w
-        if not self.count[key]:
-            del self.count[key], self.by[key]
+        self.put(*key, self.by.get(key, 0.0) + sign * w, self.count.get(key, 0) + sign)
+        self.touched.add(key)
         for i, x in enumerate((1.0, *(row[c] for c in DIAGNOSTICS.values()))):
             self.sums[row["direction"]][i] += sign * w * x
 
     def decide(self) -> tuple:
         """yes, no, wallets, largest, then for YES and NO: wallets, squares, largest, four sums."""
-        totals: dict = {}
-        for (wallet, _), w in self.by.items():
-            totals[wallet] = totals.get(wallet, 0.0) + w
-        out = [max(0.0, self.sums["YES"][0]), max(0.0, self.sums["NO"][0]), len(totals), max(totals.values(), default=0.0)]
+        out = [max(0.0, self.sums["YES"][0]), max(0.0, self.sums["NO"][0]), len(self.wallets["both"].now), max(0.0, self.wallets["both"].value())]
         for d in ("YES", "NO"):
-            own = [w for (_, e), w in self.by.items() if e == d]
-            out += [len(own), sum(w * w for w in own), max(own, default=0.0), *self.sums[d][1:]]
+            out += [len(self.wallets[d].now), max(0.0, self.squares[d]), max(0.0, self.wallets[d].value()), *self.sums[d][1:]]
         return tuple(out)
 
 
@@ -187,7 +228,7 @@ _OBS = ["wallet", "direction", "volume", "skill", "weighted_history_notional", *
 def rolling_consensus(obs: DataFrame, cfg: ConsensusConfig, lookback: int) -> DataFrame:
     """Like consensus, but an observation older than lookback seconds (strictly) has left; it leaves at the next print of its market, after that was added.
 
-    The state is kept market by market, over sorted rows.
+    The state is kept market by market, over sorted rows; a row costs the logarithm of the wallets.
     """
     from collections import deque
 
@@ -228,7 +269,7 @@ def entry_candidates(signals: DataFrame, markets: DataFrame, cases: DataFrame) -
     min_edge, consensus, high_confidence, price_low, price_high, stable_floor, lottery_low,
     lottery_high, min_days, max_days, planning_days (null: days to the scheduled close).
     """
-    rows = signals.where("should_trade and direction is not null").join(markets.select("market_id", "close_at", "question"), "market_id").crossJoin(F.broadcast(cases))
+    rows = signals.where("should_trade and direction is not null").join(markets.select("market_id", "close_at", "question"), "market_id").crossJoin(cases)
     rows = rows.withColumn("price", price_for(F.col("direction"), F.col("yes_price")))
     share = (F.greatest(F.col("consensus"), F.least(F.col("high_confidence"), F.col("confidence"))) - F.col("consensus")) / (F.col("high_confidence") - F.col("consensus"))
     ramp = F.when(F.col("high_confidence") <= F.col("consensus"), F.col("price_low")).otherwise(F.col("price_low") + share * (F.col("price_high") - F.col("price_low")))

@@ -39,26 +39,29 @@ def market_pairs(vectors: DataFrame, threshold: float = 0.0, power: float = 1.0,
     """(target, other, cosine, weight) of different markets with weight above 0.
 
     Vectors are dealt into blocks by a hash of the market; a task multiplies two blocks as
-    matrices and emits what has weight, so that no row is made for a pair without.
+    matrices, each pair of blocks once, and emits what has weight, in both directions, so that no
+    row is made for a pair without.
     """
     n = max(1, -(-vectors.count() // block))
     kind = vectors.schema["market_id"].dataType.simpleString()
-    dealt = vectors.select("market_id", "vector", F.pmod(F.xxhash64("market_id"), F.lit(n)).cast("int").alias("b"))
-    left = dealt.select("market_id", "vector", F.col("b").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
-    right = dealt.select(F.col("market_id").alias("other_id"), F.col("vector").alias("other_vector"), F.col("b").alias("other_j"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other_i"))
-
-    def product(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"target": [], "other": [], "cosine": []})
-        x, y = (np.stack(v.to_numpy()).astype(np.float64) for v in (a["vector"], b["other_vector"]))
-        x, y = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) for v in (x, y))
-        cos = x @ y.T
-        ia, ib = np.nonzero(cos > threshold)
-        keep = a["market_id"].to_numpy()[ia] != b["other_id"].to_numpy()[ib]
-        ia, ib = ia[keep], ib[keep]
-        return pd.DataFrame({"target": a["market_id"].to_numpy()[ia], "other": b["other_id"].to_numpy()[ib], "cosine": cos[ia, ib]})
-
-    pairs = left.groupBy("i", "j").cogroup(right.groupBy("other_i", "other_j")).applyInPandas(product, f"target {kind}, other {kind}, cosine double")
+    dealt = vectors.select("market_id", "vector", F.pmod(F.xxhash64("market_id"), F.lit(n)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    dealt = dealt.select("market_id", "vector", "b", F.least("b", "k").alias("i"), F.greatest("b", "k").alias("j"))
+
+    def product(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = key
+        v = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        ids, b = pdf["market_id"].to_numpy(), pdf["b"].to_numpy()
+        left, right = np.flatnonzero(b == i), np.flatnonzero(b == j)
+        cos = v[left] @ v[right].T
+        above = cos > threshold
+        x, y = np.nonzero(np.triu(above, 1) if i == j else above)
+        t, o, c = ids[left[x]], ids[right[y]], cos[x, y]
+        different = t != o
+        t, o, c = t[different], o[different], c[different]
+        return pd.DataFrame({"target": np.concatenate([t, o]), "other": np.concatenate([o, t]), "cosine": np.concatenate([c, c])})
+
+    pairs = dealt.groupBy("i", "j").applyInPandas(product, f"target {kind}, other {kind}, cosine double")
     return pairs.withColumn("weight", similarity_kernel(F.col("cosine"), threshold, power, normalize)).where("weight > 0")
 
 
@@ -76,5 +79,5 @@ def shuffle_vectors(vectors: DataFrame, seed: int) -> DataFrame:
         return ranged.join(F.broadcast(starts), "p").withColumn("place", F.col("start") + F.row_number().over(Window.partitionBy("p").orderBy(key)))
 
     ids = placed(vectors.select("market_id"), "market_id").select("place", "market_id")
-    order = placed(vectors.select("vector", F.struct(F.xxhash64("market_id", F.lit(seed)), F.col("market_id")).alias("k")), "k").select("place", "vector")
+    order = placed(vectors.select("vector", F.struct(F.md5(F.concat(F.col("market_id").cast("string"), F.lit(f":{seed}"))), F.col("market_id")).alias("k")), "k").select("place", "vector")
     return ids.join(order, "place").select("market_id", "vector")

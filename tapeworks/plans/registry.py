@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 from tapeworks.functions import columns as col
 from tapeworks.operators import audit, bars, execution, history, report, signal, skill, vectors
 from tapeworks.plans import testtape as tt
-from tapeworks.plans.testtape import END, INITIAL, START, View, oracle
+from tapeworks.plans.testtape import END, INITIAL, START, View, oracle, shared_dir
 from tapeworks.sources import cleaning, tape
 from tapeworks.streaming import streams
 
@@ -44,19 +42,24 @@ def add(name: str, build: Callable[[View], DataFrame], sql: str | None = None, r
         ORACLE_SQL[name] = oracle(sql, *more)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or, where none is set (tests), a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tapeworks-")
-    return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 # Sources and cleaning
 
 
-def _read_tape(v: View) -> DataFrame:
-    path = f"{v.sf_dir}/lineitem.parquet"
-    df = tape.read_tape(v.spark, path, "l_orderkey long, l_suppkey long, l_quantity double, l_shipdate timestamp_ntz")
-    return df.groupBy("l_suppkey").agg(F.count("*").alias("rows"), F.sum("l_quantity").alias("quantity"), F.max("l_orderkey").alias("last_order"))
+def _read_inputs(v: View) -> DataFrame:
+    """A prepared archive, written from the tables (metadata as gzipped JSON lines), read back by its schemas, with what its parts do not agree on."""
+    at = shared_dir(v.spark)
+    m = F.concat(F.lit("m"), F.col("market_id").cast("string")).alias("market_id")
+    k = F.col("market_id")
+    v.markets.select(m, "question", "category", F.timestamp_seconds("event_at").alias("created_at"), F.col("volume").cast("double").alias("volume"), F.array(F.lit("Yes"), F.lit("No")).alias("outcome_labels")).write.option("compression", "gzip").json(f"{at}/markets")
+    v.tape.select(m, F.concat(F.lit("w"), F.col("wallet").cast("string")).alias("wallet"), "ts", F.col("side").cast("tinyint").alias("side"), F.col("size").cast("double").alias("size"), "yes_price", "token_price", "seq").write.parquet(f"{at}/tape")
+    v.labels.select(m, F.when(k % 10 == 3, F.col("payout_yes") + 1).otherwise(F.col("payout_yes")).alias("payout_yes"), "event_at", F.when(k % 10 == 4, F.col("event_at")).otherwise(F.col("label_available_at")).alias("label_available_at"), F.lit("t").alias("tier")).write.parquet(f"{at}/labels")
+    gone = v.vectors.where("market_id % 10 != 5").select(m, F.when(k % 10 == 6, F.array_append(F.slice("vector", 1, 3), F.lit(float("nan")).cast("float"))).otherwise(F.col("vector")).alias("vector"))
+    gone.write.parquet(f"{at}/vectors")
+    inputs = tape.load_inputs(v.spark, at)
+    prints = inputs["tape"].groupBy("market_id").agg(F.count("*").alias("rows"), F.sum("size").alias("quantity"))
+    problems = tape.inventory(inputs).groupBy("market_id").agg(F.array_join(F.sort_array(F.collect_set("problem")), ",").alias("problems"))
+    out = inputs["markets"].select("market_id", "question", F.unix_seconds("created_at").alias("created_at"), "volume", F.size("outcome_labels").alias("outcomes"))
+    return out.join(prints, "market_id", "left").join(inputs["labels"].select("market_id", "label_available_at"), "market_id", "left").join(problems, "market_id", "left")
 
 
 def _write_outputs(v: View) -> DataFrame:
@@ -64,7 +67,14 @@ def _write_outputs(v: View) -> DataFrame:
     return v.spark.read.parquet(to).select("case", "market_id", "seq", "direction", "bucket")
 
 
-add("O01_read_tape", _read_tape, "SELECT l_suppkey, count(*) AS rows, sum(l_quantity) AS quantity, max(l_orderkey) AS last_order FROM lineitem GROUP BY l_suppkey")
+add(
+    "O01_read_tape",
+    _read_inputs,
+    """SELECT 'm' || m.market_id AS market_id, question, event_at AS created_at, CAST(volume AS DOUBLE) AS volume, 2 AS outcomes, rows, quantity, CASE WHEN m.market_id % 10 = 4 THEN event_at ELSE label_available_at END AS label_available_at,
+      CASE WHEN m.market_id % 10 = 3 AND payout_yes > 0 THEN 'label_payout' WHEN m.market_id % 10 = 4 THEN 'label_time' WHEN m.market_id % 10 = 5 OR e.vec_id IS NULL THEN 'vector_missing' WHEN m.market_id % 10 = 6 THEN 'vector_not_finite,vector_width' END AS problems
+    FROM markets m LEFT JOIN (SELECT market_id, count(*) AS rows, sum(size) AS quantity FROM tape GROUP BY ALL) t ON m.market_id = t.market_id LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) e ON e.vec_id = m.market_id""",
+    "quantity:4",
+)
 add("O02_write_case_outputs", _write_outputs, 'SELECT "case", market_id, seq, direction, bucket FROM entries')
 add(
     "O03_normalize_markets",
@@ -170,22 +180,42 @@ add("O16_label_boundary", lambda v: cleaning.label_boundary(_evidence(v), START
 
 
 def _quality(v: View) -> DataFrame:
-    bad = v.tape.withColumns({"ts": F.when(F.col("seq") % 50 == 0, F.col("ts") - 400000).otherwise(F.col("ts")), "size": F.when(F.col("seq") % 70 == 0, 0.0).otherwise(F.col("size")), "yes_price": F.when(F.col("seq") % 90 == 0, F.col("yes_price") + 2).otherwise(F.col("yes_price"))})
-    return cleaning.tape_quality(bad, v.tape.groupBy("market_id").agg((F.count("*") + F.when(F.col("market_id") % 2 == 0, 1).otherwise(0)).alias("rows")))
+    k, ts, size, yes, token = (F.col(c) for c in ("seq", "ts", "size", "yes_price", "token_price"))
+    bad = v.tape.withColumns({
+        "ts": F.when(k % 50 == 0, ts - 400000).otherwise(ts),
+        "size": F.when(k % 70 == 0, 0.0).when(k % 130 == 0, float("nan")).when(k % 190 == 0, float("inf")).when(k % 170 != 0, size),
+        "yes_price": F.when(k % 90 == 0, yes + 2).when(k % 210 != 0, yes),
+        "token_price": F.when(k % 110 == 0, token + 0.00001).otherwise(token),
+    })
+    m = F.col("market_id")
+    bounds = [F.lit(START).alias("start"), F.when(m % 3 == 0, START + 50 * 86400).otherwise(END).alias("end")]
+    return cleaning.tape_quality(bad, v.tape.groupBy("market_id").agg((F.count("*") + F.when(m % 2 == 0, 1).otherwise(0)).alias("rows")).select("market_id", "rows", *bounds))
 
 
 add(
     "O17_tape_quality",
     _quality,
-    """SELECT * FROM (
-      SELECT market_id, unnest(['order', 'price_range', 'size', 'price_mapping', 'count']) AS "check", unnest([o, p, s, p, CASE WHEN market_id % 2 = 0 THEN 1 ELSE 0 END]) AS violations FROM (
-        SELECT market_id, count(*) FILTER (ts < b) AS o, count(*) FILTER (seq % 90 = 0) AS p, count(*) FILTER (seq % 70 = 0) AS s FROM (
-          SELECT *, lag(ts) OVER (PARTITION BY market_id ORDER BY seq) AS b FROM (SELECT market_id, seq, CASE WHEN seq % 50 = 0 THEN ts - 400000 ELSE ts END AS ts FROM tape)) GROUP BY market_id)) WHERE violations > 0""",
+    f"""SELECT * FROM (
+      SELECT market_id, unnest(['order', 'bounds', 'price_range', 'size', 'price_mapping', 'count']) AS "check", unnest([o, b, p, s, m, CASE WHEN market_id % 2 = 0 THEN 1 ELSE 0 END]) AS violations FROM (
+        SELECT market_id, count(*) FILTER (ts < before) AS o, count(*) FILTER (ts < {START} OR ts > CASE WHEN market_id % 3 = 0 THEN {START + 50 * 86400} ELSE {END} END) AS b,
+          count(*) FILTER (yes IS NULL OR yes < 0 OR yes > 1 OR token < 0 OR token > 1) AS p, count(*) FILTER (size IS NULL OR isnan(size) OR isinf(size) OR size <= 0) AS s,
+          count(*) FILTER (abs(CASE WHEN side IN (0, 2) THEN yes ELSE 1 - yes END - token) > 1e-12) AS m
+        FROM (SELECT *, lag(ts) OVER (PARTITION BY market_id ORDER BY seq) AS before FROM (
+          SELECT market_id, seq, side, CASE WHEN seq % 50 = 0 THEN ts - 400000 ELSE ts END AS ts,
+            CASE WHEN seq % 70 = 0 THEN 0 WHEN seq % 130 = 0 THEN 'nan'::DOUBLE WHEN seq % 190 = 0 THEN 'infinity'::DOUBLE WHEN seq % 170 <> 0 THEN size END AS size,
+            CASE WHEN seq % 90 = 0 THEN yes_price + 2 WHEN seq % 210 <> 0 THEN yes_price END AS yes, CASE WHEN seq % 110 = 0 THEN token_price + 0.00001::DOUBLE ELSE token_price END AS token FROM tape)) GROUP BY market_id)) WHERE violations > 0""",
     "violations:i",
 )
+
+
+def _largest(v: View, n: int) -> DataFrame:
+    """The n markets of largest volume, with their rank: n rows are ordered, not all."""
+    return v.markets.orderBy(F.desc("volume"), "market_id").limit(n).withColumn("rank", F.row_number().over(tt.Window.orderBy(F.desc("volume"), "market_id")))
+
+
 add(
     "O18_coverage_stats",
-    lambda v: cleaning.coverage_stats(v.tape, v.markets.select("market_id", "category", "close_at", F.col("event_at").alias("created_at"), F.row_number().over(tt.Window.orderBy(F.desc("volume"), "market_id")).alias("rank")), v.settlements, [3, 5, 50], START + 3000000, END - 3000000),
+    lambda v: cleaning.coverage_stats(v.tape, _largest(v, 50).select("market_id", "category", "close_at", F.col("event_at").alias("created_at"), "rank"), v.settlements, [3, 5, 50], START + 3000000, END - 3000000),
     f"""SELECT CAST(cohort AS INT) AS cohort, count(*) AS markets, count(*) FILTER (p > 0) AS with_prints, sum(coalesce(p, 0)) AS prints, sum(coalesce(w, 0)) AS in_window, sum(coalesce(s, 0)) AS settlements, count(DISTINCT category) AS categories, count(*) FILTER (event_at < {START + 3000000}) AS created_before
     FROM (SELECT *, row_number() OVER (ORDER BY volume DESC, market_id) AS rank FROM markets) m JOIN (SELECT unnest([3, 5, 50]) AS cohort) c ON rank <= cohort
       LEFT JOIN (SELECT market_id, count(*) AS p, count(*) FILTER (ts BETWEEN {START + 3000000} AND {END - 3000000}) AS w FROM tape GROUP BY ALL) t ON m.market_id = t.market_id
@@ -281,6 +311,17 @@ add(
 
 _STATS = "weighted_score:6 weighted_history_notional:4 effective_history_markets:6 mean_similarity:6 positive_history_weight_fraction:6 weighted_score_std:6 supporting_markets:i"
 add("O45_embed_text", lambda v: vectors.hashing_vectors(v.markets).select("market_id", F.size("vector").alias("features"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm")), "SELECT market_id, 4096 AS features, 1.0::DOUBLE AS norm FROM markets")
+def _encoder(texts: list[str]) -> list[list[float]]:
+    return [[1.0, len(t), t.count(" "), sum(c.isdigit() for c in t)] for t in texts]
+
+
+add(
+    "O45_embed_text_encoder",
+    lambda v: vectors.encoded_vectors(v.markets, _encoder).select("market_id", *[F.get("vector", F.lit(i)).alias(f"v{i}") for i in range(4)]),
+    """SELECT market_id, 1 / n AS v0, l / n AS v1, s / n AS v2, d / n AS v3 FROM (SELECT *, sqrt(1 + l * l + s * s + d * d) AS n FROM (
+      SELECT market_id, length(question)::DOUBLE AS l, length(question) - length(replace(question, ' ', ''))::DOUBLE AS s, length(regexp_replace(question, '[^0-9]', '', 'g'))::DOUBLE AS d FROM markets))""",
+    "v0:5 v1:5 v2:5 v3:5",
+)
 add("O46_market_pairs", lambda v: v.pairs, "SELECT * FROM pairs", "cosine:6 weight:6")
 add("O48_wallet_skill_uniform", lambda v: v.skills, "SELECT * FROM skills", _STATS)
 add(
@@ -297,7 +338,14 @@ add(
     _STATS,
     (tt.skill_sql("by_kernel", weight="s.notional * coalesce(p.weight, 0)", joins="LEFT JOIN pairs p ON p.target = t.market_id AND p.other = s.market_id"),),
 )
-add("O49_shuffle_vectors", lambda v: vectors.shuffle_vectors(v.vectors, 7).select("market_id", F.size("vector").alias("width")), "SELECT vec_id AS market_id, CAST(len(embedding) AS INT) AS width FROM embeddings WHERE vec_id IN (SELECT market_id FROM markets)")
+add(
+    "O49_shuffle_vectors",
+    lambda v: vectors.shuffle_vectors(v.vectors, 7).select("market_id", F.size("vector").alias("width"), *[F.get("vector", F.lit(i)).cast("double").alias(f"v{i}") for i in range(3)]),
+    """SELECT i.vec_id AS market_id, CAST(len(o.embedding) AS INT) AS width, o.embedding[1]::DOUBLE AS v0, o.embedding[2]::DOUBLE AS v1, o.embedding[3]::DOUBLE AS v2
+    FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings WHERE vec_id IN (SELECT market_id FROM markets)) i
+    JOIN (SELECT embedding, row_number() OVER (ORDER BY md5(vec_id || ':7'), vec_id) AS k FROM embeddings WHERE vec_id IN (SELECT market_id FROM markets)) o ON i.k = o.k""",
+    "v0:5 v1:5 v2:5",
+)
 _DECISION = "confidence:6 total_weight:3 wallet_share:6 effective_wallets:6 directional_share:6 mean_history_markets:6 mean_similarity_seen:6 mean_positive_fraction:6 mean_score_std:6"
 add("O50_consensus", lambda v: v.signals, "SELECT * FROM signals", _DECISION + " yes_price:4")
 add(
@@ -376,7 +424,17 @@ def _summary(v: View) -> DataFrame:
 
 
 add("O29_case_summary", _summary, "SELECT * FROM summary", _SUMMARY_R, (_SUMMARY,))
-add("O30_bootstrap_ci", lambda v: report.bootstrap_ci(v.positions))
+add(
+    "O30_bootstrap_ci",
+    lambda v: report.bootstrap_ci(v.positions),
+    f"""SELECT n."case", n, CASE WHEN n >= 2 THEN low END AS low, CASE WHEN n >= 2 THEN high END AS high FROM (SELECT "case", count(*) AS n FROM rets GROUP BY ALL) n LEFT JOIN (
+      SELECT "case", quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM (
+        SELECT "case", draw, sum(w * ret) / nullif(sum(w), 0) AS mean FROM (
+          SELECT *, {" + ".join(f"CASE WHEN u > {x!r} THEN 1 ELSE 0 END" for x in report.poisson_steps())} AS w FROM (
+            SELECT *, (('0x' || substr(md5('7|' || draw || '|' || "case" || '|' || market_id), 1, 8))::BIGINT + 0.5) / 4294967296 AS u FROM rets, (SELECT unnest(range(1, 201)) AS draw))) GROUP BY ALL) GROUP BY ALL) x ON n."case" = x."case\"""",
+    "low:6 high:6",
+    ("""rets AS (SELECT "case", market_id, pnl / notional AS ret FROM positions WHERE pnl IS NOT NULL AND notional > 0)""",),
+)
 _PERIODS = " UNION ALL ".join(
     f"""SELECT e."case", '{g}' AS grain, e.period, coalesce(lag(end_equity) OVER (PARTITION BY e."case" ORDER BY e.period), {INITIAL}) AS start_equity, end_equity, coalesce(closed, 0) AS closed, coalesce(wins, 0) AS wins, coalesce(pnl, 0) AS pnl, coalesce(fees, 0) AS fees, coalesce(worst, 0) AS worst
     FROM (SELECT "case", {p.format("day * 86400")} AS period, arg_max(equity, day) AS end_equity FROM equity GROUP BY ALL) e
@@ -396,7 +454,7 @@ add("O33_bucket_win_rates", lambda v: report.bucket_win_rates(v.positions, v.ord
 add("O71_pnl_tail", lambda v: report.pnl_tail(v.positions, 5), 'SELECT "case", CAST(rank AS INT) AS rank, market_id, pnl, winners, losers FROM (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY pnl, market_id) AS rank, count(*) FILTER (pnl > 0) OVER (PARTITION BY "case") AS winners, count(*) FILTER (pnl < 0) OVER (PARTITION BY "case") AS losers FROM positions WHERE pnl IS NOT NULL) WHERE rank <= 5', "pnl:5")
 add(
     "O72_support_stats",
-    lambda v: report.support_stats(v.fills, v.signals, v.markets.select("market_id", F.row_number().over(tt.Window.orderBy(F.desc("volume"), "market_id")).alias("rank")), 50),
+    lambda v: report.support_stats(v.fills, v.signals, _largest(v, 50).select("market_id", "rank"), 50),
     """SELECT f."case", count(*) AS fills, count(DISTINCT f.market_id) AS markets, avg(mean_history_markets) AS mean_history, avg(directional_wallets) AS mean_wallets, count(DISTINCT f.market_id) FILTER (rank <= 50) AS in_top
     FROM fills f LEFT JOIN (SELECT market_id, ts, any_value(mean_history_markets) AS mean_history_markets, any_value(directional_wallets) AS directional_wallets FROM signals GROUP BY ALL) s ON f.market_id = s.market_id AND f.signal_time = s.ts
       LEFT JOIN (SELECT market_id, row_number() OVER (ORDER BY volume DESC, market_id) AS rank FROM markets) r ON f.market_id = r.market_id GROUP BY ALL""",
@@ -405,10 +463,10 @@ add(
 
 
 def _curve(v: View) -> DataFrame:
-    return v.tape.where("market_id <= 50").select(F.concat(F.lit("c"), F.col("market_id") % 3).alias("case"), "ts", (F.col("market_id") * 1000000 + F.col("seq")).alias("seq"), F.col("yes_price").alias("equity"))
+    return v.tape.select(F.concat(F.lit("c"), F.col("market_id") % 3).alias("case"), "ts", (F.col("market_id") * 1000000 + F.col("seq")).alias("seq"), F.col("yes_price").alias("equity"))
 
 
-add("O74_equity_daily", lambda v: report.equity_daily(_curve(v)), "SELECT 'c' || (market_id % 3) AS \"case\", ts // 86400 AS day, arg_max(yes_price, (ts - 788000000) * 1000000000 + market_id * 1000000 + seq) AS equity FROM tape WHERE market_id <= 50 GROUP BY ALL", "equity:4")
+add("O74_equity_daily", lambda v: report.equity_daily(_curve(v)), "SELECT 'c' || (market_id % 3) AS \"case\", ts // 86400 AS day, arg_max(yes_price, (ts - 788000000) * 1000000000 + market_id * 1000000 + seq) AS equity FROM tape GROUP BY ALL", "equity:4")
 _SENS = [("base", "filter", 0.0, True), ("token", "filter", 1.0, False), ("direction", "filter", 2.0, False)]
 add("O75_sensitivity_table", lambda v: report.sensitivity_table(_summary(v), v.spark.createDataFrame(_SENS, "case string, parameter string, value double, is_primary boolean")), 'SELECT parameter, value, is_primary, 100 * total_return AS return_pct, 100 * max_drawdown AS drawdown_pct, profit_factor FROM summary s JOIN sens g ON s."case" = g."case"', "return_pct:4 drawdown_pct:4 profit_factor:5", (_SUMMARY, tt.values("sens", {"case": "string", "parameter": "string", "value": "double", "is_primary": "boolean"}, _SENS)))
 add("O76_activation_counts", lambda v: report.activation_counts(v.activations, v.labels), "SELECT rule, count(*) AS markets, count(*) FILTER (payout_yes > 0 AND payout_yes < 1) AS fractional FROM activations a JOIN markets m ON a.market_id = m.market_id GROUP BY ALL")
@@ -514,17 +572,33 @@ add(
     "notional:5 quantity:5",
 )
 
-# Streaming, drained once
+# Streaming, drained in several micro-batches
+
+
+_BATCHES = 4
+
 
+def _drained(v: View, source: DataFrame, build: Callable[[DataFrame], DataFrame], late: bool = True) -> DataFrame:
+    """The result of a stream over files that Spark wrote, one file set a micro-batch, in order of time, run until nothing is left.
 
-def _drained(v: View, source: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The result of a stream over a table that Spark wrote, run until nothing is left."""
+    With late, the last set also has rows of the first once more, which the watermark has passed.
+    """
     at = shared_dir(v.spark)
-    source.write.parquet(f"{at}/in")
-    v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = build(v.spark.readStream.schema(source.schema).parquet(f"{at}/in"))
-    run = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
+    for i in range(_BATCHES):
+        a, b = START + i * (END - START) // _BATCHES, START + (i + 1) * (END - START) // _BATCHES
+        part = source.where((F.col("ts") >= (a if i else 0)) & (F.col("ts") < (b if i < _BATCHES - 1 else 2**40)))
+        if late and i == _BATCHES - 1:
+            part = part.unionByName(source.where((F.col("ts") < START + (END - START) // _BATCHES) & (F.col("seq") % 5 == 0)))
+        part.coalesce(1).write.mode("append").parquet(f"{at}/in")
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = v.spark.conf.get(setting)
+    v.spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = build(v.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"))
+        run = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        v.spark.conf.set(setting, before)
     return v.spark.read.schema(out.schema).parquet(f"{at}/out")
 
 
@@ -542,4 +616,4 @@ add(
     "price_quantity:4 dollars:4",
 )
 add("O69_stream_activation", lambda v: _drained(v, _prints(v), lambda s: streams.stream_activation(s, _RULE)), f"SELECT market_id, time, cumulative_notional, recent_notional, recent_prints, recent_yes_vwap, observed_hours FROM gate WHERE time // 3600 <= {_COMPLETE}", "cumulative_notional:4 recent_notional:4 recent_yes_vwap:6 recent_prints:i observed_hours:i")
-add("O70_stream_consensus", lambda v: _drained(v, v.observations, lambda s: streams.stream_consensus(s, tt.CONSENSUS)), "SELECT * FROM signals", _DECISION + " yes_price:4")
+add("O70_stream_consensus", lambda v: _drained(v, v.observations, lambda s: streams.stream_consensus(s, tt.CONSENSUS), late=False), "SELECT * FROM signals", _DECISION + " yes_price:4")

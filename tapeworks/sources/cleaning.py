@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The date fields that can say when a market was resolved, and the highest and lowest price that settle one.
-RESOLUTION_DATES = ("umaEndDate", "closedTime", "resolvedAt", "resolveDate")
+# The date fields that can say when a market was resolved, in the order in which their issues are listed; the prices that settle one; the names of issues and tiers below.
+RESOLUTION_DATES = ("resolvedAt", "umaEndDate", "closedTime", "resolveDate")
 WON, LOST = 0.99, 0.01
 WALLET = r"^0x[0-9a-fA-F]{40}$"
 
@@ -102,7 +102,7 @@ def quarantine(trades: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def select_page_rows(rows: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of overlapping pages (page_id, ts, ...) inside their page's [min_time, max_time]; and per page the count against expected."""
-    kept = rows.join(F.broadcast(manifest), "page_id").where(F.col("ts").between(F.col("min_time"), F.col("max_time"))).select(*rows.columns)
+    kept = rows.join(manifest, "page_id").where(F.col("ts").between(F.col("min_time"), F.col("max_time"))).select(*rows.columns)
     counts = kept.groupBy("page_id").agg(F.count("*").alias("rows"))
     checks = manifest.join(counts, "page_id", "left").fillna(0, ["rows"]).withColumn("ok", F.col("rows") == F.col("expected"))
     return kept, checks.select("page_id", "rows", "expected", "ok")
@@ -216,16 +216,27 @@ def label_boundary(evidence: DataFrame, as_of: int, allow_proxy: bool = False, r
 
 
 def tape_quality(tape: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(market_id, check, violations) of each violated check: order of time, prices in [0, 1], sizes, sides, the two prices' relation, and counts against manifest (market_id, rows)."""
+    """(market_id, check, violations) of each violated check of a tape against its manifest (market_id, rows, start, end).
+
+    Order of time; times inside the observation bounds [start, end]; prices there and in [0, 1]; sizes there, finite
+    and above 0; sides 0 to 3; wallets there; the two prices' relation, to 1e-12; and the number of rows.
+    """
     by = Window.partitionBy("market_id").orderBy("seq")
-    rows = tape.withColumn("before", F.lag("ts").over(by))
+    rows = tape.withColumn("before", F.lag("ts").over(by)).join(manifest.select("market_id", "start", "end"), "market_id", "left")
     mapped = F.when(F.col("side").isin(0, 2), F.col("yes_price")).otherwise(1 - F.col("yes_price"))
+
+    def fails(good: Column) -> Column:
+        return ~F.coalesce(good, F.lit(False))
+
+    size = F.col("size")
     checks = {
         "order": F.col("ts") < F.col("before"),
-        "price_range": ~(F.col("token_price").between(0, 1) & F.col("yes_price").between(0, 1)),
-        "size": F.col("size") <= 0,
-        "side": ~F.col("side").between(0, 3),
-        "price_mapping": F.abs(mapped - F.col("token_price")) > 1e-12 + 5e-5,
+        "bounds": (F.col("ts") < F.col("start")) | (F.col("ts") > F.col("end")),
+        "price_range": fails(F.col("token_price").between(0, 1)) | fails(F.col("yes_price").between(0, 1)),
+        "size": fails(~F.isnan(size) & (size > 0) & (size < float("inf"))),
+        "side": fails(F.col("side").between(0, 3)),
+        "wallet": F.col("wallet").isNull(),
+        "price_mapping": F.abs(mapped - F.col("token_price")) > 1e-12,
     }
     counted = rows.groupBy("market_id").agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in checks.items()])
     both = counted.join(manifest.select("market_id", "rows"), "market_id", "full_outer").withColumn("count", (~F.coalesce(F.col("n") == F.col("rows"), F.lit(False))).cast("long"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MARKETS = "market_id string, question string, category string, created_at timestamp, close_time timestamp, resolved_at timestamp, resolution string, volume double, active boolean, outcome_labels array<string>, clob_token_ids array<string>"
 TAPE = "market_id string, wallet string, ts long, side tinyint, size double, yes_price double, token_price double, seq long"
@@ -17,6 +18,41 @@ def read_tape(spark: SparkSession, path: str, schema: str = TAPE, kind: str = "p
     return spark.read.schema(schema).format(kind).load(path)
 
 
+def load_inputs(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """markets (JSON lines, gzip too), tape, labels and vectors (parquet) of a prepared archive, each by its schema."""
+    root = root.rstrip("/")
+    return {"markets": read_tape(spark, f"{root}/markets", MARKETS, "json")} | {name: read_tape(spark, f"{root}/{name}", schema) for name, schema in (("tape", TAPE), ("labels", LABELS), ("vectors", VECTORS))}
+
+
+def inventory(inputs: dict[str, DataFrame]) -> DataFrame:
+    """(market_id, problem): where the parts of an archive do not agree, or hold impossible values.
+
+    Vectors must be there once for each market and for no other, finite and of the width that most
+    have; a label must be available after its event, with a payout in [0, 1].
+    """
+    markets, labels, vectors = inputs["markets"].select("market_id"), inputs["labels"], inputs["vectors"].withColumn("width", F.size("vector"))
+    usual = vectors.groupBy("width").count().orderBy(F.desc("count"), "width").limit(1).select(F.col("width").alias("usual"))
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+    def named(df: DataFrame, problem: str) -> DataFrame:
+        return df.select("market_id", F.lit(problem).alias("problem"))
+
+    found = [
+        named(markets.groupBy("market_id").count().where("count > 1"), "market_repeated"),
+        named(markets.join(vectors, "market_id", "left_anti"), "vector_missing"),
+        named(vectors.join(markets, "market_id", "left_anti"), "vector_of_no_market"),
+        named(vectors.groupBy("market_id").count().where("count > 1"), "vector_repeated"),
+        named(vectors.where(~F.coalesce(finite, F.lit(False))), "vector_not_finite"),
+        named(vectors.crossJoin(usual).where("width != usual"), "vector_width"),
+        named(labels.where("not (label_available_at > event_at)"), "label_time"),
+        named(labels.where("payout_yes is not null and not payout_yes between 0 and 1"), "label_payout"),
+    ]
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 def write_case_outputs(df: DataFrame, path: str, name: str, kind: str = "parquet") -> str:
     """Writes a result table below path, in a folder for each case; never over an old one."""
     to = f"{path.rstrip('/')}/{name}"

@@ -128,15 +128,15 @@ class _Consensus(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         flow = Flow(self.cfg)
         for k, v in self.by.iterator():
-            flow.by[(k[0], k[1])], flow.count[(k[0], k[1])] = v[0], v[1]
+            flow.put(k[0], k[1], v[0], v[1])
         for k, v in self.sums.iterator():
             flow.sums[k[0]] = list(v)
         out = []
         for row in pd.concat(list(rows)).sort_values(["ts", "seq"]).to_dict("records"):
             flow.apply(row, 1)
             out.append((row["market_id"], row["seq"], row["ts"], row["yes_price"], *flow.decide()))
-        for k, w in flow.by.items():
-            self.by.updateValue((int(k[0]), k[1]), (float(w), int(flow.count[k])))
+        for k in flow.touched:  # what this batch changed
+            self.by.updateValue((int(k[0]), k[1]), (float(flow.by[k]), int(flow.count[k])))
         for d, v in flow.sums.items():
             self.sums.updateValue((d,), tuple(float(x) for x in v))
         yield pd.DataFrame(out, columns=["market_id", "seq", "ts", "yes_price", *FLOW_COLUMNS])

@@ -1,10 +1,16 @@
 """Hand-computed cases of the tape operators."""
 
+import random
+import re
+
+import numpy as np
 from pyspark.sql import functions as F
 
+import tapeworks
 from tapeworks.functions import columns
-from tapeworks.operators import audit, bars, execution, history, signal, skill
+from tapeworks.operators import audit, bars, execution, history, signal, skill, vectors
 from tapeworks.sources import cleaning
+from tapeworks.sources import tape as archive
 
 TAPE = "market_id long, wallet long, ts long, side int, size double, yes_price double, token_price double, seq long"
 LABELS = "market_id long, payout_yes double, event_at long, label_available_at long"
@@ -139,3 +145,99 @@ def test_future_rows_change_nothing(spark):
     rows = [(1, i % 3, i * 900, i % 4, 10.0, 0.5 + 0.01 * (i % 9), 0.5, i) for i in range(200)]
     old = bars.volume_admission(tape(spark, rows[:150]), 500).collect()
     assert old == bars.volume_admission(tape(spark, rows).repartition(7), 500).collect()
+
+
+def test_tape_quality_sees_each_fault(spark):
+    good = (1, 5, 100, 0, 10.0, 0.5, 0.5)
+    manifest = spark.createDataFrame([(1, 2, 100, 200)], "market_id long, rows long, start long, end long")
+
+    def found(**change):
+        row = dict(zip("market_id wallet ts side size yes_price token_price".split(), good, strict=True)) | {"ts": 150} | change
+        t = tape(spark, [(*good, 1), (*row.values(), 2)])
+        return {r.check: r.violations for r in cleaning.tape_quality(t, manifest).collect()}
+
+    assert found() == {}
+    for size in (0.0, -1.0, None, float("nan"), float("inf")):
+        assert found(size=size) == {"size": 1}
+    assert found(ts=99) == {"order": 1, "bounds": 1} and found(ts=201) == {"bounds": 1}
+    for price in (1.5, -0.1):
+        assert found(yes_price=price) == {"price_range": 1, "price_mapping": 1}
+    assert found(yes_price=None) == {"price_range": 1} and found(side=7, yes_price=0.5) == {"side": 1} and found(wallet=None) == {"wallet": 1}
+    assert found(token_price=0.5 + 1e-9) == {"price_mapping": 1} and found(token_price=0.5 + 1e-13) == {}
+    short = cleaning.tape_quality(tape(spark, [(*good, 1)]), manifest.unionByName(manifest.withColumn("market_id", F.lit(2).cast("long"))))
+    assert sorted((r.market_id, r.check) for r in short.collect()) == [(1, "count"), (2, "count")]
+
+
+def test_inventory_of_an_archive(spark, tmp_path):
+    at = str(tmp_path)
+    spark.createDataFrame([("a", "q", 1.0), ("b", None, None), ("c", "x", 2.0)], "market_id string, question string, volume double").write.option("compression", "gzip").json(f"{at}/markets")
+    spark.createDataFrame([("a", "w", 1)], "market_id string, wallet string, ts long").write.parquet(f"{at}/tape")
+    spark.createDataFrame([("a", 0.5, 1, 2), ("b", 1.5, 1, 2), ("c", None, 5, 5)], "market_id string, payout_yes double, event_at long, label_available_at long").write.parquet(f"{at}/labels")
+    spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0, float("inf")]), ("b", [0.0, 1.0]), ("z", [1.0])], "market_id string, vector array<float>").write.parquet(f"{at}/vectors")
+    inputs = archive.load_inputs(spark, at)
+    assert inputs["markets"].count() == 3 and inputs["tape"].first().size is None
+    want = {("b", "vector_repeated"), ("b", "vector_not_finite"), ("c", "vector_missing"), ("z", "vector_of_no_market"), ("z", "vector_width"), ("b", "label_payout"), ("c", "label_time")}
+    assert {(r.market_id, r.problem) for r in archive.inventory(inputs).collect()} == want
+
+
+def test_question_vectors(spark):
+    tapeworks.distribute(spark)
+    from pyspark.ml.feature import HashingTF
+
+    texts = ["Will it rain, will it?", None, "a b c", "Rain rain RAIN go away"]
+    df = spark.createDataFrame(list(enumerate(texts)), "market_id long, question string")
+    place = HashingTF(numFeatures=4096).indexOf
+    for r in vectors.hashing_vectors(df).collect():
+        v = np.zeros(4096)
+        for w in re.findall(r"\b\w\w+\b", (texts[r.market_id] or "").lower()):
+            v[place(w)] += 1
+        assert np.allclose(r.vector, v / max(np.linalg.norm(v), 1e-12), atol=1e-6)
+    got = {r.market_id: r.vector for r in vectors.encoded_vectors(df, lambda q: [[len(t), 1.0] for t in q]).collect()}
+    assert all(np.allclose(got[i], np.array([len(t or ""), 1.0]) / np.hypot(len(t or ""), 1), atol=1e-6) for i, t in enumerate(texts))
+
+
+def test_pairs_over_blocks_and_shuffled_vectors(spark):
+    tapeworks.distribute(spark)
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(40, 6)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "market_id long, vector array<float>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(i, j): float(unit[i] @ unit[j]) for i in range(40) for j in range(40) if i != j and unit[i] @ unit[j] > 0.3}
+    for block in (7, 100):
+        rows = vectors.market_pairs(df, 0.3, block=block).collect()
+        assert len(rows) == len(want) and all(abs(want[r.target, r.other] - r.cosine) < 1e-5 for r in rows)
+    shuffled = {r.market_id: tuple(r.vector) for r in vectors.shuffle_vectors(df, 3).collect()}
+    assert sorted(shuffled.values()) == sorted(map(tuple, v.tolist())) and shuffled.keys() == set(range(40))
+    assert shuffled != {r.market_id: tuple(r.vector) for r in vectors.shuffle_vectors(df, 4).collect()}
+
+
+def test_running_flow_equals_sums_over_all_wallets():
+    cfg = {"skill_threshold": -1.0, "min_history_notional": 0.0, "min_effective_markets": 0.0, "min_similarity": 0.0, "min_positive_fraction": 0.0, "max_score_std": 9.0, "weighting": "skill_volume"}
+    rnd, flow, held = random.Random(2), signal.Flow(cfg), []
+    for _ in range(600):
+        row = {"wallet": rnd.randrange(12), "direction": rnd.choice(["YES", "NO"]), "skill": rnd.uniform(0.01, 1), "volume": rnd.uniform(1, 9), "weighted_history_notional": 1.0, "skill_score_std": 0.0} | dict.fromkeys(("effective_history_markets", "mean_similarity", "positive_history_weight_fraction"), 1.0)
+        flow.apply(row, 1)
+        held.append(row)
+        while len(held) > rnd.choice([0, 5, 40]):
+            flow.apply(held.pop(rnd.randrange(len(held))), -1)
+        by = {}
+        for r in held:
+            by.setdefault(r["wallet"], {}).setdefault(r["direction"], []).append(r["skill"] * r["volume"])
+        side = {d: [sum(x[d]) for x in by.values() if d in x] for d in ("YES", "NO")}
+        want = [sum(side["YES"]), sum(side["NO"]), len(by), max((sum(map(sum, x.values())) for x in by.values()), default=0.0)]
+        got = flow.decide()
+        for i, d in enumerate(("YES", "NO")):
+            assert np.allclose(got[4 + 7 * i : 7 + 7 * i], [len(side[d]), sum(w * w for w in side[d]), max(side[d], default=0.0)], atol=1e-6)
+        assert np.allclose(got[:4], want, atol=1e-6)
+
+
+def test_daily_marks_end_with_the_position(spark):
+    d = 86400
+    t = tape(spark, [(1, 1, 5, 0, 1.0, 0.4, 0.4, 1), (1, 1, 2 * d + 5, 0, 1.0, 0.6, 0.6, 2), (2, 1, 5, 0, 1.0, 0.5, 0.5, 1)])
+    fills = spark.createDataFrame([("c", 1, "YES", 10, 10.0, 4.0, 0.1), ("c", 2, "NO", 3 * d, 2.0, 1.0, 0.0), ("c", 2, "NO", 9 * d, 4.0, 2.0, 0.0)], "case string, market_id long, direction string, filled_at long, quantity double, notional double, fee double")
+    positions = spark.createDataFrame([("c", 1, "YES", 10.0, 4.0, 5 * d, 10.0), ("c", 2, "NO", 2.0, 1.0, 7 * d, 0.0)], "case string, market_id long, direction string, quantity double, notional double, resolved_at long, payout double")
+    rows = {r.day: r for r in execution.daily_marks(fills, positions, t, 100.0).collect()}
+    assert sorted(rows) == [0, 3, 5, 7, 9]
+    assert [round(rows[k].cash, 6) for k in sorted(rows)] == [95.9, 94.9, 104.9, 104.9, 102.9]
+    assert [round(rows[k].open_value, 6) for k in sorted(rows)] == [4.0, 7.0, 1.0, 0.0, 2.0]  # a fill after the settlement opens again
+    assert [round(rows[k].open_notional, 6) for k in sorted(rows)] == [4.0, 5.0, 1.0, 0.0, 2.0]
