@@ -2,7 +2,8 @@
 
 All statistics come from additive sums over the settlements visible at the trade (settled_at <=
 ts), so they are running sums over one event table of settlements and trades; the row of the
-trade's own market is taken out again. No trade meets each of its settlements.
+trade's own market is taken out again. No trade meets each of its settlements. Sums run inside a
+day, and over the days' totals before it, so that a wallet of very many trades is many tasks.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+DAY = 86400
 SUMS = ("n", "w", "w2", "ws", "ws2", "wpos", "notional")
 
 
@@ -24,8 +26,13 @@ def _as_of(trades: DataFrame, facts: DataFrame, keys: list[str], names: tuple[st
         trades.select(*keys, F.col("ts").alias("at"), F.lit(1).alias("kind"), "market_id", "seq", *[F.lit(0.0).alias(n) if n != "n" else F.lit(0).cast("long").alias(n) for n in names])
     )
     # facts come before the trades of their second
-    order = Window.partitionBy(*keys).orderBy("at", "kind", "market_id", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumns({f"s_{n}": F.sum(n).over(order) for n in names}).where("kind = 1").select(*keys, "market_id", "seq", *[F.col(f"s_{n}").alias(n) for n in names])
+    events = events.withColumn("day", F.floor(F.col("at") / DAY))
+    order = Window.partitionBy(*keys, "day").orderBy("at", "kind", "market_id", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    trades_of_day = events.withColumns({f"s_{n}": F.sum(n).over(order) for n in names}).where("kind = 1")
+    earlier = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = events.groupBy(*keys, "day").agg(*[F.sum(n).alias(n) for n in names])
+    days = days.select(*keys, "day", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"e_{n}") for n in names])
+    return trades_of_day.join(days, [*keys, "day"]).select(*keys, "market_id", "seq", *[(F.col(f"s_{n}") + F.col(f"e_{n}")).alias(n) for n in names])
 
 
 def statistics(sums: DataFrame, min_weighted_history: float = 0.0) -> DataFrame:
@@ -63,7 +70,8 @@ def skill(trades: DataFrame, settlements: DataFrame, mode: str = "uniform", cate
     weight = F.col("notional")
     if mode == "kernel":
         targets = rows.select("wallet", F.col("market_id").alias("target")).distinct()
-        weighted = targets.join(facts, "wallet").join(pairs.select("target", "other", "weight"), ["target", "other"]).where("target != other").withColumns(_sums(F.col("notional") * F.col("weight")))
+        # settlements meet the markets that are like theirs, then the wallet's targets: not all its targets with all its settlements
+        weighted = facts.join(pairs.select("target", "other", "weight"), "other").join(targets, ["wallet", "target"]).where("target != other").withColumns(_sums(F.col("notional") * F.col("weight")))
         sums = _as_of(rows.withColumn("target", F.col("market_id")), weighted.select("wallet", "target", "at", *SUMS[:-1]), ["wallet", "target"], SUMS[:-1])
         total = _totals(rows, facts, own)
         return statistics(sums.join(total, ["market_id", "seq", "wallet"]), min_weighted_history)
