@@ -46,6 +46,7 @@ from tapeworks.llm.common import discard, fold, from_key, id_key, scratch, table
 
 BLOCK_TOKENS = 3_000_000
 HEAD, TAIL = 2000, 47
+BLOCKS_OF_TASK = 2
 UNITS = HEAD + TAIL + 1
 CLASSES = 64
 #: Sweeps over the whole vocabulary, at most, and the share of the likelihood that one must gain to be followed by another.
@@ -252,7 +253,7 @@ def neighbours(rows: DataFrame, start: tuple[np.ndarray, np.ndarray] | None = No
     return rows.select("hashes", "held", "lengths", "tokens", c).mapInPandas(batches, "h long, data binary")
 
 
-def best_classes(found: DataFrame, m: np.ndarray) -> DataFrame:
+def best_classes(found: DataFrame, m: np.ndarray, partitions: int) -> DataFrame:
     """(h, c): the class of each word under which the classes around it are most likely, given the counts m of class bigrams."""
     free = CLASSES - 1
     after = np.log(m + 0.1) - np.log(m.sum(axis=1, keepdims=True) + 0.1 * CLASSES)
@@ -282,10 +283,10 @@ def best_classes(found: DataFrame, m: np.ndarray) -> DataFrame:
         if last is not None:
             yield chosen(np.array([last]), held[None])
 
-    return found.repartition("h").sortWithinPartitions("h").mapInPandas(batches, "h long, c int")
+    return found.repartition(partitions, "h").sortWithinPartitions("h").mapInPandas(batches, "h long, c int")
 
 
-def known_blocks(coded: DataFrame, counts: DataFrame, hashes: bool) -> DataFrame:
+def known_blocks(coded: DataFrame, counts: DataFrame, hashes: bool, partitions: int) -> DataFrame:
     """(hashes, ids, held, lengths, tokens, n, c): the blocks with the training counts (<i8) and classes (u1) of their tokens, 0 for words that counts does not have; hashes are null unless asked for."""
 
     def joined(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -299,7 +300,7 @@ def known_blocks(coded: DataFrame, counts: DataFrame, hashes: bool) -> DataFrame
 
     lookups = dictionary(coded).select("block", "token", "h").join(counts.select("h", "n", "c"), "h").select(F.col("block").alias("of_block"), "token", "n", "c")
     whole = coded.select(F.col("block").alias("in_block"), (F.col("hashes") if hashes else F.lit(None).cast("array<long>")).alias("hashes"), F.size("hashes").alias("size"), "ids", "held", "lengths", "tokens")
-    out = whole.groupBy("in_block").cogroup(lookups.groupBy("of_block")).applyInPandas(joined, "hashes array<long>, ids array<long>, held array<boolean>, lengths array<int>, tokens binary, n binary, c binary")
+    out = whole.repartition(partitions, "in_block").groupBy("in_block").cogroup(lookups.repartition(partitions, "of_block").groupBy("of_block")).applyInPandas(joined, "hashes array<long>, ids array<long>, held array<boolean>, lengths array<int>, tokens binary, n binary, c binary")
     return scratch(out, "known")
 
 
@@ -324,6 +325,8 @@ def class_bigrams(rows: DataFrame) -> np.ndarray:
 
 def train(coded: DataFrame, sweeps: int = SWEEPS) -> tuple[DataFrame, dict]:
     """(blocks with the counts and classes of their words, what else is needed to score them)."""
+    # tasks grow in number with the blocks, so that what one reads does not grow with the corpus
+    partitions = max(int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-coded.count() // BLOCKS_OF_TASK))
     counts = scratch(dictionary(coded).where("n > 0").groupBy("h").agg(F.sum("n").alias("n")), "counts")
     ends = coded.agg(F.sum(F.get("train", F.lit(0))).alias("n")).first()["n"] or 0
     top = counts.orderBy(F.desc("n"), "h").select("h").limit(HEAD).toPandas()["h"]
@@ -341,8 +344,8 @@ def train(coded: DataFrame, sweeps: int = SWEEPS) -> tuple[DataFrame, dict]:
     classed = counts.select("h", "n").join(heads, "h", "left").select("h", "n", F.coalesce("c", tail).alias("c"))
     rows, found, reached = None, neighbours(coded, (head, cls)), [likelihood(m)]
     for k in range(sweeps):
-        moved = scratch(counts.join(best_classes(found, m), "h"), "classes")
-        new = known_blocks(coded, moved, hashes=k + 1 < sweeps)
+        moved = scratch(counts.join(best_classes(found, m, partitions), "h"), "classes")
+        new = known_blocks(coded, moved, k + 1 < sweeps, partitions)
         m_new = class_bigrams(new)
         reached.append(likelihood(m_new))
         if reached[-1] <= reached[-2]:
@@ -356,7 +359,7 @@ def train(coded: DataFrame, sweeps: int = SWEEPS) -> tuple[DataFrame, dict]:
         if reached[-1] - reached[-2] < MIN_GAIN * abs(reached[-2]):
             break
     if rows is None:
-        rows = known_blocks(coded, classed, hashes=False)
+        rows = known_blocks(coded, classed, False, partitions)
     sums = classed.groupBy("c").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).toPandas()
     n_class, once = np.zeros(CLASSES), np.zeros(CLASSES)
     n_class[sums["c"]], once[sums["c"]] = sums["n"], sums["once"]
