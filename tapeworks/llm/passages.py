@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import from_key, id_key, scratch, table
+from tapeworks.llm.common import discard, from_key, id_key, scratch, table
 from tapeworks.llm.shingles import BASE, BYTE, INVERSE, mix, powers
 
 DEPTH = 400
@@ -151,19 +151,22 @@ def narrower(texts: DataFrame, reps: DataFrame, width: int) -> DataFrame:
 
 
 def sort_pass(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(found, open): rows whose span is found twice, as (id, text_hash, at); and the representatives that the next pass has to order, as (id, text_hash, at, settled).
+    """(found, open), as tables: rows whose span is found twice, as (id, text_hash, at); and the representatives that the next pass has to order, as (id, text_hash, at, settled).
 
     A settled row stands for a span that an earlier pass has found twice; it is compared with,
     not found again. Of each distinct span one row goes on, if its group has an unsettled one.
     """
+    rows = scratch(rows, "bundles")
     again = rows.groupBy("core").agg(F.count("*").alias("n"), F.count_if(~F.col("settled")).alias("unsettled")).where("n > 1 and unsettled > 0").select("core")
     again = scratch(again, "again")  # a table, so that the join on a hot core can be split
     alive = scratch(rows.join(again, "core", "left_semi"), "alive")
+    discard(rows, again)
     spans = alive.groupBy(*SPAN).agg(F.count("*").alias("n"), F.min(F.struct("id", "text_hash", "at", "settled")).alias("rep"))
     spans = scratch(spans.select(*SPAN, "n", F.col("rep.*")).withColumn("settled", F.col("settled") | (F.col("n") > 1)), "spans")
-    found = alive.where("not settled").join(spans.where("n > 1").select(*SPAN), SPAN, "left_semi").select("id", "text_hash", "at")
+    found = scratch(alive.where("not settled").join(spans.where("n > 1").select(*SPAN), SPAN, "left_semi").select("id", "text_hash", "at"), "found")
     groups = scratch(spans.groupBy("core").agg(F.count_if(~F.col("settled")).alias("unsettled")).where("unsettled > 0").select("core"), "groups")
-    several = spans.join(groups, "core", "left_semi").select("id", "text_hash", "at", "settled")
+    several = scratch(spans.join(groups, "core", "left_semi").select("id", "text_hash", "at", "settled"), "open")
+    discard(alive, spans, groups)
     return found, several
 
 
@@ -189,9 +192,7 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     def pack(texts: pd.Series) -> pd.Series:
         return texts.map(_pack)
 
-    found, reps = sort_pass(scratch(bundles(docs, id_column, text_column), "bundles"))
-    found = scratch(found, "found")
-    reps = scratch(reps, "open")
+    found, reps = sort_pass(bundles(docs, id_column, text_column))
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     rows = docs.select(id_key(id_column).alias("id"), F.xxhash64(F.col(text_column).cast("string")).alias("text_hash"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"), pack(text).alias("bytes"))
     touched = found.select("id", "text_hash").unionByName(reps.select("id", "text_hash")).distinct().withColumn("touched", F.lit(True))
@@ -201,9 +202,10 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     one_each = texts.dropDuplicates(["id", "text_hash"])
     all_found = [found]
     for width in WIDTHS[1:]:
-        more, reps = sort_pass(scratch(narrower(one_each, reps, width), "bundles"))
-        all_found.append(scratch(more, "found"))
-        reps = scratch(reps, "open")
+        before = reps
+        more, reps = sort_pass(narrower(one_each, before, width))
+        discard(before)
+        all_found.append(more)
     ranges = reduce(DataFrame.unionByName, all_found).groupBy("id", "text_hash").agg(F.collect_set("at").alias("ats"))
     cut = texts.join(ranges, ["id", "text_hash"], "left").select("id", "n_bytes", "sha", "bytes", "ats").mapInPandas(_removed, "id long, n_bytes long, n_removed long, n_spans long, sha string, kept binary")
     whole = rows.where("touched is null").select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "sha", F.lit(None).cast("binary").alias("kept"))
