@@ -649,17 +649,27 @@ def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
     folder = str(tmp_path)
-    rows = [(i, f"boiler line for all\n{' '.join(f'v{i}q{k}' for k in range(80))}", "en", f"s{i % 4}", 1) for i in range(60)]
-    rows += [(100 + i, rows[3][1], "en", "s0", 1) for i in range(5)] + [(200, "too short", "en", "s0", 9), (201, None, None, None, None)]
+    own = {i: " ".join(f"v{i}q{k}" for k in range(80)) for i in range(60)}
+    rows = [(i, f"boiler line for all\n{own[i]}", "en", f"s{i % 4}", 1, "x", 1) for i in range(60)]
+    rows += [(100 + i, rows[3][1], "en", "s0", 1, "x", 1) for i in range(5)] + [(200, "too short", "en", "s0", 9, "x", 1), (201, None, None, None, None, None, None), rows[7], (None, own[9] + " tail", "en", None, 1, None, None)]
     item = " ".join(f"bench{k}" for k in range(30))
-    rows += [(300, " ".join(f"u{k}" for k in range(100)) + " " + item, "en", "s1", 1)]
-    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    rows += [(300, " ".join(f"u{k}" for k in range(100)) + " " + item, "en", "s1", 1, "x", 1), (301, " ".join(f"t{k}" for k in range(700)) + " " + item, "en", "s1", 1, "x", 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, hash string, row int")
     table.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     kept = table
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, kept, folder)
         assert kept.columns == table.columns, name
-    assert all(r.n_chars == len(r.text) for r in kept.collect())
-    out = corpus_pipeline.run(spark, folder)
-    assert sorted(r.doc_id for r in out.collect()) == list(range(60))
+    want = {i: own[i] for i in range(60) if i != 9} | {None: own[9] + " tail", 301: " ".join(f"t{k}" for k in range(700)) + " "}
+    got = kept.collect()
+    assert {r.doc_id: r.text for r in got} == want and len(got) == len(want) and all(r.n_chars == len(r.text) for r in got)
+    enc = bpe.encoding(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
+    assert out.keys() == want.keys()
+    for d, t in want.items():
+        ids = np.array(enc.encode_ordinary(t), "<u4").tobytes()
+        assert (bytes(out[d]["ids"]), out[d].ids_sha256, out[d].decoded_sha256) == (ids, hashlib.sha256(ids).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    none = table.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, folder).isEmpty(), name
