@@ -235,7 +235,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def linkable(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The members (hub, id, label) that may be similar to a text of another label.
+    """The members (hub, hub_label, id, label) that may be similar to a text of another label.
 
     Of two texts the shared shingles bound their similarity: it is at most what the shared ones
     weigh in either text, by ones and by counts. So a text goes whose shingles that are also in
@@ -256,20 +256,26 @@ def linkable(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD)
 
 
 def mixed(members: DataFrame) -> DataFrame:
-    """(hub, blocks): the groups that have texts of several labels, and into how many blocks they are dealt."""
-    return members.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("low < high").select("hub", "blocks")
+    """(hub, rest, home): the groups that have texts of several labels, and into how many blocks those of other labels than the hub's, and those of its label, are dealt."""
+    home = F.col("label") == F.col("hub_label")
+    sizes = [F.ceil(F.count_if(c) / BLOCK).cast("int").alias(name) for name, c in (("rest", ~home), ("home", home))]
+    return members.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high"), *sizes).where("low < high").select("hub", "rest", "home")
 
 
 def compared(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Links (a, b) between texts of a group that are not yet in one component.
 
-    rows: hub (the group), id, label, set, counts, blocks (how many blocks its group is dealt into). A
-    task holds two blocks of at most about BLOCK texts, computes the overlaps of all their texts as a
+    rows: hub (the group), hub_label, id, label, set, counts, rest, home (how many blocks its group is dealt
+    into). A task holds two blocks of at most about BLOCK texts, one of which has texts that are not in the
+    hub's component (texts of that component are not compared with each other, so a few
+    texts outside a large component meet it once). It computes the overlaps of their texts as a
     product of incidence matrices, and emits only links that join labels: no row is made for a
     pair as such.
     """
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = rows.select("hub", "id", "label", "set", "counts", mine.alias("block"), F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("k"))
+    at_home = F.col("label") == F.col("hub_label")
+    mine = F.pmod(F.xxhash64("id"), F.when(at_home, F.col("home")).otherwise(F.col("rest"))).cast("int") + F.when(at_home, F.col("rest")).otherwise(0)
+    others = F.sequence(F.lit(0), F.when(at_home, F.col("rest")).otherwise(F.col("rest") + F.col("home")) - 1)
+    dealt = rows.select("hub", "id", "label", "set", "counts", mine.alias("block"), F.explode(others).alias("k"))
     dealt = dealt.select("hub", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "id", "label", "set", "counts")
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -356,8 +362,11 @@ def grouped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     labels = components(links)
     # two texts of a bucket were both compared with its hub: what is left is inside the hubs' groups
     members = pairs.select(F.col("a").alias("hub"), F.col("b").alias("id")).join(labels, "id", "left").select("hub", "id", F.coalesce("label", "id").alias("label"))
-    members = scratch(members.join(mixed(members).select("hub"), "hub", "left_semi"), "members")
-    members = scratch(linkable(members, sets, threshold), "linkable")
+    members = members.join(labels.select(F.col("id").alias("hub"), F.col("label").alias("hub_label")), "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub"))
+    groups = scratch(mixed(members), "groups")
+    members = scratch(members.join(groups.select("hub"), "hub", "left_semi"), "members")
+    members, all_ = scratch(linkable(members, sets, threshold), "linkable"), members
+    discard(groups, all_)
     more = scratch(compared(members.join(scratch(mixed(members), "groups"), "hub").join(sets, "id"), threshold).distinct(), "more")
     if not more.isEmpty():
         discard(labels)

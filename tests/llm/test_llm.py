@@ -454,6 +454,38 @@ def test_recall_with_skewed_weights(spark):
     assert links > 200 and {got[i] // size for i in got} == set(range(12)) and all(got[i] // size == i // size for i in got)
 
 
+@pytest.mark.parametrize("block", [256, 3])
+def test_only_texts_of_different_components_meet(spark, monkeypatch, block):
+    """Of all pairs of a group, each one of different labels that is similar is joined, over blocks of any size."""
+    tapeworks.distribute(spark)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for _ in range(25):
+        words = list(base)
+        for i in rng.choice(120, rng.integers(1, 8), replace=False):
+            words[i] = f"e{rng.integers(10**6)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    ids = docs.select(F.struct(*[c.alias(n) for n, c in minhash.row_key(F.col("k"), F.col("text")).items()]).alias("id"), "k")
+    label = F.when(F.col("k") < 10, 0).when(F.col("k") < 13, 10).otherwise(F.col("k")).cast("long")
+    members = docs.select(F.lit(99).cast("long").alias("hub"), F.lit(0).cast("long").alias("hub_label"), F.col("k").alias("id"), label.alias("label"))
+    links = minhash.compared(members.join(minhash.mixed(members), "hub").join(minhash.shingle_sets(docs, ids, "k", "text"), "id")).collect()
+    labels = {r.id: r.label for r in members.collect()}
+
+    def joined(edges):
+        root = dict(labels)
+        for a, b in edges:
+            x, y = sorted((root[a], root[b]))
+            root = {k: x if v == y else v for k, v in root.items()}
+        return root
+
+    own = [shingle_list(t) for t in texts]
+    want = [(a, b) for a, b in itertools.combinations(range(25), 2) if labels[a] != labels[b] and naive_similarity(own[a], own[b]) >= 0.8]
+    assert want and joined([(r.a, r.b) for r in links]) == joined(want) and {(r.a, r.b) for r in links} <= set(want)
+
+
 def test_texts_of_a_template_are_not_compared_in_pairs(spark):
     """Texts that share less than the threshold with all others leave before blocks are dealt; those that do not stay."""
     tapeworks.distribute(spark)
@@ -484,11 +516,13 @@ def test_filter_loses_no_candidate(spark, monkeypatch):
         assert 126 <= kept.count() <= 1005
 
 
-def test_blocks_of_a_group_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("block", [256, 5])
+def test_blocks_of_a_group_lose_no_link(spark, monkeypatch, block):
     tapeworks.distribute(spark)
     base = [f"w{i}" for i in range(200)]
     texts = [" ".join(base[:k] + [f"e{k}"] + base[k + 1 :]) for k in range(0, 200, 4)] + [" ".join(base[: 100 + k]) for k in range(0, 100, 3)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(minhash, "BLOCK", block)
     whole = dict(pairs(minhash.near_duplicates(df), "id", "class_id"))
     sets = [set(shingles.shingle_hashes(shingles.normalise(t)).tolist()) for t in texts]
     for a, b in itertools.combinations(range(len(texts)), 2):
