@@ -4,25 +4,28 @@ Two suffixes of equal first `depth` bytes begin the same repeated window, so suf
 ordered through `depth` bytes only: by passes over digits, most significant first, each of which
 drops what is alone in its group. After the last pass equal groups are the repeated windows.
 
-Suffixes travel in bundles. The first digit of a suffix is its anchor: the least (by hash) of the
-`KEY`-byte strings that start in its window's first depth - KEY + 1 places, the first of equals.
-Equal windows have the same anchor at the same offset. Neighbouring suffixes with one anchor are
-one bundle, a record of ids and digests (about one for 150 bytes of text), not of text. A pass
-compares bundles twice:
-
-* by their core, which all windows of the bundle hold; a core that is alone ends the bundle,
-* by their span, which holds all windows of the bundle; a span found twice settles it, since
-  then each of its windows is found twice.
-
-What is neither goes to the next pass, in narrower bundles whose core is longer: a pass
-orders through KEY = 100 bytes, then 337, 393 and 400. In the last, core, span and window are
-the same. Hot groups (a passage that a third of the texts share) cost
-partial counts: a group is never gathered, only counted, and joined back by key.
-
-Spans are equal if 128 bits of BLAKE2b of their bytes are, within cores that are equal too. Matches
+Suffixes travel in bundles: a record (about one for 55 bytes of text) of ids and digests, not of text, stands for up to
+`WIDTH` neighbouring suffixes. So that equal suffixes are in like bundles, bundles are cut at
+anchors: the anchor of a window is the least (by hash) of the `KEY`-byte strings that start in its
+first depth - KEY + 1 places, the first of equals; equal windows have the same anchor at the same
+offset, and a bundle has the suffixes of one anchor whose offsets are in one block of `WIDTH`. Its digits
+are what its suffixes share of theirs: through byte 200 of the suffix, then bytes 200 to 299, then
+300 to 399. A pass compares bundles twice:
+
+* by their digits so far; a bundle that is alone in its group ends,
+* by their span, the bytes of all their windows; a span found twice settles it, since then each of
+  its windows is found twice; one bundle of each distinct span goes on.
+
+Bundles that agree through byte 399 and still differ in their spans are cut into narrower ones, of 16
+suffixes and then of one, in which digits, span and window are the same. Hot groups (a passage that a
+third of the texts share) cost partial counts: a group is never gathered, only counted, and joined
+back by key.
+
+Spans are equal if 128 bits of BLAKE2b of their bytes are, within groups that are equal too. Matches
 never cross documents. A null or empty text has no bytes, and a text shorter than depth
 none to remove. Equal rows count as two documents, so all of a repeated row's windows are
-repeated. Kept bytes may not be valid UTF-8 by themselves; they are bytes.
+repeated. Kept bytes may not be valid UTF-8 by themselves; they are bytes. An empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,20 +44,18 @@ from tapeworks.llm.shingles import BASE, BYTE, INVERSE, mix, powers
 
 DEPTH = 400
 KEY = 100
-#: Widths of bundles, in offsets of the anchor from the window's start, pass by pass.
-WIDTHS = (DEPTH - KEY + 1, 64, 8, 1)
+#: Pass by pass: the offsets of a bundle, and through how many bytes its suffixes are ordered.
+WIDTH = 128
+PASSES = ((WIDTH, 200), (WIDTH, 300), (WIDTH, DEPTH), (16, DEPTH), (1, DEPTH))
 PART = 1 << 20
 
 
-def anchors(raw: bytes, depth: int = DEPTH, key: int = KEY) -> tuple[np.ndarray, ...]:
-    """(first, last, anchor, hash of the anchor): ranges of window starts in raw that have the same anchor, and the anchor's place."""
-    n = len(raw)
+def anchors(sums: np.ndarray, depth: int = DEPTH, key: int = KEY) -> tuple[np.ndarray, ...]:
+    """(first, last, anchor): ranges of window starts in a text, given its prefix_sums, that have the same anchor, and the anchor's place."""
+    n = len(sums) - 1
     if n < depth:
-        return (np.zeros(0, np.int64),) * 4
-    data = np.frombuffer(raw, np.uint8)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE[data] * powers(BASE, n))))
-        h = mix((sums[key:] - sums[:-key]) * powers(INVERSE, n)[: n - key + 1])
+        return (np.zeros(0, np.int64),) * 3
+    h = string_hashes(sums, key)
     width = depth - key + 1
     # least of each run of width hashes, the first of equals: minima from the left and from the right of blocks of that width
     blocks = -(-len(h) // width)
@@ -78,7 +79,40 @@ def anchors(raw: bytes, depth: int = DEPTH, key: int = KEY) -> tuple[np.ndarray,
             last.append(stop - 1)
             anchor.append(at)
             a = stop
-    return np.array(first), np.array(last), np.array(anchor), h[anchor].view(np.int64)
+    return np.array(first), np.array(last), np.array(anchor)
+
+
+def prefix_sums(raw: bytes) -> np.ndarray:
+    """Of each prefix of raw a sum from which the hash of any string in it follows."""
+    with np.errstate(over="ignore"):
+        return np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE[np.frombuffer(raw, np.uint8)] * powers(BASE, len(raw)))))
+
+
+def string_hashes(sums: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of each string of this length in a text, given its prefix_sums."""
+    with np.errstate(over="ignore"):
+        return mix((sums[length:] - sums[:-length]) * powers(INVERSE, len(sums))[: len(sums) - length])
+
+
+def first_digits(raw: bytes) -> tuple[np.ndarray, ...]:
+    """(first, last, anchor, digits) of the bundles of a text: ranges of window starts in a block of offsets of one anchor, and the hash of what they share of their first digit."""
+    sums = prefix_sums(raw)
+    first, last, anchor = anchors(sums)
+    if not len(first):
+        return first, last, anchor, first
+    width, depth = PASSES[0]
+    low, high = anchor - last, anchor - first
+    n = high // width - low // width + 1
+    at = np.repeat(np.arange(len(n)), n)
+    block = low[at] // width + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    near, far = np.maximum(block * width, low[at]), np.minimum(block * width + width - 1, high[at])
+    start = anchor[at] - block * width
+    with np.errstate(over="ignore"):
+        length = depth - width + 1
+        shared = mix((sums[start + length] - sums[start]) * powers(INVERSE, len(sums))[start])
+    with np.errstate(over="ignore"):
+        digits = mix(shared + block.astype(np.uint64) * np.uint64(BASE))
+    return anchor[at] - far, anchor[at] - near, anchor[at], digits.view(np.int64)
 
 
 def parts(raw: bytes) -> Iterator[tuple[int, bytes]]:
@@ -106,14 +140,14 @@ SPAN = ["core", "span", "span2"]
 
 
 def bundles(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """The bundles of the first pass, as `ROW`; core is the hash of the anchor, span the digest of all windows' bytes."""
+    """The bundles of the first pass, as `ROW`; core is the hash of their digits, span the digest of all windows' bytes."""
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
             for key, text_hash, text in pdf.itertuples(index=False):
                 for start, raw in parts(text.encode("utf-8", "surrogatepass")):
-                    first, last, anchor, core = anchors(raw)
+                    first, last, anchor, core = first_digits(raw)
                     if len(first):
                         spans = b"".join([digest(m - a, raw[a : b + DEPTH]) for a, b, m in zip(first.tolist(), last.tolist(), anchor.tolist(), strict=True)])
                         out.append((key, text_hash, packed(first + start, last - first + 1, anchor - first), core, np.frombuffer(spans, "<i8").reshape(-1, 2)))
@@ -126,8 +160,8 @@ def bundles(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return rows.mapInPandas(batches, ROW)
 
 
-def narrower(texts: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """The bundles of width offsets into which those of reps (id, text_hash, at, settled) fall, as `ROW`."""
+def ordered(texts: DataFrame, reps: DataFrame, width: int, depth: int) -> DataFrame:
+    """The bundles of width offsets into which those of reps (id, text_hash, at, settled) fall, with their digits through depth bytes, as `ROW`."""
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -140,7 +174,7 @@ def narrower(texts: DataFrame, reps: DataFrame, width: int) -> DataFrame:
                     for block in range(low // width, high // width + 1):
                         d0, d1 = block * width, block * width + width - 1
                         a, b = m - min(d1, high), m - max(d0, low)
-                        core, span = digest(block, raw[m - d0 : m - d1 + DEPTH], 8), digest(m - a, raw[a : b + DEPTH])
+                        core, span = digest(block, raw[m - d0 : m - d1 + depth], 8), digest(m - a, raw[a : b + DEPTH])
                         out.append((key, text_hash, packed(a, b - a + 1, m - a), *(int.from_bytes(x, "little", signed=True) for x in (core, span[:8], span[8:])), one["settled"]))
             if out:
                 yield pd.DataFrame(out, columns=["id", "text_hash", "at", *SPAN, "settled"])
@@ -201,9 +235,9 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     texts = rows.where("touched")
     one_each = texts.dropDuplicates(["id", "text_hash"])
     all_found = [found]
-    for width in WIDTHS[1:]:
+    for width, depth in PASSES[1:]:
         before = reps
-        more, reps = sort_pass(narrower(one_each, before, width))
+        more, reps = sort_pass(ordered(one_each, before, width, depth))
         discard(before)
         all_found.append(more)
     ranges = reduce(DataFrame.unionByName, all_found).groupBy("id", "text_hash").agg(F.collect_set("at").alias("ats"))

@@ -168,13 +168,28 @@ def test_spans_of_equal_cores_are_told_apart(spark):
 
 def test_passages_in_parts(monkeypatch):
     raw = np.random.default_rng(1).integers(97, 100, 5000, dtype=np.uint8).tobytes()
-    whole = [x.tolist() for x in passages.anchors(raw)]
+    whole = [x.tolist() for x in passages.anchors(passages.prefix_sums(raw))]
     monkeypatch.setattr(passages, "PART", 700)
     windows = {}
     for start, part in passages.parts(raw):
-        for a, b, m, _ in zip(*[x.tolist() for x in passages.anchors(part)], strict=True):
+        for a, b, m in zip(*[x.tolist() for x in passages.anchors(passages.prefix_sums(part))], strict=True):
             windows |= {start + p: start + m for p in range(a, b + 1)}
-    assert windows == {p: m for a, b, m, _ in zip(*whole, strict=True) for p in range(a, b + 1)}
+    assert windows == {p: m for a, b, m in zip(*whole, strict=True) for p in range(a, b + 1)}
+
+
+def test_bundles_hold_each_suffix_once_and_digits_are_its_bytes():
+    rng = np.random.default_rng(2)
+    raw = rng.integers(97, 100, 3000, dtype=np.uint8).tobytes()
+    raw += b"#" * 50 + raw[100:1500]  # the same suffixes again, far from where they were
+    first, last, anchor, digits = passages.first_digits(raw)
+    starts = sorted(p for a, b in zip(first, last, strict=True) for p in range(a, b + 1))
+    assert starts == list(range(len(raw) - 399)) and (last - first < passages.WIDTH).all() and ((0 <= anchor - last) & (anchor - first <= 300)).all()
+    of = {p: (k, a - p) for x, y, a, k in zip(first, last, anchor, digits, strict=True) for p in range(x, y + 1)}
+    assert all(of[p] == of[p + 2950] for p in range(100, 1101))  # equal windows, equal digits
+    seen = {}
+    for x, y, a, k in zip(first.tolist(), last.tolist(), anchor.tolist(), digits.tolist(), strict=True):
+        near = (a - y) // passages.WIDTH * passages.WIDTH
+        assert seen.setdefault(k, (near, raw[a - near : a - near - passages.WIDTH + 201])) == (near, raw[a - near : a - near - passages.WIDTH + 201])
 
 
 def test_line_dedup(spark, docs, empty):
