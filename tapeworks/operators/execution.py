@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.columns import price_for, trade_direction
+from tapeworks.operators.running import running
 
 
 def order_stakes(candidates: DataFrame, account: DataFrame, observed: DataFrame, cases: DataFrame) -> DataFrame:
@@ -47,18 +48,9 @@ def order_stakes(candidates: DataFrame, account: DataFrame, observed: DataFrame,
 
 
 def observed_notional(tape: DataFrame) -> DataFrame:
-    """(market_id, seq, observed_notional): the market's dollars up to and with each print.
-
-    Sums per (market, day) run over days first; the window over prints then stays inside a day,
-    so a hot market is many tasks' work.
-    """
-    dollars = F.col("size") * F.col("token_price")
-    rows = tape.select("market_id", "seq", "ts", F.floor(F.col("ts") / 86400).alias("day"), dollars.alias("d"))
-    days = rows.groupBy("market_id", "day").agg(F.sum("d").alias("of_day"))
-    before = Window.partitionBy("market_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select("market_id", "day", F.coalesce(F.sum("of_day").over(before), F.lit(0.0)).alias("before"))
-    within = Window.partitionBy("market_id", "day").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("so_far", F.sum("d").over(within)).join(days, ["market_id", "day"]).select("market_id", "seq", (F.col("before") + F.col("so_far")).alias("observed_notional"))
+    """(market_id, seq, observed_notional): the market's dollars up to and with each print."""
+    rows = running(tape.select("market_id", "seq", "ts", (F.col("size") * F.col("token_price")).alias("d")), ["market_id"], "ts", ["ts", "seq"], {"observed_notional": F.col("d")})
+    return rows.select("market_id", "seq", "observed_notional")
 
 
 def _later(orders: DataFrame, tape: DataFrame, cases: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.functions.columns import signed_shares
+from tapeworks.operators.running import running
 
 #: Variants of a market's history: all admitted prints, the last n, or the last n days before the event.
 LAST_PRINTS = (500, 1000, 2000)
@@ -37,7 +38,8 @@ def admitted(tape: DataFrame, admissions: DataFrame, labels: DataFrame) -> DataF
 
 def history_variants(tape: DataFrame, admissions: DataFrame, labels: DataFrame) -> DataFrame:
     """Admitted prints with a column variant, once for each variant to which they belong."""
-    latest = Window.partitionBy("market_id").orderBy(F.desc("ts"), F.desc("seq"))
-    rows = admitted(tape, admissions, labels).withColumn("back", F.row_number().over(latest))
+    rows = running(admitted(tape, admissions, labels), ["market_id"], "ts", ["ts", "seq"], {"nth": F.lit(1)})
+    # the place from the end: prints of the market, less those before
+    rows = rows.join(rows.groupBy("market_id").agg(F.max("nth").alias("prints")), "market_id").withColumn("back", F.col("prints") - F.col("nth") + 1)
     named = [F.lit("all"), *[F.when(F.col("back") <= n, F.lit(f"last_{n}")) for n in LAST_PRINTS], *[F.when(F.col("ts") >= F.col("event_at") - n * 86400, F.lit(f"days_{n}")) for n in LAST_DAYS]]
     return rows.withColumn("variant", F.explode(F.array_compact(F.array(*named)))).select("variant", *tape.columns)

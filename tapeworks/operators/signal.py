@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.columns import price_for
+from tapeworks.operators.running import running
 
 
 @dataclass(frozen=True)
@@ -108,22 +109,21 @@ def consensus(obs: DataFrame, cfg: ConsensusConfig) -> DataFrame:
     wallet_d = Window.partitionBy("market_id", "wallet", "side_of").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"of_wallet": F.sum("w").over(wallet), "nth": F.sum(F.col("ok").cast("int")).over(wallet)})
     rows = rows.withColumns({"of_side": F.sum("w").over(wallet_d), "nth_side": F.sum(F.col("ok").cast("int")).over(wallet_d)})
-    market = Window.partitionBy("market_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     sums = {
-        "yes": F.sum(F.when(F.col("side_of") == "YES", F.col("w")).otherwise(0.0)).over(market),
-        "no": F.sum(F.when(F.col("side_of") == "NO", F.col("w")).otherwise(0.0)).over(market),
-        "wallets": F.sum((F.col("ok") & (F.col("nth") == 1)).cast("int")).over(market),
-        "largest": F.max(F.when(F.col("ok"), F.col("of_wallet")).otherwise(0.0)).over(market),
+        "yes": F.when(F.col("side_of") == "YES", F.col("w")).otherwise(0.0),
+        "no": F.when(F.col("side_of") == "NO", F.col("w")).otherwise(0.0),
+        "wallets": (F.col("ok") & (F.col("nth") == 1)).cast("int"),
     }
+    maxes = {"largest": F.when(F.col("ok"), F.col("of_wallet")).otherwise(0.0)}
     for d in ("YES", "NO"):
         here = F.col("ok") & (F.col("side_of") == d)
         c = F.col("of_side")
-        sums[f"wallets_{d}"] = F.sum((here & (F.col("nth_side") == 1)).cast("int")).over(market)
-        sums[f"squares_{d}"] = F.sum(F.when(here, c * c - (c - F.col("w")) * (c - F.col("w"))).otherwise(0.0)).over(market)
-        sums[f"largest_{d}"] = F.max(F.when(here, c).otherwise(0.0)).over(market)
+        sums[f"wallets_{d}"] = (here & (F.col("nth_side") == 1)).cast("int")
+        sums[f"squares_{d}"] = F.when(here, c * c - (c - F.col("w")) * (c - F.col("w"))).otherwise(0.0)
+        maxes[f"largest_{d}"] = F.when(here, c).otherwise(0.0)
         for name, column in DIAGNOSTICS.items():
-            sums[f"{name}_{d}"] = F.sum(F.when(here, F.col("w") * F.col(column)).otherwise(0.0)).over(market)
-    return decision(rows.withColumns(sums), cfg, ["market_id", "seq", "ts", "yes_price"])
+            sums[f"{name}_{d}"] = F.when(here, F.col("w") * F.col(column)).otherwise(0.0)
+    return decision(running(rows, ["market_id"], "ts", order, sums, maxes), cfg, ["market_id", "seq", "ts", "yes_price"])
 
 
 def batch_consensus(obs: DataFrame, cfg: ConsensusConfig) -> DataFrame:

@@ -8,10 +8,11 @@ day, and over the days' totals before it, so that a wallet of very many trades i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DAY = 86400
+from tapeworks.operators.running import running
+
 SUMS = ("n", "w", "w2", "ws", "ws2", "wpos", "notional")
 
 
@@ -26,13 +27,8 @@ def _as_of(trades: DataFrame, facts: DataFrame, keys: list[str], names: tuple[st
         trades.select(*keys, F.col("ts").alias("at"), F.lit(1).alias("kind"), "market_id", "seq", *[F.lit(0.0).alias(n) if n != "n" else F.lit(0).cast("long").alias(n) for n in names])
     )
     # facts come before the trades of their second
-    events = events.withColumn("day", F.floor(F.col("at") / DAY))
-    order = Window.partitionBy(*keys, "day").orderBy("at", "kind", "market_id", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    trades_of_day = events.withColumns({f"s_{n}": F.sum(n).over(order) for n in names}).where("kind = 1")
-    earlier = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = events.groupBy(*keys, "day").agg(*[F.sum(n).alias(n) for n in names])
-    days = days.select(*keys, "day", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"e_{n}") for n in names])
-    return trades_of_day.join(days, [*keys, "day"]).select(*keys, "market_id", "seq", *[(F.col(f"s_{n}") + F.col(f"e_{n}")).alias(n) for n in names])
+    summed = running(events, keys, "at", ["at", "kind", "market_id", "seq"], {f"s_{n}": F.col(n) for n in names})
+    return summed.where("kind = 1").select(*keys, "market_id", "seq", *[F.col(f"s_{n}").alias(n) for n in names])
 
 
 def statistics(sums: DataFrame, min_weighted_history: float = 0.0) -> DataFrame:

@@ -241,3 +241,15 @@ def test_daily_marks_end_with_the_position(spark):
     assert [round(rows[k].cash, 6) for k in sorted(rows)] == [95.9, 94.9, 104.9, 104.9, 102.9]
     assert [round(rows[k].open_value, 6) for k in sorted(rows)] == [4.0, 7.0, 1.0, 0.0, 2.0]  # a fill after the settlement opens again
     assert [round(rows[k].open_notional, 6) for k in sorted(rows)] == [4.0, 5.0, 1.0, 0.0, 2.0]
+
+
+def test_running_sums_over_days_equal_one_window(spark):
+    from pyspark.sql import Window
+
+    from tapeworks.operators.running import running
+
+    df = spark.range(500).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 400000).alias("ts"), F.col("id").alias("seq"), (F.col("id") * 31 % 17).cast("double").alias("x"))
+    w = Window.partitionBy("g").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    got = running(df, ["g"], "ts", ["ts", "seq"], {"s": F.col("x"), "n": F.lit(1)}, {"m": F.col("x")}).select("seq", "s", "n", "m")
+    want = df.select("seq", F.sum("x").over(w).alias("s"), F.count("*").over(w).alias("n"), F.max("x").over(w).alias("m"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
