@@ -219,8 +219,8 @@ def likelihood(m: np.ndarray) -> float:
     return _phi(m).sum() - _phi(m.sum(axis=1)).sum() - _phi(m.sum(axis=0)).sum()
 
 
-#: How often a word has a class after it (k: the class) or before it (k: CLASSES + the class).
-NEIGHBOUR = np.dtype([("k", "u1"), ("n", "<u4")])
+#: How often a word has a class after it (k: the class) or before it (k: CLASSES + the class); a count over 255 takes several records.
+NEIGHBOUR = np.dtype([("k", "u1"), ("n", "u1")])
 
 
 def neighbours(rows: DataFrame, start: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
@@ -240,9 +240,11 @@ def neighbours(rows: DataFrame, start: tuple[np.ndarray, np.ndarray] | None = No
                 seq, before = seq[keep], before[keep]
                 found = np.concatenate((before * np.uint32(2 * CLASSES) + cls[seq], seq * np.uint32(2 * CLASSES) + np.uint32(CLASSES) + cls[before]))
                 pairs, n = np.unique(found[found >= 2 * CLASSES], return_counts=True)
-                pairs = pairs.astype(np.int64)
+                several = (n + 254) // 255
+                pairs = np.repeat(pairs.astype(np.int64), several)
                 records = np.empty(len(pairs), NEIGHBOUR)
-                records["k"], records["n"] = pairs % (2 * CLASSES), n
+                records["k"], records["n"] = pairs % (2 * CLASSES), 255
+                records["n"][np.cumsum(several) - 1] = n - 255 * (several - 1)
                 words, at = np.unique(pairs // (2 * CLASSES), return_index=True)
                 cuts, raw = np.append(at, len(pairs)) * NEIGHBOUR.itemsize, records.tobytes()
                 for a in range(0, len(words), 50_000):

@@ -327,6 +327,29 @@ def test_blocks_hold_whole_documents(spark, docs, tokens, monkeypatch):
     assert {k: sorted(x) for k, x in got.items()} == {k: sorted(x) for k, x in text.items()}
 
 
+def test_neighbour_counts_over_one_record(spark):
+    tapeworks.distribute(spark)
+    df = spark.createDataFrame([(1, "a b " * 1000 + "c")], "doc_id long, text string")
+    coded = classlm.blocks(df, F.lit(False)).persist()
+    known, _ = classlm.train(coded, sweeps=2)
+    (row,) = known.collect()
+    word = {r.h: r.w for r in spark.createDataFrame([("a",), ("b",), ("c",)], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    cls = {word[h]: c for h, c in zip(row.hashes or coded.first().hashes, row.c[1:], strict=True)} | {None: classlm.CLASSES - 1}
+    full = known.withColumn("hashes", F.array(*[F.lit(h) for h in coded.first().hashes]))
+    seen = {}
+    for r in classlm.neighbours(full).collect():
+        x = np.frombuffer(r.data, classlm.NEIGHBOUR)
+        seen[word[r.h]] = np.bincount(x["k"], x["n"], 2 * classlm.CLASSES)
+    want = {w: np.zeros(2 * classlm.CLASSES) for w in "abc"}
+    tokens = [None, *("a b " * 1000 + "c").split(), None]
+    for before, after in itertools.pairwise(tokens):
+        if before:
+            want[before][cls[after]] += 1
+        if after:
+            want[after][classlm.CLASSES + cls[before]] += 1
+    assert all(np.array_equal(seen[w], want[w]) for w in "abc")
+
+
 def test_exchange_separates_and_never_loses():
     rng = np.random.default_rng(0)
     n = np.zeros((40, 40))
