@@ -234,6 +234,27 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, label) after more links (a, b): only the labels that the links join are looked at, not all links before."""
+    of = labels.select(F.col("id").alias("a"), F.col("label").alias("la"))
+    ends = links.join(of, "a", "left").join(of.withColumnsRenamed({"a": "b", "la": "lb"}), "b", "left")
+    met = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a != b"))
+    moved = labels.join(met.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+    out = scratch(moved.unionByName(met.join(labels, "id", "left_anti").select("id", "label")), "labels")
+    discard(met)
+    return out
+
+
+def members_of(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(hub, hub_label, id, label) of the partners of hubs, in groups whose partners have several labels."""
+    rows = pairs.select(F.col("a").alias("hub"), F.col("b").alias("id")).join(labels, "id", "left").select("hub", "id", F.coalesce("label", "id").alias("label"))
+    rows = rows.join(labels.select(F.col("id").alias("hub"), F.col("label").alias("hub_label")), "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub"))
+    groups = scratch(mixed(rows), "groups")
+    out = scratch(rows.join(groups.select("hub"), "hub", "left_semi"), "members")
+    discard(groups)
+    return out
+
+
 def linkable(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The members (hub, hub_label, id, label) that may be similar to a text of another label.
 
@@ -361,21 +382,19 @@ def grouped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     links = scratch(verified(pairs.where(near).select("a", "b"), sets, threshold), "links")
     labels = components(links)
     # two texts of a bucket were both compared with its hub: what is left is inside the hubs' groups
-    members = pairs.select(F.col("a").alias("hub"), F.col("b").alias("id")).join(labels, "id", "left").select("hub", "id", F.coalesce("label", "id").alias("label"))
-    members = members.join(labels.select(F.col("id").alias("hub"), F.col("label").alias("hub_label")), "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub"))
-    groups = scratch(mixed(members), "groups")
-    members = scratch(members.join(groups.select("hub"), "hub", "left_semi"), "members")
+    members = members_of(pairs, labels)
     members, all_ = scratch(linkable(members, sets, threshold), "linkable"), members
-    discard(groups, all_)
+    discard(all_)
     more = scratch(compared(members.join(scratch(mixed(members), "groups"), "hub").join(sets, "id"), threshold).distinct(), "more")
     if not more.isEmpty():
-        discard(labels)
-        labels = components(links.unionByName(more))
-    linked = labels.join(classes.select("k", "rep"), F.col("id") == F.col("k")).select("k", "rep", "label")
-    lows = linked.select("k", "label").join(linked.groupBy("label").agg(F.min("rep").alias("low")), "label").select("k", "low")
+        labels, before = joined(labels, more), labels
+        discard(before)
+    linked = scratch(labels.join(classes.select("k", "rep"), F.col("id") == F.col("k")).select("k", "rep", "label"), "linked")
+    low = scratch(linked.groupBy("label").agg(F.min("rep").alias("low")), "low")
+    lows = linked.select("k", "label").join(low, "label").select("k", "low")
     by_text = classes.join(lows, "k", "left").select(F.col("digest").alias("d"), "rep", F.coalesce("low", "rep").alias("low"))
     by_text = scratch(by_text, "by_text")
-    discard(classes, hubs, pairs, wanted, sets, links, labels, members, more)
+    discard(classes, hubs, pairs, wanted, sets, links, labels, members, more, linked, low)
     return sketched, by_text
 
 
