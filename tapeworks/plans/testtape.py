@@ -98,7 +98,7 @@ class View:
         return shared_dir(self.spark)
 
     def kept(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{self.folder}/{name}")
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def table(self, name: str) -> DataFrame:
