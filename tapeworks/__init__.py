@@ -11,18 +11,20 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
-#: Rows of an Arrow batch: texts are long, and a worker holds a batch in several forms.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch: texts are long, and a worker holds a batch in several forms.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def distribute(spark: SparkSession) -> SparkSession:
     """Sends this package to the session's Python workers, once for each application.
 
-    Also sets the rows of an Arrow batch to `BATCH_ROWS`, unless the session has a value of its own.
+    Also sets the rows and bytes of an Arrow batch to `BATCH_ROWS` and `BATCH_BYTES`, unless the session has values of its own.
     """
     app = spark.sparkContext.applicationId
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "").startswith(str(64 << 20)):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     if app not in _SHIPPED:
         here = Path(__file__).parent
         to = Path(tempfile.mkdtemp(prefix="tapeworks-py-")) / "tapeworks.zip"
