@@ -23,7 +23,7 @@ def distribute(spark: SparkSession) -> SparkSession:
     app = spark.sparkContext.applicationId
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "").startswith(str(64 << 20)):
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").startswith(str(64 << 20)):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     if app not in _SHIPPED:
         here = Path(__file__).parent
