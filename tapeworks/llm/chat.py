@@ -132,17 +132,20 @@ class Digests:
     """What is told of a conversation, from its formatted text as it is written."""
 
     def __init__(self) -> None:
-        self.reader, self.held = Reader(), BEGIN
+        self.reader, self.held, self.size = Reader(), [BEGIN], len(BEGIN)
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n = self.loss_chars = self.chars = 0
 
     def write(self, rendered: str) -> None:
-        text = self.held + rendered
-        whole = len(text) - len(text) % PIECE
-        for i in range(0, whole, PIECE):
-            self._count(self.reader.feed(text[i : i + PIECE]))
-        self.chars += whole
-        self.held = text[whole:]
+        self.held.append(rendered)
+        self.size += len(rendered)
+        if self.size >= PIECE:
+            text = "".join(self.held)
+            whole = self.size - self.size % PIECE
+            for i in range(0, whole, PIECE):
+                self._count(self.reader.feed(text[i : i + PIECE]))
+            self.chars += whole
+            self.held, self.size = [text[whole:]], self.size - whole
 
     def _count(self, turns: Iterator[tuple[str, str]]) -> None:
         for role, text in turns:
@@ -153,9 +156,9 @@ class Digests:
                 self.loss.update(text.encode("utf-8", "surrogatepass"))
 
     def ended(self) -> tuple[int, str, int, str, int]:
-        self._count(self.reader.feed(self.held))
+        self._count(self.reader.feed("".join(self.held)))
         self._count(self.reader.end())
-        return self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars + len(self.held)
+        return self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars + self.size
 
 
 def conversations(formatted: DataFrame) -> DataFrame:
