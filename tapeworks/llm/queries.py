@@ -12,6 +12,7 @@ from tapeworks.llm.minhash import op7_near_duplicates
 from tapeworks.llm.passages import op3_repeated_passages
 from tapeworks.llm.pfor import op9_token_files
 from tapeworks.llm.quality import OP5_SQL, op5_quality_rules
+from tapeworks.llm.spelling import OP11_SQL, op11_spelling_variants
 
 QUERIES = {
     f.__name__: f
@@ -26,7 +27,8 @@ QUERIES = {
         op8_language_id,
         op9_token_files,
         op10_byte_bpe,
+        op11_spelling_variants,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_quality_rules": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_quality_rules": OP5_SQL, "op11_spelling_variants": OP11_SQL}
