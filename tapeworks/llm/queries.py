@@ -9,10 +9,12 @@ from tapeworks.llm.decontaminate import op1_decontamination
 from tapeworks.llm.langid import op8_language_id
 from tapeworks.llm.linededup import OP4_SQL, op4_line_dedup
 from tapeworks.llm.minhash import op7_near_duplicates
+from tapeworks.llm.mixing import OP13_SQL, op13_source_mix
 from tapeworks.llm.passages import op3_repeated_passages
 from tapeworks.llm.pfor import op9_token_files
 from tapeworks.llm.quality import OP5_SQL, op5_quality_rules
 from tapeworks.llm.spelling import OP11_SQL, op11_spelling_variants
+from tapeworks.llm.trie import OP12_SQL, op12_prefix_trie
 
 QUERIES = {
     f.__name__: f
@@ -28,7 +30,9 @@ QUERIES = {
         op9_token_files,
         op10_byte_bpe,
         op11_spelling_variants,
+        op12_prefix_trie,
+        op13_source_mix,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_quality_rules": OP5_SQL, "op11_spelling_variants": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_quality_rules": OP5_SQL, "op11_spelling_variants": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_source_mix": OP13_SQL}
