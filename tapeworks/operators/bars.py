@@ -9,51 +9,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeworks.operators.running import running
+
 HOUR = 3600
 
 
 def hourly_bars(tape: DataFrame) -> DataFrame:
-    """(market_id, hour, quantity, price_quantity, dollars, prints); hour: whole hours since the epoch."""
+    """(market_id, hour, quantity, price_quantity, dollars, prints, first_ts); hour: whole hours since the epoch, first_ts: second of the hour's first print."""
     return tape.groupBy("market_id", F.floor(F.col("ts") / HOUR).alias("hour")).agg(
         F.sum("size").alias("quantity"),
         F.sum(F.col("size") * F.col("yes_price")).alias("price_quantity"),
         F.sum(F.col("size") * F.col("token_price")).alias("dollars"),
         F.count("*").alias("prints"),
+        F.min("ts").alias("first_ts"),
     )
 
 
 def dense_hours(bars: DataFrame, observed_until: int) -> DataFrame:
-    """Bars for every completed hour from a market's first print on; silent hours are zero."""
+    """Bars for every completed hour from a market's first print on; silent hours are zero, without a first_ts.
+
+    A bar brings the silent hours after it, so bars are not joined with a calendar.
+    """
     last = observed_until // HOUR - 1
-    hours = bars.groupBy("market_id").agg(F.min("hour").alias("first")).where(F.col("first") <= last)
-    grid = hours.select("market_id", F.explode(F.sequence("first", F.lit(last).cast("bigint"))).alias("hour"))
-    out = grid.join(bars, ["market_id", "hour"], "left")
-    return out.fillna(0, ["quantity", "price_quantity", "dollars", "prints"])
+    by = Window.partitionBy("market_id").orderBy("hour")
+    known = bars.where(F.col("hour") <= last).withColumn("next", F.coalesce(F.lead("hour").over(by), F.lit(last + 1)))
+    hours = known.withColumn("h", F.explode(F.sequence("hour", F.col("next") - 1)))
+    own = F.col("h") == F.col("hour")
+    sums = [F.when(own, F.col(c)).otherwise(F.lit(0).cast(bars.schema[c].dataType)).alias(c) for c in ("quantity", "price_quantity", "dollars", "prints")]
+    return hours.select("market_id", F.col("h").alias("hour"), *sums, F.when(own, F.col("first_ts")).alias("first_ts"))
 
 
 def rolling_bars(bars: DataFrame, width: int) -> DataFrame:
-    """Adds sums over the last width hours, their VWAP (0.5 if nothing traded) and the dollars so far."""
-    recent = Window.partitionBy("market_id").orderBy("hour").rangeBetween(-(width - 1), 0)
-    so_far = Window.partitionBy("market_id").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
-    out = bars.withColumns(
-        {
-            "recent_quantity": F.sum("quantity").over(recent),
-            "recent_pq": F.sum("price_quantity").over(recent),
-            "recent_notional": F.sum("dollars").over(recent),
-            "recent_prints": F.sum("prints").over(recent),
-            "cumulative_notional": F.sum("dollars").over(so_far),
-            "first_hour": F.min("hour").over(so_far),
-        }
-    )
+    """Adds sums over the last width hours, their VWAP (0.5 if nothing traded), the dollars so far and the market's first print.
+
+    bars: dense hours. A sum over the window is the running sum less the one width rows back, in
+    decimals (to 10 places a bar), so that it is exact and its cost does not grow with the width.
+    """
+    by = Window.partitionBy("market_id").orderBy("hour")
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    names = {"recent_quantity": "quantity", "recent_pq": "price_quantity", "recent_notional": "dollars", "recent_prints": "prints"}
+    out = bars.withColumns({f"_{c}": F.sum(F.col(c) if c == "prints" else F.col(c).cast("decimal(28,10)")).over(so_far) for c in names.values()} | {"first_print": F.min("first_ts").over(so_far)})
+    before = {r: F.coalesce(F.lag(f"_{c}", width).over(by), F.lit(0)) for r, c in names.items()}
+    sums = {r: (F.col(f"_{c}") - before[r]).cast("long" if c == "prints" else "double") for r, c in names.items()}
+    out = out.withColumns(sums | {"cumulative_notional": F.col("_dollars").cast("double")}).drop("first_ts", *[f"_{c}" for c in names.values()])
     vwap = F.when(F.col("recent_quantity") > 0, F.col("recent_pq") / F.col("recent_quantity")).otherwise(0.5)
     return out.withColumn("recent_yes_vwap", vwap)
 
 
 def volume_admission(tape: DataFrame, min_volume: float) -> DataFrame:
     """(market_id, admitted_at, cumulative): the second after the first whole second whose dollars so far reach min_volume."""
-    seconds = tape.groupBy("market_id", "ts").agg(F.sum((F.col("size") * F.col("token_price")).cast("decimal(38,4)")).alias("dollars"))
-    so_far = Window.partitionBy("market_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    reached = seconds.withColumn("cumulative", F.sum("dollars").over(so_far)).where(F.col("cumulative") >= F.lit(min_volume).cast("decimal(38,4)"))
+    seconds = tape.groupBy("market_id", "ts").agg(F.sum((F.col("size") * F.col("token_price")).cast("decimal(28,4)")).alias("dollars"))
+    reached = running(seconds, ["market_id"], "ts", ["ts"], {"cumulative": F.col("dollars")}).where(F.col("cumulative") >= F.lit(min_volume).cast("decimal(38,4)"))
     first = reached.groupBy("market_id").agg(F.min(F.struct("ts", "cumulative")).alias("r"))
     return first.select("market_id", (F.col("r.ts") + 1).alias("admitted_at"), F.col("r.cumulative").cast("double").alias("cumulative"))
 
@@ -63,18 +69,20 @@ def activation(rolled: DataFrame, markets: DataFrame, rules: DataFrame) -> DataF
 
     rules: rule, min_notional, rolling (dollars of the window, not all so far), min_prints,
     warmup_hours, min_conviction, max_days (null: no close horizon). The first completed hour
-    that meets a rule activates the market; both ends of the horizon are strict, and a market
-    without a close never meets one.
+    that meets a rule activates the market. The warm-up counts from the second of the first print,
+    so observed_hours is a fraction; both ends of the horizon are strict, and a market without a
+    close never meets one.
     """
-    bars = rolled.join(markets.select("market_id", "close_at"), "market_id").crossJoin(F.broadcast(rules))
+    bars = rolled.select("market_id", "hour", "first_print", "recent_notional", "recent_prints", "recent_yes_vwap", "cumulative_notional")
+    bars = bars.join(markets.select("market_id", "close_at"), "market_id").crossJoin(rules)
     time = (F.col("hour") + 1) * HOUR
     dollars = F.when(F.col("rolling"), F.col("recent_notional")).otherwise(F.col("cumulative_notional"))
     wait = F.col("close_at") - time
     horizon = F.col("max_days").isNull() | F.coalesce((wait > 0) & (wait < F.col("max_days") * 86400), F.lit(False))
     conviction = F.greatest(F.col("recent_yes_vwap"), 1 - F.col("recent_yes_vwap"))
-    hours = F.col("hour") + 1 - F.col("first_hour")
-    met = bars.where((hours >= F.col("warmup_hours")) & (F.round(dollars, 4) >= F.col("min_notional")) & (F.col("recent_prints") >= F.col("min_prints")) & (F.round(conviction, 9) >= F.col("min_conviction")) & horizon)
-    row = F.struct("hour", time.alias("time"), "cumulative_notional", "recent_notional", "recent_prints", "recent_yes_vwap", hours.alias("observed_hours"))
+    seen = time - F.col("first_print")
+    met = bars.where((seen >= F.col("warmup_hours") * HOUR) & (F.round(dollars, 4) >= F.col("min_notional")) & (F.col("recent_prints") >= F.col("min_prints")) & (F.round(conviction, 9) >= F.col("min_conviction")) & horizon)
+    row = F.struct("hour", time.alias("time"), "cumulative_notional", "recent_notional", "recent_prints", "recent_yes_vwap", (seen / HOUR).alias("observed_hours"))
     return met.groupBy("market_id", "rule").agg(F.min(row).alias("r")).select("market_id", "rule", "r.time", "r.cumulative_notional", "r.recent_notional", "r.recent_prints", "r.recent_yes_vwap", "r.observed_hours")
 
 

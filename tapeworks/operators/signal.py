@@ -57,10 +57,10 @@ def weight(cfg: ConsensusConfig) -> Column:
 
 
 def observations(trades: DataFrame, skills: DataFrame) -> DataFrame:
-    """Rows of flow: direction and dollars of each trade with its wallet's statistics at that time."""
+    """Rows of flow: direction and shares (volume) of each trade with its wallet's statistics at that time."""
     from tapeworks.functions.columns import trade_direction
 
-    flow = trades.select("market_id", "seq", "ts", "wallet", "yes_price", trade_direction(F.col("side")).alias("direction"), (F.col("size") * F.col("token_price")).alias("volume"))
+    flow = trades.select("market_id", "seq", "ts", "wallet", "yes_price", trade_direction(F.col("side")).alias("direction"), F.col("size").alias("volume"))
     return flow.join(skills.withColumnsRenamed({"weighted_score": "skill", "weighted_score_std": "skill_score_std"}).drop("wallet"), ["market_id", "seq"])
 
 

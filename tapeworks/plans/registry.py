@@ -283,10 +283,10 @@ add(
 
 add("O24_hourly_bars", lambda v: v.bars, "SELECT * FROM bars", "price_quantity:4 dollars:4")
 add("O25_dense_hours", lambda v: v.dense, "SELECT * FROM dense", "price_quantity:4 dollars:4 prints:i")
-add("O26_rolling_bars", lambda v: v.rolled.drop("recent_yes_vwap"), "SELECT * EXCLUDE recent_yes_vwap FROM rolled", "price_quantity:4 dollars:4 recent_pq:4 recent_notional:4 cumulative_notional:4 prints:i recent_prints:i")
+add("O26_rolling_bars", lambda v: v.rolled.drop("recent_yes_vwap"), "SELECT * EXCLUDE (recent_yes_vwap, first_ts) FROM rolled", "price_quantity:4 dollars:4 recent_pq:4 recent_notional:4 cumulative_notional:4 prints:i recent_prints:i")
 add("O27_settlements", lambda v: v.settlements, "SELECT * FROM settlements", "score:6 notional:4")
 add("O34_volume_admission", lambda v: v.admissions, "SELECT market_id, admitted_at, CAST(cumulative AS DOUBLE) AS cumulative FROM admissions", "cumulative:4")
-add("O35_activation", lambda v: v.activations, "SELECT * FROM activations", "cumulative_notional:4 recent_notional:4 recent_yes_vwap:6 recent_prints:i observed_hours:i")
+add("O35_activation", lambda v: v.activations, "SELECT * FROM activations", "cumulative_notional:4 recent_notional:4 recent_yes_vwap:6 recent_prints:i observed_hours:6")
 add("O36_gate_tape", lambda v: bars.gate_tape(v.tape, v.activations, v.labels).select("rule", "market_id", "seq", "ts", "size"), "SELECT rule, t.market_id, seq, ts, size FROM tape t JOIN activations a ON t.market_id = a.market_id JOIN markets m ON t.market_id = m.market_id WHERE ts >= a.time AND ts < label_available_at")
 _VARIANTS = """variants AS (
   SELECT v AS variant, t.* FROM (SELECT t.*, event_at, row_number() OVER (PARTITION BY t.market_id ORDER BY ts DESC, seq DESC) AS back FROM tape t JOIN admissions a ON t.market_id = a.market_id JOIN markets m ON t.market_id = m.market_id WHERE ts >= admitted_at AND ts < event_at) t,
@@ -608,12 +608,12 @@ def _prints(v: View) -> DataFrame:
 
 _COMPLETE = "(SELECT max(ts) // 3600 FROM tape)"
 _RULE = {"width": tt.WIDTH, "min_notional": 300.0, "rolling": False, "min_prints": 20, "warmup_hours": 24, "min_conviction": 0.55, "max_days": None}
-add("O67_stream_hourly_bars", lambda v: _drained(v, _prints(v), streams.stream_hourly_bars), f"SELECT * FROM bars WHERE hour < {_COMPLETE}", "price_quantity:4 dollars:4")
+add("O67_stream_hourly_bars", lambda v: _drained(v, _prints(v), streams.stream_hourly_bars), f"SELECT * EXCLUDE first_ts FROM bars WHERE hour < {_COMPLETE}", "price_quantity:4 dollars:4")
 add(
     "O68_stream_rolling_bars",
     lambda v: _drained(v, _prints(v), streams.stream_rolling_bars),
     f"SELECT market_id, h AS hour, sum(quantity) AS quantity, sum(price_quantity) AS price_quantity, sum(dollars) AS dollars, CAST(sum(prints) AS BIGINT) AS prints FROM (SELECT *, unnest(range(hour, hour + 24)) AS h FROM bars) WHERE h < {_COMPLETE} GROUP BY ALL",
     "price_quantity:4 dollars:4",
 )
-add("O69_stream_activation", lambda v: _drained(v, _prints(v), lambda s: streams.stream_activation(s, _RULE)), f"SELECT market_id, time, cumulative_notional, recent_notional, recent_prints, recent_yes_vwap, observed_hours FROM gate WHERE time // 3600 <= {_COMPLETE}", "cumulative_notional:4 recent_notional:4 recent_yes_vwap:6 recent_prints:i observed_hours:i")
+add("O69_stream_activation", lambda v: _drained(v, _prints(v), lambda s: streams.stream_activation(s, _RULE)), f"SELECT market_id, time, cumulative_notional, recent_notional, recent_prints, recent_yes_vwap, observed_hours FROM gate WHERE time // 3600 <= {_COMPLETE}", "cumulative_notional:4 recent_notional:4 recent_yes_vwap:6 recent_prints:i observed_hours:6")
 add("O70_stream_consensus", lambda v: _drained(v, v.observations, lambda s: streams.stream_consensus(s, tt.CONSENSUS), late=False), "SELECT * FROM signals", _DECISION + " yes_price:4")

@@ -160,7 +160,7 @@ class View:
 
     @cached_property
     def bars(self) -> DataFrame:
-        return bars.hourly_bars(self.tape)
+        return self.kept("bars", bars.hourly_bars(self.tape))
 
     @cached_property
     def dense(self) -> DataFrame:
@@ -168,7 +168,7 @@ class View:
 
     @cached_property
     def rolled(self) -> DataFrame:
-        return self.kept("rolled", bars.rolling_bars(self.dense, WIDTH))
+        return bars.rolling_bars(self.dense, WIDTH)
 
     @cached_property
     def activations(self) -> DataFrame:
@@ -311,21 +311,21 @@ SQL = [
     values("cases", CASE_COLUMNS, [tuple(c.values()) for c in CASES]),
     values("account", {"case": "string", "equity": "double", "cash": "double"}, ACCOUNT),
     """bars AS (
-  SELECT market_id, ts // 3600 AS hour, sum(size) AS quantity, sum(size * yes_price) AS price_quantity, sum(size * token_price) AS dollars, count(*) AS prints
+  SELECT market_id, ts // 3600 AS hour, sum(size) AS quantity, sum(size * yes_price) AS price_quantity, sum(size * token_price) AS dollars, count(*) AS prints, min(ts) AS first_ts
   FROM tape GROUP BY ALL)""",
     f"""dense AS (
-  SELECT g.market_id, g.hour, coalesce(quantity, 0) AS quantity, coalesce(price_quantity, 0) AS price_quantity, coalesce(dollars, 0) AS dollars, coalesce(prints, 0) AS prints
+  SELECT g.market_id, g.hour, coalesce(quantity, 0) AS quantity, coalesce(price_quantity, 0) AS price_quantity, coalesce(dollars, 0) AS dollars, coalesce(prints, 0) AS prints, first_ts
   FROM (SELECT market_id, unnest(range(min(hour), {END // 3600})) AS hour FROM bars GROUP BY market_id) g LEFT JOIN bars b ON g.market_id = b.market_id AND g.hour = b.hour)""",
     f"""rolled AS (
   SELECT *, CASE WHEN recent_quantity > 0 THEN recent_pq / recent_quantity ELSE 0.5 END AS recent_yes_vwap FROM (
   SELECT *, sum(quantity) OVER r AS recent_quantity, sum(price_quantity) OVER r AS recent_pq, sum(dollars) OVER r AS recent_notional, CAST(sum(prints) OVER r AS BIGINT) AS recent_prints,
-    sum(dollars) OVER c AS cumulative_notional, min(hour) OVER c AS first_hour
+    sum(dollars) OVER c AS cumulative_notional, min(first_ts) OVER c AS first_print
   FROM dense WINDOW r AS (PARTITION BY market_id ORDER BY hour RANGE BETWEEN {WIDTH - 1} PRECEDING AND CURRENT ROW), c AS (PARTITION BY market_id ORDER BY hour ROWS UNBOUNDED PRECEDING)))""",
     """met AS (
-  SELECT r.*, u.rule, (hour + 1) * 3600 AS time, hour + 1 - first_hour AS observed_hours,
+  SELECT r.*, u.rule, (hour + 1) * 3600 AS time, ((hour + 1) * 3600 - first_print) / 3600 AS observed_hours,
     row_number() OVER (PARTITION BY r.market_id, u.rule ORDER BY hour) AS k
   FROM rolled r JOIN markets m ON r.market_id = m.market_id, rules u
-  WHERE hour + 1 - first_hour >= warmup_hours AND round(CASE WHEN rolling THEN recent_notional ELSE cumulative_notional END, 4) >= min_notional
+  WHERE (hour + 1) * 3600 - first_print >= warmup_hours * 3600 AND round(CASE WHEN rolling THEN recent_notional ELSE cumulative_notional END, 4) >= min_notional
     AND recent_prints >= min_prints AND round(greatest(recent_yes_vwap, 1 - recent_yes_vwap), 9) >= min_conviction
     AND (max_days IS NULL OR (close_at > (hour + 1) * 3600 AND close_at - (hour + 1) * 3600 < max_days * 86400)))""",
     "activations AS (SELECT market_id, rule, time, cumulative_notional, recent_notional, recent_prints, recent_yes_vwap, observed_hours FROM met WHERE k = 1)",
@@ -395,7 +395,7 @@ AT = ("r.market_id, r.seq, r.ts, r.yes_price", "market_id, seq, ts, yes_price")
 SQL += [
     skill_sql("skills"),
     f"""observations AS (
-  SELECT t.market_id, t.seq, t.ts, t.wallet, t.yes_price, {DIRECTION} AS direction, size * token_price AS volume, weighted_score AS skill, weighted_history_notional, supporting_markets, effective_history_markets, mean_similarity, positive_history_weight_fraction, weighted_score_std AS skill_score_std
+  SELECT t.market_id, t.seq, t.ts, t.wallet, t.yes_price, {DIRECTION} AS direction, CAST(size AS DOUBLE) AS volume, weighted_score AS skill, weighted_history_notional, supporting_markets, effective_history_markets, mean_similarity, positive_history_weight_fraction, weighted_score_std AS skill_score_std
   FROM gated t JOIN skills k ON t.market_id = k.market_id AND t.seq = k.seq)""",
     f"flow AS (SELECT *, skill * volume AS w FROM observations WHERE skill >= {CONSENSUS.skill_threshold} AND volume > 0)",
     decision_sql("signals", flow_sums(*AT, "observations r LEFT JOIN flow o ON o.market_id = r.market_id AND o.seq <= r.seq"), AT[1]),

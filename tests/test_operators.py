@@ -37,18 +37,30 @@ def test_activation_waits_for_a_completed_hour(spark):
     markets = spark.createDataFrame([(1, None)], "market_id long, close_at long")
 
     def run(until):
-        return bars.activation(bars.rolling_bars(bars.dense_hours(bars.hourly_bars(t), until), 24), markets, rule(spark)).collect()
+        return bars.activation(bars.rolling_bars(bars.dense_hours(bars.hourly_bars(t), until), 24), markets, rule(spark, warmup_hours=0)).collect()
 
     assert run(7199) == []
     (row,) = run(7200)
     assert (row.time, round(row.cumulative_notional, 6)) == (7200, 1_900_000.0)
+    assert row.observed_hours == 7190 / 3600
+
+
+def test_warm_up_counts_from_the_first_print(spark):
+    t = tape(spark, [(1, 1, 10, 0, 2e6, 0.95, 0.95, 1)])
+    markets = spark.createDataFrame([(1, None)], "market_id long, close_at long")
+
+    def run(until):
+        return bars.activation(bars.rolling_bars(bars.dense_hours(bars.hourly_bars(t), until), 24), markets, rule(spark, warmup_hours=2)).collect()
+
+    assert run(7200) == [] and run(10799) == []
+    assert run(10800)[0].time == 10800
 
 
 def test_activation_in_a_silent_hour(spark):
     t = tape(spark, [(1, 1, 10, 0, 2e6, 0.95, 0.95, 1)])
     markets = spark.createDataFrame([(1, None)], "market_id long, close_at long")
     rolled = bars.rolling_bars(bars.dense_hours(bars.hourly_bars(t), 10 * 3600), 24)
-    assert bars.activation(rolled, markets, rule(spark, warmup_hours=5)).first().time == 5 * 3600
+    assert bars.activation(rolled, markets, rule(spark, warmup_hours=5)).first().time == 6 * 3600  # five hours after second 10 are over in the sixth
     assert bars.activation(rolled, markets, rule(spark, max_days=1.0)).isEmpty()  # no close, no horizon
 
 
