@@ -1,13 +1,16 @@
 """Fixed-stake execution: stakes, fills at later prints, settlement, daily marks, stress.
 
 A parent order has its stake from the start, so markets are independent of each other and the
-work is joins and windows. Orders are few beside prints: the tape is cut to the orders' markets
-and times by an equi-join before any window.
+work is joins and windows. Orders find their fills by a forward search that stops: `price_zones`
+has the least and largest price of each hour of a market and side, so an order visits only hours
+that can fill or end it, and none after the hour by which it is surely filled or ended. Only the
+prints of visited hours meet the order.
 
 orders: case, market_id, direction, seq, ts (of the signal), price (then), allowed_price, stake,
-bucket. Execution settings are columns of cases: delay, trade_filter, expiry (null: none),
-slippage_bps, min_price, max_price, stable_floor, lottery_high, max_drift_bps (null: none), wait,
-confirmations, participation, max_children, slices, min_ticket, fee_bps.
+quantity (a fixed lot of shares; null: the stake decides), bucket. Execution settings are columns
+of cases: delay, trade_filter, expiry (null: none), slippage_bps, min_price, max_price,
+stable_floor, lottery_high, max_drift_bps (null: none; from the signal's price with slippage),
+wait, confirmations, participation (null: no limit), max_children, slices, min_ticket, fee_bps.
 """
 
 from __future__ import annotations
@@ -15,27 +18,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.functions.columns import price_for, trade_direction
+from tapeworks.functions.columns import price_for, risk_class, trade_direction
 from tapeworks.operators.running import running
 
+#: Seconds of a price zone.
+ZONE = 3600
+
 
 def order_stakes(candidates: DataFrame, account: DataFrame, observed: DataFrame, cases: DataFrame) -> DataFrame:
-    """Adds stake to candidates, from a given equity and cash per case (account: case, equity, cash).
+    """Adds stake and quantity to candidates, from a given account per case (case, equity, cash, deployed, lottery_open).
 
-    observed: market_id, seq, observed_notional (dollars of the market up to that print). cases:
-    case, edge_multiplier, min_fraction, max_fraction, target_fraction, buffer_fraction,
+    deployed: dollars in open positions and waiting orders, lottery_open: those of the lottery
+    bucket. observed: market_id, seq, observed_notional (dollars of the market up to that print).
+    cases: case, edge_multiplier, min_fraction, max_fraction, target_fraction, buffer_fraction,
     max_position_fraction, max_competitive_fraction, max_market_fraction, max_balance_fraction,
-    max_loss_fraction, lottery_lot, min_ticket. Stakes under the least ticket are 0.
-    """
-    from tapeworks.functions.columns import risk_class
+    max_loss_fraction, lottery_lot, lottery_max_fraction, min_ticket. A fraction of null caps nothing.
 
-    rows = candidates.join(F.broadcast(account), "case").join(cases, "case").join(observed, ["market_id", "seq"], "left")
-    target = F.greatest(F.lit(0.0), F.col("equity") * F.col("target_fraction"))
+    The stake is a share of what is left to the target. A lottery order is a fixed lot (quantity)
+    at its price, if all open lottery dollars then stay within their share of cash. Other stakes
+    under the least ticket are 0.
+    """
+    rows = candidates.join(account, "case").join(cases, "case").join(observed, ["market_id", "seq"], "left")
+    left = F.greatest(F.lit(0.0), F.col("equity") * F.col("target_fraction") - F.col("deployed"))
     available = F.greatest(F.lit(0.0), F.col("cash") - F.col("equity") * F.col("buffer_fraction"))
     edge = F.greatest(F.lit(0.0), F.col("confidence") - F.col("price")) * 365 / F.greatest(F.col("wait_days"), F.lit(1e-9))
     fraction = F.greatest(F.col("min_fraction"), F.least(F.col("max_fraction"), edge * F.col("edge_multiplier")))
     caps = [
-        target * fraction,
+        left * fraction,
         available,
         F.col("equity") * F.col("max_position_fraction"),
         F.when(risk_class(F.col("question")) == "competitive_event", F.col("equity") * F.col("max_competitive_fraction")),
@@ -43,8 +52,11 @@ def order_stakes(candidates: DataFrame, account: DataFrame, observed: DataFrame,
         F.col("cash") * F.col("max_balance_fraction"),
         F.col("cash") * F.col("max_loss_fraction"),
     ]
-    stake = F.when(F.col("bucket") == "lottery", F.col("lottery_lot") * F.col("price")).otherwise(F.least(*caps))
-    return rows.select(*candidates.columns, F.when(stake >= F.col("min_ticket"), stake).otherwise(0.0).alias("stake"))
+    lottery = F.col("bucket") == "lottery"
+    lot = F.col("lottery_lot") * F.col("price")
+    fits = (F.col("lottery_max_fraction") > 0) & (F.round(F.col("lottery_open") + lot, 9) <= F.round(F.col("cash") * F.col("lottery_max_fraction"), 9))
+    stake = F.when(lottery, F.when(fits, lot)).when(F.least(*caps) >= F.col("min_ticket"), F.least(*caps))
+    return rows.select(*candidates.columns, F.coalesce(stake, F.lit(0.0)).alias("stake"), F.when(lottery, F.col("lottery_lot")).alias("quantity"))
 
 
 def observed_notional(tape: DataFrame) -> DataFrame:
@@ -53,71 +65,129 @@ def observed_notional(tape: DataFrame) -> DataFrame:
     return rows.select("market_id", "seq", "observed_notional")
 
 
-def _later(orders: DataFrame, tape: DataFrame, cases: DataFrame) -> DataFrame:
-    """Orders with each later print that is due, not expired and of the wanted kind; o_ columns are the order's."""
+def price_zones(tape: DataFrame) -> DataFrame:
+    """(market_id, hour, side, low, high, first_ts, last_ts, first_seq, prints, shares): what each hour of a market's side has at least and at most."""
+    return tape.groupBy("market_id", F.floor(F.col("ts") / ZONE).alias("hour"), "side").agg(
+        F.min("yes_price").alias("low"), F.max("yes_price").alias("high"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min("seq").alias("first_seq"), F.count("*").alias("prints"), F.sum("size").alias("shares")
+    )
+
+
+def _orders(orders: DataFrame, cases: DataFrame) -> DataFrame:
+    """Orders with the settings of their case: o_ columns are the order's; due, until (null: open) and most, the highest price to pay."""
     o = orders.select(*[F.col(c).alias(f"o_{c}") for c in orders.columns]).join(cases, F.col("o_case") == F.col("case"))
-    rows = o.join(tape, F.col("o_market_id") == F.col("market_id"))
     due = F.col("o_ts") + F.col("delay")
-    rows = rows.where((F.col("seq") > F.col("o_seq")) & (F.col("ts") >= due) & (F.col("expiry").isNull() | (F.col("ts") <= due + F.col("expiry"))))
+    o = o.withColumns({"due": due, "until": due + F.col("expiry"), "o_paid": F.least(F.lit(1.0), F.round(F.col("o_price") * (1 + F.col("slippage_bps") / 10000), 9))})
+    drift = F.round(F.col("o_paid") * (1 + F.col("max_drift_bps") / 10000), 9)
+    return o.withColumn("most", F.least(F.col("max_price"), F.col("o_allowed_price"), drift))
+
+
+def _wanted() -> Column:
+    """Whether a side is of the kind that the case trades on."""
     same = trade_direction(F.col("side")) == F.col("o_direction")
     token = F.when(F.col("o_direction") == "YES", F.col("side").isin(0, 2)).otherwise(F.col("side").isin(1, 3))
     buy = F.col("side") < 2
-    wanted = (
+    return (
         F.when(F.col("trade_filter") == "any", True)
         .when(F.col("trade_filter") == "signal_direction", same)
         .when(F.col("trade_filter") == "target_token", token)
         .when(F.col("trade_filter") == "target_token_buy", token & buy)
         .when(F.col("trade_filter") == "target_token_sell", token & ~buy)
     )
-    price = F.least(F.lit(1.0), F.greatest(F.lit(0.0), price_for(F.col("o_direction"), F.col("yes_price")) * (1 + F.col("slippage_bps") / 10000)))
-    return rows.where(wanted).withColumn("fill_price", F.round(price, 9))
 
 
-def _verdict(rows: DataFrame) -> DataFrame:
-    """Adds kills (the print ends the order) and fits (the print can fill it); a print that does neither is waited over."""
-    p = F.col("fill_price")
-    low = (p <= 0) | (p < F.col("min_price"))
-    high = (p > F.col("max_price")) | (p > F.col("o_allowed_price")) | F.coalesce(p > F.round(F.col("o_price") * (1 + F.col("max_drift_bps") / 10000), 9), F.lit(False))
-    out = ((F.col("o_bucket") == "stable") & (p <= F.col("stable_floor"))) | ((F.col("o_bucket") == "lottery") & (p >= F.col("lottery_high")))
-    kills = low | (high & ~F.col("wait")) | (~low & ~high & out)
-    order = Window.partitionBy("o_case", "o_market_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    marked = rows.withColumns({"kills": kills, "fits": ~low & ~high & ~out})
-    return marked.withColumn("dead", F.max("kills").over(order)).where("fits and not dead")
+def _paid(yes_price: str) -> Column:
+    price = price_for(F.col("o_direction"), F.col(yes_price)) * (1 + F.col("slippage_bps") / 10000)
+    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), price)), 9)
 
 
-def delayed_fills(orders: DataFrame, tape: DataFrame, cases: DataFrame) -> DataFrame:
-    """The fill of each order at the n-th print that fits (n: confirmations), for its whole stake."""
-    nth = F.row_number().over(Window.partitionBy("o_case", "o_market_id").orderBy("seq"))
-    rows = _verdict(_later(orders, tape, cases)).withColumn("nth", nth).where(F.col("nth") == F.col("confirmations"))
-    return _as_fills(rows, F.col("o_stake"), F.lit(1))
+def _judge(p: Column, q: Column | None = None) -> tuple[Column, Column, Column]:
+    """(low, high, out) of a price p: under the least price, over the most, or out of the order's bucket. With q: of all prices from p to q."""
+    q = p if q is None else q
+    low = (q <= 0) | (q < F.col("min_price"))
+    high = p > F.col("most")
+    out = ((F.col("o_bucket") == "stable") & (q <= F.col("stable_floor"))) | ((F.col("o_bucket") == "lottery") & (p >= F.col("lottery_high")))
+    return low, high, F.coalesce(out, F.lit(False))
 
 
-def participation_fills(orders: DataFrame, tape: DataFrame, cases: DataFrame) -> DataFrame:
-    """Child fills of at most participation times the print, until the stake, the child limit or a rest under the least ticket.
+def visited_hours(orders: DataFrame, zones: DataFrame, cases: DataFrame, fits_needed: Column, dollars_needed: Column | None = None) -> DataFrame:
+    """The settings of each order (`_orders`) with each hour that it has to visit.
 
-    Without shared cash the cumulative capacity decides: a child gets the smaller of its
-    capacity and what earlier capacities have left.
+    An hour of a side is skipped if all its prices are too high for an order that waits. An hour is
+    surely the last if a side's prices all end the order, or if sides whose prices all fit have, so
+    far, the fits or the dollars needed. Hours before the order is due count for nothing.
     """
+    o = _orders(orders, cases)
+    rows = o.join(zones, F.col("o_market_id") == F.col("market_id"))
+    rows = rows.where((F.col("last_ts") >= F.col("due")) & (F.col("until").isNull() | (F.col("first_ts") <= F.col("until")))).where(_wanted())
+    p, q = F.least(_paid("low"), _paid("high")), F.greatest(_paid("low"), _paid("high"))
+    low, high, out = _judge(p, q)
+    some_low, some_out = _judge(p)[0], F.coalesce(((F.col("o_bucket") == "stable") & (p <= F.col("stable_floor"))) | ((F.col("o_bucket") == "lottery") & (q >= F.col("lottery_high"))), F.lit(False))
+    whole = (F.col("first_ts") >= F.col("due")) & (F.col("first_seq") > F.col("o_seq")) & (F.col("until").isNull() | (F.col("last_ts") <= F.col("until")))
+    fits = whole & ~some_low & (q <= F.col("most")) & ~some_out
+    ends = whole & (low | (high & ~F.col("wait")) | (~some_low & (q <= F.col("most")) & out))
+    key = ["o_case", "o_market_id", "hour"]
+    facts = rows.where(~(high & F.col("wait"))).select(*o.columns, "hour", F.when(fits, F.col("prints")).otherwise(0).alias("n"), F.when(fits, F.col("shares") * p).otherwise(0.0).alias("d"), ends.alias("ends"))
+    hours = facts.groupBy(*key).agg(*[F.first(c).alias(c) for c in o.columns if c not in key], F.sum("n").alias("n"), F.sum("d").alias("d"), F.max("ends").alias("ends"))
+    before = Window.partitionBy("o_case", "o_market_id").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    enough = F.coalesce(F.max("ends").over(before), F.lit(False)) | (F.coalesce(F.sum("n").over(before), F.lit(0)) >= fits_needed)
+    if dollars_needed is not None:
+        enough = enough | F.coalesce((F.col("confirmations") == 1) & (F.coalesce(F.sum("d").over(before), F.lit(0.0)) >= dollars_needed), F.lit(False))
+    return hours.withColumn("enough", enough).where(~F.col("enough")).select(*o.columns, "hour")
+
+
+def _search(orders: DataFrame, tape: DataFrame, cases: DataFrame, zones: DataFrame | None, fits_needed: Column, dollars_needed: Column | None = None) -> DataFrame:
+    """Orders with the prints that fit them, in visited hours and before one that ends the order; nth counts them, at most fits_needed."""
+    hours = visited_hours(orders, price_zones(tape) if zones is None else zones, cases, fits_needed, dollars_needed)
+    prints = tape.withColumn("hour", F.floor(F.col("ts") / ZONE))
+    rows = hours.withColumn("market_id", F.col("o_market_id")).join(prints, ["market_id", "hour"])
+    rows = rows.where((F.col("seq") > F.col("o_seq")) & (F.col("ts") >= F.col("due")) & (F.col("until").isNull() | (F.col("ts") <= F.col("until")))).where(_wanted()).withColumn("fill_price", _paid("yes_price"))
+    low, high, out = _judge(F.col("fill_price"))
+    kills = low | (high & ~F.col("wait")) | (~low & ~high & out)
     by = Window.partitionBy("o_case", "o_market_id").orderBy("seq")
-    rows = _verdict(_later(orders, tape, cases)).withColumn("nth", F.row_number().over(by)).where(F.col("nth") >= F.col("confirmations"))
-    rows = rows.withColumns({"child": F.col("nth") - F.col("confirmations") + 1, "capacity": F.col("size") * F.col("fill_price") * F.col("participation")})
-    before = F.coalesce(F.sum("capacity").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rows = rows.withColumn("rest", F.col("o_stake") - before)
-    kept = rows.where((F.col("child") <= F.col("max_children")) & ((F.col("child") == 1) | (F.round("rest", 9) >= F.col("min_ticket"))) & (F.col("rest") > 0))
-    return _as_fills(kept, F.least("rest", "capacity"), F.col("child"))
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"kills": kills, "fits": ~low & ~high & ~out})
+    rows = rows.withColumns({"dead": F.max("kills").over(so_far), "nth": F.sum(F.col("fits").cast("int")).over(so_far)})
+    return rows.where("fits and not dead").where(F.col("nth") <= fits_needed)
 
 
-def sliced_fills(orders: DataFrame, tape: DataFrame, cases: DataFrame) -> DataFrame:
-    """Equal slices at successive prints that fit, each after its own confirmations."""
-    by = Window.partitionBy("o_case", "o_market_id").orderBy("seq")
-    rows = _verdict(_later(orders, tape, cases)).withColumn("nth", F.row_number().over(by)).where((F.col("nth") % F.col("confirmations") == 0) & (F.col("nth") <= F.col("confirmations") * F.col("slices")))
-    return _as_fills(rows, F.col("o_stake") / F.col("slices"), (F.col("nth") / F.col("confirmations")).cast("int"))
+def delayed_fills(orders: DataFrame, tape: DataFrame, cases: DataFrame, zones: DataFrame | None = None) -> DataFrame:
+    """The fill of each order at the n-th print that fits (n: confirmations), for its whole stake, or its whole lot. zones: `price_zones` of the tape, if they are stored."""
+    rows = _search(orders, tape, cases, zones, F.col("confirmations")).where(F.col("nth") == F.col("confirmations"))
+    return _as_fills(rows, F.coalesce(F.col("o_quantity") * F.col("fill_price"), F.col("o_stake")), F.lit(1))
+
+
+def participation_fills(orders: DataFrame, tape: DataFrame, cases: DataFrame, zones: DataFrame | None = None) -> DataFrame:
+    """Child fills of at most participation times the print, until the stake, the child limit or a rest under the least ticket.
+
+    Without shared cash the cumulative capacity decides: a child gets the smaller of its
+    capacity and what earlier capacities have left. Without a participation the first child takes
+    the stake. A fixed lot is one child, whatever the print's size.
+    """
+    needed = F.col("confirmations") + F.col("max_children") - 1
+    rows = _search(orders, tape, cases, zones, needed, F.col("o_stake") / F.col("participation")).where(F.col("nth") >= F.col("confirmations"))
+    lot = F.col("o_quantity") * F.col("fill_price")
+    capacity = F.coalesce(F.col("size") * F.col("fill_price") * F.col("participation"), F.col("o_stake"))
+    rows = rows.withColumns({"child": F.col("nth") - F.col("confirmations") + 1, "capacity": capacity})
+    earlier = Window.partitionBy("o_case", "o_market_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("rest", F.col("o_stake") - F.coalesce(F.sum("capacity").over(earlier), F.lit(0.0)))
+    more = (F.round("rest", 9) >= F.col("min_ticket")) & (F.col("rest") > 0) & F.col("o_quantity").isNull()
+    return _as_fills(rows.where((F.col("child") == 1) | more), F.coalesce(lot, F.least("rest", "capacity")), F.col("child"))
+
+
+def sliced_fills(orders: DataFrame, tape: DataFrame, cases: DataFrame, zones: DataFrame | None = None) -> DataFrame:
+    """Equal slices of the stake (or of the lot) at successive prints that fit, each after its own confirmations, while what is left is a ticket or more."""
+    rows = _search(orders, tape, cases, zones, F.col("confirmations") * F.col("slices")).where(F.col("nth") % F.col("confirmations") == 0)
+    rows = rows.withColumn("slice", F.coalesce(F.col("o_quantity") * F.col("fill_price"), F.col("o_stake")) / F.col("slices"))
+    earlier = Window.partitionBy("o_case", "o_market_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("left", F.greatest(F.lit(0.0), F.col("o_stake") - F.coalesce(F.sum("slice").over(earlier), F.lit(0.0))))
+    first = F.col("nth") == F.col("confirmations")
+    return _as_fills(rows.where(first | (F.round("left", 9) >= F.col("min_ticket"))), F.col("slice"), F.col("nth") / F.col("confirmations"))
 
 
 def _as_fills(rows: DataFrame, notional: Column, child: Column) -> DataFrame:
     return rows.select(
         F.col("o_case").alias("case"),
-        "market_id",
+        F.col("o_market_id").alias("market_id"),
         F.col("o_direction").alias("direction"),
         child.cast("int").alias("child"),
         "seq",
@@ -127,7 +197,7 @@ def _as_fills(rows: DataFrame, notional: Column, child: Column) -> DataFrame:
         notional.alias("notional"),
         (notional / F.col("fill_price")).alias("quantity"),
         (notional * F.col("fee_bps") / 10000).alias("fee"),
-        F.col("o_price").alias("signal_price"),
+        F.col("o_paid").alias("signal_price"),
         F.col("size").alias("source_size"),
         F.col("side").alias("source_side"),
     )

@@ -63,7 +63,7 @@ def _read_inputs(v: View) -> DataFrame:
 
 
 def _write_outputs(v: View) -> DataFrame:
-    to = tape.write_case_outputs(v.entries.select("case", "market_id", "seq", "direction", "bucket"), shared_dir(v.spark), "entries")
+    to = tape.write_case_outputs(v.orders.select("case", "market_id", "seq", "direction", "bucket"), shared_dir(v.spark), "entries")
     return v.spark.read.parquet(to).select("case", "market_id", "seq", "direction", "bucket")
 
 
@@ -75,7 +75,7 @@ add(
     FROM markets m LEFT JOIN (SELECT market_id, count(*) AS rows, sum(size) AS quantity FROM tape GROUP BY ALL) t ON m.market_id = t.market_id LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) e ON e.vec_id = m.market_id""",
     "quantity:4",
 )
-add("O02_write_case_outputs", _write_outputs, 'SELECT "case", market_id, seq, direction, bucket FROM entries')
+add("O02_write_case_outputs", _write_outputs, 'SELECT "case", market_id, seq, direction, bucket FROM orders_')
 add(
     "O03_normalize_markets",
     lambda v: v.clean_markets.select("market_id", "question", F.unix_seconds("created_at").alias("created_at"), F.unix_seconds("close_time").alias("close_time"), F.unix_millis("resolved_at").alias("resolved_at"), "resolution", "volume", "active", F.get("outcome_labels", F.lit(0)).alias("label0"), F.get("clob_token_ids", F.lit(1)).alias("token1")),
@@ -359,16 +359,19 @@ add("O52_batch_consensus", lambda v: signal.batch_consensus(v.observations, tt.C
 add("O53_favorite_signal", lambda v: signal.favorite_signal(v.gated), "SELECT market_id, seq, ts, yes_price, TRUE AS should_trade, CASE WHEN yes_price >= 0.5 THEN 'YES' ELSE 'NO' END AS direction, CASE WHEN yes_price >= 0.5 THEN yes_price ELSE round(1 - yes_price, 4) END AS confidence FROM gated", "confidence:4 yes_price:4")
 _CANDIDATE = "confidence:6 allowed_price:6 wait_days:6 price:4"
 add("O54_entry_candidates", lambda v: v.candidates, "SELECT * FROM candidates", _CANDIDATE)
-add("O55_first_entries", lambda v: v.entries, "SELECT * FROM entries", _CANDIDATE)
+add("O55_first_entries", lambda v: v.orders, "SELECT * FROM orders_", _CANDIDATE + " stake:5")
 
 # Execution
 
 _FILL = "fill_price:6 notional:5 quantity:5 fee:6 signal_price:4"
-_FIT = 'SELECT "case", market_id, direction, CAST({child} AS INT) AS child, seq, o_ts AS signal_time, ts AS filled_at, fill_price, {n} AS notional, {n} / fill_price AS quantity, {n} * fee_bps / 10000 AS fee, o_price AS signal_price, size AS source_size, side AS source_side FROM fit WHERE {where}'
-add("O39_order_stakes", lambda v: v.orders, "SELECT * FROM orders_", _CANDIDATE + " stake:5")
-add("O40_delayed_fills", lambda v: execution.delayed_fills(v.orders, v.tape, v.cases), _FIT.format(child="1", n="stake", where="nth = confirmations"), _FILL)
+_FIT = 'SELECT "case", market_id, direction, CAST({child} AS INT) AS child, seq, o_ts AS signal_time, ts AS filled_at, fill_price, n AS notional, n / fill_price AS quantity, n * fee_bps / 10000 AS fee, o_paid AS signal_price, size AS source_size, side AS source_side FROM {rows}'
+_WHOLE = "(SELECT *, coalesce(lot * fill_price, stake) AS n FROM fit WHERE nth = confirmations)"
+_SLICES = """(SELECT * FROM (SELECT *, greatest(0, stake - coalesce(sum(n) OVER (PARTITION BY "case", market_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS rest FROM (
+  SELECT *, coalesce(lot * fill_price, stake) / slices AS n FROM fit WHERE nth % confirmations = 0 AND nth <= confirmations * slices)) WHERE nth = confirmations OR round(rest, 9) >= min_ticket)"""
+add("O39_order_stakes", lambda v: v.staked, "SELECT * FROM staked", _CANDIDATE + " stake:5")
+add("O40_delayed_fills", lambda v: execution.delayed_fills(v.orders, v.tape, v.cases, v.zones), _FIT.format(child="1", rows=_WHOLE), _FILL)
 add("O41_participation_fills", lambda v: v.fills, "SELECT * FROM fills", _FILL)
-add("O42_sliced_fills", lambda v: execution.sliced_fills(v.orders, v.tape, v.cases), _FIT.format(child="nth // confirmations", n="(stake / slices)", where="nth % confirmations = 0 AND nth <= confirmations * slices"), _FILL)
+add("O42_sliced_fills", lambda v: execution.sliced_fills(v.orders, v.tape, v.cases, v.zones), _FIT.format(child="nth // confirmations", rows=_SLICES), _FILL)
 _POSITION = "quantity:5 avg_price:6 notional:5 fee:6 payout:5 pnl:5"
 add("O43_settle_positions", lambda v: v.positions, "SELECT * FROM positions", _POSITION)
 add("O44_daily_marks", lambda v: v.equity, "SELECT * FROM equity", "cash:5 open_notional:5 open_value:5 unrealized:5 equity:5")
@@ -523,7 +526,7 @@ add(
     "O63_audit_fills",
     lambda v: audit.audit_fills(v.fills, v.tape, v.gate, v.orders, v.cases),
     """SELECT f."case", f.market_id, f.child, coalesce(g.time <= signal_time AND signal_time <= filled_at, FALSE) AS in_gate, filled_at >= signal_time + delay AS delayed, expiry IS NULL OR filled_at <= signal_time + delay + expiry AS in_time, fill_price <= allowed_price + 1e-9 AS under_cap,
-      quantity / source_size <= participation + 1e-9 AS in_participation, CASE WHEN f.direction = 'YES' THEN source_side IN (0, 2) ELSE source_side IN (1, 3) END AS target_token, quantity / source_size AS print_ratio,
+      f.quantity / source_size <= participation + 1e-9 AS in_participation, CASE WHEN f.direction = 'YES' THEN source_side IN (0, 2) ELSE source_side IN (1, 3) END AS target_token, f.quantity / source_size AS print_ratio,
       (SELECT count(*) FROM tape t WHERE t.market_id = f.market_id AND t.ts = f.filled_at AND t.size = f.source_size AND t.side = f.source_side AND abs(round(least(1, greatest(0, CASE WHEN f.direction = 'YES' THEN t.yes_price ELSE round(1 - t.yes_price, 4) END * (1 + c.slippage_bps / 10000))), 9) - f.fill_price) <= 1e-12) AS sources
     FROM fills f JOIN cases c ON f."case" = c."case" JOIN orders_ o ON f."case" = o."case" AND f.market_id = o.market_id LEFT JOIN gate g ON f.market_id = g.market_id""",
     "print_ratio:6 sources:i",

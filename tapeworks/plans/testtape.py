@@ -39,13 +39,13 @@ CASE = {
     "case": "base", "entry_start": None, "entry_end": None, "min_history": 0.0, "min_price": 0.02, "max_price": 0.97, "min_edge": 0.02, "consensus": 0.6, "high_confidence": 0.9,
     "price_low": 0.6, "price_high": 0.95, "stable_floor": 0.35, "lottery_low": 0.01, "lottery_high": 0.2, "min_days": 0.0, "max_days": 60.0, "planning_days": None,
     "edge_multiplier": 0.05, "min_fraction": 0.02, "max_fraction": 0.2, "target_fraction": 0.6, "buffer_fraction": 0.1, "max_position_fraction": 0.05, "max_competitive_fraction": 0.03,
-    "max_market_fraction": 0.25, "max_balance_fraction": 0.1, "max_loss_fraction": 0.08, "lottery_lot": 100.0, "min_ticket": 1.0,
+    "max_market_fraction": 0.25, "max_balance_fraction": 0.1, "max_loss_fraction": 0.08, "lottery_lot": 100.0, "lottery_max_fraction": 0.003, "min_ticket": 1.0,
     "delay": 3600, "trade_filter": "any", "expiry": 864000, "slippage_bps": 10.0, "max_drift_bps": None, "wait": True, "confirmations": 1, "participation": 0.25, "max_children": 5, "slices": 3, "fee_bps": 20.0,
 }
 CASES = [
     CASE,
     CASE | {"case": "token", "trade_filter": "target_token", "wait": False, "max_drift_bps": 500.0, "confirmations": 2, "min_edge": 0.05, "participation": 0.1},
-    CASE | {"case": "direction", "trade_filter": "signal_direction", "delay": 0, "expiry": None, "max_days": 30.0, "planning_days": 7.0, "max_children": 3, "entry_start": START + 20 * 86400},
+    CASE | {"case": "direction", "trade_filter": "signal_direction", "delay": 0, "expiry": None, "participation": None, "min_ticket": 40.0, "lottery_max_fraction": 0.0015, "slices": 4, "max_days": 30.0, "planning_days": 7.0, "max_children": 3, "entry_start": START + 20 * 86400},
 ]
 CASE_TYPES = {"case": "string", "trade_filter": "string", "wait": "boolean", "delay": "bigint", "expiry": "bigint", "entry_start": "bigint", "entry_end": "bigint", "confirmations": "int", "max_children": "int", "slices": "int"}
 
@@ -63,7 +63,8 @@ def values(name: str, columns: dict[str, str], rows: list[tuple]) -> str:
 
 
 CASE_COLUMNS = {c: CASE_TYPES.get(c, "double") for c in CASE}
-ACCOUNT = [(c["case"], INITIAL, CASH) for c in CASES]
+ACCOUNT = [(c["case"], INITIAL, CASH, 500.0, 5.0) for c in CASES]
+ACCOUNT_COLUMNS = {"case": "string", "equity": "double", "cash": "double", "deployed": "double", "lottery_open": "double"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -156,7 +157,7 @@ class View:
 
     @cached_property
     def account(self) -> DataFrame:
-        return self.spark.createDataFrame(ACCOUNT, "case string, equity double, cash double")
+        return self.spark.createDataFrame(ACCOUNT, ", ".join(f"`{c}` {t}" for c, t in ACCOUNT_COLUMNS.items()))
 
     @cached_property
     def bars(self) -> DataFrame:
@@ -216,16 +217,20 @@ class View:
         return signal.entry_candidates(self.signals, self.markets, self.cases)
 
     @cached_property
-    def entries(self) -> DataFrame:
-        return signal.first_entries(self.candidates)
+    def staked(self) -> DataFrame:
+        return self.kept("staked", execution.order_stakes(self.candidates, self.account, execution.observed_notional(self.tape), self.cases))
 
     @cached_property
     def orders(self) -> DataFrame:
-        return self.kept("orders", execution.order_stakes(self.entries, self.account, execution.observed_notional(self.tape), self.cases).where("stake > 0"))
+        return self.kept("orders", signal.first_entries(self.staked.where("stake > 0")))
+
+    @cached_property
+    def zones(self) -> DataFrame:
+        return self.kept("zones", execution.price_zones(self.tape))
 
     @cached_property
     def fills(self) -> DataFrame:
-        return self.kept("fills", execution.participation_fills(self.orders, self.tape, self.cases))
+        return self.kept("fills", execution.participation_fills(self.orders, self.tape, self.cases, self.zones))
 
     @cached_property
     def positions(self) -> DataFrame:
@@ -309,7 +314,7 @@ SQL = [
   FROM prints)""",
     values("rules", {"rule": "string", "family": "string", "min_notional": "double", "rolling": "boolean", "min_prints": "int", "warmup_hours": "int", "min_conviction": "double", "max_days": "double"}, RULES),
     values("cases", CASE_COLUMNS, [tuple(c.values()) for c in CASES]),
-    values("account", {"case": "string", "equity": "double", "cash": "double"}, ACCOUNT),
+    values("account", ACCOUNT_COLUMNS, ACCOUNT),
     """bars AS (
   SELECT market_id, ts // 3600 AS hour, sum(size) AS quantity, sum(size * yes_price) AS price_quantity, sum(size * token_price) AS dollars, count(*) AS prints, min(ts) AS first_ts
   FROM tape GROUP BY ALL)""",
@@ -406,19 +411,19 @@ SQL += [
     FROM (SELECT s.*, m.close_at, m.question, c.*, CASE WHEN s.direction = 'YES' THEN yes_price ELSE round(1 - yes_price, 4) END AS price FROM signals s JOIN markets m ON s.market_id = m.market_id, cases c WHERE should_trade AND direction IS NOT NULL))
   WHERE (entry_start IS NULL OR ts >= entry_start) AND (entry_end IS NULL OR ts <= entry_end) AND mean_history_markets >= min_history AND price BETWEEN min_price AND max_price
     AND round(confidence - price, 9) >= min_edge AND price <= allowed_price AND bucket IS NOT NULL AND wait_days > min_days AND wait_days < max_days)""",
-    'entries AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY "case", market_id ORDER BY ts, seq) AS k FROM candidates) WHERE k = 1)',
     "observed AS (SELECT market_id, seq, sum(size * token_price) OVER (PARTITION BY market_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS observed_notional FROM tape)",
-    """stakes AS (
-  SELECT "case", market_id, seq, ts, direction, confidence, price, allowed_price, bucket, wait_days, question, CASE WHEN stake >= min_ticket THEN stake ELSE 0 END AS stake FROM (
-    SELECT e.*, c.min_ticket, CASE WHEN bucket = 'lottery' THEN lottery_lot * price ELSE least(
-        greatest(0, equity * target_fraction) * greatest(min_fraction, least(max_fraction, greatest(0, confidence - price) * 365 / greatest(wait_days, 1e-9) * edge_multiplier)),
+    """staked AS (
+  SELECT "case", market_id, seq, ts, direction, confidence, price, allowed_price, bucket, wait_days, question, CASE WHEN bucket = 'lottery' THEN lottery_lot END AS quantity,
+    CASE WHEN bucket = 'lottery' THEN CASE WHEN lottery_max_fraction > 0 AND round(lottery_open + lottery_lot * price, 9) <= round(cash * lottery_max_fraction, 9) THEN lottery_lot * price ELSE 0 END WHEN stake >= min_ticket THEN stake ELSE 0 END AS stake FROM (
+    SELECT e.*, c.min_ticket, c.lottery_lot, c.lottery_max_fraction, a.cash, a.lottery_open, least(
+        greatest(0, equity * target_fraction - deployed) * greatest(min_fraction, least(max_fraction, greatest(0, confidence - price) * 365 / greatest(wait_days, 1e-9) * edge_multiplier)),
         greatest(0, cash - equity * buffer_fraction), equity * max_position_fraction,
         CASE WHEN (regexp_matches(trim(question), '\\bvs\\.?\\b', 'i') AND NOT suffix(trim(question), '?')) OR regexp_matches(question, '\\b(win|winner|champion|qualify|make|reach)\\b', 'i') AND regexp_matches(question, '\\b(finals?|championship|cup|tournament|super bowl|world series|playoffs?)\\b', 'i') THEN equity * max_competitive_fraction ELSE 1e300 END,
-        coalesce(observed_notional, 0) * max_market_fraction, cash * max_balance_fraction, cash * max_loss_fraction) END AS stake
-    FROM entries e JOIN account a ON e."case" = a."case" JOIN cases c ON e."case" = c."case" LEFT JOIN observed o ON e.market_id = o.market_id AND e.seq = o.seq))""",
-    "orders_ AS (SELECT * FROM stakes WHERE stake > 0)",
+        coalesce(observed_notional, 0) * max_market_fraction, cash * max_balance_fraction, cash * max_loss_fraction) AS stake
+    FROM candidates e JOIN account a ON e."case" = a."case" JOIN cases c ON e."case" = c."case" LEFT JOIN observed o ON e.market_id = o.market_id AND e.seq = o.seq))""",
+    'orders_ AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY "case", market_id ORDER BY ts, seq) AS k FROM staked WHERE stake > 0) WHERE k = 1)',
     """later AS (
-  SELECT o."case", o.market_id, o.direction, o.seq AS o_seq, o.ts AS o_ts, o.price AS o_price, o.allowed_price, o.stake, o.bucket, c.* EXCLUDE ("case"), t.seq, t.ts, t.size, t.side,
+  SELECT o."case", o.market_id, o.direction, o.seq AS o_seq, o.ts AS o_ts, round(least(1, o.price * (1 + slippage_bps / 10000)), 9) AS o_paid, o.allowed_price, o.stake, o.quantity AS lot, o.bucket, c.* EXCLUDE ("case"), t.seq, t.ts, t.size, t.side,
     round(least(1, greatest(0, CASE WHEN o.direction = 'YES' THEN t.yes_price ELSE round(1 - t.yes_price, 4) END * (1 + slippage_bps / 10000))), 9) AS fill_price
   FROM orders_ o JOIN cases c ON o."case" = c."case" JOIN tape t ON o.market_id = t.market_id AND t.seq > o.seq AND t.ts >= o.ts + delay AND (expiry IS NULL OR t.ts <= o.ts + delay + expiry)
   WHERE CASE trade_filter WHEN 'any' THEN TRUE WHEN 'signal_direction' THEN CASE WHEN t.side IN (0, 3) THEN 'YES' ELSE 'NO' END = o.direction WHEN 'target_token' THEN CASE WHEN o.direction = 'YES' THEN t.side IN (0, 2) ELSE t.side IN (1, 3) END END)""",
@@ -426,14 +431,13 @@ SQL += [
   SELECT *, row_number() OVER (PARTITION BY "case", market_id ORDER BY seq) AS nth FROM (
     SELECT *, bool_or(kills) OVER (PARTITION BY "case", market_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS dead FROM (
       SELECT *, low OR (high AND NOT wait) OR (NOT low AND NOT high AND gone) AS kills, NOT low AND NOT high AND NOT gone AS fits FROM (
-        SELECT *, fill_price <= 0 OR fill_price < min_price AS low, fill_price > max_price OR fill_price > allowed_price OR coalesce(fill_price > round(o_price * (1 + max_drift_bps / 10000), 9), FALSE) AS high,
+        SELECT *, fill_price <= 0 OR fill_price < min_price AS low, fill_price > max_price OR fill_price > allowed_price OR coalesce(fill_price > round(o_paid * (1 + max_drift_bps / 10000), 9), FALSE) AS high,
           (bucket = 'stable' AND fill_price <= stable_floor) OR (bucket = 'lottery' AND fill_price >= lottery_high) AS gone FROM later))) WHERE fits AND NOT dead)""",
     """children AS (
-  SELECT *, nth - confirmations + 1 AS child, stake - coalesce(sum(size * fill_price * participation) OVER (PARTITION BY "case", market_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM fit WHERE nth >= confirmations)""",
+  SELECT *, nth - confirmations + 1 AS child, size * fill_price * participation AS capacity, stake - coalesce(sum(coalesce(size * fill_price * participation, stake)) OVER (PARTITION BY "case", market_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM fit WHERE nth >= confirmations)""",
     """fills AS (
-  SELECT "case", market_id, direction, CAST(child AS INT) AS child, seq, o_ts AS signal_time, ts AS filled_at, fill_price, least(rest, size * fill_price * participation) AS notional,
-    least(rest, size * fill_price * participation) / fill_price AS quantity, least(rest, size * fill_price * participation) * fee_bps / 10000 AS fee, o_price AS signal_price, size AS source_size, side AS source_side
-  FROM children WHERE child <= max_children AND (child = 1 OR round(rest, 9) >= min_ticket) AND rest > 0)""",
+  SELECT "case", market_id, direction, CAST(child AS INT) AS child, seq, o_ts AS signal_time, ts AS filled_at, fill_price, paid AS notional, paid / fill_price AS quantity, paid * fee_bps / 10000 AS fee, o_paid AS signal_price, size AS source_size, side AS source_side
+  FROM (SELECT *, CASE WHEN lot IS NOT NULL THEN lot * fill_price ELSE least(rest, coalesce(capacity, stake)) END AS paid FROM children WHERE child <= max_children AND (child = 1 OR lot IS NULL AND round(rest, 9) >= min_ticket AND rest > 0)))""",
     """positions AS (
   SELECT "case", market_id, direction, quantity, notional / quantity AS avg_price, notional, fee, opened_at, resolved_at, quantity * pays AS payout, quantity * pays - notional AS pnl FROM (
     SELECT "case", f.market_id, direction, sum(quantity) AS quantity, sum(notional) AS notional, sum(fee) AS fee, min(filled_at) AS opened_at, any_value(label_available_at) AS resolved_at, any_value(CASE WHEN direction = 'YES' THEN payout_yes ELSE 1 - payout_yes END) AS pays

@@ -64,6 +64,24 @@ def test_activation_in_a_silent_hour(spark):
     assert bars.activation(rolled, markets, rule(spark, max_days=1.0)).isEmpty()  # no close, no horizon
 
 
+def test_stakes_share_what_is_left_and_the_next_candidate_is_tried(spark):
+    made = [("c", 1, 1, 10, "YES", 0.9, 0.5, 0.9, "stable", 10.0, "q"), ("c", 1, 5, 20, "YES", 0.9, 0.5, 0.9, "stable", 10.0, "q"), ("c", 2, 1, 10, "YES", 0.5, 0.1, 0.9, "lottery", 10.0, "q")]
+    candidates = spark.createDataFrame(made, "case string, market_id long, seq long, ts long, direction string, confidence double, price double, allowed_price double, bucket string, wait_days double, question string")
+    observed = spark.createDataFrame([(1, 1, 20.0), (1, 5, 1000.0), (2, 1, 5.0)], "market_id long, seq long, observed_notional double")
+    settings = {"case": "c", "edge_multiplier": 1.0, "min_fraction": 0.1, "max_fraction": 0.1, "target_fraction": 0.6, "buffer_fraction": 0.0, "max_position_fraction": None, "max_competitive_fraction": None, "max_market_fraction": 0.25, "max_balance_fraction": None, "max_loss_fraction": None, "lottery_lot": 100.0, "lottery_max_fraction": 0.02, "min_ticket": 10.0}
+    case = spark.createDataFrame([tuple(settings.values())], ", ".join(f"`{k}` " + ("string" if k == "case" else "double") for k in settings))
+
+    def stakes(deployed, lottery_open):
+        account = spark.createDataFrame([("c", 1000.0, 1000.0, deployed, lottery_open)], "case string, equity double, cash double, deployed double, lottery_open double")
+        return execution.order_stakes(candidates, account, observed, case)
+
+    rows = {(r.market_id, r.seq): (round(r.stake, 9), r.quantity) for r in stakes(200.0, 0.0).collect()}
+    assert rows == {(1, 1): (0.0, None), (1, 5): (40.0, None), (2, 1): (10.0, 100.0)}  # a quarter of 20 dollars is no ticket; 0.1 of 600 - 200
+    first = {r.market_id: r.seq for r in signal.first_entries(stakes(200.0, 0.0).where("stake > 0")).collect()}
+    assert first == {1: 5, 2: 1}
+    assert {r.market_id: r.stake for r in stakes(600.0, 11.0).where("seq = 1 or seq = 5").collect()} == {1: 0.0, 2: 0.0}  # the target is reached, 11 + 10 is over 0.02 of cash
+
+
 def test_settlement_of_a_fractional_payout(spark):
     t = tape(spark, [(1, 7, 1, 0, 10.0, 0.2, 0.2, 1), (1, 7, 2, 2, 4.0, 0.8, 0.8, 2), (1, 7, 3, 1, 5.0, 0.3, 0.7, 3)])
     row = history.settlements(t, spark.createDataFrame([(1, 0.5, 9, 10)], LABELS)).first()
@@ -114,8 +132,9 @@ def test_lookback_drops_old_rows(spark):
     assert (short.direction, short.skilled_wallets) == ("NO", 2)
 
 
-def orders(spark):
-    return spark.createDataFrame([("c", 1, "YES", 0, 0, 0.5, 0.9, 100.0, "stable")], "case string, market_id long, direction string, seq long, ts long, price double, allowed_price double, stake double, bucket string")
+def orders(spark, **over):
+    base = {"case": "c", "market_id": 1, "direction": "YES", "seq": 0, "ts": 0, "price": 0.5, "allowed_price": 0.9, "stake": 100.0, "quantity": None, "bucket": "stable"} | over
+    return spark.createDataFrame([tuple(base.values())], "case string, market_id long, direction string, seq long, ts long, price double, allowed_price double, stake double, quantity double, bucket string")
 
 
 def cases(spark, **over):
@@ -137,6 +156,117 @@ def test_a_high_price_kills_or_waits(spark):
     assert execution.delayed_fills(orders(spark), t, cases(spark, wait=False)).isEmpty()
 
 
+def lottery(spark, **over):
+    return orders(spark, price=0.10, stake=10.0, quantity=100.0, bucket="lottery", **over)
+
+
+def test_a_lot_keeps_its_shares(spark):
+    t = tape(spark, [(1, 1, 10 * i, 0, 50.0, 0.12, 0.12, i) for i in range(1, 7)])
+    c = cases(spark, lottery_high=0.2, participation=0.25, max_children=5, slices=4, min_ticket=1.0)
+    for fills in (execution.delayed_fills, execution.participation_fills):
+        (f,) = fills(lottery(spark), t, c).collect()
+        assert (round(f.quantity, 9), round(f.notional, 9), f.filled_at) == (100.0, 12.0, 10)
+    slices = execution.sliced_fills(lottery(spark), t, c).orderBy("child").collect()
+    assert [round(f.quantity, 9) for f in slices] == [25.0] * 4 and [round(f.notional, 9) for f in slices] == [3.0] * 4
+    # after three slices a dollar is left of the ten, which is no ticket of two
+    assert execution.sliced_fills(lottery(spark), t, cases(spark, lottery_high=0.2, slices=4, min_ticket=2.0)).count() == 3
+
+
+def test_no_participation_is_no_limit(spark):
+    t = tape(spark, [(1, 1, 10 * i, 0, 5.0, 0.5, 0.5, i) for i in range(1, 7)])
+    c = cases(spark, participation=None, max_children=6).withColumn("participation", F.lit(None).cast("double"))
+    (f,) = execution.participation_fills(orders(spark, stake=10.0), t, c).collect()
+    assert (f.notional, f.child) == (10.0, 1)
+
+
+def test_slices_end_below_the_least_ticket(spark):
+    t = tape(spark, [(1, 1, 10 * i, 0, 50.0, 0.5, 0.5, i) for i in range(1, 9)])
+    fills = execution.sliced_fills(orders(spark, stake=10.0), t, cases(spark, slices=4, min_ticket=5.0)).orderBy("child").collect()
+    assert [(f.child, round(f.notional, 9)) for f in fills] == [(1, 2.5), (2, 2.5), (3, 2.5)]
+    assert [f.filled_at for f in execution.sliced_fills(orders(spark, stake=10.0), t, cases(spark, slices=2, confirmations=3, min_ticket=1.0)).orderBy("child").collect()] == [30, 60]
+
+
+def test_drift_counts_from_the_price_with_slippage(spark):
+    t = tape(spark, [(1, 1, 10, 0, 9.0, 0.505, 0.505, 1)])
+    assert execution.delayed_fills(orders(spark), t, cases(spark, slippage_bps=100.0, max_drift_bps=100.0)).count() == 1  # 0.51005 of at most 0.505 x 1.01
+    assert execution.delayed_fills(orders(spark), t, cases(spark, slippage_bps=100.0, max_drift_bps=99.0)).isEmpty()
+
+
+def naive_fills(order, prints, case, kind):
+    """The orders' loop over all later prints, one by one."""
+    out, seen, left, lot, children = [], 0, order["stake"], order["quantity"], 0
+    slices = case["slices"] if kind == "sliced" else 1
+    limit = {"delayed": 1, "participation": case["max_children"], "sliced": slices}[kind]
+    paid = round(min(1.0, order["price"] * (1 + case["slippage_bps"] / 1e4)), 9)
+    for seq, ts, side, size, yes in sorted(prints):
+        if seq <= order["seq"] or ts < order["ts"] + case["delay"]:
+            continue
+        if case["expiry"] is not None and ts > order["ts"] + case["delay"] + case["expiry"]:
+            break
+        yes_side, buy = side in (0, 2), side < 2
+        token = yes_side == (order["direction"] == "YES")
+        same = (side in (0, 3)) == (order["direction"] == "YES")
+        if not {"any": True, "signal_direction": same, "target_token": token, "target_token_buy": token and buy, "target_token_sell": token and not buy}[case["trade_filter"]]:
+            continue
+        p = round(min(1.0, max(0.0, (yes if order["direction"] == "YES" else round(1 - yes, 4)) * (1 + case["slippage_bps"] / 1e4))), 9)
+        if p <= 0 or p < case["min_price"]:
+            break
+        if p > case["max_price"] or p > order["allowed_price"] or (case["max_drift_bps"] is not None and p > round(paid * (1 + case["max_drift_bps"] / 1e4), 9)):
+            if case["wait"]:
+                continue
+            break
+        if (order["bucket"] == "stable" and p <= case["stable_floor"]) or (order["bucket"] == "lottery" and p >= case["lottery_high"]):
+            break
+        seen += 1
+        if seen < case["confirmations"]:
+            continue
+        if lot is not None:
+            n = lot / slices * p
+        else:
+            n = order["stake"] / slices if kind == "sliced" else left
+            n = min(n, size * p * case["participation"]) if kind == "participation" and case["participation"] is not None else n
+        children += 1
+        out.append((order["case"], order["market_id"], children, seq, round(n, 6)))
+        left = max(0.0, left - n)
+        seen = 0 if kind == "sliced" else seen
+        if round(left, 9) < case["min_ticket"] or left <= 0 or children >= limit or (lot is not None and kind != "sliced"):
+            break
+    return out
+
+
+def test_the_forward_search_finds_what_the_loop_finds(spark):
+    rnd = random.Random(11)
+    prints = [(m, 1, ts, rnd.randrange(4), rnd.choice([1.0, 5.0, 40.0]), round(min(0.99, max(0.01, 0.1 + 0.2 * m + rnd.gauss(0, 0.06))), 4), 0.5, i) for m in range(1, 5) for i, ts in enumerate(sorted(rnd.randrange(200_000) for _ in range(400)))]
+    settings, made = [], []
+    for k in range(40):
+        settings.append({"case": f"c{k}", "delay": rnd.choice([0, 100, 5000]), "trade_filter": rnd.choice(["any", "signal_direction", "target_token", "target_token_buy", "target_token_sell"]), "expiry": rnd.choice([None, 20_000]), "slippage_bps": rnd.choice([0.0, 25.0]), "min_price": rnd.choice([0.0, 0.02]), "max_price": 0.97, "stable_floor": 0.3, "lottery_high": 0.25, "max_drift_bps": rnd.choice([None, 300.0]), "wait": rnd.random() < 0.6, "confirmations": rnd.choice([1, 1, 3]), "participation": rnd.choice([None, 0.1, 0.5]), "max_children": rnd.choice([1, 3, 8]), "slices": rnd.choice([1, 2, 4]), "min_ticket": rnd.choice([0.5, 4.0]), "fee_bps": 5.0})
+        for m in range(1, 5):
+            direction, seq = rnd.choice(["YES", "NO"]), rnd.randrange(0, 300)
+            row = next(p for p in prints if p[0] == m and p[7] == seq)
+            price = row[5] if direction == "YES" else round(1 - row[5], 4)
+            bucket = "lottery" if price <= 0.2 else "stable"
+            lot = 30.0 if bucket == "lottery" else None
+            made.append({"case": f"c{k}", "market_id": m, "direction": direction, "seq": seq, "ts": row[2], "price": price, "allowed_price": rnd.choice([0.97, price + 0.02]), "stake": lot * price if lot else 20.0, "quantity": lot, "bucket": bucket})
+    t = tape(spark, prints)
+    o = spark.createDataFrame([tuple(x.values()) for x in made], orders(spark).schema)
+    types = {"case": "string", "trade_filter": "string", "wait": "boolean", "delay": "long", "expiry": "long", "confirmations": "int", "max_children": "int", "slices": "int"}
+    c = spark.createDataFrame([tuple(x.values()) for x in settings], ", ".join(f"`{n}` {types.get(n, 'double')}" for n in settings[0]))
+    zones = execution.price_zones(t)
+    for kind, fills in (("delayed", execution.delayed_fills), ("participation", execution.participation_fills), ("sliced", execution.sliced_fills)):
+        want = [f for x in made for f in naive_fills(x, [(p[7], p[2], p[3], p[4], p[5]) for p in prints if p[0] == x["market_id"]], next(s for s in settings if s["case"] == x["case"]), kind)]
+        got = [(f["case"], f.market_id, f.child, f.seq, round(f.notional, 6)) for f in fills(o, t, c, zones).collect()]
+        assert sorted(got) == sorted(want) and want
+
+
+def test_an_order_visits_no_more_of_a_longer_tape(spark):
+    def visited(days):
+        rows = [(1, 1, ts, 0, 10.0, 0.5 if ts >= 39_600 else 0.95, 0.5, i) for i, ts in enumerate(range(0, days * 86400, 600))]
+        c = cases(spark, expiry=None, delay=0, participation=0.5).withColumn("expiry", F.lit(None).cast("long"))
+        return sorted(r.hour for r in execution.visited_hours(orders(spark), execution.price_zones(tape(spark, rows)), c, F.lit(2)).collect())
+
+    assert visited(2) == visited(20) == [11]  # the hours before are too high, the first that fits is enough
+
+
 def test_cash_counts_payouts_first(spark):
     fills = spark.createDataFrame([("c", 1, 1, 5, 15.0, 0.0)], "case string, market_id long, child int, filled_at long, notional double, fee double")
     positions = spark.createDataFrame([("c", 2, 5, 10.0)], "case string, market_id long, resolved_at long, payout double")
