@@ -8,12 +8,16 @@ day, and over the days' totals before it, so that a wallet of very many trades i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.operators.running import running
 
 SUMS = ("n", "w", "w2", "ws", "ws2", "wpos", "notional")
+#: Of the dense mode: targets and settlements of a block, and trades of a target that stay together.
+TARGETS, HISTORY, TRADES_LOG2 = 512, 2048, 15
 
 
 def _sums(weight: Column) -> dict[str, Column]:
@@ -66,8 +70,10 @@ def skill(trades: DataFrame, settlements: DataFrame, mode: str = "uniform", cate
     weight = F.col("notional")
     if mode == "kernel":
         targets = rows.select("wallet", F.col("market_id").alias("target")).distinct()
-        # settlements meet the markets that are like theirs, then the wallet's targets: not all its targets with all its settlements
-        weighted = facts.join(pairs.select("target", "other", "weight"), "other").join(targets, ["wallet", "target"]).where("target != other").withColumns(_sums(F.col("notional") * F.col("weight")))
+        # a wallet's targets meet the markets that are like them, then its settlements: never all its targets with all its settlements,
+        # nor settlements with markets that the wallet does not trade
+        wanted = targets.join(pairs.select("target", "other", "weight"), "target").where("target != other")
+        weighted = wanted.join(facts, ["wallet", "other"]).withColumns(_sums(F.col("notional") * F.col("weight")))
         sums = _as_of(rows.withColumn("target", F.col("market_id")), weighted.select("wallet", "target", "at", *SUMS[:-1]), ["wallet", "target"], SUMS[:-1])
         total = _totals(rows, facts, own)
         return statistics(sums.join(total, ["market_id", "seq", "wallet"]), min_weighted_history)
@@ -96,3 +102,66 @@ def _totals(rows: DataFrame, facts: DataFrame, own: DataFrame) -> DataFrame:
     out = all_.join(rows.select("market_id", "seq", "ts"), ["market_id", "seq"]).join(own, ["wallet", "market_id"], "left")
     mine = F.when(F.coalesce(F.col("own_at") <= F.col("ts"), F.lit(False)), F.col("own_notional")).otherwise(0.0)
     return out.select("market_id", "seq", "wallet", (F.col("notional") - mine).alias("notional"))
+
+
+def dense_skill(trades: DataFrame, settlements: DataFrame, vectors: DataFrame, floor: float = 0.0, threshold: float = 0.0, power: float = 1.0, normalize: bool = True, min_weighted_history: float = 0.0) -> DataFrame:
+    """The statistics with every settled market's weight from its vector: dollars times the cosine with the target's (market_id, vector), at least `floor`, or a kernel of it.
+
+    A wallet's targets and its settlements, in order of time, are cut into blocks, and each pair of
+    blocks is a task: a product of matrices, sums along the settlements' time, and a search for
+    each trade's time in it. The sums of a trade's blocks of settlements are added up afterwards, so
+    a wallet of very many markets is many tasks. A block of settlements is left out for targets that
+    were traded only before it. Settled markets without a vector do not count; a target without
+    one has no statistics. No pairs of markets are written.
+    """
+    kind = {c: trades.schema[c].dataType.simpleString() for c in ("market_id", "wallet")}
+    rows = trades.select("market_id", "seq", "wallet", "ts")
+    vector = vectors.select("market_id", F.col("vector").cast("array<float>").alias("vector"))
+
+    by_time = Window.partitionBy("wallet").orderBy("at", "other")
+    facts = settlements.select("wallet", F.col("market_id").alias("other"), "score", "notional", F.col("settled_at").alias("at")).join(vector.withColumnRenamed("market_id", "other"), "other")
+    facts = facts.withColumn("h", F.floor((F.row_number().over(by_time) - 1) / HISTORY).cast("int"))
+
+    # trades of one wallet in one market, in runs of bounded length
+    runs = rows.groupBy("wallet", "market_id", F.shiftright("seq", TRADES_LOG2).alias("run")).agg(F.max("ts").alias("last"))
+    runs = runs.join(vector, "market_id").withColumn("t", F.floor((F.row_number().over(Window.partitionBy("wallet").orderBy("market_id", "run")) - 1) / TARGETS).cast("int"))
+    blocks = runs.groupBy("wallet", "t").agg(F.max("last").alias("last"))
+    spans = facts.groupBy("wallet", "h").agg(F.min("at").alias("from"))
+    meets = blocks.join(spans, "wallet").where(F.col("from") <= F.col("last")).select("wallet", "t", "h")
+
+    key = ["wallet", "t", "h"]
+    asked = runs.join(meets, ["wallet", "t"])
+    targets = asked.select(*key, F.lit(0).alias("kind"), "market_id", "run", F.lit(None).cast("long").alias("at"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("notional"), "vector")
+    history = facts.join(meets, ["wallet", "h"]).select(*key, F.lit(1).alias("kind"), F.col("other").alias("market_id"), F.lit(None).cast("long").alias("run"), "at", "score", "notional", "vector")
+    times = rows.withColumn("run", F.shiftright("seq", TRADES_LOG2)).join(asked.select(*key, "market_id", "run"), ["wallet", "market_id", "run"]).select(*[F.col(k).alias(f"of_{k}") for k in key], *[F.col(c).alias(f"its_{c}") for c in ("market_id", "run", "seq", "ts")])
+
+    def unit(part: pd.DataFrame) -> np.ndarray:
+        v = np.stack(part["vector"].to_numpy()).astype(np.float64)
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+    def product(both: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(columns=["market_id", "seq", "wallet", *SUMS])
+        asked = asked.rename(columns=lambda c: c.removeprefix("its_"))
+        goal, past = both[both["kind"] == 0], both[both["kind"] == 1].sort_values("at", kind="stable")
+        if not len(goal) or not len(past) or not len(asked):
+            return out
+        sim = np.maximum(unit(goal) @ unit(past).T, floor)
+        if threshold or power != 1:
+            sim = np.maximum(np.clip(sim, 0, 1) - threshold, 0)
+            sim = (sim / (1 - threshold) if normalize else sim) ** power
+        other = goal["market_id"].to_numpy()[:, None] != past["market_id"].to_numpy()
+        n, score = past["notional"].to_numpy(np.float64), past["score"].to_numpy(np.float64)
+        w = np.where(other, sim * n, 0.0)
+        place = pd.MultiIndex.from_frame(goal[["market_id", "run"]]).get_indexer(pd.MultiIndex.from_frame(asked[["market_id", "run"]]))
+        seen = np.searchsorted(past["at"].to_numpy(), asked["ts"].to_numpy(), side="right") - 1
+        some = seen >= 0
+        place, seen = place[some], seen[some]
+        sums = {"n": w > 0, "w": w, "w2": w * w, "ws": w * score, "ws2": w * score * score, "wpos": np.where(score > 0, w, 0.0), "notional": np.where(other, n, 0.0)}
+        got = {name: np.cumsum(x, axis=1)[place, seen] for name, x in sums.items()}
+        return pd.DataFrame({"market_id": asked["market_id"].to_numpy()[some], "seq": asked["seq"].to_numpy()[some], "wallet": both["wallet"].iloc[0], **got})
+
+    schema = f"market_id {kind['market_id']}, seq long, wallet {kind['wallet']}, n long, " + ", ".join(f"{c} double" for c in SUMS[1:])
+    parts = targets.unionByName(history).groupBy(*key).cogroup(times.groupBy(*[f"of_{k}" for k in key])).applyInPandas(product, schema)
+    sums = parts.groupBy("market_id", "seq", "wallet").agg(*[F.sum(c).alias(c) for c in SUMS])
+    full = rows.select("market_id", "seq", "wallet").join(sums, ["market_id", "seq", "wallet"], "left").fillna(0, list(SUMS))
+    return statistics(full, min_weighted_history)

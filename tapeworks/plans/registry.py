@@ -338,6 +338,15 @@ add(
     _STATS,
     (tt.skill_sql("by_kernel", weight="s.notional * coalesce(p.weight, 0)", joins="LEFT JOIN pairs p ON p.target = t.market_id AND p.other = s.market_id"),),
 )
+_COSINES = """cosines AS (SELECT a.vec_id AS target, b.vec_id AS other, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c
+    FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT market_id FROM markets) AND b.vec_id IN (SELECT market_id FROM markets))"""
+add(
+    "O48_wallet_skill_semantic",
+    lambda v: skill.dense_skill(v.gated, v.settlements, v.vectors),
+    "SELECT * FROM semantic",
+    _STATS,
+    (_COSINES, tt.skill_sql("semantic", weight="s.notional * greatest(p.c, 0)", joins="JOIN cosines p ON p.target = t.market_id AND p.other = s.market_id")),
+)
 add(
     "O49_shuffle_vectors",
     lambda v: vectors.shuffle_vectors(v.vectors, 7).select("market_id", F.size("vector").alias("width"), *[F.get("vector", F.lit(i)).cast("double").alias(f"v{i}") for i in range(3)]),

@@ -106,6 +106,32 @@ def test_skill_is_as_of_and_leaves_out_the_own_market(spark):
     assert (round(k.weighted_score, 9), k.weighted_history_notional, round(k.mean_similarity, 9)) == (0.3, 2.5, 0.25)
 
 
+def test_dense_skill_equals_the_naive_join(spark, monkeypatch):
+    tapeworks.distribute(spark)
+    monkeypatch.setattr(skill, "TARGETS", 3)
+    monkeypatch.setattr(skill, "HISTORY", 4)
+    monkeypatch.setattr(skill, "TRADES_LOG2", 2)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(30, 5)).astype(np.float32)
+    facts = [(f"w{w}", m, float(rng.uniform(-1, 1)), float(rng.uniform(1, 9)), int(rng.integers(0, 60))) for w in range(3) for m in range(30 if w == 0 else 4) if rng.random() < 0.8]
+    trades = [(int(rng.integers(0, 32)), f"w{rng.integers(0, 4)}", int(rng.integers(0, 70)), i) for i in range(150)]
+    s = spark.createDataFrame(facts, "wallet string, market_id long, score double, notional double, settled_at long")
+    t = spark.createDataFrame(trades, "market_id long, wallet string, ts long, seq long")
+    vec = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v) if i != 7], "market_id long, vector array<float>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for threshold in (0.0, 0.3):
+        got = {r.seq: r for r in skill.dense_skill(t, s, vec, threshold=threshold, power=2.0 if threshold else 1.0).collect()}
+        assert len(got) == len(trades)
+        for market, wallet, ts, seq in trades:
+            known = market < 30 and market != 7
+            rows = [(max(0.0, float(unit[market] @ unit[m])), score, n) for w, m, score, n, at in facts if w == wallet and at <= ts and m != market and m != 7] if known else []
+            rows = [(((max(c - threshold, 0) / (1 - threshold)) ** 2 if threshold else c) * n, score, n) for c, score, n in rows]
+            w = sum(x for x, _, _ in rows)
+            want = (sum(x * sc for x, sc, _ in rows) / w, w, sum(x > 0 for x, _, _ in rows), w * w / sum(x * x for x, _, _ in rows), w / sum(n for _, _, n in rows)) if w > 0 else (0, 0, 0, 0, 0)
+            r = got[seq]
+            assert np.allclose((r.weighted_score, r.weighted_history_notional, r.supporting_markets, r.effective_history_markets, r.mean_similarity), want, atol=1e-5)
+
+
 def observations(spark, rows):
     """rows: wallet, direction, volume, skill."""
     data = [(1, i, i, w, 0.5, d, v, s, 1.0, 1.0, 1.0, 1.0, 0.0) for i, (w, d, v, s) in enumerate(rows)]
