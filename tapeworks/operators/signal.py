@@ -3,7 +3,7 @@
 Weights of qualifying rows are never negative (skill_threshold >= 0), so a wallet's running
 weight never falls. Then the running decision needs windows only: the largest wallet is a
 running maximum of running sums, breadth counts first appearances, and the sum of squares adds
-c^2 - (c - w)^2 for each row. With a lookback rows also leave; that goes market by market.
+c^2 - (c - w)^2 for each row. With a lookback rows also leave; that goes by blocks of a market's time.
 """
 
 from __future__ import annotations
@@ -203,6 +203,13 @@ class Flow:
         own = [self.by[wallet, d] for d in ("YES", "NO") if (wallet, d) in self.by]
         self.wallets["both"].set(wallet, sum(own) if own else None)
 
+    def add(self, wallet: Hashable, direction: str, count: int, sums: tuple) -> None:
+        """Takes in what a wallet has in a direction: observations, weight and the four weighted sums."""
+        key = (wallet, direction)
+        self.put(*key, self.by.get(key, 0.0) + sums[0], self.count.get(key, 0) + count)
+        for i, x in enumerate(sums):
+            self.sums[direction][i] += x
+
     def apply(self, row: dict, sign: int) -> None:
         w = self.weigh(row)
         if w is None:
@@ -225,35 +232,69 @@ FLOW_COLUMNS = ["yes", "no", "wallets", "largest", *[f"{n}_{d}" for d in ("YES",
 _OBS = ["wallet", "direction", "volume", "skill", "weighted_history_notional", *DIAGNOSTICS.values()]
 
 
+def _block_seconds(lookback: int) -> int:
+    """The largest part of a lookback that is no more than a 24th of it, and an hour at least, and divides it; else all of it."""
+    return next((lookback // m for m in range(24, 0, -1) if lookback % m == 0 and (lookback // m >= 3600 or m == 1)), lookback) or 1
+
+
 def rolling_consensus(obs: DataFrame, cfg: ConsensusConfig, lookback: int) -> DataFrame:
     """Like consensus, but an observation older than lookback seconds (strictly) has left; it leaves at the next print of its market, after that was added.
 
-    The state is kept market by market, over sorted rows; a row costs the logarithm of the wallets.
+    A market's time is cut into blocks, a part of the lookback each, and a block is a task of its
+    own: it gets its rows, those of the block that expires meanwhile, and what the blocks
+    in between add up to by wallet and direction. Those sums are made once for each block and merge
+    over the blocks of a lookback. Inside a block a row costs the logarithm of the wallets.
     """
     from collections import deque
 
-    settings = asdict(cfg)
+    settings, width = asdict(cfg), _block_seconds(lookback)
+    n = lookback // width if lookback else 0
     columns = ["market_id", "seq", "ts", "yes_price", *FLOW_COLUMNS]
+    sums = ["w", *[f"s_{c}" for c in DIAGNOSTICS.values()]]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, flow, held = None, None, deque()
         for pdf in it:
             out = []
             for row in pdf.to_dict("records"):
-                if flow is None or row["market_id"] != now:
-                    now, flow, held = row["market_id"], Flow(settings), deque()
+                key = (row["market_id"], row["block"])
+                if key != now:
+                    now, flow, held = key, Flow(settings), deque()
+                if row["kind"] == 0:
+                    flow.add(row["wallet"], row["direction"], int(row["n"]), tuple(row[c] for c in sums))
+                    continue
                 flow.apply(row, 1)
                 held.append(row)
+                if row["kind"] == 1:
+                    continue
                 while held[0]["ts"] < row["ts"] - lookback:
                     flow.apply(held.popleft(), -1)
                 out.append((row["market_id"], row["seq"], row["ts"], row["yes_price"], *flow.decide()))
             yield pd.DataFrame(out, columns=columns)
 
+    rows = obs.select("market_id", "seq", "ts", "yes_price", *_OBS).withColumn("block", F.floor(F.col("ts") / width))
+    none = [F.lit(None).cast("double").alias(c) for c in sums]
+    own = rows.select("market_id", "block", F.lit(2).alias("kind"), "seq", "ts", "yes_price", *_OBS, F.lit(0).cast("long").alias("n"), *none)
+    parts = [own]
+    if n:
+        blocks = rows.select("market_id", "block").distinct()
+        expiring = own.withColumns({"block": F.col("block") + n, "kind": F.lit(1)})
+        parts.append(expiring.join(blocks, ["market_id", "block"], "left_semi"))
+    if n > 1:
+        w = weight(cfg)
+        each = rows.where(qualifies(cfg)).groupBy("market_id", "wallet", "direction", "block").agg(F.count("*").alias("n"), F.sum(w).alias("w"), *[F.sum(w * F.col(c)).alias(f"s_{c}") for c in DIAGNOSTICS.values()])
+        later = each.withColumn("block", F.explode(F.sequence(F.col("block") + 1, F.col("block") + n - 1))).join(blocks, ["market_id", "block"], "left_semi")
+        merged = later.groupBy("market_id", "block", "wallet", "direction").agg(*[F.sum(c).alias(c) for c in ("n", *sums)])
+        parts.append(merged.withColumn("kind", F.lit(0)))
+    all_ = parts[0]
+    for part in parts[1:]:
+        all_ = all_.unionByName(part, allowMissingColumns=True)
     kind = obs.schema["market_id"].dataType.simpleString()
     types = ["int" if c.startswith("wallets") else "double" for c in FLOW_COLUMNS]
     schema = f"market_id {kind}, seq long, ts long, yes_price double, " + ", ".join(f"{c} {t}" for c, t in zip(FLOW_COLUMNS, types, strict=True))
-    rows = obs.select("market_id", "seq", "ts", "yes_price", *_OBS).repartition("market_id").sortWithinPartitions("market_id", "ts", "seq")
-    return decision(rows.mapInPandas(run, schema), cfg, ["market_id", "seq", "ts", "yes_price"])
+    # expiring rows lie before the block's own, so the order of kinds is also that of time
+    dealt = all_.repartition("market_id", "block").sortWithinPartitions("market_id", "block", "kind", "ts", "seq")
+    return decision(dealt.mapInPandas(run, schema), cfg, ["market_id", "seq", "ts", "yes_price"])
 
 
 def favorite_signal(trades: DataFrame) -> DataFrame:

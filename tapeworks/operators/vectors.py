@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions.columns import similarity_kernel
 
+#: Most centres that clusters of vectors form around.
+CENTRES = 1024
+
 
 def hashing_vectors(markets: DataFrame, features: int = 4096) -> DataFrame:
     """(market_id, vector): L2-normalised counts of the question's lower-case words of two or more letters, in hashed places."""
@@ -35,23 +38,74 @@ def encoded_vectors(markets: DataFrame, encoder: Callable[[list[str]], np.ndarra
     return markets.select("market_id", "question").mapInPandas(batches, f"market_id {kind}, vector array<float>")
 
 
+def _unit(vectors: pd.Series) -> np.ndarray:
+    v = np.stack(vectors.to_numpy()).astype(np.float64)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
+def _angles(cosines: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosines, -1, 1))
+
+
+def _dealt(vectors: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(market_id, vector, b, i, j): each vector in its block b, for each pair of blocks i <= j in which it may have a partner.
+
+    Vectors go to the nearest of at most `CENTRES` of them; a cluster is cut into blocks by a hash.
+    An angle to a partner is no less than that to the partner's centre less the cluster's radius, so
+    a vector skips all clusters for which that is over the threshold's angle.
+    """
+    n = vectors.count()
+    centres = vectors.orderBy(F.xxhash64("market_id"), "market_id").limit(min(CENTRES, max(1, -(-n // block)))).toPandas()
+    kind = vectors.schema["market_id"].dataType.simpleString()
+    if not len(centres):
+        return vectors.sparkSession.createDataFrame([], f"market_id {kind}, vector array<float>, b int, i int, j int")
+    c = _unit(centres["vector"])
+
+    def nearest(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            angles = _angles(_unit(pdf["vector"]) @ c.T)
+            at = angles.argmin(1)
+            yield pd.DataFrame({"c": at, "angle": angles[np.arange(len(at)), at]})
+
+    stats = vectors.select("vector").mapInPandas(nearest, "c int, angle double").groupBy("c").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).toPandas()
+    radius, blocks = np.full(len(c), -np.inf), np.zeros(len(c), np.int64)
+    radius[stats["c"]], blocks[stats["c"]] = stats["radius"], -(-stats["n"] // block)
+    first = np.concatenate(([0], np.cumsum(blocks)))
+    reach = radius + float(_angles(np.array(threshold))) + 1e-6
+
+    def placed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            angles = _angles(_unit(pdf["vector"]) @ c.T)
+            at = angles.argmin(1)
+            b = first[at] + pdf["sub"].to_numpy() % np.maximum(blocks[at], 1)
+            near = angles <= reach
+            near[np.arange(len(at)), at] = True
+            with_ = [np.concatenate([np.arange(first[k], first[k + 1]) for k in np.flatnonzero(row)]) for row in near]
+            yield pd.DataFrame({"market_id": pdf["market_id"], "vector": pdf["vector"], "b": b, "with": with_})
+
+    rows = vectors.select("market_id", "vector", F.pmod(F.xxhash64("market_id"), F.lit(2**31 - 1)).alias("sub")).mapInPandas(placed, f"market_id {kind}, vector array<float>, b int, with array<int>")
+    rows = rows.withColumn("k", F.explode("with"))
+    return rows.select("market_id", "vector", "b", F.least("b", "k").alias("i"), F.greatest("b", "k").alias("j"))
+
+
+def pair_work(vectors: DataFrame, threshold: float = 0.0, block: int = 512) -> DataFrame:
+    """(i, j, n_left, n_right) for each pair of blocks that `market_pairs` multiplies, with the vectors that meet in it."""
+    counts = _dealt(vectors, threshold, block).groupBy("i", "j").agg(F.count_if(F.col("b") == F.col("i")).alias("n_left"), F.count_if(F.col("b") == F.col("j")).alias("n_right"))
+    return counts.where("n_left > 0 and n_right > 0")
+
+
 def market_pairs(vectors: DataFrame, threshold: float = 0.0, power: float = 1.0, normalize: bool = True, block: int = 512) -> DataFrame:
     """(target, other, cosine, weight) of different markets with weight above 0.
 
-    Vectors are dealt into blocks by a hash of the market; a task multiplies two blocks as
-    matrices, each pair of blocks once, and emits what has weight, in both directions, so that no
-    row is made for a pair without.
+    A task multiplies two blocks of near vectors as matrices, each pair of blocks once, and emits
+    what has weight, in both directions, so that no row is made for a pair without. Vectors and
+    blocks that no angle within the threshold can join never meet (`pair_work` counts the rest).
     """
-    n = max(1, -(-vectors.count() // block))
     kind = vectors.schema["market_id"].dataType.simpleString()
-    dealt = vectors.select("market_id", "vector", F.pmod(F.xxhash64("market_id"), F.lit(n)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
-    dealt = dealt.select("market_id", "vector", "b", F.least("b", "k").alias("i"), F.greatest("b", "k").alias("j"))
 
     def product(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = key
-        v = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        ids, b = pdf["market_id"].to_numpy(), pdf["b"].to_numpy()
+        v, ids, b = _unit(pdf["vector"]), pdf["market_id"].to_numpy(), pdf["b"].to_numpy()
         left, right = np.flatnonzero(b == i), np.flatnonzero(b == j)
         cos = v[left] @ v[right].T
         above = cos > threshold
@@ -61,7 +115,7 @@ def market_pairs(vectors: DataFrame, threshold: float = 0.0, power: float = 1.0,
         t, o, c = t[different], o[different], c[different]
         return pd.DataFrame({"target": np.concatenate([t, o]), "other": np.concatenate([o, t]), "cosine": np.concatenate([c, c])})
 
-    pairs = dealt.groupBy("i", "j").applyInPandas(product, f"target {kind}, other {kind}, cosine double")
+    pairs = _dealt(vectors, threshold, block).groupBy("i", "j").applyInPandas(product, f"target {kind}, other {kind}, cosine double")
     return pairs.withColumn("weight", similarity_kernel(F.col("cosine"), threshold, power, normalize)).where("weight > 0")
 
 

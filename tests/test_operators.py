@@ -158,6 +158,32 @@ def test_lookback_drops_old_rows(spark):
     assert (short.direction, short.skilled_wallets) == ("NO", 2)
 
 
+def test_lookback_by_blocks_equals_a_rescan(spark):
+    rnd = random.Random(6)
+    rows = [(m, i, ts, f"w{rnd.randrange(5)}", 0.5, rnd.choice(["YES", "NO"]), float(rnd.randrange(1, 9)), rnd.choice([0.1, 0.4, 0.7]), 1.0, rnd.uniform(1, 3), 1.0, 1.0, 0.0) for m in (1, 2) for i, ts in enumerate(sorted(rnd.choice([rnd.randrange(400_000), 7200 * rnd.randrange(50)]) for _ in range(150)))]
+    obs = spark.createDataFrame(rows, "market_id long, seq long, ts long, wallet string, yes_price double, direction string, volume double, skill double, weighted_history_notional double, effective_history_markets double, mean_similarity double, positive_history_weight_fraction double, skill_score_std double")
+    cfg = signal.ConsensusConfig(skill_threshold=0.3, consensus_threshold=0.55, min_wallets=2)
+    assert [signal._block_seconds(x) for x in (86400, 7200, 3601, 0)] == [3600, 3600, 3601, 1]
+    for lookback in (86400, 7200, 3601, 0):
+        got = {(r.market_id, r.seq): r for r in signal.rolling_consensus(obs, cfg, lookback).collect()}
+        assert len(got) == len(rows)
+        for m, seq, ts, *_ in rows:
+            live = [r for r in rows if r[0] == m and r[1] <= seq and r[2] >= ts - lookback and r[7] >= 0.3]
+            by = {}
+            for r in live:
+                by[r[3]] = by.get(r[3], 0.0) + r[6] * r[7]
+            total, r = sum(by.values()), got[m, seq]
+            assert r.skilled_wallets == len(by)
+            if len(by) >= 2:
+                yes = sum(x[6] * x[7] for x in live if x[5] == "YES")
+                want = "YES" if yes / total >= 0.55 else "NO" if 1 - yes / total >= 0.55 else None
+                assert abs(r.total_weight - total) < 1e-6 and abs(r.wallet_share - max(by.values()) / total) < 1e-6 and (r.direction == want or abs(yes / total - 0.55) < 1e-9 or abs(yes / total - 0.45) < 1e-9)
+                if r.direction:
+                    mine = [x for x in live if x[5] == r.direction]
+                    assert r.directional_wallets == len({x[3] for x in mine})
+                    assert abs(r.mean_history_markets - sum(x[6] * x[7] * x[9] for x in mine) / sum(x[6] * x[7] for x in mine)) < 1e-6
+
+
 def orders(spark, **over):
     base = {"case": "c", "market_id": 1, "direction": "YES", "seq": 0, "ts": 0, "price": 0.5, "allowed_price": 0.9, "stake": 100.0, "quantity": None, "bucket": "stable"} | over
     return spark.createDataFrame([tuple(base.values())], "case string, market_id long, direction string, seq long, ts long, price double, allowed_price double, stake double, quantity double, bucket string")
@@ -374,6 +400,14 @@ def test_pairs_over_blocks_and_shuffled_vectors(spark):
     for block in (7, 100):
         rows = vectors.market_pairs(df, 0.3, block=block).collect()
         assert len(rows) == len(want) and all(abs(want[r.target, r.other] - r.cosine) < 1e-5 for r in rows)
+    # eight tight clusters: blocks of different ones never meet, and no pair is lost
+    tight = np.concatenate([c + 0.02 * rng.normal(size=(40, 16)) for c in rng.normal(size=(8, 16))]).astype(np.float32)
+    far = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(tight)], "market_id long, vector array<float>")
+    unit = tight / np.linalg.norm(tight, axis=1, keepdims=True)
+    close = {(int(i), int(j)) for i, j in zip(*np.nonzero(unit.astype(float) @ unit.T.astype(float) > 0.9), strict=True) if i != j}
+    assert {(r.target, r.other) for r in vectors.market_pairs(far, 0.9, block=20).collect()} == close
+    work, blocks = vectors.pair_work(far, 0.9, block=20).collect(), len({r.b for r in vectors._dealt(far, 0.9, 20).select("b").distinct().collect()})
+    assert len(work) < 0.4 * blocks * (blocks + 1) / 2
     shuffled = {r.market_id: tuple(r.vector) for r in vectors.shuffle_vectors(df, 3).collect()}
     assert sorted(shuffled.values()) == sorted(map(tuple, v.tolist())) and shuffled.keys() == set(range(40))
     assert shuffled != {r.market_id: tuple(r.vector) for r in vectors.shuffle_vectors(df, 4).collect()}
