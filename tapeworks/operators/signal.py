@@ -178,7 +178,6 @@ class Flow:
         self.sums = {"YES": [0.0] * 5, "NO": [0.0] * 5}
         self.squares = {"YES": 0.0, "NO": 0.0}
         self.wallets = {d: Largest() for d in ("YES", "NO", "both")}
-        self.touched: set = set()
 
     def weigh(self, row: dict) -> float | None:
         c = self.cfg
@@ -216,7 +215,6 @@ class Flow:
             return
         key = (row["wallet"], row["direction"])
         self.put(*key, self.by.get(key, 0.0) + sign * w, self.count.get(key, 0) + sign)
-        self.touched.add(key)
         for i, x in enumerate((1.0, *(row[c] for c in DIAGNOSTICS.values()))):
             self.sums[row["direction"]][i] += sign * w * x
 

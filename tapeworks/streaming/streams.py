@@ -37,7 +37,13 @@ def stream_rolling_bars(stream: DataFrame, width: str = "24 hours", delay: str =
 
 
 class _Gate(StatefulProcessor):
-    """State of a market: sums of its hours until the gate fires, and whether it has fired. An event-time timer at the next hour's end stands for silent hours."""
+    """State of a market: its first print, the window's sums and all dollars up to the last judged hour, and the hours of that window and after it.
+
+    Hours that left the window are deleted. One event-time timer, at the end of the next hour to
+    judge, stands for silent hours; it is replaced when that hour changes.
+    """
+
+    columns = ["market_id", "time", "cumulative_notional", "recent_notional", "recent_prints", "recent_yes_vwap", "observed_hours"]
 
     def __init__(self, rule: dict):
         self.rule = rule
@@ -45,101 +51,149 @@ class _Gate(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.hours = handle.getMapState("hours", "hour long", "q double, pq double, d double, n long")
-        self.market = handle.getValueState("market", "first long, done boolean, judged long, close long")
-
-    def _first_met(self, first: int, close: int | None, after: int, until: int) -> tuple | None:
-        """The first hour in (after, until] that meets the rule, by sums that slide from hour to hour."""
-        r = self.rule
-        rows = {k[0]: v for k, v in self.hours.iterator()}
-        zero = (0.0, 0.0, 0.0, 0)
-        window = [sum(v[i] for k, v in rows.items() if after - r["width"] < k <= after) for i in range(4)]
-        total = sum(v[2] for k, v in rows.items() if k <= after)
-        for hour in range(after + 1, until + 1):
-            new, old = rows.get(hour, zero), rows.get(hour - r["width"], zero)
-            window = [w + x - y for w, x, y in zip(window, new, old, strict=True)]
-            total += new[2]
-            q, pq, d, n = window
-            vwap = pq / q if n and q > 1e-9 else 0.5
-            time = (hour + 1) * HOUR
-            wait = None if close is None else close - time
-            horizon = r["max_days"] is None or (wait is not None and 0 < wait < r["max_days"] * 86400)
-            dollars = d if r["rolling"] else total
-            if horizon and hour + 1 - first >= r["warmup_hours"] and round(dollars, 4) >= r["min_notional"] and n >= r["min_prints"] and round(max(vwap, 1 - vwap), 9) >= r["min_conviction"]:
-                return time, total, d, int(n), vwap, hour + 1 - first
-        return None
+        self.market = handle.getValueState("market", "first long, close long, judged long, timer long, done boolean, q double, pq double, d double, n long, total double")
+
+    def _load(self) -> dict:
+        names = ("first", "close", "judged", "timer", "done", "q", "pq", "d", "n", "total")
+        return dict(zip(names, self.market.get() if self.market.exists() else (None, None, None, None, False, 0.0, 0.0, 0.0, 0, 0.0), strict=True))
+
+    def _save(self, m: dict) -> None:
+        """Writes the state, with the timer at the end of the hour after the last judged one."""
+        wanted = None if m["done"] or m["judged"] is None else (m["judged"] + 2) * HOUR * 1000
+        if wanted != m["timer"]:
+            if m["timer"] is not None:
+                self.handle.deleteTimer(m["timer"])
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+            m["timer"] = wanted
+        self.market.update(tuple(m.values()))
+
+    def _take(self, hours: pd.DataFrame) -> None:
+        """hours: hour, q, pq, d, n, first (second of its first print), close."""
+        m = self._load()
+        if m["done"] or not len(hours):
+            return
+        for row in hours.itertuples():
+            hour = int(row.hour)
+            old = self.hours.getValue((hour,)) if self.hours.containsKey((hour,)) else (0.0, 0.0, 0.0, 0)
+            self.hours.updateValue((hour,), (old[0] + float(row.q), old[1] + float(row.pq), old[2] + float(row.d), old[3] + int(row.n)))
+            first = int(row.first)
+            if m["first"] is None or first < m["first"]:
+                m["first"] = first
+                if not m["n"] and not m["total"]:  # nothing was judged yet
+                    m["judged"] = first // HOUR - 1
+            if m["close"] is None and pd.notna(row.close):
+                m["close"] = int(row.close)
+        self._save(m)
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        self._take(initialState)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        first, done, judged, close = self.market.get() if self.market.exists() else (None, False, None, None)
+        parts = []
         for pdf in rows:
-            if done:
-                continue
-            close = int(pdf["close_at"].iloc[0]) if close is None and pd.notna(pdf["close_at"].iloc[0]) else close
-            for hour, g in pdf.groupby("hour"):
-                hour = int(hour)
-                old = self.hours.getValue((hour,)) if self.hours.containsKey((hour,)) else (0.0, 0.0, 0.0, 0)
-                self.hours.updateValue((hour,), (old[0] + float(g["size"].sum()), old[1] + float((g["size"] * g["yes_price"]).sum()), old[2] + float((g["size"] * g["token_price"]).sum()), old[3] + len(g)))
-                first = hour if first is None else min(first, hour)
-        if not done and first is not None:
-            if judged is None:
-                judged = first - 1
-            self.handle.registerTimer((judged + 2) * HOUR * 1000)
-            self.market.update((first, done, judged, close))
-        yield pd.DataFrame(columns=_Gate.columns)
-
-    columns = ["market_id", "time", "cumulative_notional", "recent_notional", "recent_prints", "recent_yes_vwap", "observed_hours"]
+            pdf = pdf.assign(pq=pdf["size"] * pdf["yes_price"], d=pdf["size"] * pdf["token_price"])
+            parts.append(pdf.groupby("hour").agg(q=("size", "sum"), pq=("pq", "sum"), d=("d", "sum"), n=("size", "size"), first=("second", "min"), close=("close_at", "first")).reset_index())
+        if parts:
+            self._take(pd.concat(parts))
+        yield pd.DataFrame(columns=self.columns)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        first, done, judged, close = self.market.get()
-        until = max(judged, timerValues.getCurrentWatermarkInMs() // 1000 // HOUR - 1)
-        found = None if done else self._first_met(first, close, judged, until)
-        done = done or found is not None
-        self.market.update((first, done, until, close))
-        if done:
+        m, r = self._load(), self.rule
+        m["timer"] = None  # it has fired
+        until = max(m["judged"], timerValues.getCurrentWatermarkInMs() // 1000 // HOUR - 1)
+        rows = {k[0]: v for k, v in self.hours.iterator()}
+        zero, found = (0.0, 0.0, 0.0, 0), None
+        for hour in range(m["judged"] + 1, until + 1):
+            new, old = rows.get(hour, zero), rows.get(hour - r["width"], zero)
+            m["n"] += new[3] - old[3]
+            for name, x, y in zip(("q", "pq", "d"), new, old, strict=False):
+                m[name] = m[name] + x - y if m["n"] else 0.0
+            m["total"] += new[2]
+            vwap = m["pq"] / m["q"] if m["n"] and m["q"] > 1e-9 else 0.5
+            time = (hour + 1) * HOUR
+            wait = None if m["close"] is None else m["close"] - time
+            horizon = r["max_days"] is None or (wait is not None and 0 < wait < r["max_days"] * 86400)
+            dollars, seen = m["d"] if r["rolling"] else m["total"], time - m["first"]
+            if horizon and seen >= r["warmup_hours"] * HOUR and round(dollars, 4) >= r["min_notional"] and m["n"] >= r["min_prints"] and round(max(vwap, 1 - vwap), 9) >= r["min_conviction"]:
+                found = (key[0], time, m["total"], m["d"], int(m["n"]), vwap, seen / HOUR)
+                break
+        m["judged"], m["done"] = until, found is not None
+        if m["done"]:
             self.hours.clear()
         else:
-            self.handle.registerTimer((until + 2) * HOUR * 1000)
-        out = [(key[0], *found)] if found else []
-        yield pd.DataFrame(out, columns=self.columns)
+            for hour in rows:
+                if hour <= until - r["width"]:
+                    self.hours.removeKey((hour,))
+        self._save(m)
+        yield pd.DataFrame([found] if found else [], columns=self.columns)
 
     def close(self) -> None:
         pass
 
 
-def stream_activation(stream: DataFrame, rule: dict, delay: str = "0 seconds") -> DataFrame:
+def stream_activation(stream: DataFrame, rule: dict, delay: str = "0 seconds", start: DataFrame | None = None) -> DataFrame:
     """One row a market: the first completed hour that meets the rule, silent hours included.
 
-    rule: width, min_notional, rolling, min_prints, warmup_hours, min_conviction, max_days (None: no horizon).
+    rule: width, min_notional, rolling, min_prints, warmup_hours (from the first print), min_conviction,
+    max_days (None: no horizon). start: prints of a batch tape (the stream's columns) before the
+    stream's first, which give each market its state; a market judges them once the stream's clock
+    passes their hours, or when its first row comes.
     """
     kind = stream.schema["market_id"].dataType.simpleString()
-    rows = stream.withWatermark("event_time", delay).withColumn("hour", F.floor(F.unix_seconds("event_time") / HOUR)).select("market_id", "event_time", "hour", "size", "yes_price", "token_price", "close_at")
-    return rows.groupBy("market_id").transformWithStateInPandas(_Gate(rule), f"market_id {kind}, time long, cumulative_notional double, recent_notional double, recent_prints long, recent_yes_vwap double, observed_hours long", "append", "EventTime")
+
+    def rows(df: DataFrame) -> DataFrame:
+        second = F.unix_seconds("event_time")
+        return df.select("market_id", "event_time", second.alias("second"), F.floor(second / HOUR).alias("hour"), "size", "yes_price", "token_price", F.col("close_at").cast("double").alias("close_at"))
+
+    before = None
+    if start is not None:
+        sums = [F.sum("size").alias("q"), F.sum(F.col("size") * F.col("yes_price")).alias("pq"), F.sum(F.col("size") * F.col("token_price")).alias("d"), F.count("*").alias("n"), F.min("second").alias("first"), F.first("close_at", True).alias("close")]
+        before = rows(start).groupBy("market_id", "hour").agg(*sums).groupBy("market_id")
+    schema = f"market_id {kind}, time long, cumulative_notional double, recent_notional double, recent_prints long, recent_yes_vwap double, observed_hours double"
+    return rows(stream.withWatermark("event_time", delay)).groupBy("market_id").transformWithStateInPandas(_Gate(rule), schema, "append", "EventTime", before)
 
 
 class _Consensus(StatefulProcessor):
-    """State of a market: sums by wallet and direction, and four sums by direction."""
+    """State of a market: its sums, squares, counts and largest wallets, and by wallet what it has in each direction.
 
-    def __init__(self, cfg: dict):
-        self.cfg = cfg
+    Weights never fall, so the largest wallet is a running maximum, and a batch reads the wallets that it touches and no others.
+    """
+
+    def __init__(self, cfg: dict, wallet: str):
+        self.cfg, self.wallet = cfg, wallet
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.by = handle.getMapState("by", "wallet long, direction string", "w double, n long")
-        self.sums = handle.getMapState("sums", "direction string", "w double, a double, b double, c double, d double")
+        self.by = handle.getMapState("by", f"wallet {self.wallet}", "yes double, no double, n_yes long, n_no long")
+        self.market = handle.getValueState("market", "flow array<double>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        flow = Flow(self.cfg)
-        for k, v in self.by.iterator():
-            flow.put(k[0], k[1], v[0], v[1])
-        for k, v in self.sums.iterator():
-            flow.sums[k[0]] = list(v)
-        out = []
+        at = {c: i for i, c in enumerate(FLOW_COLUMNS)}
+        flow = list(self.market.get()[0]) if self.market.exists() else [0.0] * len(FLOW_COLUMNS)
+        weigh, held, out = Flow(self.cfg).weigh, {}, []
         for row in pd.concat(list(rows)).sort_values(["ts", "seq"]).to_dict("records"):
-            flow.apply(row, 1)
-            out.append((row["market_id"], row["seq"], row["ts"], row["yes_price"], *flow.decide()))
-        for k in flow.touched:  # what this batch changed
-            self.by.updateValue((int(k[0]), k[1]), (float(flow.by[k]), int(flow.count[k])))
-        for d, v in flow.sums.items():
-            self.sums.updateValue((d,), tuple(float(x) for x in v))
-        yield pd.DataFrame(out, columns=["market_id", "seq", "ts", "yes_price", *FLOW_COLUMNS])
+            w = weigh(row)
+            if w is not None:
+                wallet, d = row["wallet"], row["direction"]
+                if wallet not in held:
+                    held[wallet] = list(self.by.getValue((wallet,))) if self.by.containsKey((wallet,)) else [0.0, 0.0, 0, 0]
+                own, side = held[wallet], 0 if d == "YES" else 1
+                flow[at["wallets"]] += not own[2] + own[3]
+                flow[at[f"wallets_{d}"]] += not own[2 + side]
+                flow[at[f"squares_{d}"]] += (own[side] + w) ** 2 - own[side] ** 2
+                own[side] += w
+                own[2 + side] += 1
+                flow[at["yes" if d == "YES" else "no"]] += w
+                flow[at["largest"]] = max(flow[at["largest"]], own[0] + own[1])
+                flow[at[f"largest_{d}"]] = max(flow[at[f"largest_{d}"]], own[side])
+                for name, column in DIAGNOSTICS.items():
+                    flow[at[f"{name}_{d}"]] += w * row[column]
+            out.append((row["market_id"], row["seq"], row["ts"], row["yes_price"], *flow))
+        for wallet, own in held.items():
+            self.by.updateValue((wallet,), (float(own[0]), float(own[1]), int(own[2]), int(own[3])))
+        self.market.update(([float(x) for x in flow],))
+        pdf = pd.DataFrame(out, columns=["market_id", "seq", "ts", "yes_price", *FLOW_COLUMNS])
+        yield pdf.astype({c: "int32" for c in FLOW_COLUMNS if c.startswith("wallets")})
 
     def close(self) -> None:
         pass
@@ -147,9 +201,11 @@ class _Consensus(StatefulProcessor):
 
 def stream_consensus(stream: DataFrame, cfg: ConsensusConfig) -> DataFrame:
     """The running decision for each observation of a stream, in the order in which micro-batches bring them (by ts and seq inside one)."""
-    kind = stream.schema["market_id"].dataType.simpleString()
+    if cfg.skill_threshold < 0 and cfg.weighting in ("skill", "skill_volume"):
+        raise ValueError("a negative skill_threshold lets weights fall; a running maximum needs weights that do not")
+    kind = {c: stream.schema[c].dataType.simpleString() for c in ("market_id", "wallet")}
     types = ["int" if c.startswith("wallets") else "double" for c in FLOW_COLUMNS]
-    schema = f"market_id {kind}, seq long, ts long, yes_price double, " + ", ".join(f"{c} {t}" for c, t in zip(FLOW_COLUMNS, types, strict=True))
+    schema = f"market_id {kind['market_id']}, seq long, ts long, yes_price double, " + ", ".join(f"{c} {t}" for c, t in zip(FLOW_COLUMNS, types, strict=True))
     columns = ["market_id", "seq", "ts", "yes_price", "wallet", "direction", "volume", "skill", "weighted_history_notional", *DIAGNOSTICS.values()]
-    out = stream.select(*columns).groupBy("market_id").transformWithStateInPandas(_Consensus(asdict(cfg)), schema, "append", "None")
+    out = stream.select(*columns).groupBy("market_id").transformWithStateInPandas(_Consensus(asdict(cfg), kind["wallet"]), schema, "append", "None")
     return decision(out, cfg, ["market_id", "seq", "ts", "yes_price"])

@@ -7,7 +7,7 @@ import pytest
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ["O04_normalize_trades", "O17_tape_quality", "O35_activation", "O38_thin_tape", "O48_wallet_skill_uniform", "O50_consensus", "O41_participation_fills", "O01_read_tape", "O30_bootstrap_ci", "O44_daily_marks", "O45_embed_text_encoder", "O46_market_pairs", "O49_shuffle_vectors", "O51_rolling_consensus", "O74_equity_daily", "O67_stream_hourly_bars", "O69_stream_activation", "O70_stream_consensus"]
+SAMPLE = ["O04_normalize_trades", "O17_tape_quality", "O35_activation", "O38_thin_tape", "O48_wallet_skill_uniform", "O50_consensus", "O41_participation_fills", "O01_read_tape", "O30_bootstrap_ci", "O44_daily_marks", "O45_embed_text_encoder", "O46_market_pairs", "O49_shuffle_vectors", "O51_rolling_consensus", "O74_equity_daily", "O67_stream_hourly_bars", "O69_stream_activation", "O69_stream_activation_resumed", "O70_stream_consensus", "O48_wallet_skill_semantic", "O40_delayed_fills", "O42_sliced_fills"]
 
 
 def rows(cols, data):
