@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeworks.functions.columns import price_for, trade_direction
+from tapeworks.operators.running import running
+from tapeworks.operators.signal import ConsensusConfig
+
 
 def compare_positions(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: what two position tables (market_id, direction, opened_at, avg_price, notional, pnl) share. A repeated market in either is an error."""
@@ -60,38 +64,89 @@ def metric_checks(actual: DataFrame, expected: DataFrame, metrics: list[str], to
 
 def audit_cash(fills: DataFrame, positions: DataFrame, initial: float) -> DataFrame:
     """(case, final_cash, min_cash, negative): cash after each event, payouts before fills of the same second."""
-    paid = positions.where("payout is not null").select("case", F.col("resolved_at").alias("ts"), F.lit(0).alias("kind"), "market_id", F.lit(0).alias("i"), F.col("payout").alias("cash"))
-    spent = fills.select("case", F.col("filled_at").alias("ts"), F.lit(1).alias("kind"), "market_id", F.col("child").alias("i"), (-F.col("notional") - F.col("fee")).alias("cash"))
-    run = Window.partitionBy("case").orderBy("ts", "kind", "market_id", "i").rowsBetween(Window.unboundedPreceding, 0)
-    rows = paid.unionByName(spent).select("case", "ts", "kind", "market_id", "i", (F.sum("cash").over(run) + initial).alias("cash"))
-    out = rows.groupBy("case").agg(F.max_by("cash", F.struct("ts", "kind", "market_id", "i")).alias("final_cash"), F.least(F.min("cash"), F.lit(initial)).alias("min_cash"))
+    paid = positions.where("payout is not null").select("case", F.col("resolved_at").alias("ts"), F.lit(0).alias("kind"), "market_id", F.lit(0).alias("i"), F.col("payout").alias("moved"))
+    spent = fills.select("case", F.col("filled_at").alias("ts"), F.lit(1).alias("kind"), "market_id", F.col("child").alias("i"), (-F.col("notional") - F.col("fee")).alias("moved"))
+    order = ["ts", "kind", "market_id", "i"]
+    rows = running(paid.unionByName(spent), ["case"], "ts", order, {"cash": F.col("moved")}).withColumn("cash", F.col("cash") + initial)
+    out = rows.groupBy("case").agg(F.max_by("cash", F.struct(*order)).alias("final_cash"), F.least(F.min("cash"), F.lit(initial)).alias("min_cash"))
     return out.withColumn("negative", F.col("min_cash") < -1e-9)
 
 
-def audit_fills(fills: DataFrame, tape: DataFrame, activations: DataFrame, orders: DataFrame, cases: DataFrame, tolerance: float = 1e-12) -> DataFrame:
-    """Each fill against the rules: gate <= signal <= fill, delay, expiry, price cap, participation, token and the number of prints that could be its source.
+def audit_fills(fills: DataFrame, tape: DataFrame, activations: DataFrame, orders: DataFrame, cases: DataFrame, labels: DataFrame, signals: DataFrame | None = None, limits: ConsensusConfig | None = None, tolerance: float = 1e-12) -> DataFrame:
+    """Each fill against the rules: gate <= signal <= fill, delay, expiry, prices, participation, token, identities, finality, the signal behind it and the prints that could be its source.
 
-    activations: market_id, time (one a market). The source has the fill's second, size and side
-    and, with slippage, its price.
+    activations: market_id, time (one a market). labels: market_id, label_available_at, tier. The
+    source has the fill's second, size and side and, with slippage, its price; the quote is a print
+    of the signal's second with the signal's price, inside the case's prices and edge. With signals
+    and limits the order's signal must meet them.
     """
     key = ["case", "market_id", "child"]
-    rows = fills.join(cases, "case").join(orders.select("case", "market_id", "allowed_price", "stake"), ["case", "market_id"], "left").join(activations.select("market_id", "time"), "market_id", "left")
+    order = orders.select("case", "market_id", "allowed_price", "stake", F.col("seq").alias("signal_seq"), "confidence", F.col("quantity").alias("lot"))
+    rows = fills.join(cases, "case").join(order, ["case", "market_id"], "left").join(activations.select("market_id", "time"), "market_id", "left").join(labels.select("market_id", "label_available_at", "tier"), "market_id", "left")
+
+    def paid(yes_price: str) -> Column:
+        return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), price_for(F.col("direction"), F.col(yes_price)) * (1 + F.col("slippage_bps") / 10000))), 9)
+
     prints = tape.select("market_id", F.col("ts").alias("filled_at"), F.col("size").alias("source_size"), F.col("side").alias("source_side"), "yes_price")
-    adjusted = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(F.col("direction") == "YES", F.col("yes_price")).otherwise(F.round(1 - F.col("yes_price"), 4)) * (1 + F.col("slippage_bps") / 10000))), 9)
-    found = rows.join(prints, ["market_id", "filled_at", "source_size", "source_side"]).where(F.abs(adjusted - F.col("fill_price")) <= tolerance).groupBy(*key).agg(F.count("*").alias("sources"))
+    found = rows.join(prints, ["market_id", "filled_at", "source_size", "source_side"]).where(F.abs(paid("yes_price") - F.col("fill_price")) <= tolerance).groupBy(*key).agg(F.count("*").alias("sources"))
+    quotes = rows.select(*key, "signal_time", "direction", "signal_price", "confidence", "slippage_bps", "min_price", "max_price", "min_edge").join(tape.select("market_id", F.col("ts").alias("signal_time"), "yes_price"), ["market_id", "signal_time"])
+    raw = price_for(F.col("direction"), F.col("yes_price"))
+    quotes = quotes.where((F.abs(paid("yes_price") - F.col("signal_price")) <= tolerance) & raw.between(F.col("min_price"), F.col("max_price")) & (F.col("confidence") - raw + 1e-9 >= F.col("min_edge"))).select(*key).distinct().withColumn("quote_ok", F.lit(True))
     ratio = F.col("quantity") / F.col("source_size")
-    out = rows.join(found, key, "left")
-    return out.select(
-        *key,
+    target = F.when(F.col("direction") == "YES", F.col("source_side").isin(0, 2)).otherwise(F.col("source_side").isin(1, 3))
+    buy = F.col("source_side") < 2
+    wanted = F.when(F.col("trade_filter") == "target_token", target).when(F.col("trade_filter") == "target_token_buy", target & buy).when(F.col("trade_filter") == "target_token_sell", target & ~buy).when(F.col("trade_filter") == "signal_direction", trade_direction(F.col("source_side")) == F.col("direction")).otherwise(True)
+    near = lambda x, y: F.abs(x - y) <= 2e-6
+    out = rows.join(found, key, "left").join(quotes, key, "left")
+    checks = [
         F.coalesce((F.col("time") <= F.col("signal_time")) & (F.col("signal_time") <= F.col("filled_at")), F.lit(False)).alias("in_gate"),
         (F.col("filled_at") >= F.col("signal_time") + F.col("delay")).alias("delayed"),
         (F.col("expiry").isNull() | (F.col("filled_at") <= F.col("signal_time") + F.col("delay") + F.col("expiry"))).alias("in_time"),
+        (F.col("label_available_at").isNull() | (F.col("filled_at") < F.col("label_available_at"))).alias("before_label"),
         (F.col("fill_price") <= F.col("allowed_price") + 1e-9).alias("under_cap"),
-        (ratio <= F.col("participation") + 1e-9).alias("in_participation"),
-        F.when(F.col("direction") == "YES", F.col("source_side").isin(0, 2)).otherwise(F.col("source_side").isin(1, 3)).alias("target_token"),
+        (F.col("fill_price").between(F.col("min_price"), F.col("max_price")) & F.coalesce(F.col("fill_price") <= F.col("signal_price") * (1 + F.col("max_drift_bps") / 10000) + 1e-9, F.lit(True))).alias("price_ok"),
+        F.coalesce(ratio <= F.col("participation") + 1e-9, F.lit(True)).alias("in_participation"),
+        wanted.alias("wanted_side"),
+        target.alias("target_token"),
+        (near(F.col("notional"), F.col("quantity") * F.col("fill_price")) & near(F.col("fee"), F.col("notional") * F.col("fee_bps") / 10000) & (F.col("lot").isNotNull() | (F.col("notional") <= F.col("stake") + 2e-6))).alias("identities_ok"),
+        F.coalesce("quote_ok", F.lit(False)).alias("quote_ok"),
         ratio.alias("print_ratio"),
         F.coalesce("sources", F.lit(0)).cast("long").alias("sources"),
+        "tier",
+    ]
+    if signals is None or limits is None:
+        return out.select(*key, *checks)
+    s = signals.select("market_id", F.col("seq").alias("signal_seq"), F.col("direction").alias("signal_direction"), "should_trade", F.col("confidence").alias("signal_confidence"), "skilled_wallets", "wallet_share", "directional_wallets", "effective_wallets", "directional_share", "mean_history_markets")
+    met = (
+        F.col("should_trade")
+        & (F.col("signal_direction") == F.col("direction"))
+        & (F.col("signal_confidence") >= F.greatest(F.lit(limits.consensus_threshold), F.col("consensus")) - 1e-9)
+        & (F.col("skilled_wallets") >= limits.min_wallets)
+        & (F.col("directional_wallets") >= limits.min_directional_wallets)
+        & (F.col("effective_wallets") + 1e-9 >= limits.min_effective_wallets)
+        & (F.col("wallet_share") <= limits.max_wallet_share + 1e-9)
+        & (F.col("directional_share") <= limits.max_directional_share + 1e-9)
+        & (F.col("mean_history_markets") + 1e-9 >= F.col("min_history"))
+    )
+    return out.join(s, ["market_id", "signal_seq"], "left").select(*key, *checks, F.coalesce(met, F.lit(False)).alias("signal_ok"))
+
+
+def audit_summary(audited: DataFrame) -> DataFrame:
+    """(case, fills, failed, median_ratio, max_ratio, over_print, without_source, opposite_token, tiers) of `audit_fills`: tiers counts fills by evidence tier."""
+    checks = [c for c, t in audited.dtypes if t == "boolean" and c != "target_token"]
+    every = F.forall(F.array(*[F.coalesce(c, F.lit(False)) for c in checks]), lambda x: x)
+    out = audited.withColumn("good", every & (F.col("sources") > 0)).groupBy("case").agg(
+        F.count("*").alias("fills"),
+        F.count_if(~F.col("good")).alias("failed"),
+        F.percentile("print_ratio", F.lit(0.5)).alias("median_ratio"),
+        F.max("print_ratio").alias("max_ratio"),
+        F.count_if(F.col("print_ratio") > 1 + 1e-9).alias("over_print"),
+        F.count_if(F.col("sources") == 0).alias("without_source"),
+        F.count_if(~F.col("target_token")).alias("opposite_token"),
     )
+    tiers = audited.groupBy("case", F.coalesce("tier", F.lit("none")).alias("tier")).count()
+    tiers = tiers.groupBy("case").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "tier", "count"))), ",").alias("tiers"))  # a few kinds
+    return out.join(tiers, "case")
 
 
 def audit_positions(fills: DataFrame, positions: DataFrame, labels: DataFrame, orders: DataFrame, tolerance: float = 2e-6) -> DataFrame:
@@ -117,16 +172,20 @@ def audit_positions(fills: DataFrame, positions: DataFrame, labels: DataFrame, o
 
 
 def gate_monotonicity(activations: DataFrame, rules: DataFrame) -> DataFrame:
-    """(check, market_id, rule, ok): a higher dollar threshold never activates earlier, within rules equal otherwise; a cumulative gate is never later than the rolling one.
+    """(check, market_id, rule, ok): for each activation, that the next lower dollar threshold has activated too and no later (threshold), that the cumulative gate of a rolling one has (mode), and that all dollars are no less than the window's (dollars).
 
     rules: rule, family, min_notional, rolling. A family has the rules that differ in these two only.
     """
-    rows = activations.select("market_id", "rule", "time").join(F.broadcast(rules.select("rule", "family", "min_notional", "rolling")), "rule")
-    lower = F.max("time").over(Window.partitionBy("market_id", "family", "rolling").orderBy("min_notional").rowsBetween(Window.unboundedPreceding, -1))
-    thresholds = rows.withColumn("before", lower).where("before is not null").select(F.lit("threshold").alias("check"), "market_id", "rule", (F.col("time") >= F.col("before")).alias("ok"))
-    c = rows.where("not rolling").select("market_id", "family", "min_notional", F.col("time").alias("c_time"))
-    modes = rows.where("rolling").join(c, ["market_id", "family", "min_notional"], "left").select(F.lit("mode").alias("check"), "market_id", "rule", F.coalesce(F.col("c_time") <= F.col("time"), F.lit(False)).alias("ok"))
-    return thresholds.unionByName(modes)
+    kinds = rules.select("rule", "family", "min_notional", "rolling")
+    lower = F.lag("rule").over(Window.partitionBy("family", "rolling").orderBy("min_notional"))
+    below = kinds.withColumn("needs", lower).where("needs is not null").select(F.lit("threshold").alias("check"), "rule", "needs")
+    c = kinds.where("not rolling").select("family", "min_notional", F.col("rule").alias("needs"))
+    modes = kinds.where("rolling").join(c, ["family", "min_notional"]).select(F.lit("mode").alias("check"), "rule", "needs")
+    times = activations.select("market_id", F.col("rule").alias("needs"), F.col("time").alias("earlier"))
+    rows = activations.select("market_id", "rule", "time").join(below.unionByName(modes), "rule").join(times, ["market_id", "needs"], "left")
+    pairs = rows.select("check", "market_id", "rule", F.coalesce(F.col("earlier") <= F.col("time"), F.lit(False)).alias("ok"))
+    dollars = activations.select(F.lit("dollars").alias("check"), "market_id", "rule", (F.col("cumulative_notional") + 1e-6 >= F.col("recent_notional")).alias("ok"))
+    return pairs.unionByName(dollars)
 
 
 def compare_tapes(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -135,12 +135,17 @@ def visited_hours(orders: DataFrame, zones: DataFrame, cases: DataFrame, fits_ne
     return hours.withColumn("enough", enough).where(~F.col("enough")).select(*o.columns, "hour")
 
 
-def _search(orders: DataFrame, tape: DataFrame, cases: DataFrame, zones: DataFrame | None, fits_needed: Column, dollars_needed: Column | None = None) -> DataFrame:
-    """Orders with the prints that fit them, in visited hours and before one that ends the order; nth counts them, at most fits_needed."""
+def _due(orders: DataFrame, tape: DataFrame, cases: DataFrame, zones: DataFrame | None, fits_needed: Column, dollars_needed: Column | None = None) -> DataFrame:
+    """Orders with the prints of visited hours that are due, not expired and of the wanted kind, and the price that they would pay."""
     hours = visited_hours(orders, price_zones(tape) if zones is None else zones, cases, fits_needed, dollars_needed)
     prints = tape.withColumn("hour", F.floor(F.col("ts") / ZONE))
     rows = hours.withColumn("market_id", F.col("o_market_id")).join(prints, ["market_id", "hour"])
-    rows = rows.where((F.col("seq") > F.col("o_seq")) & (F.col("ts") >= F.col("due")) & (F.col("until").isNull() | (F.col("ts") <= F.col("until")))).where(_wanted()).withColumn("fill_price", _paid("yes_price"))
+    return rows.where((F.col("seq") > F.col("o_seq")) & (F.col("ts") >= F.col("due")) & (F.col("until").isNull() | (F.col("ts") <= F.col("until")))).where(_wanted()).withColumn("fill_price", _paid("yes_price"))
+
+
+def _search(orders: DataFrame, tape: DataFrame, cases: DataFrame, zones: DataFrame | None, fits_needed: Column, dollars_needed: Column | None = None) -> DataFrame:
+    """Orders with the prints that fit them, in visited hours and before one that ends the order; nth counts them, at most fits_needed."""
+    rows = _due(orders, tape, cases, zones, fits_needed, dollars_needed)
     low, high, out = _judge(F.col("fill_price"))
     kills = low | (high & ~F.col("wait")) | (~low & ~high & out)
     by = Window.partitionBy("o_case", "o_market_id").orderBy("seq")
@@ -229,7 +234,9 @@ def daily_marks(fills: DataFrame, positions: DataFrame, tape: DataFrame, initial
     of_position = Window.partitionBy("case", "market_id", "direction").orderBy("day")
     sums = of_position.rowsBetween(Window.unboundedPreceding, 0)
     held = moves.select("case", "market_id", "direction", F.col("day").alias("from"), F.lead("day").over(of_position).alias("to"), F.sum("quantity").over(sums).alias("quantity"), F.sum("notional").over(sums).alias("notional")).where("quantity > 1e-9")
-    held = held.join(days.select("case", "day"), "case").where("day >= `from` and (`to` is null or day < `to`)")
+    last = days.groupBy("case").agg(F.max("day").alias("last"))
+    held = held.join(last, "case").withColumn("day", F.explode(F.sequence("from", F.least(F.coalesce(F.col("to") - 1, F.col("last")), F.col("last")))))
+    held = held.join(days.select("case", "day"), ["case", "day"])
     prices = tape.select("market_id", day, "ts", "seq", "yes_price").groupBy("market_id", "day").agg(F.max_by("yes_price", F.struct("ts", "seq")).alias("yes_price"))
     needed = held.select("market_id", "day").distinct().withColumn("need", F.lit(True)).join(prices, ["market_id", "day"], "full_outer")
     filled = needed.withColumn("last_price", F.last("yes_price", True).over(Window.partitionBy("market_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0))).where("need").select("market_id", "day", "last_price")
@@ -241,7 +248,7 @@ def daily_marks(fills: DataFrame, positions: DataFrame, tape: DataFrame, initial
 
 def cost_stress(fills: DataFrame, positions: DataFrame, grid: DataFrame) -> DataFrame:
     """(case, slippage_bps, fee_bps, positions, notional, fees, pnl): the same quantities at worse prices and other fees; settled positions only."""
-    cells = fills.crossJoin(F.broadcast(grid.select(F.col("slippage_bps").alias("slip"), F.col("fee_bps").alias("bps"))))
+    cells = fills.crossJoin(grid.select(F.col("slippage_bps").alias("slip"), F.col("fee_bps").alias("bps")))
     price = F.least(F.lit(1.0), F.col("fill_price") * (1 + F.col("slip") / 10000))
     cost = F.col("quantity") * price
     per = cells.groupBy("case", "market_id", "slip", "bps").agg(F.sum(cost).alias("notional"), F.sum(cost * F.col("bps") / 10000).alias("fees"))
@@ -254,16 +261,59 @@ def case_grid(base: DataFrame, **values: list) -> DataFrame:
     out = base
     for name, options in values.items():
         kind = base.schema[name].dataType
-        out = out.drop(name).crossJoin(F.broadcast(base.sparkSession.createDataFrame([(v,) for v in options], f"{name} {kind.simpleString()}")))
+        out = out.drop(name).crossJoin(base.sparkSession.createDataFrame([(v,) for v in options], f"{name} {kind.simpleString()}"))
         out = out.withColumn("case", F.concat_ws("/", "case", F.concat(F.lit(f"{name}="), F.col(name).cast("string"))))
     return out.select(*base.columns)
 
 
-def semantic_cluster_exposure(orders: DataFrame, positions: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """(case, market_id, exposure): dollars of other positions of the case that were open at the order's time, in markets of cosine threshold or more."""
-    near = pairs.where(F.col("cosine") >= threshold).select(F.col("target").alias("market_id"), "other")
-    o = orders.select("case", "market_id", F.col("ts").alias("at")).join(near, "market_id")
-    p = positions.select("case", F.col("market_id").alias("other"), "opened_at", "resolved_at", F.col("notional").alias("n"))
-    hits = o.join(p, ["case", "other"]).where((F.col("opened_at") <= F.col("at")) & (F.col("resolved_at").isNull() | (F.col("at") < F.col("resolved_at"))))
-    sums = hits.groupBy("case", "market_id").agg(F.sum("n").alias("exposure"))
+def order_ends(orders: DataFrame, fills: DataFrame, tape: DataFrame, cases: DataFrame, labels: DataFrame, zones: DataFrame | None = None) -> DataFrame:
+    """(case, market_id, filled, done_at): when each order stopped waiting, and its dollars filled: at the fill that left no ticket or was its last child, the print that ended it, its expiry, or the label; null: still open."""
+    needed = F.col("confirmations") + F.col("max_children") - 1
+    o = _orders(orders, cases)
+    known = labels.select("market_id", "label_available_at")
+    in_time = fills.join(known, "market_id", "left").where(F.col("label_available_at").isNull() | (F.col("filled_at") < F.col("label_available_at")))
+    facts = in_time.groupBy("case", "market_id").agg(F.sum("notional").alias("filled"), F.max("child").alias("children"), F.max("filled_at").alias("last_fill"))
+    ended = _ending(orders, tape, cases, zones, needed)
+    rows = o.select(F.col("o_case").alias("case"), F.col("o_market_id").alias("market_id"), "o_stake", "o_quantity", "until", "max_children", "min_ticket")
+    rows = rows.join(facts, ["case", "market_id"], "left").join(ended, ["case", "market_id"], "left").join(known, "market_id", "left")
+    complete = F.col("o_quantity").isNotNull() | (F.col("children") >= F.col("max_children")) | (F.round(F.col("o_stake") - F.col("filled"), 9) < F.col("min_ticket"))
+    done = F.least(F.when(complete, F.col("last_fill")), F.col("ended_at"), F.col("until") + 1, F.col("label_available_at"))
+    return rows.select("case", "market_id", F.coalesce("filled", F.lit(0.0)).alias("filled"), done.alias("done_at"))
+
+
+def _ending(orders: DataFrame, tape: DataFrame, cases: DataFrame, zones: DataFrame | None, needed: Column) -> DataFrame:
+    """(case, market_id, ended_at): the first print in visited hours that ends the order by its price."""
+    rows = _due(orders, tape, cases, zones, needed)
+    low, high, out = _judge(F.col("fill_price"))
+    kills = rows.where(low | (high & ~F.col("wait")) | (~low & ~high & out))
+    return kills.groupBy(F.col("o_case").alias("case"), F.col("o_market_id").alias("market_id")).agg(F.min("ts").alias("ended_at"))
+
+
+def semantic_cluster_exposure(orders: DataFrame, positions: DataFrame, pairs: DataFrame, threshold: float, ends: DataFrame | None = None) -> DataFrame:
+    """(case, market_id, exposure): dollars of the case, at the order's time, in other markets of cosine threshold or more: open positions and, with ends (`order_ends`), what stable orders wait to spend.
+
+    Orders and positions are signed events of their market: a stake comes with its order, what was
+    not filled goes when the order is done, and what was filled goes with the settlement; without ends, a position
+    comes when it opens. Each order asks the running sums of the markets near its own, which are
+    taken day by day. Settlements and expiries of a second come before its prints; those are in order of market.
+    """
+    near = pairs.where(F.col("cosine") >= threshold).select(F.col("target").alias("asks"), F.col("other").alias("market_id"))
+    settled = positions.where("resolved_at is not null").select("case", "market_id", F.col("resolved_at").alias("at"), F.lit(0).alias("kind"), (-F.col("notional")).alias("moved"))
+    if ends is None:
+        moves = positions.select("case", "market_id", F.col("opened_at").alias("at"), F.lit(1).alias("kind"), F.col("notional").alias("moved")).unionByName(settled)
+    else:
+        stable = orders.where("bucket = 'stable'").select("case", "market_id", "ts", "stake")
+        rest = stable.join(ends, ["case", "market_id"])
+        moves = stable.select("case", "market_id", F.col("ts").alias("at"), F.lit(1).alias("kind"), F.col("stake").alias("moved"))
+        moves = moves.unionByName(rest.where("done_at is not null").select("case", "market_id", F.col("done_at").alias("at"), F.lit(0).alias("kind"), (F.col("filled") - F.col("stake")).alias("moved")))
+        lots = positions.join(orders.where("bucket = 'lottery'").select("case", "market_id"), ["case", "market_id"], "left_semi")
+        moves = moves.unionByName(lots.select("case", "market_id", F.col("opened_at").alias("at"), F.lit(1).alias("kind"), F.col("notional").alias("moved"))).unionByName(settled)
+    asked = orders.select("case", F.col("market_id").alias("asks"), "ts").join(near, "asks").where("asks != market_id")
+    asked = asked.join(moves.select("case", "market_id").distinct(), ["case", "market_id"], "left_semi")
+    order = F.struct("kind", F.when(F.col("kind") == 1, F.col("by")).alias("by"), F.col("asks").isNotNull().alias("asking"))
+    events = moves.withColumns({"by": F.col("market_id"), "asks": F.lit(None).cast(moves.schema["market_id"].dataType)}).unionByName(
+        asked.select("case", "market_id", F.col("ts").alias("at"), F.lit(1).alias("kind"), F.lit(0.0).alias("moved"), F.col("asks").alias("by"), "asks")
+    )
+    summed = running(events.withColumn("order", order), ["case", "market_id"], "at", ["at", "order", "asks"], {"open": F.col("moved")})
+    sums = summed.where("asks is not null").groupBy("case", F.col("asks").alias("market_id")).agg(F.sum(F.greatest("open", F.lit(0.0))).alias("exposure"))
     return orders.select("case", "market_id").join(sums, ["case", "market_id"], "left").fillna(0.0, ["exposure"])

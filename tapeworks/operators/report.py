@@ -152,11 +152,17 @@ def pnl_tail(positions: DataFrame, k: int) -> DataFrame:
     return rows.where(F.col("rank") <= k).select("case", "rank", "market_id", "pnl", "winners", "losers")
 
 
-def support_stats(fills: DataFrame, signals: DataFrame, ranks: DataFrame, top: int) -> DataFrame:
-    """(case, fills, markets, mean_history, mean_wallets, in_top): support of the signals behind fills; ranks: market_id, rank."""
-    s = signals.select("market_id", F.col("ts").alias("signal_time"), "mean_history_markets", "directional_wallets").dropDuplicates(["market_id", "signal_time"])
-    rows = fills.join(s, ["market_id", "signal_time"], "left").join(ranks.select("market_id", "rank"), "market_id", "left")
-    return rows.groupBy("case").agg(F.count("*").alias("fills"), F.countDistinct("market_id").alias("markets"), F.avg("mean_history_markets").alias("mean_history"), F.avg("directional_wallets").alias("mean_wallets"), F.countDistinct(F.when(F.col("rank") <= top, F.col("market_id"))).alias("in_top"))
+def support_stats(fills: DataFrame, orders: DataFrame, signals: DataFrame, positions: DataFrame, markets: DataFrame, top: int) -> DataFrame:
+    """(case, fills, markets, mean_history, mean_wallets, events, in_top): support of the signals behind fills, by their order's print.
+
+    markets: market_id, rank, events (array of ids). events counts the distinct ones of settled positions, in_top those positions whose market is among the largest.
+    """
+    s = orders.select("case", "market_id", "seq").join(signals.select("market_id", "seq", "mean_history_markets", "directional_wallets"), ["market_id", "seq"]).drop("seq")
+    of_fills = fills.select("case", "market_id").join(s, ["case", "market_id"], "left").groupBy("case").agg(F.count("*").alias("fills"), F.countDistinct("market_id").alias("markets"), F.avg("mean_history_markets").alias("mean_history"), F.avg("directional_wallets").alias("mean_wallets"))
+    held = positions.where("pnl is not null").select("case", "market_id").join(markets.select("market_id", "rank", "events"), "market_id", "left")
+    events = held.select("case", F.explode("events").alias("event")).groupBy("case").agg(F.countDistinct("event").alias("events"))
+    ranked = held.groupBy("case").agg(F.count_if(F.col("rank") <= top).alias("in_top"))
+    return of_fills.join(events, "case", "left").join(ranked, "case", "left").fillna(0, ["events", "in_top"])
 
 
 def equity_daily(curve: DataFrame, fills: DataFrame | None = None) -> DataFrame:
@@ -170,7 +176,7 @@ def equity_daily(curve: DataFrame, fills: DataFrame | None = None) -> DataFrame:
 
 def sensitivity_table(summaries: DataFrame, grid: DataFrame) -> DataFrame:
     """(parameter, value, is_primary, return_pct, drawdown_pct, profit_factor) for grid rows (case, parameter, value, is_primary)."""
-    rows = summaries.join(F.broadcast(grid), "case")
+    rows = summaries.join(grid, "case")
     return rows.select("parameter", "value", "is_primary", (100 * F.col("total_return")).alias("return_pct"), (100 * F.col("max_drawdown")).alias("drawdown_pct"), "profit_factor")
 
 
@@ -180,6 +186,12 @@ def activation_counts(activations: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.groupBy("rule").agg(F.count("*").alias("markets"), F.count_if((F.col("payout_yes") > 0) & (F.col("payout_yes") < 1)).alias("fractional"))
 
 
+def fractional_payouts(markets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(market_id, question, payout_yes, event_at, tier): the markets that pay a fraction, with the evidence of it."""
+    rows = labels.where("payout_yes > 0 and payout_yes < 1").join(markets.select("market_id", "question"), "market_id", "left")
+    return rows.select("market_id", "question", "payout_yes", "event_at", "tier")
+
+
 def admission_counts(tape: DataFrame, activations: DataFrame, labels: DataFrame) -> DataFrame:
     """(rule, prints, admitted, after_label): prints of activated markets, those inside the gate, and those at or after the label's time."""
     rows = tape.select("market_id", "ts").join(activations.select("market_id", "rule", "time").join(labels.select("market_id", "label_available_at"), "market_id", "left"), "market_id")

@@ -25,6 +25,7 @@ CONSENSUS = ConsensusConfig(skill_threshold=0.03, consensus_threshold=0.6, min_w
 LOOKBACK = 10 * 86400
 CHAIN_RULE = "open"
 KERNEL = 0.2
+TIERS = ("metadata_proxy", "chain_event_observed", "chain_event_reconstructed")
 
 RULES = [  # rule, family, min_notional, rolling, min_prints, warmup_hours, min_conviction, max_days
     ("open", "open", 300.0, False, 20, 24, 0.55, None),
@@ -119,6 +120,8 @@ class View:
             (event + (s % 30) * 86400).alias("close_at"),
             F.when(s % 17 == 0, 0.5).when(s * 53 % 101 < s * 37 % 101, 1.0).otherwise(0.0).alias("payout_yes"),
             F.col("s_acctbal").alias("volume"),
+            F.array(F.concat(F.lit("e"), s % 7), F.concat(F.lit("e"), s * 31 % 23 + 7)).alias("events"),
+            F.element_at(F.array(*map(F.lit, TIERS)), (s % 3 + 1).cast("int")).alias("tier"),
         )
 
     @cached_property
@@ -139,13 +142,18 @@ class View:
 
     @cached_property
     def tape(self) -> DataFrame:
-        order = Window.partitionBy("market_id").orderBy("ts", "l_orderkey", "l_linenumber", "l_partkey", "size", "l_extendedprice")
+        order = ["ts", "l_orderkey", "l_linenumber", "l_partkey", "size", "l_extendedprice"]
         token = F.when(F.col("side").isin(0, 2), F.col("yes_price")).otherwise(F.round(1 - F.col("yes_price"), 4))
-        return self.kept("tape", self.prints.select("market_id", "wallet", "ts", "side", "size", "yes_price", token.alias("token_price"), F.row_number().over(order).cast("long").alias("seq")))
+        # places are counted inside a market's day, after the days before
+        rows = self.prints.withColumn("day", F.floor(F.col("ts") / 86400)).repartition("market_id", "day")
+        earlier = F.sum("count").over(Window.partitionBy("market_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+        days = rows.groupBy("market_id", "day").count().select("market_id", "day", F.coalesce(earlier, F.lit(0)).alias("before"))
+        placed = rows.withColumn("nth", F.row_number().over(Window.partitionBy("market_id", "day").orderBy(*order))).join(days, ["market_id", "day"])
+        return self.kept("tape", placed.select("market_id", "wallet", "ts", "side", "size", "yes_price", token.alias("token_price"), (F.col("before") + F.col("nth")).alias("seq")))
 
     @cached_property
     def labels(self) -> DataFrame:
-        return self.markets.select("market_id", "payout_yes", "event_at", "label_available_at")
+        return self.markets.select("market_id", "payout_yes", "event_at", "label_available_at", "tier")
 
     @cached_property
     def rules(self) -> DataFrame:
@@ -298,7 +306,7 @@ SQL = [
     789782401 + (s_suppkey * 7919 % 1000) * 7344 AS label_available_at,
     789782400 + (s_suppkey * 7919 % 1000) * 7344 + (s_suppkey % 30) * 86400 AS close_at,
     CASE WHEN s_suppkey % 17 = 0 THEN CAST(0.5 AS DOUBLE) WHEN s_suppkey * 53 % 101 < s_suppkey * 37 % 101 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS payout_yes,
-    s_acctbal AS volume
+    s_acctbal AS volume, ['e' || (s_suppkey % 7), 'e' || (s_suppkey * 31 % 23 + 7)] AS events, ['metadata_proxy', 'chain_event_observed', 'chain_event_reconstructed'][s_suppkey % 3 + 1] AS tier
   FROM supplier)""",
     """prints AS (
   SELECT l_suppkey AS market_id, o_custkey % 60 AS wallet,

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 RESOLUTION_DATES = ("resolvedAt", "umaEndDate", "closedTime", "resolveDate")
 WON, LOST = 0.99, 0.01
 WALLET = r"^0x[0-9a-fA-F]{40}$"
+#: Prints of a market whose order is checked together.
+RUN_LOG2 = 16
 
 
 def _array(column: str) -> Column:
@@ -215,14 +217,25 @@ def label_boundary(evidence: DataFrame, as_of: int, allow_proxy: bool = False, r
     return evidence.where(ok).select("market_id", "payout_yes", "event_at", "label_available_at", "tier")
 
 
+def _with_previous(tape: DataFrame) -> DataFrame:
+    """tape with `before`, the ts of the market's print before.
+
+    Prints are compared inside runs of seq; the last of a run is handed to the next that has any, so no window holds a market's prints.
+    """
+    rows = tape.withColumn("run", F.shiftright(F.col("seq").cast("long"), RUN_LOG2))
+    last = rows.groupBy("market_id", "run").agg(F.max_by("ts", "seq").alias("last"))
+    handed = last.select("market_id", "run", F.lag("last").over(Window.partitionBy("market_id").orderBy("run")).alias("handed"))
+    inside = F.lag("ts").over(Window.partitionBy("market_id", "run").orderBy("seq"))
+    return rows.withColumn("inside", inside).join(handed, ["market_id", "run"]).withColumn("before", F.coalesce("inside", "handed")).drop("run", "inside", "handed")
+
+
 def tape_quality(tape: DataFrame, manifest: DataFrame) -> DataFrame:
     """(market_id, check, violations) of each violated check of a tape against its manifest (market_id, rows, start, end).
 
     Order of time; times inside the observation bounds [start, end]; prices there and in [0, 1]; sizes there, finite
     and above 0; sides 0 to 3; wallets there; the two prices' relation, to 1e-12; and the number of rows.
     """
-    by = Window.partitionBy("market_id").orderBy("seq")
-    rows = tape.withColumn("before", F.lag("ts").over(by)).join(manifest.select("market_id", "start", "end"), "market_id", "left")
+    rows = _with_previous(tape).join(manifest.select("market_id", "start", "end"), "market_id", "left")
     mapped = F.when(F.col("side").isin(0, 2), F.col("yes_price")).otherwise(1 - F.col("yes_price"))
 
     def fails(good: Column) -> Column:
@@ -244,13 +257,18 @@ def tape_quality(tape: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def coverage_stats(tape: DataFrame, markets: DataFrame, settlements: DataFrame, sizes: list[int], start: int, end: int) -> DataFrame:
-    """One row a cohort (the largest n markets, for each n; markets: market_id, rank, category, close_at, created_at): markets, with prints, prints, in the window, settlements, categories, created before it."""
+    """One row a cohort (the largest n markets, for each n): markets, with prints, prints, in the window, with prints there, settlements, distinct events, created before it.
+
+    markets: market_id, rank, events (array of ids), created_at.
+    """
     cohorts = F.explode(F.array_compact(F.array(*[F.when(F.col("rank") <= n, F.lit(n)) for n in sizes])))
-    m = markets.select("market_id", "category", (F.col("created_at") < start).alias("early"), cohorts.alias("cohort"))
+    m = markets.select("market_id", "events", (F.col("created_at") < start).alias("early"), cohorts.alias("cohort"))
     per = tape.groupBy("market_id").agg(F.count("*").alias("prints"), F.count_if(F.col("ts").between(start, end)).alias("in_window"))
     settled = settlements.groupBy("market_id").agg(F.count("*").alias("settlements"))
     rows = m.join(per, "market_id", "left").join(settled, "market_id", "left").fillna(0, ["prints", "in_window", "settlements"])
-    return rows.groupBy("cohort").agg(F.count("*").alias("markets"), F.count_if(F.col("prints") > 0).alias("with_prints"), F.sum("prints").alias("prints"), F.sum("in_window").alias("in_window"), F.sum("settlements").alias("settlements"), F.countDistinct("category").alias("categories"), F.count_if("early").alias("created_before"))
+    out = rows.groupBy("cohort").agg(F.count("*").alias("markets"), F.count_if(F.col("prints") > 0).alias("with_prints"), F.sum("prints").alias("prints"), F.sum("in_window").alias("in_window"), F.count_if(F.col("in_window") > 0).alias("with_window_prints"), F.sum("settlements").alias("settlements"), F.count_if("early").alias("created_before"))
+    events = m.select("cohort", F.explode("events").alias("event")).groupBy("cohort").agg(F.countDistinct("event").alias("events"))
+    return out.join(events, "cohort", "left").fillna(0, ["events"])
 
 
 def market_payouts(markets: DataFrame, raw: DataFrame, tape: DataFrame) -> DataFrame:
@@ -283,7 +301,10 @@ def coalesce_metadata(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def timeline(tape: DataFrame, labels: DataFrame, tie: str = "resolution_first", start: int | None = None, end: int | None = None) -> DataFrame:
-    """(ts, kind, market_id, seq, position): trades and resolutions as events; position orders the events of a second: kind by tie, then market and seq."""
+    """(ts, kind, market_id, seq, position): trades and resolutions as one ordered table; position, from 1, is by time, then kind by tie, market and seq.
+
+    Positions are counted inside a minute, after the minutes of its day before, after the days before, so no task orders more than a minute's events.
+    """
     if tie not in ("resolution_first", "trade_first"):
         raise ValueError(f"tie {tie!r} is not resolution_first or trade_first")
     first = tie == "resolution_first"
@@ -294,4 +315,13 @@ def timeline(tape: DataFrame, labels: DataFrame, tie: str = "resolution_first",
         rows = rows.where(F.col("ts") >= start)
     if end is not None:
         rows = rows.where(F.col("ts") <= end)
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("ts").orderBy("k", "market_id", "seq"))).drop("k")
+    rows = rows.withColumns({"minute": F.floor(F.col("ts") / 60), "day": F.floor(F.col("ts") / 86400)})
+
+    def before(order: str, by: list[str]) -> Column:
+        return F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    minutes = rows.groupBy("day", "minute").agg(F.count("*").alias("n"))
+    days = minutes.groupBy("day").agg(F.sum("n").alias("n")).select("day", before("day", []).alias("of_days"))
+    starts = minutes.select("day", "minute", before("minute", ["day"]).alias("of_minutes")).join(days, "day").select("minute", (F.col("of_days") + F.col("of_minutes")).alias("earlier"))
+    placed = rows.withColumn("nth", F.row_number().over(Window.partitionBy("minute").orderBy("ts", "k", "market_id", "seq"))).join(starts, "minute")
+    return placed.select("ts", "kind", "market_id", "seq", (F.col("earlier") + F.col("nth")).alias("position"))

@@ -455,3 +455,38 @@ def test_running_sums_over_days_equal_one_window(spark):
     got = running(df, ["g"], "ts", ["ts", "seq"], {"s": F.col("x"), "n": F.lit(1)}, {"m": F.col("x")}).select("seq", "s", "n", "m")
     want = df.select("seq", F.sum("x").over(w).alias("s"), F.count("*").over(w).alias("n"), F.max("x").over(w).alias("m"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_missing_lower_gate_fails(spark):
+    rules = spark.createDataFrame([("lo", "f", 1.0, False), ("hi", "f", 2.0, False), ("roll", "f", 2.0, True)], "rule string, family string, min_notional double, rolling boolean")
+    gates = spark.createDataFrame([(1, "lo", 10, 5.0, 5.0), (1, "hi", 20, 5.0, 4.0), (2, "hi", 20, 3.0, 4.0), (3, "lo", 30, 1.0, 1.0), (3, "hi", 20, 1.0, 1.0), (3, "roll", 20, 1.0, 1.0), (4, "roll", 9, 1.0, 1.0)], "market_id long, rule string, time long, cumulative_notional double, recent_notional double")
+    out = {(r.check, r.market_id, r.rule): r.ok for r in audit.gate_monotonicity(gates, rules).collect()}
+    assert {k: v for k, v in out.items() if k[0] != "dollars"} == {("threshold", 1, "hi"): True, ("threshold", 2, "hi"): False, ("threshold", 3, "hi"): False, ("mode", 3, "roll"): True, ("mode", 4, "roll"): False}
+    assert [k for k, v in out.items() if k[0] == "dollars" and not v] == [("dollars", 2, "hi")]
+
+
+def test_the_timeline_has_one_order(spark):
+    t = tape(spark, [(m, 1, 30 * i // 7 * 50, 0, 1.0, 0.5, 0.5, i) for m in (1, 2) for i in range(300)])
+    labels = spark.createDataFrame([(1, 1.0, 99, 100), (2, None, 9, 9)], LABELS)
+    rows = sorted((r.position, r.ts, r.kind != "resolution", r.market_id, r.seq) for r in cleaning.timeline(t, labels).collect())
+    assert [r[0] for r in rows] == list(range(1, 602)) and [r[1:] for r in rows] == sorted(r[1:] for r in rows)
+
+
+def test_order_of_prints_is_checked_over_runs(spark, monkeypatch):
+    monkeypatch.setattr(cleaning, "RUN_LOG2", 2)
+    t = tape(spark, [(1, 1, ts, 0, 1.0, 0.5, 0.5, seq) for seq, ts in zip([1, 2, 3, 4, 5, 17, 18], [10, 11, 12, 11, 13, 12, 12], strict=True)])
+    manifest = spark.createDataFrame([(1, 7, 0, 99)], "market_id long, rows long, start long, end long")
+    assert [(r.check, r.violations) for r in cleaning.tape_quality(t, manifest).collect()] == [("order", 2)]
+
+
+def test_exposure_counts_waiting_orders(spark):
+    made = [("c", 1, 10, 50.0, "stable"), ("c", 2, 20, 30.0, "stable"), ("c", 3, 40, 10.0, "stable"), ("c", 4, 60, 10.0, "stable"), ("d", 3, 40, 10.0, "stable")]
+    o = spark.createDataFrame(made, "case string, market_id long, ts long, stake double, bucket string")
+    pairs = spark.createDataFrame([(a, b, 0.9 if abs(a - b) < 4 else 0.1) for a in range(1, 5) for b in range(1, 5) if a != b], "target long, other long, cosine double")
+    positions = spark.createDataFrame([("c", 1, 20.0, 15, 50)], "case string, market_id long, notional double, opened_at long, resolved_at long")
+    ends = spark.createDataFrame([("c", 1, 20.0, 30), ("c", 2, 0.0, 35), ("c", 3, 0.0, None), ("c", 4, 0.0, None)], "case string, market_id long, filled double, done_at long")
+    got = {(r["case"], r.market_id): r.exposure for r in execution.semantic_cluster_exposure(o, positions, pairs, 0.5, ends).collect()}
+    # 2 sees the 50 of 1; 3 the 20 that were filled, 2 having expired; 4 what 3 waits for, 1 being settled
+    assert got == {("c", 1): 0.0, ("c", 2): 50.0, ("c", 3): 20.0, ("c", 4): 10.0, ("d", 3): 0.0}
+    held = {(r["case"], r.market_id): r.exposure for r in execution.semantic_cluster_exposure(o, positions, pairs, 0.5).collect()}
+    assert held["c", 2] == 20.0 and held["c", 4] == 0.0
