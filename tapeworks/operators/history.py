@@ -36,6 +36,11 @@ def admitted(tape: DataFrame, admissions: DataFrame, labels: DataFrame) -> DataF
     return tape.join(gates, "market_id").where((F.col("ts") >= F.col("admitted_at")) & (F.col("ts") < F.col("event_at")))
 
 
+def gated_admissions(admissions: DataFrame, activations: DataFrame) -> DataFrame:
+    """(market_id, rule, admitted_at): admission by a rule's activation, never earlier than by volume; a market that either lacks has none."""
+    return activations.select("market_id", "rule", "time").join(admissions.select("market_id", "admitted_at"), "market_id").select("market_id", "rule", F.greatest("admitted_at", "time").alias("admitted_at"))
+
+
 def history_variants(tape: DataFrame, admissions: DataFrame, labels: DataFrame) -> DataFrame:
     """Admitted prints with a column variant, once for each variant to which they belong."""
     rows = running(admitted(tape, admissions, labels), ["market_id"], "ts", ["ts", "seq"], {"nth": F.lit(1)})

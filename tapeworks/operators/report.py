@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.columns import period_label
+from tapeworks.operators.quantiles import exact_percentiles, ranked_values
 
 
 def position_metrics(positions: DataFrame) -> DataFrame:
@@ -23,11 +24,12 @@ def position_metrics(positions: DataFrame) -> DataFrame:
 
 
 def case_summary(fills: DataFrame, positions: DataFrame, equity: DataFrame, initial: float) -> DataFrame:
-    """One row a case: counts, profit factor, returns, expected shortfall of the worst 5 %, fees, net result, drawdown."""
+    """One row a case: counts, profit factor, returns, expected shortfall of the worst 5 %, fees, net result, drawdown.
+
+    The median and the tail's border are found by selection (`quantiles`), so a case of very many positions is not sorted in one task.
+    """
     settled = positions.where("pnl is not null").withColumn("ret", F.col("pnl") / F.col("notional"))
-    n = F.count("*").over(Window.partitionBy("case"))
-    ranked = settled.withColumns({"rank": F.row_number().over(Window.partitionBy("case").orderBy("pnl", "market_id")), "tail": F.ceil(0.05 * n)})
-    by_case = ranked.groupBy("case").agg(
+    by_case = settled.groupBy("case").agg(
         F.count("*").alias("closed_positions"),
         (F.count_if(F.col("pnl") > 0) / F.count("*")).alias("win_rate"),
         F.count_if(F.col("pnl") < 0).alias("losses"),
@@ -35,12 +37,15 @@ def case_summary(fills: DataFrame, positions: DataFrame, equity: DataFrame, init
         F.coalesce(F.sum(F.when(F.col("pnl") > 0, F.col("pnl"))), F.lit(0.0)).alias("gross_profit"),
         F.coalesce(-F.sum(F.when(F.col("pnl") < 0, F.col("pnl"))), F.lit(0.0)).alias("gross_loss"),
         F.avg("ret").alias("mean_return"),
-        F.median("ret").alias("median_return"),
         F.min("pnl").alias("worst_pnl"),
         F.min("ret").alias("worst_return"),
-        F.avg(F.when(F.col("rank") <= F.col("tail"), F.col("pnl"))).alias("expected_shortfall"),
         F.max("notional").alias("largest_notional"),
     )
+    tail = F.ceil(F.col("n") * 0.05)
+    border = ranked_values(settled, ["case"], "pnl", {"border": lambda n: F.ceil(n * 0.05) - 1}).withColumn("tail", tail)
+    under = settled.join(border, "case").groupBy("case", "tail", "border").agg(F.coalesce(F.sum(F.when(F.col("pnl") < F.col("border"), F.col("pnl"))), F.lit(0.0)).alias("s"), F.count_if(F.col("pnl") < F.col("border")).alias("k"))
+    shortfall = under.select("case", ((F.col("s") + (F.col("tail") - F.col("k")) * F.col("border")) / F.col("tail")).alias("expected_shortfall"))
+    by_case = by_case.join(exact_percentiles(settled, ["case"], "ret", {"median_return": 0.5}), "case", "left").join(shortfall, "case", "left")
     paid = fills.groupBy("case").agg(F.count("*").alias("fills"), F.sum("fee").alias("fees"))
     last = equity.groupBy("case").agg(F.max_by("equity", "day").alias("final_equity"))
     out = paid.join(by_case, "case", "left").join(last, "case", "left").join(drawdown(equity).groupBy("case").agg(F.min("drawdown").alias("max_drawdown")), "case", "left")
@@ -110,7 +115,7 @@ def period_results(fills: DataFrame, positions: DataFrame, equity: DataFrame, in
     f = grouped(paid, F.sum("fee").alias("fees"))
     key = ["case", "grain", "period"]
     out = e.join(c, key, "left").join(f, key, "left").fillna(0, ["closed", "wins", "pnl", "closed_notional", "fees", "worst"])
-    return out.select(*key, "start_equity", "end_equity", (F.col("end_equity") / F.col("start_equity") - 1).alias("period_return"), "closed", "wins", F.when(F.col("closed") > 0, F.col("wins") / F.col("closed")).alias("win_rate"), "pnl", "fees", (F.col("pnl") - F.col("fees")).alias("net_pnl"), "worst")
+    return out.select(*key, "start_equity", "end_equity", (F.col("end_equity") / F.col("start_equity") - 1).alias("period_return"), "closed", "wins", F.when(F.col("closed") > 0, F.col("wins") / F.col("closed")).alias("win_rate"), "pnl", "fees", (F.col("pnl") - F.col("fees")).alias("net_pnl"), "closed_notional", "worst")
 
 
 def execution_diagnostics(orders: DataFrame, fills: DataFrame, tolerance: float = 1e-8) -> DataFrame:
@@ -126,17 +131,16 @@ def execution_diagnostics(orders: DataFrame, fills: DataFrame, tolerance: float
         F.count_if(~some).alias("unfilled"),
         F.sum("stake").alias("requested"),
         F.sum("filled").alias("filled"),
-        F.percentile("children", F.lit(0.5)).alias("median_children"),
-        F.percentile("seconds", F.lit(0.5)).alias("median_seconds"),
-        F.percentile("seconds", F.lit(0.9)).alias("p90_seconds"),
-    )
-    each = fills.groupBy("case").agg(
-        F.percentile(F.col("quantity") / F.col("source_size"), F.lit(0.5)).alias("median_participation"),
-        F.percentile(F.col("quantity") / F.col("source_size"), F.lit(0.9)).alias("p90_participation"),
-        F.percentile(10000 * (F.col("fill_price") / F.col("signal_price") - 1), F.lit(0.5)).alias("median_drift_bps"),
-        F.percentile(10000 * (F.col("fill_price") / F.col("signal_price") - 1), F.lit(0.9)).alias("p90_drift_bps"),
     )
-    return counts.join(each, "case", "left").withColumn("fill_ratio", F.when(F.col("requested") > 0, F.col("filled") / F.col("requested")))
+    each = fills.select("case", (F.col("quantity") / F.col("source_size")).alias("participation"), (10000 * (F.col("fill_price") / F.col("signal_price") - 1)).alias("drift"))
+    parts = [
+        exact_percentiles(o, ["case"], "children", {"median_children": 0.5}),
+        exact_percentiles(o, ["case"], "seconds", {"median_seconds": 0.5, "p90_seconds": 0.9}),
+        exact_percentiles(each, ["case"], "participation", {"median_participation": 0.5, "p90_participation": 0.9}),
+        exact_percentiles(each, ["case"], "drift", {"median_drift_bps": 0.5, "p90_drift_bps": 0.9}),
+    ]
+    out = reduce(lambda x, y: x.join(y, "case", "left"), parts, counts)
+    return out.withColumn("fill_ratio", F.when(F.col("requested") > 0, F.col("filled") / F.col("requested")))
 
 
 def bucket_win_rates(positions: DataFrame, orders: DataFrame) -> DataFrame:
@@ -146,10 +150,14 @@ def bucket_win_rates(positions: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def pnl_tail(positions: DataFrame, k: int) -> DataFrame:
-    """(case, rank, market_id, pnl, winners, losers): the k worst settled positions of each case."""
-    by = Window.partitionBy("case")
-    rows = positions.where("pnl is not null").withColumns({"rank": F.row_number().over(by.orderBy("pnl", "market_id")), "winners": F.count_if(F.col("pnl") > 0).over(by), "losers": F.count_if(F.col("pnl") < 0).over(by)})
-    return rows.where(F.col("rank") <= k).select("case", "rank", "market_id", "pnl", "winners", "losers")
+    """(case, rank, market_id, pnl, winners, losers): the k worst settled positions of each case.
+
+    Ranks stand alone in their window, so that a task keeps k rows of a case before the shuffle; the counts are an aggregation of their own.
+    """
+    rows = positions.where("pnl is not null").select("case", "market_id", "pnl")
+    worst = rows.withColumn("rank", F.row_number().over(Window.partitionBy("case").orderBy("pnl", "market_id"))).where(F.col("rank") <= k)
+    counts = rows.groupBy("case").agg(F.count_if(F.col("pnl") > 0).alias("winners"), F.count_if(F.col("pnl") < 0).alias("losers"))
+    return worst.join(counts, "case").select("case", "rank", "market_id", "pnl", "winners", "losers")
 
 
 def support_stats(fills: DataFrame, orders: DataFrame, signals: DataFrame, positions: DataFrame, markets: DataFrame, top: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,6 +77,14 @@ add(
     "quantity:4",
 )
 add("O02_write_case_outputs", _write_outputs, 'SELECT "case", market_id, seq, direction, bucket FROM orders_')
+def _bucketed(v: View) -> DataFrame:
+    """The gated tape from one that is stored in buckets by market, with its manifest."""
+    name = f"tape_{uuid.uuid4().hex}"
+    manifest = tape.write_bucketed(v.tape, name, shared_dir(v.spark), 16)
+    return bars.gate_tape(tape.bucketed(v.spark, name), v.gate, v.labels).select("market_id", "seq", "ts", "size").join(manifest.select("market_id", "rows", "last_seq"), "market_id")
+
+
+add("O02_bucketed_tape", _bucketed, "SELECT g.market_id, seq, ts, size, rows, last_seq FROM gated g JOIN (SELECT market_id, count(*) AS rows, max(seq) AS last_seq FROM tape GROUP BY ALL) m ON g.market_id = m.market_id")
 add(
     "O03_normalize_markets",
     lambda v: v.clean_markets.select("market_id", "question", F.unix_seconds("created_at").alias("created_at"), F.unix_seconds("close_time").alias("close_time"), F.unix_millis("resolved_at").alias("resolved_at"), "resolution", "volume", "active", F.get("outcome_labels", F.lit(0)).alias("label0"), F.get("clob_token_ids", F.lit(1)).alias("token1")),
@@ -301,6 +310,16 @@ add(
     "score:6 notional:4",
     (_VARIANTS,),
 )
+add(
+    "O37_gated_history",
+    lambda v: history.settlements(history.history_variants(v.tape, history.gated_admissions(v.admissions, v.activations.where("rule = 'cum300'")), v.labels), v.labels, by=("variant",)),
+    """SELECT variant, wallet, market_id, greatest(-1, least(1, (shares * payout_yes - paid) / notional)) AS score, notional, settled_at FROM (
+      SELECT v AS variant, wallet, t.market_id, sum(CASE WHEN side IN (0, 3) THEN size ELSE -size END) AS shares, sum(CASE WHEN side IN (0, 3) THEN size ELSE -size END * yes_price) AS paid, sum(size * token_price) AS notional, any_value(payout_yes) AS payout_yes, any_value(label_available_at) AS settled_at
+      FROM (SELECT t.*, event_at, payout_yes, label_available_at, row_number() OVER (PARTITION BY t.market_id ORDER BY ts DESC, seq DESC) AS back FROM tape t JOIN admissions a ON t.market_id = a.market_id JOIN activations g ON g.market_id = t.market_id AND rule = 'cum300' JOIN markets m ON t.market_id = m.market_id WHERE ts >= greatest(admitted_at, time) AND ts < event_at) t,
+        (VALUES ('all', 1000000000, 1000000), ('last_500', 500, 1000000), ('last_1000', 1000, 1000000), ('last_2000', 2000, 1000000), ('days_7', 1000000000, 7), ('days_28', 1000000000, 28)) AS x(v, n, d)
+      WHERE back <= n AND ts >= event_at - CAST(d AS BIGINT) * 86400 GROUP BY ALL)""",
+    "score:6 notional:4",
+)
 add(
     "O38_thin_tape",
     lambda v: bars.thin_tape(v.tape, v.gate).select("market_id", "seq", "ts", "active"),
@@ -455,13 +474,13 @@ add(
     ("""rets AS (SELECT "case", market_id, pnl / notional AS ret FROM positions WHERE pnl IS NOT NULL AND notional > 0)""",),
 )
 _PERIODS = " UNION ALL ".join(
-    f"""SELECT e."case", '{g}' AS grain, e.period, coalesce(lag(end_equity) OVER (PARTITION BY e."case" ORDER BY e.period), {INITIAL}) AS start_equity, end_equity, coalesce(closed, 0) AS closed, coalesce(wins, 0) AS wins, coalesce(pnl, 0) AS pnl, coalesce(fees, 0) AS fees, coalesce(worst, 0) AS worst
+    f"""SELECT e."case", '{g}' AS grain, e.period, coalesce(lag(end_equity) OVER (PARTITION BY e."case" ORDER BY e.period), {INITIAL}) AS start_equity, end_equity, coalesce(closed, 0) AS closed, coalesce(wins, 0) AS wins, coalesce(pnl, 0) AS pnl, coalesce(fees, 0) AS fees, coalesce(closed_notional, 0) AS closed_notional, coalesce(worst, 0) AS worst
     FROM (SELECT "case", {p.format("day * 86400")} AS period, arg_max(equity, day) AS end_equity FROM equity GROUP BY ALL) e
-    LEFT JOIN (SELECT "case", {p.format("resolved_at")} AS period, count(*) AS closed, count(*) FILTER (pnl > 0) AS wins, sum(pnl) AS pnl, min(pnl) AS worst FROM positions WHERE pnl IS NOT NULL GROUP BY ALL) c ON e."case" = c."case" AND e.period = c.period
+    LEFT JOIN (SELECT "case", {p.format("resolved_at")} AS period, count(*) AS closed, count(*) FILTER (pnl > 0) AS wins, sum(pnl) AS pnl, sum(notional) AS closed_notional, min(pnl) AS worst FROM positions WHERE pnl IS NOT NULL GROUP BY ALL) c ON e."case" = c."case" AND e.period = c.period
     LEFT JOIN (SELECT "case", {p.format("filled_at")} AS period, sum(fee) AS fees FROM fills GROUP BY ALL) f ON e."case" = f."case" AND e.period = f.period"""
     for g, p in (("year", "strftime(make_timestamp(({}) * 1000000), '%Y')"), ("quarter", "strftime(make_timestamp(({0}) * 1000000), '%Y') || 'Q' || quarter(make_timestamp(({0}) * 1000000))"), ("month", "strftime(make_timestamp(({}) * 1000000), '%Y-%m')"))
 )
-add("O31_period_results", lambda v: report.period_results(v.fills, v.positions, v.equity, INITIAL), f'SELECT "case", grain, period, start_equity, end_equity, end_equity / start_equity - 1 AS period_return, closed, wins, CASE WHEN closed > 0 THEN wins / closed END AS win_rate, pnl, fees, pnl - fees AS net_pnl, worst FROM ({_PERIODS})', "start_equity:5 end_equity:5 period_return:6 win_rate:6 pnl:5 fees:4 net_pnl:5 worst:5")
+add("O31_period_results", lambda v: report.period_results(v.fills, v.positions, v.equity, INITIAL), f'SELECT "case", grain, period, start_equity, end_equity, end_equity / start_equity - 1 AS period_return, closed, wins, CASE WHEN closed > 0 THEN wins / closed END AS win_rate, pnl, fees, pnl - fees AS net_pnl, closed_notional, worst FROM ({_PERIODS})', "start_equity:5 end_equity:5 closed_notional:5 period_return:6 win_rate:6 pnl:5 fees:4 net_pnl:5 worst:5")
 _DIAGNOSTICS = """diagnostics AS (
   SELECT o."case", orders, with_fill, "full", partial, unfilled, requested, filled, median_children, median_seconds, p90_seconds, median_participation, p90_participation, median_drift_bps, p90_drift_bps, filled / requested AS fill_ratio FROM (
     SELECT o."case", count(*) AS orders, count(*) FILTER (f > 1e-8) AS with_fill, count(*) FILTER (f >= stake - 1e-8) AS "full", count(*) FILTER (f > 1e-8 AND f < stake - 1e-8) AS partial, count(*) FILTER (f <= 1e-8) AS unfilled, sum(stake) AS requested, sum(f) AS filled,

@@ -53,6 +53,30 @@ def inventory(inputs: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def write_bucketed(tape: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Stores a tape as a table in buckets by market, each sorted by market and seq, and its manifest beside it; the manifest is returned.
+
+    Joins and aggregations by market of tables with as many buckets then need no shuffle of the
+    tape (`bucketed` reads one). A market lies in one bucket, so this is for tapes whose hottest market fits a
+    task; others keep the plain layout, whose joins adaptive execution splits. The manifest has
+    market_id, bucket, rows, first_ts, last_ts, first_seq and last_seq. Never over an old table.
+    """
+    path = path.rstrip("/")
+    # a task writes whole buckets: the shuffle's hash is that of the buckets
+    dealt = tape.repartition(buckets, "market_id")
+    dealt.write.mode("errorifexists").format("parquet").bucketBy(buckets, "market_id").sortBy("market_id", "seq").option("path", f"{path}/tape").saveAsTable(table)
+    stored = tape.sparkSession.table(table)
+    bucket = F.pmod(F.hash("market_id"), F.lit(buckets)).alias("bucket")
+    manifest = stored.groupBy("market_id").agg(F.count("*").alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    manifest.select("market_id", bucket, "rows", "first_ts", "last_ts", "first_seq", "last_seq").write.mode("errorifexists").parquet(f"{path}/manifest")
+    return tape.sparkSession.read.parquet(f"{path}/manifest")
+
+
+def bucketed(spark: SparkSession, table: str) -> DataFrame:
+    """A tape that `write_bucketed` stored. Joins on more columns than the market use its buckets if spark.sql.requireAllClusterKeysForCoPartition is false."""
+    return spark.table(table)
+
+
 def write_case_outputs(df: DataFrame, path: str, name: str, kind: str = "parquet") -> str:
     """Writes a result table below path, in a folder for each case; never over an old one."""
     to = f"{path.rstrip('/')}/{name}"

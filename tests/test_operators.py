@@ -490,3 +490,55 @@ def test_exposure_counts_waiting_orders(spark):
     assert got == {("c", 1): 0.0, ("c", 2): 50.0, ("c", 3): 20.0, ("c", 4): 10.0, ("d", 3): 0.0}
     held = {(r["case"], r.market_id): r.exposure for r in execution.semantic_cluster_exposure(o, positions, pairs, 0.5).collect()}
     assert held["c", 2] == 20.0 and held["c", 4] == 0.0
+
+
+def test_order_statistics_equal_sorting(spark):
+    from tapeworks.operators.quantiles import exact_percentiles, ranked_values
+
+    rnd = random.Random(9)
+    groups = {"a": [rnd.gauss(0, 1e-7) for _ in range(301)], "b": [rnd.choice([-1.5, 0.0, 0.0, 3.25]) for _ in range(200)], "c": [7.0], "d": [10.0 ** rnd.uniform(-9, 12) * rnd.choice([1, -1]) for _ in range(400)]}
+    df = spark.createDataFrame([(g, x) for g, v in groups.items() for x in [*v, None]], "g string, v double")
+    got = {r.g: r for r in ranked_values(df, ["g"], "v", {"first": lambda n: F.lit(0), "tail": lambda n: F.ceil(n * 0.05) - 1, "last": lambda n: n - 1}).collect()}
+    shares = {r.g: r for r in exact_percentiles(df, ["g"], "v", {"p50": 0.5, "p90": 0.9}).collect()}
+    for g, v in groups.items():
+        o = sorted(v)
+        assert (got[g].n, got[g].first, got[g].tail, got[g].last) == (len(o), o[0], o[-(-len(o) // 20) - 1], o[-1])
+        assert np.allclose([shares[g].p50, shares[g].p90], np.quantile(o, [0.5, 0.9]), rtol=1e-12, atol=0)
+
+
+def test_a_bucketed_tape_is_not_shuffled(spark, tmp_path):
+    spark.sql("DROP TABLE IF EXISTS buckets_of_a_test")
+    t = tape(spark, [(m, 1, 10 * i, 0, 1.0, 0.5, 0.5, i) for m in range(20) for i in range(30)])
+    manifest = archive.write_bucketed(t, "buckets_of_a_test", str(tmp_path), 4)
+    assert {(r.market_id, r.rows, r.last_seq) for r in manifest.collect()} == {(m, 30, 29) for m in range(20)}
+    stored = archive.bucketed(spark, "buckets_of_a_test")
+    gates = spark.createDataFrame([(m, "r", 100) for m in range(0, 20, 2)], "market_id long, rule string, time long")
+    labels = spark.createDataFrame([(m, 1.0, 199, 200) for m in range(20)], LABELS)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.requireAllClusterKeysForCoPartition")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        gated = bars.gate_tape(stored, gates, labels)
+        fills = gates.select("market_id", F.lit(100).cast("long").alias("filled_at"))
+        audited = fills.join(stored.withColumnRenamed("ts", "filled_at"), ["market_id", "filled_at"])
+        for df in (gated, audited):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            tape_side = plan[: plan.index("buckets_of_a_test")].splitlines()
+            depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+            above, level = [], depth(tape_side[-1]) + 1
+            for line in reversed(tape_side):  # the operators that stand over the scan
+                if depth(line) < level:
+                    level = depth(line)
+                    above.append(line)
+            assert not any("Exchange" in x for x in above[: next(i for i, x in enumerate(above) if "Join" in x)])
+        assert gated.count() == 10 * 10
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+        spark.sql("DROP TABLE buckets_of_a_test")
+
+
+def test_admission_by_a_rule_is_never_earlier_than_by_volume(spark):
+    admissions = spark.createDataFrame([(1, 50, 1.0), (2, 50, 1.0), (3, 50, 1.0)], "market_id long, admitted_at long, cumulative double")
+    gates = spark.createDataFrame([(1, "r", 40), (2, "r", 60), (4, "r", 60)], "market_id long, rule string, time long")
+    assert {(r.market_id, r.admitted_at) for r in history.gated_admissions(admissions, gates).collect()} == {(1, 50), (2, 60)}
