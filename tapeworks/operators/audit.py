@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions.columns import price_for, trade_direction
 from tapeworks.operators.running import running
+from tapeworks.operators.small import few
 from tapeworks.operators.signal import ConsensusConfig
 
 
@@ -82,7 +83,7 @@ def audit_fills(fills: DataFrame, tape: DataFrame, activations: DataFrame, order
     """
     key = ["case", "market_id", "child"]
     order = orders.select("case", "market_id", "allowed_price", "stake", F.col("seq").alias("signal_seq"), "confidence", F.col("quantity").alias("lot"))
-    rows = fills.join(cases, "case").join(order, ["case", "market_id"], "left").join(activations.select("market_id", "time"), "market_id", "left").join(labels.select("market_id", "label_available_at", "tier"), "market_id", "left")
+    rows = fills.join(few(cases), "case").join(order, ["case", "market_id"], "left").join(activations.select("market_id", "time"), "market_id", "left").join(labels.select("market_id", "label_available_at", "tier"), "market_id", "left")
 
     def paid(yes_price: str) -> Column:
         return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), price_for(F.col("direction"), F.col(yes_price)) * (1 + F.col("slippage_bps") / 10000))), 9)

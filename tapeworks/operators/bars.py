@@ -6,12 +6,16 @@ them, so windows run over bars, whose number per market is bounded by the clock.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.operators.running import running
 
 HOUR = 3600
+#: Rules of one aggregation.
+RULES = 32
 
 
 def hourly_bars(tape: DataFrame) -> DataFrame:
@@ -72,18 +76,38 @@ def activation(rolled: DataFrame, markets: DataFrame, rules: DataFrame) -> DataF
     that meets a rule activates the market. The warm-up counts from the second of the first print,
     so observed_hours is a fraction; both ends of the horizon are strict, and a market without a
     close never meets one.
+
+    Rules are settings: the driver reads them, and each is a column of one aggregation by market,
+    `RULES` at a time. Hours are neither multiplied by rules nor shuffled again.
     """
-    bars = rolled.select("market_id", "hour", "first_print", "recent_notional", "recent_prints", "recent_yes_vwap", "cumulative_notional")
-    bars = bars.join(markets.select("market_id", "close_at"), "market_id").crossJoin(rules)
+    settings = [r.asDict() for r in rules.collect()]
     time = (F.col("hour") + 1) * HOUR
-    dollars = F.when(F.col("rolling"), F.col("recent_notional")).otherwise(F.col("cumulative_notional"))
-    wait = F.col("close_at") - time
-    horizon = F.col("max_days").isNull() | F.coalesce((wait > 0) & (wait < F.col("max_days") * 86400), F.lit(False))
-    conviction = F.greatest(F.col("recent_yes_vwap"), 1 - F.col("recent_yes_vwap"))
-    seen = time - F.col("first_print")
-    met = bars.where((seen >= F.col("warmup_hours") * HOUR) & (F.round(dollars, 4) >= F.col("min_notional")) & (F.col("recent_prints") >= F.col("min_prints")) & (F.round(conviction, 9) >= F.col("min_conviction")) & horizon)
-    row = F.struct("hour", time.alias("time"), "cumulative_notional", "recent_notional", "recent_prints", "recent_yes_vwap", (seen / HOUR).alias("observed_hours"))
-    return met.groupBy("market_id", "rule").agg(F.min(row).alias("r")).select("market_id", "rule", "r.time", "r.cumulative_notional", "r.recent_notional", "r.recent_prints", "r.recent_yes_vwap", "r.observed_hours")
+    bars = rolled.join(markets.select("market_id", "close_at"), "market_id").select(
+        "market_id",
+        time.alias("time"),
+        F.round("recent_notional", 4).alias("recent"),
+        F.round("cumulative_notional", 4).alias("so_far"),
+        F.round(F.greatest(F.col("recent_yes_vwap"), 1 - F.col("recent_yes_vwap")), 9).alias("conviction"),
+        (time - F.col("first_print")).alias("seen"),
+        (F.col("close_at") - time).alias("wait"),
+        "cumulative_notional", "recent_notional", "recent_prints", "recent_yes_vwap",
+    )
+    row = F.struct("time", "cumulative_notional", "recent_notional", "recent_prints", "recent_yes_vwap", (F.col("seen") / HOUR).alias("observed_hours"))
+
+    def met(r: dict) -> Column:
+        horizon = F.lit(True) if r["max_days"] is None else F.coalesce((F.col("wait") > 0) & (F.col("wait") < r["max_days"] * 86400), F.lit(False))
+        dollars = F.col("recent" if r["rolling"] else "so_far")
+        return (F.col("recent_prints") >= r["min_prints"]) & (F.col("seen") >= r["warmup_hours"] * HOUR) & horizon & (dollars >= r["min_notional"]) & (F.col("conviction") >= r["min_conviction"])
+
+    parts = []
+    for a in range(0, len(settings), RULES):
+        some = settings[a : a + RULES]
+        first = bars.groupBy("market_id").agg(*[F.min(F.when(met(r), row)).alias(f"r{i}") for i, r in enumerate(some)])
+        parts.append(first.select("market_id", F.explode(F.array(*[F.struct(F.lit(r["rule"]).alias("rule"), F.col(f"r{i}").alias("r")) for i, r in enumerate(some)])).alias("x")))
+    if not parts:
+        return bars.where("false").select("market_id", F.lit("").alias("rule"), "time", "cumulative_notional", "recent_notional", "recent_prints", "recent_yes_vwap", F.lit(0.0).alias("observed_hours"))
+    found = reduce(DataFrame.unionByName, parts).where("x.r is not null")
+    return found.select("market_id", "x.rule", "x.r.*")
 
 
 def gate_tape(tape: DataFrame, activations: DataFrame, labels: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions.columns import price_for, risk_class, trade_direction
 from tapeworks.operators.running import running
+from tapeworks.operators.small import few
 
 #: Seconds of a price zone.
 ZONE = 3600
@@ -38,7 +39,7 @@ def order_stakes(candidates: DataFrame, account: DataFrame, observed: DataFrame,
     at its price, if all open lottery dollars then stay within their share of cash. Other stakes
     under the least ticket are 0.
     """
-    rows = candidates.join(account, "case").join(cases, "case").join(observed, ["market_id", "seq"], "left")
+    rows = candidates.join(few(account), "case").join(few(cases), "case").join(observed, ["market_id", "seq"], "left")
     left = F.greatest(F.lit(0.0), F.col("equity") * F.col("target_fraction") - F.col("deployed"))
     available = F.greatest(F.lit(0.0), F.col("cash") - F.col("equity") * F.col("buffer_fraction"))
     edge = F.greatest(F.lit(0.0), F.col("confidence") - F.col("price")) * 365 / F.greatest(F.col("wait_days"), F.lit(1e-9))
@@ -74,7 +75,7 @@ def price_zones(tape: DataFrame) -> DataFrame:
 
 def _orders(orders: DataFrame, cases: DataFrame) -> DataFrame:
     """Orders with the settings of their case: o_ columns are the order's; due, until (null: open) and most, the highest price to pay."""
-    o = orders.select(*[F.col(c).alias(f"o_{c}") for c in orders.columns]).join(cases, F.col("o_case") == F.col("case"))
+    o = orders.select(*[F.col(c).alias(f"o_{c}") for c in orders.columns]).join(few(cases), F.col("o_case") == F.col("case"))
     due = F.col("o_ts") + F.col("delay")
     o = o.withColumns({"due": due, "until": due + F.col("expiry"), "o_paid": F.least(F.lit(1.0), F.round(F.col("o_price") * (1 + F.col("slippage_bps") / 10000), 9))})
     drift = F.round(F.col("o_paid") * (1 + F.col("max_drift_bps") / 10000), 9)
@@ -119,20 +120,21 @@ def visited_hours(orders: DataFrame, zones: DataFrame, cases: DataFrame, fits_ne
     o = _orders(orders, cases)
     rows = o.join(zones, F.col("o_market_id") == F.col("market_id"))
     rows = rows.where((F.col("last_ts") >= F.col("due")) & (F.col("until").isNull() | (F.col("first_ts") <= F.col("until")))).where(_wanted())
-    p, q = F.least(_paid("low"), _paid("high")), F.greatest(_paid("low"), _paid("high"))
+    rows = rows.withColumns({"a": _paid("low"), "b": _paid("high")}).withColumns({"p": F.least("a", "b"), "q": F.greatest("a", "b")})
+    p, q = F.col("p"), F.col("q")
     low, high, out = _judge(p, q)
     some_low, some_out = _judge(p)[0], F.coalesce(((F.col("o_bucket") == "stable") & (p <= F.col("stable_floor"))) | ((F.col("o_bucket") == "lottery") & (q >= F.col("lottery_high"))), F.lit(False))
     whole = (F.col("first_ts") >= F.col("due")) & (F.col("first_seq") > F.col("o_seq")) & (F.col("until").isNull() | (F.col("last_ts") <= F.col("until")))
     fits = whole & ~some_low & (q <= F.col("most")) & ~some_out
     ends = whole & (low | (high & ~F.col("wait")) | (~some_low & (q <= F.col("most")) & out))
     key = ["o_case", "o_market_id", "hour"]
-    facts = rows.where(~(high & F.col("wait"))).select(*o.columns, "hour", F.when(fits, F.col("prints")).otherwise(0).alias("n"), F.when(fits, F.col("shares") * p).otherwise(0.0).alias("d"), ends.alias("ends"))
-    hours = facts.groupBy(*key).agg(*[F.first(c).alias(c) for c in o.columns if c not in key], F.sum("n").alias("n"), F.sum("d").alias("d"), F.max("ends").alias("ends"))
+    dollars = F.when(F.col("confirmations") == 1, dollars_needed) if dollars_needed is not None else F.lit(None)
+    facts = rows.where(~(high & F.col("wait"))).select(*key, F.when(fits, F.col("prints")).otherwise(0).alias("n"), F.when(fits, F.col("shares") * p).otherwise(0.0).alias("d"), ends.alias("ends"), fits_needed.cast("long").alias("need_n"), dollars.cast("double").alias("need_d"))
+    hours = facts.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.max("ends").alias("ends"), F.max("need_n").alias("need_n"), F.max("need_d").alias("need_d"))
     before = Window.partitionBy("o_case", "o_market_id").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    enough = F.coalesce(F.max("ends").over(before), F.lit(False)) | (F.coalesce(F.sum("n").over(before), F.lit(0)) >= fits_needed)
-    if dollars_needed is not None:
-        enough = enough | F.coalesce((F.col("confirmations") == 1) & (F.coalesce(F.sum("d").over(before), F.lit(0.0)) >= dollars_needed), F.lit(False))
-    return hours.withColumn("enough", enough).where(~F.col("enough")).select(*o.columns, "hour")
+    enough = F.coalesce(F.max("ends").over(before), F.lit(False)) | (F.coalesce(F.sum("n").over(before), F.lit(0)) >= F.col("need_n")) | F.coalesce(F.coalesce(F.sum("d").over(before), F.lit(0.0)) >= F.col("need_d"), F.lit(False))
+    left = hours.withColumn("enough", enough).where(~F.col("enough")).select(*key)
+    return o.join(left, ["o_case", "o_market_id"])
 
 
 def _due(orders: DataFrame, tape: DataFrame, cases: DataFrame, zones: DataFrame | None, fits_needed: Column, dollars_needed: Column | None = None) -> DataFrame:
@@ -248,7 +250,7 @@ def daily_marks(fills: DataFrame, positions: DataFrame, tape: DataFrame, initial
 
 def cost_stress(fills: DataFrame, positions: DataFrame, grid: DataFrame) -> DataFrame:
     """(case, slippage_bps, fee_bps, positions, notional, fees, pnl): the same quantities at worse prices and other fees; settled positions only."""
-    cells = fills.crossJoin(grid.select(F.col("slippage_bps").alias("slip"), F.col("fee_bps").alias("bps")))
+    cells = fills.crossJoin(few(grid.select(F.col("slippage_bps").alias("slip"), F.col("fee_bps").alias("bps"))))
     price = F.least(F.lit(1.0), F.col("fill_price") * (1 + F.col("slip") / 10000))
     cost = F.col("quantity") * price
     per = cells.groupBy("case", "market_id", "slip", "bps").agg(F.sum(cost).alias("notional"), F.sum(cost * F.col("bps") / 10000).alias("fees"))
@@ -261,7 +263,7 @@ def case_grid(base: DataFrame, **values: list) -> DataFrame:
     out = base
     for name, options in values.items():
         kind = base.schema[name].dataType
-        out = out.drop(name).crossJoin(base.sparkSession.createDataFrame([(v,) for v in options], f"{name} {kind.simpleString()}"))
+        out = out.drop(name).crossJoin(few(base.sparkSession.createDataFrame([(v,) for v in options], f"{name} {kind.simpleString()}")))
         out = out.withColumn("case", F.concat_ws("/", "case", F.concat(F.lit(f"{name}="), F.col(name).cast("string"))))
     return out.select(*base.columns)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions.columns import period_label
 from tapeworks.operators.quantiles import exact_percentiles, ranked_values
+from tapeworks.operators.small import few
 
 
 def position_metrics(positions: DataFrame) -> DataFrame:
@@ -184,7 +185,7 @@ def equity_daily(curve: DataFrame, fills: DataFrame | None = None) -> DataFrame:
 
 def sensitivity_table(summaries: DataFrame, grid: DataFrame) -> DataFrame:
     """(parameter, value, is_primary, return_pct, drawdown_pct, profit_factor) for grid rows (case, parameter, value, is_primary)."""
-    rows = summaries.join(grid, "case")
+    rows = summaries.join(few(grid), "case")
     return rows.select("parameter", "value", "is_primary", (100 * F.col("total_return")).alias("return_pct"), (100 * F.col("max_drawdown")).alias("drawdown_pct"), "profit_factor")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions.columns import price_for
 from tapeworks.operators.running import running
+from tapeworks.operators.small import few
 
 
 @dataclass(frozen=True)
@@ -308,7 +309,7 @@ def entry_candidates(signals: DataFrame, markets: DataFrame, cases: DataFrame) -
     min_edge, consensus, high_confidence, price_low, price_high, stable_floor, lottery_low,
     lottery_high, min_days, max_days, planning_days (null: days to the scheduled close).
     """
-    rows = signals.where("should_trade and direction is not null").join(markets.select("market_id", "close_at", "question"), "market_id").crossJoin(cases)
+    rows = signals.where("should_trade and direction is not null").join(markets.select("market_id", "close_at", "question"), "market_id").crossJoin(few(cases))
     rows = rows.withColumn("price", price_for(F.col("direction"), F.col("yes_price")))
     share = (F.greatest(F.col("consensus"), F.least(F.col("high_confidence"), F.col("confidence"))) - F.col("consensus")) / (F.col("high_confidence") - F.col("consensus"))
     ramp = F.when(F.col("high_confidence") <= F.col("consensus"), F.col("price_low")).otherwise(F.col("price_low") + share * (F.col("price_high") - F.col("price_low")))
