@@ -102,6 +102,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
 
     most = parts.groupBy(F.col("number").alias("party")).agg(F.sum(F.col("blocks") * cap).alias("most"))
     first = sources.select(F.lit(0).alias("g"), F.col("number").alias("party"), F.col("target").alias("votes")).join(most, "party")
+    first = scratch(first, "first")  # a table: a constant group would turn its joins into products
     house = sources.sparkSession.createDataFrame([(0, (total + block // 2) // block)], "g int, seats long")
     quotas = sainte_lague(first, house).select(F.col("party").alias("g"), "seats")
     of_shards = sainte_lague(parts.select(F.col("number").alias("g"), F.col("shard").alias("party"), F.col("words").cast("double").alias("votes"), (F.col("blocks") * cap).alias("most")), quotas)
