@@ -35,7 +35,7 @@ from tapeworks.llm.common import discard, scratch, table
 #: Least code points and occurrences of a word, and how much more frequent its form is.
 LEAST, TWICE, TIMES = 7, 2, 10
 SAMPLE, GROUP, LEAF, LONG = 50_000, 20_000, 256, 256
-PIECE, HELD = 4 << 20, 200_000
+PIECE, HELD, ROWS = 4 << 20, 200_000, 50_000
 
 #: Letters are one byte each in Latin-1; other characters part words, as `?` does.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -223,9 +223,9 @@ def pairs_of_group(members: np.ndarray, same: np.ndarray, shorter: np.ndarray) -
                     yield kind, x[ok], y[ok]
 
 
-def _trees(words: DataFrame) -> dict[int, Tree]:
-    """The upper tree of each length that a sample of the words fills, with leaves of about GROUP words."""
-    share = max(1, -(-words.count() // SAMPLE))
+def _trees(words: DataFrame, total: int) -> dict[int, Tree]:
+    """The upper tree of each length that a sample of all `total` words fills, with leaves of about GROUP words."""
+    share = max(1, -(-total // SAMPLE))
     sample = words.where((F.length("word") <= LONG) & (F.pmod(F.xxhash64("word"), F.lit(share)) == 0)).select("word").toPandas()["word"]
     size = max(8, GROUP // share)
     return {int(n): Tree(counts(letters(part.sort_values().to_numpy())), size) for n, part in sample.groupby(sample.str.len()) if len(part) > size}
@@ -233,7 +233,8 @@ def _trees(words: DataFrame) -> dict[int, Tree]:
 
 def near_words(words: DataFrame) -> DataFrame:
     """(word, other, n): each word with each near word and that word's n; both directions. words: word, n, distinct."""
-    trees = {n: (t.nodes, t.root) for n, t in _trees(words).items()}
+    total = words.count()
+    trees = {n: (t.nodes, t.root) for n, t in _trees(words, total).items()}
 
     def tree(length: int) -> Tree:
         out = Tree(np.zeros((0, DIMS), np.uint8), 1)
@@ -251,9 +252,10 @@ def near_words(words: DataFrame) -> DataFrame:
                     out.append((at[home[at] < leaf], length, leaf, 1))  # a pair is found from its lower leaf
                 for leaf, at in longer.search(vectors, False):
                     out.append((at, length + 1, leaf, 2))
-                for at, to, leaf, kind in out:
-                    if len(at):
-                        yield part.iloc[at].assign(length=to, leaf=leaf, kind=kind)[["length", "leaf", "kind", "word", "n"]]
+                at, *marks = (np.concatenate([np.broadcast_to(x[i], len(x[0])) for x in out]) for i in range(4))
+                for a in range(0, len(at), ROWS):
+                    b = slice(a, a + ROWS)
+                    yield pd.DataFrame(dict(zip(("length", "leaf", "kind"), (m[b] for m in marks), strict=True)) | {"word": part["word"].to_numpy()[at[b]], "n": part["n"].to_numpy()[at[b]]})
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         length = int(pdf["length"].iloc[0])
@@ -268,7 +270,8 @@ def near_words(words: DataFrame) -> DataFrame:
                     found.append(pd.DataFrame({"word": a["word"].to_numpy(), "other": b["word"].to_numpy(), "n": b["n"].to_numpy()}))
         return pd.concat(found) if found else pd.DataFrame({"word": pd.Series(dtype=str), "other": pd.Series(dtype=str), "n": pd.Series(dtype="int64")})
 
-    rows = words.select("word", "n").mapInPandas(dealt, "length int, leaf int, kind int, word string, n long")
+    tasks = max(8, total // GROUP)  # dealing is work of its own, however few bytes the words are
+    rows = words.select("word", "n").repartition(tasks, "word").mapInPandas(dealt, "length int, leaf int, kind int, word string, n long")
     groups = sum(len(nodes) + 1 for nodes, _ in trees.values()) + 8  # a count, or small groups of much work would share tasks
     return rows.repartition(groups, "length", "leaf").groupBy("length", "leaf").applyInPandas(group, "word string, other string, n long")
 
