@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +26,25 @@ def hashing_vectors(markets: DataFrame, features: int = 4096) -> DataFrame:
     return rows.select("market_id", vector_to_array("v", "float32").alias("vector"))
 
 
+def ngram_encoder(features: int = 64, n: int = 3) -> Callable[[list[str]], np.ndarray]:
+    """An encoder for `encoded_vectors`: each run of n characters of the lower-cased text counts 1 or -1 in one of the places, both from its MD5."""
+
+    def encode(texts: list[str]) -> np.ndarray:
+        out, known = np.zeros((len(texts), features), np.float32), {}
+        for row, text in zip(out, texts, strict=True):
+            text = text.lower()
+            for i in range(len(text) - n + 1):
+                gram = text[i : i + n]
+                if gram not in known:
+                    digest = hashlib.md5(gram.encode()).hexdigest()
+                    known[gram] = (int(digest[:8], 16) % features, 1 if int(digest[8], 16) % 2 else -1)
+                place, sign = known[gram]
+                row[place] += sign
+        return out
+
+    return encode
+
+
 def encoded_vectors(markets: DataFrame, encoder: Callable[[list[str]], np.ndarray]) -> DataFrame:
     """(market_id, vector) by a caller's batch encoder, run on Arrow batches; L2-normalised."""
 

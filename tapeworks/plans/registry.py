@@ -330,16 +330,14 @@ add(
 
 _STATS = "weighted_score:6 weighted_history_notional:4 effective_history_markets:6 mean_similarity:6 positive_history_weight_fraction:6 weighted_score_std:6 supporting_markets:i"
 add("O45_embed_text", lambda v: vectors.hashing_vectors(v.markets).select("market_id", F.size("vector").alias("features"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm")), "SELECT market_id, 4096 AS features, 1.0::DOUBLE AS norm FROM markets")
-def _encoder(texts: list[str]) -> list[list[float]]:
-    return [[1.0, len(t), t.count(" "), sum(c.isdigit() for c in t)] for t in texts]
-
-
 add(
     "O45_embed_text_encoder",
-    lambda v: vectors.encoded_vectors(v.markets, _encoder).select("market_id", *[F.get("vector", F.lit(i)).alias(f"v{i}") for i in range(4)]),
-    """SELECT market_id, 1 / n AS v0, l / n AS v1, s / n AS v2, d / n AS v3 FROM (SELECT *, sqrt(1 + l * l + s * s + d * d) AS n FROM (
-      SELECT market_id, length(question)::DOUBLE AS l, length(question) - length(replace(question, ' ', ''))::DOUBLE AS s, length(regexp_replace(question, '[^0-9]', '', 'g'))::DOUBLE AS d FROM markets))""",
-    "v0:5 v1:5 v2:5 v3:5",
+    lambda v: vectors.encoded_vectors(v.markets, vectors.ngram_encoder(16)).select("market_id", *[F.get("vector", F.lit(i)).alias(f"v{i}") for i in range(16)]),
+    f"""SELECT market_id, {", ".join(f"coalesce(sum(x) FILTER (place = {i}), 0) / greatest(any_value(norm), 1e-12) AS v{i}" for i in range(16))} FROM (
+      SELECT market_id, place, x, sqrt(sum(x * x) OVER (PARTITION BY market_id)) AS norm FROM (
+        SELECT market_id, ('0x' || substr(h, 1, 8))::BIGINT % 16 AS place, sum(CASE WHEN ('0x' || substr(h, 9, 1))::BIGINT % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM (
+          SELECT market_id, md5(substr(q, CAST(i AS INT), 3)) AS h FROM (SELECT market_id, lower(question) AS q, unnest(range(1, length(question) - 1)) AS i FROM markets)) GROUP BY ALL)) GROUP BY market_id""",
+    " ".join(f"v{i}:5" for i in range(16)),
 )
 add("O46_market_pairs", lambda v: v.pairs, "SELECT * FROM pairs", "cosine:6 weight:6")
 add("O48_wallet_skill_uniform", lambda v: v.skills, "SELECT * FROM skills", _STATS)
