@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY = 86400
 
 
-def running(rows: DataFrame, keys: list[str], ts: str, order: list[str], sums: dict[str, Column], maxes: dict[str, Column] | None = None) -> DataFrame:
+def running(rows: DataFrame, keys: list[str], ts: str, order: list[str], sums: dict[str, Column], maxes: dict[str, Column] | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """rows with columns more: the sum, or the maximum, of an expression over its group up to and with the row.
 
     order begins with ts, in seconds. Windows stay inside a day of a group; what the days before
     it add runs over one row a day. A group of very many rows is as many tasks' work as it has days.
+    The input is read twice, once for the days' totals, of the summed columns only; keep, which writes a frame and
+    reads it again, spares an input that is dear to compute the second time.
     """
     maxes = maxes or {}
     rows = rows.withColumn("_day", F.floor(F.col(ts) / DAY)).withColumns({f"_{n}": c for n, c in (sums | maxes).items()})
-    rows = rows.repartition(*keys, "_day")  # totals and windows read the same exchange, so the input is computed once
+    rows = keep(rows) if keep else rows
     of_day = rows.groupBy(*keys, "_day").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in sums], *[F.max(f"_{n}").alias(f"_{n}") for n in maxes])
     earlier = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     days = of_day.select(*keys, "_day", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums], *[F.max(f"_{n}").over(earlier).alias(f"_before_{n}") for n in maxes])

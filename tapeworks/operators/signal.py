@@ -9,7 +9,7 @@ c^2 - (c - w)^2 for each row. With a lookback rows also leave; that goes by bloc
 from __future__ import annotations
 
 import heapq
-from collections.abc import Hashable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 from dataclasses import asdict, dataclass
 
 import pandas as pd
@@ -98,8 +98,8 @@ def decision(rows: DataFrame, cfg: ConsensusConfig, keep: list[str]) -> DataFram
     return out.withColumn("should_trade", trade).select(*keep, "should_trade", "direction", "confidence", "total_weight", F.col("wallets").cast("long").alias("skilled_wallets"), "wallet_share", "directional_wallets", "effective_wallets", "directional_share", *DIAGNOSTICS)
 
 
-def consensus(obs: DataFrame, cfg: ConsensusConfig) -> DataFrame:
-    """One decision for each observation, over the market's qualifying rows up to and with it."""
+def consensus(obs: DataFrame, cfg: ConsensusConfig, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One decision for each observation, over the market's qualifying rows up to and with it. keep: as in `running`, for the rows with their wallets' sums."""
     if cfg.skill_threshold < 0 and cfg.weighting in ("skill", "skill_volume"):
         raise ValueError("a negative skill_threshold lets weights fall; use rolling_consensus without a lookback")
     ok = qualifies(cfg)
@@ -124,7 +124,7 @@ def consensus(obs: DataFrame, cfg: ConsensusConfig) -> DataFrame:
         maxes[f"largest_{d}"] = F.when(here, c).otherwise(0.0)
         for name, column in DIAGNOSTICS.items():
             sums[f"{name}_{d}"] = F.when(here, F.col("w") * F.col(column)).otherwise(0.0)
-    return decision(running(rows, ["market_id"], "ts", order, sums, maxes), cfg, ["market_id", "seq", "ts", "yes_price"])
+    return decision(running(rows, ["market_id"], "ts", order, sums, maxes, keep), cfg, ["market_id", "seq", "ts", "yes_price"])
 
 
 def batch_consensus(obs: DataFrame, cfg: ConsensusConfig) -> DataFrame:

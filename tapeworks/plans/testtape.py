@@ -145,7 +145,7 @@ class View:
         order = ["ts", "l_orderkey", "l_linenumber", "l_partkey", "size", "l_extendedprice"]
         token = F.when(F.col("side").isin(0, 2), F.col("yes_price")).otherwise(F.round(1 - F.col("yes_price"), 4))
         # places are counted inside a market's day, after the days before
-        rows = self.prints.withColumn("day", F.floor(F.col("ts") / 86400)).repartition("market_id", "day")
+        rows = self.prints.withColumn("day", F.floor(F.col("ts") / 86400))
         earlier = F.sum("count").over(Window.partitionBy("market_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
         days = rows.groupBy("market_id", "day").count().select("market_id", "day", F.coalesce(earlier, F.lit(0)).alias("before"))
         placed = rows.withColumn("nth", F.row_number().over(Window.partitionBy("market_id", "day").orderBy(*order))).join(days, ["market_id", "day"])
@@ -218,7 +218,7 @@ class View:
 
     @cached_property
     def signals(self) -> DataFrame:
-        return self.kept("signals", signal.consensus(self.observations, CONSENSUS))
+        return self.kept("signals", signal.consensus(self.observations, CONSENSUS, lambda df: self.kept("flow", df)))
 
     @cached_property
     def candidates(self) -> DataFrame:
