@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tapeworks.llm.common import scratch, table
+from tapeworks.llm.common import discard, scratch, table
 
 WEIGHTS, CAP, SEED = (1, 2, 3), 3, 13
 #: Words of a block: a thousandth of the smallest source, within these bounds; blocks of a shard, and shards of a source.
@@ -93,6 +93,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     total, smallest = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.min(F.when(F.col("source_size") > 0, F.col("source_size")))).first()
     block = max(1, min(BLOCK, (smallest or 1) // 1024))
     shards = F.greatest(F.lit(1), F.least(F.lit(SHARDS), F.expr(f"source_size div {block * PER_SHARD}")), F.expr(f"source_size div {block << 30}"))
+    weighed = sources
     sources = scratch(targets(sources, cap).withColumn("shards", shards), "targets")
 
     told = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
@@ -109,6 +110,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     plan = parts.join(of_shards.select(F.col("g").alias("number"), F.col("party").alias("shard"), "seats"), ["number", "shard"], "left")
     start = _number(F.md5(F.concat_ws("|", F.lit(seed), "number", "shard").cast("binary")), 1, 15) % F.greatest("blocks", F.lit(1))
     plan = scratch(plan.select("number", "shard", "blocks", F.coalesce("seats", F.lit(0)).alias("seats"), start.alias("start")), "plan")
+    discard(rows, weighed, sources, first, parts, of_shards)
 
     order = Window.partitionBy("number", "shard").orderBy("r", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = dealt.withColumn("end", F.sum("size").over(order)).join(plan, ["number", "shard"])

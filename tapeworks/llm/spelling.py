@@ -295,6 +295,7 @@ def variants(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     near = scratch(near_words(words).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("b")), "near")
     known = words.join(near, "word", "left").withColumn("form_n", -F.col("b.less"))
     known = scratch(known.withColumn("form", F.when(F.col("form_n") >= TIMES * F.col("n"), F.col("b.other"))).drop("b"), "known")
+    discard(words, near)
     last = roots(known.where("form is not null"))
     out = known.join(last, "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(F.col("form").isNotNull(), F.col("form_n")).alias("form_n"))

@@ -199,15 +199,20 @@ def prefix_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     kids = inner.groupBy((F.col("depth") - 1).alias("depth"), F.col("q1").alias("k1"), F.col("q2").alias("k2")).agg(F.count("*").alias("n_children"))
     parents = nodes.select((F.col("depth") + 1).alias("depth"), F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("conv_id").alias("parent_conv_id"))
     facts = scratch(nodes.select(*KEY, "q1", "q2", "n_convs", "conv_id", "sha").join(sums.select(*KEY, "saved_tokens", "n_leaves"), KEY, "left").join(kids, KEY, "left"), "facts")
+    discard(blocks, ended, *([below] if below is not None else []))
     out = facts.join(parents, ["depth", "q1", "q2"], "left")
     # without a node below it, the root is the one leaf
     return out.select("conv_id", "depth", F.when(F.col("depth") > 0, F.col("parent_conv_id")).alias("parent_conv_id"), "n_convs", F.coalesce("n_children", zero).alias("n_children"), F.coalesce("n_leaves", F.lit(1)).cast("long").alias("n_leaves"), F.coalesce("saved_tokens", zero).alias("saved_tokens"), F.col("sha").alias("ends_sha256"))
 
 
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = scratch(ordered_turns(table(spark, sf_dir, "conversations")), "ordered")
+    placed = ordered_turns(table(spark, sf_dir, "conversations"))
+    turns = scratch(placed, "ordered")
+    discard(placed)
     rows, convs = rebuilt(turns)
-    return prefix_trie(rows, convs)
+    out = prefix_trie(rows, convs)
+    discard(rows)
+    return out
 
 
 #: crc32 as a fold over bytes; a node is the joined digests of its turns, 32 characters each.
