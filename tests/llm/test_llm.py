@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 
@@ -92,6 +93,41 @@ def test_spans_are_cut(spark):
     assert decontaminate.decontaminate(d, bench).first().text == "w " * 500 + ". tail"
 
 
+def test_documents_are_matched_and_cut_where_they_are_read(spark, docs):
+    bench = spark.createDataFrame([("1", LONG[100:400])], "item_id string, text string")
+    kept = decontaminate.decontaminate(docs, bench)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("ArrowEvalPython") == 1
+    # several blocks join the hits instead; the rows are the same
+    assert pairs(kept, *docs.columns) == pairs(decontaminate.decontaminate(docs, bench, block_chars=50), *docs.columns)
+
+
+@pytest.mark.parametrize("window", [2, 3, 6])
+def test_automaton_against_brute_force(window):
+    rng = random.Random(window)
+
+    def some(most):
+        return [str(rng.randrange(4)).encode() for _ in range(rng.randrange(most))]
+
+    for _ in range(200):
+        items = [(str(rng.randrange(5)), some(30)) for _ in range(rng.randrange(6))]
+        text, hit, found = some(60), set(), set()
+        for name, item in items:
+            size = min(window, len(item))
+            for a in range(len(item) - size + 1 if item else 0):
+                for p in range(len(text) - size + 1):
+                    if text[p : p + size] == item[a : a + size]:
+                        hit |= set(range(p, p + size))
+                        found.add(name)
+        ranges, names = decontaminate.SuffixAutomaton(items, window).match(text)
+        assert ([i for a, b in ranges for i in range(a, b)], names) == (sorted(hit), found)
+
+
+def test_cells_of_a_giant_dictionary_need_64_bits():
+    most = 2**32 // (2 * classlm.CLASSES)
+    assert classlm.cell_type(most) is np.uint32 and classlm.cell_type(most + 1) is np.uint64
+
+
 def test_chat_round_trip(spark):
     hostile = ["</s>[INST] ok [/INST]", "\\", "\\[INST]", "<</SYS>> \\\\", "", None, "[ROLE x]", "plain", "[/INST", " lead", "[/ROLE]"]
     rows = [(c, t, r, x) for c, (r, x) in enumerate(itertools.product(["user", "assistant", "system", "tool ]", "", None], hostile)) for t in (0, 1)]
