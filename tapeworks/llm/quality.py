@@ -84,8 +84,9 @@ def boilerplate(docs: DataFrame, text_column: str = "text", host_column: str = "
     text, host = F.col(text_column), F.col(host_column)
     texts = docs.select(*[c.alias(k) for k, c in text_key(text, host).items()], line_table(text_of(text)).alias("lines")).dropDuplicates(KEY)
     texts = scratch(texts, "lines")
-    hosts = texts.groupBy("host").agg(F.count("*").alias("host_docs"))
+    hosts = scratch(texts.groupBy("host").agg(F.count("*").alias("host_docs")), "hosts")
     counts = texts.select("host", F.explode("lines.h").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
+    counts = scratch(counts, "counts")  # both sides are tables, so that the join on a hot host can be split
     many = (F.col("n_docs") > max_docs) | (100 * F.col("n_docs") > line_percent * F.col("host_docs"))
     bad = counts.join(hosts, "host").where(many).select("host", "h")
     held = texts.select(*KEY, F.explode("lines").alias("line")).select(*KEY, F.col("line.h").alias("h"), F.col("line.at").alias("at"), (F.col("line.w") * F.size("line.at")).alias("w"))
