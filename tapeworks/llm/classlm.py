@@ -223,6 +223,11 @@ def likelihood(m: np.ndarray) -> float:
 NEIGHBOUR = np.dtype([("k", "u1"), ("n", "u1")])
 
 
+def cell_type(tokens: int) -> type[np.unsignedinteger]:
+    """Holds the number of any of the 2 * CLASSES cells of each of so many tokens; the dictionary of one giant text may need 64 bits."""
+    return np.uint32 if tokens * 2 * CLASSES <= 2**32 else np.uint64
+
+
 def neighbours(rows: DataFrame, start: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """(h, data): NEIGHBOUR records of each word of a block over its training documents; start: head and classes of units, for blocks without classes."""
     shared = rows.sparkSession.sparkContext.broadcast(start)
@@ -232,13 +237,13 @@ def neighbours(rows: DataFrame, start: tuple[np.ndarray, np.ndarray] | None = No
             for hashes, held, lengths, data, c in pdf.itertuples(index=False):
                 h = np.asarray(hashes, np.int64)
                 mine = shared.value[1][unit_of(h, shared.value[0])] if c is None else np.frombuffer(c, "u1")[1:]
-                # a place of 2 * CLASSES cells for each token of the dictionary, which has far fewer than 2^25
-                cls = np.concatenate(([CLASSES - 1], mine)).astype(np.uint32)
-                seq = np.frombuffer(data, "<u4")
-                before = np.concatenate((np.zeros(1, np.uint32), seq[:-1]))
+                cell = cell_type(len(mine) + 1)
+                cls = np.concatenate(([CLASSES - 1], mine)).astype(cell)
+                seq = np.frombuffer(data, "<u4").astype(cell, copy=False)
+                before = np.concatenate((np.zeros(1, cell), seq[:-1]))
                 keep = np.repeat(~np.asarray(held, bool), np.asarray(lengths))
                 seq, before = seq[keep], before[keep]
-                found = np.concatenate((before * np.uint32(2 * CLASSES) + cls[seq], seq * np.uint32(2 * CLASSES) + np.uint32(CLASSES) + cls[before]))
+                found = np.concatenate((before * cell(2 * CLASSES) + cls[seq], seq * cell(2 * CLASSES) + cell(CLASSES) + cls[before]))
                 pairs, n = np.unique(found[found >= 2 * CLASSES], return_counts=True)
                 several = (n + 254) // 255
                 pairs = np.repeat(pairs.astype(np.int64), several)
