@@ -9,17 +9,16 @@ Suffixes travel in bundles: a record (about one for 55 bytes of text) of ids and
 anchors: the anchor of a window is the least (by hash) of the `KEY`-byte strings that start in its
 first depth - KEY + 1 places, the first of equals; equal windows have the same anchor at the same
 offset, and a bundle has the suffixes of one anchor whose offsets are in one block of `WIDTH`. Its digits
-are what its suffixes share of theirs: through byte 200 of the suffix, then bytes 200 to 299, then
-300 to 399. A pass compares bundles twice:
+are what its suffixes share of theirs: through byte 200 of the suffix, then through 300, then through
+400. Each of the three passes compares them by one digit more, and a bundle that is alone in its
+group ends.
 
-* by their digits so far; a bundle that is alone in its group ends,
-* by their span, the bytes of all their windows; a span found twice settles it, since then each of
-  its windows is found twice; one bundle of each distinct span goes on.
-
-Bundles that agree through byte 399 and still differ in their spans are cut into narrower ones, of 16
-suffixes and then of one, in which digits, span and window are the same. Hot groups (a passage that a
-third of the texts share) cost partial counts: a group is never gathered, only counted, and joined
-back by key.
+After the last pass the groups, whose bundles agree through byte 400, are settled by their spans, the bytes of all
+their windows: a span found twice settles it, since then each of its windows is found twice; where a group has
+other spans as well, one bundle of each is cut into narrower ones, of 16
+suffixes and then of one, in which digits, span and window are the same, and those are compared in the same way.
+Hot groups (a passage that a third of the texts share) cost partial counts: a group is never
+gathered, only counted, and joined back by key. With the logger of this module at INFO each pass reports its rows and groups.
 
 Spans are equal if 128 bits of BLAKE2b of their bytes are, within groups that are equal too. Matches
 never cross documents. A null or empty text has no bytes, and a text shorter than depth
@@ -31,6 +30,7 @@ rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import logging
 from collections.abc import Iterator
 from functools import reduce
 
@@ -44,11 +44,15 @@ from tapeworks.llm.shingles import BASE, BYTE, INVERSE, mix, powers
 
 DEPTH = 400
 KEY = 100
-#: Pass by pass: the offsets of a bundle, and through how many bytes its suffixes are ordered.
+#: Offsets of a bundle, and the bytes through which the passes order suffixes, one digit a pass.
 WIDTH = 128
-PASSES = ((WIDTH, 200), (WIDTH, 300), (WIDTH, DEPTH), (16, DEPTH), (1, DEPTH))
+DIGITS = (200, 300, DEPTH)
+#: Offsets of the bundles into which those are cut that agree through the last digit and differ in their spans.
+NARROWER = (16, 1)
 PART = 1 << 20
 
+log = logging.getLogger(__name__)
+
 
 def anchors(sums: np.ndarray, depth: int = DEPTH, key: int = KEY) -> tuple[np.ndarray, ...]:
     """(first, last, anchor): ranges of window starts in a text, given its prefix_sums, that have the same anchor, and the anchor's place."""
@@ -94,25 +98,22 @@ def string_hashes(sums: np.ndarray, length: int) -> np.ndarray:
         return mix((sums[length:] - sums[:-length]) * powers(INVERSE, len(sums))[: len(sums) - length])
 
 
-def first_digits(raw: bytes) -> tuple[np.ndarray, ...]:
-    """(first, last, anchor, digits) of the bundles of a text: ranges of window starts in a block of offsets of one anchor, and the hash of what they share of their first digit."""
+def suffix_digits(raw: bytes) -> tuple[np.ndarray, ...]:
+    """(first, last, anchor, digits) of the bundles of a text: ranges of window starts in a block of offsets of one anchor, and a column a digit: the hash of what they share of their bytes through it."""
     sums = prefix_sums(raw)
     first, last, anchor = anchors(sums)
     if not len(first):
-        return first, last, anchor, first
-    width, depth = PASSES[0]
+        return first, last, anchor, np.zeros((0, len(DIGITS)), np.int64)
     low, high = anchor - last, anchor - first
-    n = high // width - low // width + 1
+    n = high // WIDTH - low // WIDTH + 1
     at = np.repeat(np.arange(len(n)), n)
-    block = low[at] // width + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-    near, far = np.maximum(block * width, low[at]), np.minimum(block * width + width - 1, high[at])
-    start = anchor[at] - block * width
-    with np.errstate(over="ignore"):
-        length = depth - width + 1
-        shared = mix((sums[start + length] - sums[start]) * powers(INVERSE, len(sums))[start])
+    block = low[at] // WIDTH + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    near, far = np.maximum(block * WIDTH, low[at]), np.minimum(block * WIDTH + WIDTH - 1, high[at])
+    start = anchor[at] - block * WIDTH
     with np.errstate(over="ignore"):
-        digits = mix(shared + block.astype(np.uint64) * np.uint64(BASE))
-    return anchor[at] - far, anchor[at] - near, anchor[at], digits.view(np.int64)
+        place, shift = block.astype(np.uint64) * np.uint64(BASE), powers(INVERSE, len(sums))[start]
+        digits = [mix(mix((sums[start + depth - WIDTH + 1] - sums[start]) * shift) + place) for depth in DIGITS]
+    return anchor[at] - far, anchor[at] - near, anchor[at], np.stack(digits, axis=1).view(np.int64)
 
 
 def parts(raw: bytes) -> Iterator[tuple[int, bytes]]:
@@ -137,31 +138,34 @@ def unpacked(at: int) -> tuple[int, int, int]:
 
 ROW = "id long, text_hash long, at long, core long, span long, span2 long, settled boolean"
 SPAN = ["core", "span", "span2"]
+#: The digits of the bundles of the first pass. The last, through byte `DEPTH`, is their core.
+THROUGH = [*(f"through_{depth}" for depth in DIGITS[:-1]), "core"]
 
 
 def bundles(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """The bundles of the first pass, as `ROW`; core is the hash of their digits, span the digest of all windows' bytes."""
+    """The bundles of the first pass, as `ROW` and the digits before the core; span is the digest of all windows' bytes."""
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
             for key, text_hash, text in pdf.itertuples(index=False):
                 for start, raw in parts(text.encode("utf-8", "surrogatepass")):
-                    first, last, anchor, core = first_digits(raw)
+                    first, last, anchor, digits = suffix_digits(raw)
                     if len(first):
                         spans = b"".join([digest(m - a, raw[a : b + DEPTH]) for a, b, m in zip(first.tolist(), last.tolist(), anchor.tolist(), strict=True)])
-                        out.append((key, text_hash, packed(first + start, last - first + 1, anchor - first), core, np.frombuffer(spans, "<i8").reshape(-1, 2)))
+                        out.append((key, text_hash, packed(first + start, last - first + 1, anchor - first), np.concatenate((digits, np.frombuffer(spans, "<i8").reshape(-1, 2)), axis=1)))
             if out:
-                sizes = [len(x[2]) for x in out]
-                yield pd.DataFrame({"id": np.repeat([x[0] for x in out], sizes), "text_hash": np.repeat([x[1] for x in out], sizes), "at": np.concatenate([x[2] for x in out]), "core": np.concatenate([x[3] for x in out]), "span": np.concatenate([x[4][:, 0] for x in out]), "span2": np.concatenate([x[4][:, 1] for x in out]), "settled": False})
+                sizes, hashes = [len(x[2]) for x in out], np.concatenate([x[3] for x in out])
+                ids = {"id": np.repeat([x[0] for x in out], sizes), "text_hash": np.repeat([x[1] for x in out], sizes), "at": np.concatenate([x[2] for x in out])}
+                yield pd.DataFrame(ids | {c: hashes[:, i] for i, c in enumerate([*THROUGH, "span", "span2"])} | {"settled": False})
 
     text = F.col(text_column).cast("string")
     rows = docs.select(id_key(id_column).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).where(F.octet_length("text") >= DEPTH)
-    return rows.mapInPandas(batches, ROW)
+    return rows.mapInPandas(batches, "id long, text_hash long, at long, " + "".join(f"{c} long, " for c in THROUGH) + "span long, span2 long, settled boolean")
 
 
-def ordered(texts: DataFrame, reps: DataFrame, width: int, depth: int) -> DataFrame:
-    """The bundles of width offsets into which those of reps (id, text_hash, at, settled) fall, with their digits through depth bytes, as `ROW`."""
+def ordered(texts: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """The bundles of width offsets into which those of reps (id, text_hash, at, settled) fall, with their digits through byte `DEPTH`, as `ROW`."""
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -174,7 +178,7 @@ def ordered(texts: DataFrame, reps: DataFrame, width: int, depth: int) -> DataFr
                     for block in range(low // width, high // width + 1):
                         d0, d1 = block * width, block * width + width - 1
                         a, b = m - min(d1, high), m - max(d0, low)
-                        core, span = digest(block, raw[m - d0 : m - d1 + depth], 8), digest(m - a, raw[a : b + DEPTH])
+                        core, span = digest(block, raw[m - d0 : m - d1 + DEPTH], 8), digest(m - a, raw[a : b + DEPTH])
                         out.append((key, text_hash, packed(a, b - a + 1, m - a), *(int.from_bytes(x, "little", signed=True) for x in (core, span[:8], span[8:])), one["settled"]))
             if out:
                 yield pd.DataFrame(out, columns=["id", "text_hash", "at", *SPAN, "settled"])
@@ -184,23 +188,31 @@ def ordered(texts: DataFrame, reps: DataFrame, width: int, depth: int) -> DataFr
     return rows.mapInPandas(batches, ROW)
 
 
-def sort_pass(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(found, open), as tables: rows whose span is found twice, as (id, text_hash, at); and the representatives that the next pass has to order, as (id, text_hash, at, settled).
+def sort_pass(rows: DataFrame, digit: str) -> DataFrame:
+    """The rows of a table that are not alone in their group by this digit, as a table; a group of settled rows alone ends too."""
+    groups = rows.groupBy(digit).agg(F.count("*").alias("n"), F.count_if(~F.col("settled")).alias("unsettled")).where("n > 1 and unsettled > 0").select(digit)
+    groups = scratch(groups, "groups")  # a table, so that the join on a hot group can be split
+    alive = scratch(rows.join(groups, digit, "left_semi"), "alive")
+    if log.isEnabledFor(logging.INFO):
+        log.info("%s: %d of %d rows in %d groups go on", digit, alive.count(), rows.count(), groups.count())
+    discard(rows, groups)
+    return alive
+
+
+def settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(found, open), as tables: rows whose span is found twice, as (id, text_hash, at); and the representatives that have to be cut narrower, as (id, text_hash, at, settled).
 
-    A settled row stands for a span that an earlier pass has found twice; it is compared with,
-    not found again. Of each distinct span one row goes on, if its group has an unsettled one.
+    rows are those that the passes left. A settled row stands for a span that was found twice in wider
+    bundles; it is compared with, not found again. Of each distinct span one row goes on, if its group has an unsettled one.
     """
-    rows = scratch(rows, "bundles")
-    again = rows.groupBy("core").agg(F.count("*").alias("n"), F.count_if(~F.col("settled")).alias("unsettled")).where("n > 1 and unsettled > 0").select("core")
-    again = scratch(again, "again")  # a table, so that the join on a hot core can be split
-    alive = scratch(rows.join(again, "core", "left_semi"), "alive")
-    discard(rows, again)
-    spans = alive.groupBy(*SPAN).agg(F.count("*").alias("n"), F.min(F.struct("id", "text_hash", "at", "settled")).alias("rep"))
+    spans = rows.groupBy(*SPAN).agg(F.count("*").alias("n"), F.min(F.struct("id", "text_hash", "at", "settled")).alias("rep"))
     spans = scratch(spans.select(*SPAN, "n", F.col("rep.*")).withColumn("settled", F.col("settled") | (F.col("n") > 1)), "spans")
-    found = scratch(alive.where("not settled").join(spans.where("n > 1").select(*SPAN), SPAN, "left_semi").select("id", "text_hash", "at"), "found")
+    found = scratch(rows.where("not settled").join(spans.where("n > 1").select(*SPAN), SPAN, "left_semi").select("id", "text_hash", "at"), "found")
     groups = scratch(spans.groupBy("core").agg(F.count_if(~F.col("settled")).alias("unsettled")).where("unsettled > 0").select("core"), "groups")
     several = scratch(spans.join(groups, "core", "left_semi").select("id", "text_hash", "at", "settled"), "open")
-    discard(alive, spans, groups)
+    if log.isEnabledFor(logging.INFO):
+        log.info("settled: %d rows of %d spans found, %d spans of %d groups are cut narrower", found.count(), spans.where("n > 1").count(), several.count(), groups.count())
+    discard(rows, spans, groups)
     return found, several
 
 
@@ -226,7 +238,11 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     def pack(texts: pd.Series) -> pd.Series:
         return texts.map(_pack)
 
-    found, reps = sort_pass(bundles(docs, id_column, text_column))
+    alive = scratch(bundles(docs, id_column, text_column), "bundles")
+    for digit in THROUGH:
+        alive = sort_pass(alive, digit)
+        alive = alive if digit == THROUGH[-1] else alive.drop(digit)
+    found, reps = settle(alive)
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     rows = docs.select(id_key(id_column).alias("id"), F.xxhash64(F.col(text_column).cast("string")).alias("text_hash"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"), pack(text).alias("bytes"))
     touched = found.select("id", "text_hash").unionByName(reps.select("id", "text_hash")).distinct().withColumn("touched", F.lit(True))
@@ -235,9 +251,9 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     texts = rows.where("touched")
     one_each = texts.dropDuplicates(["id", "text_hash"])
     all_found = [found]
-    for width, depth in PASSES[1:]:
+    for width in NARROWER:
         before = reps
-        more, reps = sort_pass(ordered(one_each, before, width, depth))
+        more, reps = settle(sort_pass(scratch(ordered(one_each, before, width), "bundles"), "core"))
         discard(before)
         all_found.append(more)
     ranges = reduce(DataFrame.unionByName, all_found).groupBy("id", "text_hash").agg(F.collect_set("at").alias("ats"))

@@ -217,15 +217,18 @@ def test_bundles_hold_each_suffix_once_and_digits_are_its_bytes():
     rng = np.random.default_rng(2)
     raw = rng.integers(97, 100, 3000, dtype=np.uint8).tobytes()
     raw += b"#" * 50 + raw[100:1500]  # the same suffixes again, far from where they were
-    first, last, anchor, digits = passages.first_digits(raw)
+    first, last, anchor, digits = passages.suffix_digits(raw)
     starts = sorted(p for a, b in zip(first, last, strict=True) for p in range(a, b + 1))
     assert starts == list(range(len(raw) - 399)) and (last - first < passages.WIDTH).all() and ((0 <= anchor - last) & (anchor - first <= 300)).all()
-    of = {p: (k, a - p) for x, y, a, k in zip(first, last, anchor, digits, strict=True) for p in range(x, y + 1)}
-    assert all(of[p] == of[p + 2950] for p in range(100, 1101))  # equal windows, equal digits
-    seen = {}
-    for x, y, a, k in zip(first.tolist(), last.tolist(), anchor.tolist(), digits.tolist(), strict=True):
-        near = (a - y) // passages.WIDTH * passages.WIDTH
-        assert seen.setdefault(k, (near, raw[a - near : a - near - passages.WIDTH + 201])) == (near, raw[a - near : a - near - passages.WIDTH + 201])
+    assert digits.shape == (len(first), len(passages.DIGITS))
+    for column, depth in zip(digits.T, passages.DIGITS, strict=True):
+        of = {p: (k, a - p) for x, y, a, k in zip(first, last, anchor, column, strict=True) for p in range(x, y + 1)}
+        assert all(of[p] == of[p + 2950] for p in range(100, 1101))  # equal windows, equal digits
+        seen = {}
+        for x, y, a, k in zip(first.tolist(), last.tolist(), anchor.tolist(), column.tolist(), strict=True):
+            near = (a - y) // passages.WIDTH * passages.WIDTH
+            shared = raw[a - near : a - near - passages.WIDTH + 1 + depth]
+            assert seen.setdefault(k, (near, shared)) == (near, shared)
 
 
 def test_line_dedup(spark, docs, empty):
