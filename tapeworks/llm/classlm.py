@@ -308,7 +308,7 @@ def known_blocks(coded: DataFrame, counts: DataFrame, hashes: bool, partitions:
     lookups = dictionary(coded).select("block", "token", "h").join(counts.select("h", "n", "c"), "h").select(F.col("block").alias("of_block"), "token", "n", "c")
     whole = coded.select(F.col("block").alias("in_block"), (F.col("hashes") if hashes else F.lit(None).cast("array<long>")).alias("hashes"), F.size("hashes").alias("size"), "ids", "held", "lengths", "tokens")
     out = whole.repartition(partitions, "in_block").groupBy("in_block").cogroup(lookups.repartition(partitions, "of_block").groupBy("of_block")).applyInPandas(joined, "hashes array<long>, ids array<long>, held array<boolean>, lengths array<int>, tokens binary, n binary, c binary")
-    return scratch(out, "known")
+    return scratch(out, "known", free_shuffles=True)
 
 
 def class_bigrams(rows: DataFrame) -> np.ndarray:
@@ -334,7 +334,7 @@ def train(coded: DataFrame, sweeps: int = SWEEPS) -> tuple[DataFrame, dict]:
     """(blocks with the counts and classes of their words, what else is needed to score them)."""
     # tasks grow in number with the blocks, so that what one reads does not grow with the corpus
     partitions = max(int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-coded.count() // BLOCKS_OF_TASK))
-    counts = scratch(dictionary(coded).where("n > 0").groupBy("h").agg(F.sum("n").alias("n")), "counts")
+    counts = scratch(dictionary(coded).where("n > 0").groupBy("h").agg(F.sum("n").alias("n")), "counts", free_shuffles=True)
     ends = coded.agg(F.sum(F.get("train", F.lit(0))).alias("n")).first()["n"] or 0
     top = counts.orderBy(F.desc("n"), "h").select("h").limit(HEAD).toPandas()["h"]
     head = np.sort(top.to_numpy(np.int64))
@@ -351,7 +351,7 @@ def train(coded: DataFrame, sweeps: int = SWEEPS) -> tuple[DataFrame, dict]:
     classed = counts.select("h", "n").join(heads, "h", "left").select("h", "n", F.coalesce("c", tail).alias("c"))
     rows, found, reached = None, neighbours(coded, (head, cls)), [likelihood(m)]
     for k in range(sweeps):
-        moved = scratch(counts.join(best_classes(found, m, partitions), "h"), "classes")
+        moved = scratch(counts.join(best_classes(found, m, partitions), "h"), "classes", free_shuffles=True)
         new = known_blocks(coded, moved, k + 1 < sweeps, partitions)
         m_new = class_bigrams(new)
         reached.append(likelihood(m_new))

@@ -6,14 +6,16 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import tapeworks
-from tapeworks.llm import bpe, chat, classlm, decontaminate, langid, linededup, minhash, passages, pfor, quality, shingles
+from tapeworks.llm import bpe, chat, classlm, common, decontaminate, langid, linededup, minhash, passages, pfor, quality, shingles
 
 P = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, id string, h long, n int, lines string"
@@ -303,6 +305,27 @@ def test_limits_do_not_grow_with_the_host(spark):
     assert not any(t.startswith("a line") for t in often.values())
 
 
+def test_class_model_leaves_no_shuffle_files_of_its_tables(spark, docs, monkeypatch):
+    def shuffled():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f for d in dirs for f in Path(d.getPath()).rglob("shuffle_*.data")}
+
+    def watched(df, what, **how):
+        before, out = shuffled(), scratch(df, what, **how)
+        for _ in range(100):  # Spark removes them soon after the write has ended
+            if not (new := shuffled() - before):
+                break
+            time.sleep(0.1)
+        left[what] = len(new)
+        return out
+
+    left, scratch, setting = {}, classlm.scratch, spark.conf.get(common.SHUFFLE_CLEANUP, None)
+    monkeypatch.setattr(classlm, "scratch", watched)
+    known, _ = classlm.train(scratch(classlm.blocks(docs, classlm.fold("doc_id", 7) == 2), "blocks"))
+    assert left == {"counts": 0, "classes": 0, "known": 0} and known.count() > 0
+    assert spark.conf.get(common.SHUFFLE_CLEANUP, None) == setting
+
+
 def test_class_model(docs, empty):
     """Counts and both scores against a computation from the texts, given the words' classes."""
     coded = classlm.blocks(docs, classlm.fold("doc_id", 7) == 2).persist()
