@@ -70,34 +70,49 @@ def _cut(text: str, limit: int) -> Iterator[str]:
         yield text[at:] if at else text
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_tokens, ids): ids as little-endian unsigned 32-bit integers, for every row of df."""
+def encoded(it: Iterator[pa.RecordBatch], ranks_path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """(id, n_tokens, ids) of batches of (id, text)."""
+    import numpy as np
+
+    by_match, one_match = encoding(ranks_path, pattern), encoding(ranks_path, ALL)
+    for batch in it:
+        out = []
+        for text in batch.column(1):
+            parts = ((one_match if one else by_match).encode_to_numpy(p, disallowed_special=()) for p, one in pieces(text.as_py() or ""))
+            out.append(b"".join(np.asarray(x, dtype="<u4").tobytes() for x in parts))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["id", "n_tokens", "ids"])
+
+
+def decoded(it: Iterator[pa.RecordBatch], ranks_path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """The batches of `encoded` with a column more, decoded."""
     import numpy as np
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_match, one_match = encoding(ranks_path, pattern), encoding(ranks_path, ALL)
-        for batch in it:
-            out = []
-            for text in batch.column(1):
-                parts = ((one_match if one else by_match).encode_to_numpy(p, disallowed_special=()) for p, one in pieces(text.as_py() or ""))
-                out.append(b"".join(np.asarray(x, dtype="<u4").tobytes() for x in parts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["id", "n_tokens", "ids"])
+    enc = encoding(ranks_path, pattern)
+    for batch in it:
+        out = [enc.decode_bytes(np.frombuffer(x.as_py(), "<u4").tolist()) for x in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["id", "n_tokens", "ids", "decoded"])
 
+
+def _texts(df: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, str]:
     rows = df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(batches, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids binary")
+    return rows, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids binary"
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, n_tokens, ids): ids as little-endian unsigned 32-bit integers, for every row of df."""
+    rows, schema = _texts(df, id_column, text_column)
+    return rows.mapInArrow(lambda it: encoded(it, ranks_path, pattern), schema)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """The frame of `encode` with a column more, decoded: the raw bytes of the ids, valid UTF-8 or not."""
-    import numpy as np
+    return df.mapInArrow(lambda it: decoded(it, ranks_path, pattern), f"id {df.schema['id'].dataType.simpleString()}, n_tokens long, ids binary, decoded binary")
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(ranks_path, pattern)
-        for batch in it:
-            out = [enc.decode_bytes(np.frombuffer(x.as_py(), "<u4").tolist()) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["id", "n_tokens", "ids", "decoded"])
 
-    return df.mapInArrow(batches, f"id {df.schema['id'].dataType.simpleString()}, n_tokens long, ids binary, decoded binary")
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """decode(encode(df)), in one Python worker a task instead of two: a worker keeps its encodings and its memory for later tasks."""
+    rows, schema = _texts(df, id_column, text_column)
+    return rows.mapInArrow(lambda it: decoded(encoded(it, ranks_path, pattern), ranks_path, pattern), f"{schema}, decoded binary")
 
 
 def digests(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, keep_ids: bool = False) -> DataFrame:
@@ -107,7 +122,7 @@ def digests(docs: DataFrame, ranks_path: str | None = None, pattern: str | None
 
         ranks_path = ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
         pattern = pattern or public_tokenizers.PATTERN
-    out = decode(encode(docs, ranks_path, pattern), ranks_path, pattern)
+    out = round_trip(docs, ranks_path, pattern)
     return out.select(F.col("id").alias("doc_id"), "n_tokens", *(["ids"] if keep_ids else []), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -305,6 +305,18 @@ def test_limits_do_not_grow_with_the_host(spark):
     assert not any(t.startswith("a line") for t in often.values())
 
 
+def test_round_trip_is_encode_and_decode_in_one_worker(docs):
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    two = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    one = bpe.round_trip(docs, path, pattern)
+    row = lambda r: (str(r.id), r.n_tokens, bytes(r.ids), bytes(r.decoded))
+    assert one.schema == two.schema and sorted(map(row, one.collect())) == sorted(map(row, two.collect()))
+    plan = bpe.digests(docs, keep_ids=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_class_model_leaves_no_shuffle_files_of_its_tables(spark, docs, monkeypatch):
     def shuffled():
         dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
