@@ -204,6 +204,75 @@ def test_spans_of_equal_cores_are_told_apart(spark):
     assert {r.id: (r.n_removed, r.n_spans) for r in passages.repeated(df).collect()} == want
 
 
+def shared_words(texts):
+    """Of each text the words in runs of 51 that another text has too, by brute force."""
+    words = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for t in texts]
+    owners = collections.defaultdict(set)
+    for d, w in enumerate(words):
+        for i in range(len(w) - 50):
+            owners[tuple(w[i : i + 51])].add(d)
+    out = []
+    for w in words:
+        said = bytearray(len(w))
+        for i in range(len(w) - 50):
+            if len(owners[tuple(w[i : i + 51])]) > 1:
+                said[i : i + 51] = b"\1" * 51
+        out.append(sum(said))
+    return out
+
+
+def test_passages_of_over_50_words_that_documents_share(docs):
+    rows = sorted(source(docs), key=repr)
+    got = pairs(passages.repeated(docs).withColumn("id", passages.from_key("id")), "id", "n_shared_words")
+    assert got == sorted(((d, n) for (d, _), n in zip(rows, shared_words([t for _, t in rows]), strict=True)), key=repr)
+
+
+def test_shared_passages_shorter_than_400_bytes(spark):
+    rng = np.random.default_rng(12)
+
+    def prose(n):
+        return ["".join(map(chr, rng.integers(97, 123, k))) for k in rng.integers(2, 6, n)]
+
+    passage, long, near = prose(55), prose(400), prose(300)
+    assert len(" ".join(passage)) < 400
+    words = [[*prose(40), *passage, *prose(70)], [*passage, *prose(90)], [*prose(200), *passage]]
+    words += [[*prose(30), *passage[:50], *prose(30)], passage[4:], passage[5:]]  # 50 words are not over 50
+    words += [[*(own := prose(60)), "apart", *own]]  # no other document has them
+    words += [[*long[:a], "#", *long[a + 1 :]] for a in (0, 50, 51, 130, 200, 399)] + [long[k : k + 60] for k in range(0, 340, 23)] + [[*near, *prose(9), *near[7:]], near, near]
+    words += [["la"] * 700, ["la"] * 51, ["la"] * 50]
+    texts = [("\n" if i % 3 else "\t ").join(w) for i, w in enumerate(words)] + ["\xa0".join(passage), "", None, " \n "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.id: (r.n_removed, r.n_shared_words) for r in passages.repeated(df).collect()}
+    want = shared_words(texts)
+    assert {d: n for d, (_, n) in got.items()} == dict(enumerate(want))
+    assert [got[d] for d in range(7)] == [(0, 55), (0, 55), (0, 55), (0, 0), (0, 51), (0, 0), (0, 0)]
+    twice = spark.createDataFrame([(None, texts[0]), (None, texts[0]), (1, texts[6])], "doc_id long, text string")
+    assert sorted(r.n_shared_words for r in passages.repeated(twice).collect()) == [0, 165, 165]
+
+
+@pytest.mark.parametrize("part", [1, 2, 7, 64, 1 << 20])
+def test_word_hashes_in_parts(part, monkeypatch):
+    rng = np.random.default_rng(13)
+    words = ["".join(map(chr, rng.integers(97, 100, k))) for k in rng.integers(1, 12, 300)]
+    plain, _ = passages.word_hashes(" ".join(words).encode())
+    assert len(plain) == 300 and len(set(plain.tolist())) == len(set(words))
+
+    def windows(texts):
+        text, at = (x.tolist() for x in passages.word_bundles(texts)[:2])
+        return sorted((t, p, first + offset) for t, (first, n, offset) in zip(text, map(passages.unpacked, at), strict=True) for p in range(first, first + n))
+
+    texts = [" ".join(w).encode() for w in (words[:50], words, [], words[:51], words[100:250], [])]
+    whole = [(t, p, m) for t, x in enumerate(texts) for _, p, m in windows([x])]
+    assert [x[:2] for x in whole] == [(t, p) for t, n in enumerate((0, 250, 0, 1, 100, 0)) for p in range(n)]
+    monkeypatch.setattr(passages, "PART", part)
+    raw = (" " + "\r\n".join(words) + "\x0b").encode()
+    for text in (raw, raw[1:], raw[:-1], raw[1:-1]):
+        hashes, starts = passages.word_hashes(text)
+        assert (hashes == plain).all() and [text[a : a + len(w)].decode() for a, w in zip(starts, words, strict=True)] == words
+    assert [passages.word_hashes(x)[0].tolist() for x in (b"", b"\t")] == [[], []]
+    assert windows(texts) == whole
+
+
 def test_passages_in_parts(monkeypatch):
     raw = np.random.default_rng(1).integers(97, 100, 5000, dtype=np.uint8).tobytes()
     whole = [x.tolist() for x in passages.anchors(passages.prefix_sums(raw))]
