@@ -46,3 +46,30 @@ def test_plans_of_the_chain_start_at_files(spark):
 
     df = entry.queries()["O29_case_summary"](spark, DATA)
     assert len(df._jdf.queryExecution().executedPlan().toString().splitlines()) < 1000
+
+
+@pytest.fixture(scope="module")
+def copies(tmp_path_factory):
+    """Tables of sf0.001 twice, the second time with shifted keys, so that there are markets far above 1,000."""
+    at = tmp_path_factory.mktemp("copies")
+    con = duckdb.connect()
+    shifts = {"supplier": {"s_suppkey": 4500000}, "orders": {"o_orderkey": 150001, "o_custkey": 15000}, "lineitem": {"l_orderkey": 150001, "l_partkey": 20000, "l_suppkey": 4500000}, "embeddings": {"vec_id": 4500000}}
+    for t, keys in shifts.items():
+        con.sql(f"COPY (SELECT * EXCLUDE (i) REPLACE ({', '.join(f'{k} + {by} * i AS {k}' for k, by in keys.items())}) FROM '{DATA}/{t}.parquet', (SELECT unnest([0, 1]) AS i)) TO '{at}/{t}.parquet'")
+    return str(at)
+
+
+def same_as_duckdb(spark, name, folder):
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    for t in ("supplier", "orders", "lineitem", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    df = entry.queries()[name](spark, folder)
+    r = con.sql(entry.oracle_sql()[name])
+    return rows(df.columns, df.collect()) == rows(df.columns, [dict(zip(r.columns, x, strict=True)) for x in r.fetchall()])
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_daily_equity_of_markets_over_a_thousand(spark, copies):
+    assert same_as_duckdb(spark, "O74_equity_daily", copies)
