@@ -1,5 +1,6 @@
 """Hand-computed cases of the tape operators."""
 
+import hashlib
 import random
 import re
 
@@ -542,3 +543,16 @@ def test_admission_by_a_rule_is_never_earlier_than_by_volume(spark):
     admissions = spark.createDataFrame([(1, 50, 1.0), (2, 50, 1.0), (3, 50, 1.0)], "market_id long, admitted_at long, cumulative double")
     gates = spark.createDataFrame([(1, "r", 40), (2, "r", 60), (4, "r", 60)], "market_id long, rule string, time long")
     assert {(r.market_id, r.admitted_at) for r in history.gated_admissions(admissions, gates).collect()} == {(1, 50), (2, 60)}
+
+
+def test_shuffled_vectors_of_many_ranges_are_all_there(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), [float(i)]) for i in rng.permutation(20_000)]
+    vec = spark.createDataFrame(rows, "market_id long, vector array<float>").repartition(13).where("vector[0] >= 0")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.market_id: int(r.vector[0]) for r in vectors.shuffle_vectors(vec, 7).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    dealt = sorted(range(20_000), key=lambda i: (hashlib.md5(f"{i}:7".encode()).hexdigest(), i))
+    assert got == dict(enumerate(dealt))
