@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import tapeworks
@@ -556,3 +557,17 @@ def test_shuffled_vectors_of_many_ranges_are_all_there(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     dealt = sorted(range(20_000), key=lambda i: (hashlib.md5(f"{i}:7".encode()).hexdigest(), i))
     assert got == dict(enumerate(dealt))
+
+
+@pytest.mark.parametrize("most", [1, 20, 200_000])
+def test_blocks_of_any_length_give_the_same_flow(spark, monkeypatch, most):
+    monkeypatch.setattr(signal, "BLOCK_ROWS", most)
+    rnd = random.Random(8)
+    rows = [(1, i, ts, f"w{rnd.randrange(4)}", 0.5, rnd.choice(["YES", "NO"]), 1.0, rnd.choice([0.1, 0.5]), 1.0, 1.0, 1.0, 1.0, 0.0) for i, ts in enumerate(sorted(rnd.randrange(400_000) for _ in range(120)))]
+    obs = spark.createDataFrame(rows, "market_id long, seq long, ts long, wallet string, yes_price double, direction string, volume double, skill double, weighted_history_notional double, effective_history_markets double, mean_similarity double, positive_history_weight_fraction double, skill_score_std double")
+    width = signal._blocks(obs, 86400)
+    assert {1: width == 3600, 20: 3600 < width < 86400, 200_000: width == 86400}[most]
+    got = {r.seq: (r.total_weight, r.skilled_wallets) for r in signal.rolling_consensus(obs, signal.ConsensusConfig(skill_threshold=0.3, min_wallets=1), 86400).collect()}
+    for _, seq, ts, *_ in rows:
+        live = [r for r in rows if r[1] <= seq and r[2] >= ts - 86400 and r[7] >= 0.3]
+        assert got[seq] == (0.5 * len(live), len({r[3] for r in live}))
