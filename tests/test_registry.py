@@ -73,3 +73,19 @@ def same_as_duckdb(spark, name, folder):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
 def test_daily_equity_of_markets_over_a_thousand(spark, copies):
     assert same_as_duckdb(spark, "O74_equity_daily", copies)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_the_chain_leaves_no_shuffle_files(spark, copies):
+    """A kept table's shuffle files go when it is written, and what only its making needed goes too."""
+    from tapeworks.plans.testtape import View
+
+    local = [x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+
+    def shuffled():
+        return sum(len([f for f in files if f.startswith("shuffle_")]) for d in local for _, _, files in os.walk(d))
+
+    v, before = View(spark, copies), shuffled()
+    v.staked
+    assert shuffled() <= before
+    assert not {"prints", "flow"} & set(os.listdir(v.folder.removeprefix("file:")))
