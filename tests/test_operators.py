@@ -580,3 +580,18 @@ def test_a_score_of_zero_is_zero_in_any_order_of_prints(spark):
         random.Random(seed).shuffle(prints)
         t = tape(spark, [(1, 7, i, 0, size, price, price, i) for i, (size, price) in enumerate(prints)]).coalesce(1)
         assert history.settlements(t, labels).first().score == 0.0
+
+
+def test_dense_skill_by_pieces_of_blocks(spark, monkeypatch):
+    """A block is more than its product holds at once: the same sums, in few rows of shuffle."""
+    tapeworks.distribute(spark)
+    rng = np.random.default_rng(7)
+    facts = [("w", m, float(rng.uniform(-1, 1)), float(rng.uniform(1, 9)), int(rng.integers(0, 60))) for m in range(40)]
+    s = spark.createDataFrame(facts, "wallet string, market_id long, score double, notional double, settled_at long")
+    t = spark.createDataFrame([(int(rng.integers(0, 40)), "w", int(rng.integers(0, 70)), i) for i in range(80)], "market_id long, wallet string, ts long, seq long")
+    vec = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(40, 5)))], "market_id long, vector array<float>")
+    whole = [tuple(r) for r in skill.dense_skill(t, s, vec).orderBy("seq").collect()]
+    monkeypatch.setattr(skill, "CELLS", 7)
+    pieces = [tuple(r) for r in skill.dense_skill(t, s, vec).orderBy("seq").collect()]
+    assert len(whole) == 80 and all(a[:3] == b[:3] and np.allclose(a[3:], b[3:]) for a, b in zip(whole, pieces, strict=True))
+    assert skill.TARGETS * skill.HISTORY >= 32 * 512 * 2048
