@@ -50,3 +50,21 @@ def test_consensus_of_a_stream_with_string_wallets(spark):
     assert rounded(got) == rounded(signal.consensus(obs, cfg).select(*got.columns))
     with pytest.raises(ValueError):
         streams.stream_consensus(obs, signal.ConsensusConfig(skill_threshold=-1.0))
+
+
+def test_rolling_bars_of_a_stream_equal_the_batch_and_multiply_nothing(spark):
+    tapeworks.distribute(spark)
+    tape = prints(spark)
+    complete = tape.agg(F.floor(F.max("ts") / 3600)).first()[0]
+    rolled = bars.rolling_bars(bars.dense_hours(bars.hourly_bars(tape), complete * 3600), 40).where("recent_prints > 0")
+    want = {(r.market_id, r.hour): (r.recent_quantity, round(r.recent_pq, 6), round(r.recent_notional, 6), r.recent_prints) for r in rolled.collect()}
+    plans = []
+
+    def build(stream):
+        out = streams.stream_rolling_bars(stream, "40 hours")
+        plans.append(out._jdf.queryExecution().analyzed().toString())
+        return out
+
+    got = _drained(SimpleNamespace(spark=spark), tape, build).collect()
+    assert len(got) == len(want) and {(r.market_id, r.hour): (r.quantity, round(r.price_quantity, 6), round(r.dollars, 6), r.prints) for r in got} == want
+    assert "Expand" not in plans[0]  # a print is in one hourly window, not in 40
